@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seatrace.llm import mixing, packing, url_filter, wavelet
+from seatrace.llm import gam, mixing, packing, pii, url_filter, wavelet
 from seatrace.llm.common import read
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op2_voted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return wavelet.read_token_files(wavelet.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -25,12 +30,19 @@ def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = gam.quality_scores(docs.select("doc_id", "text"), labels, may_train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "block_share")
 
 
-QUERIES = {f.__name__: f for f in (op4_wavelet_files, op7_source_mix, op8_residual_packing, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op2_voted_pii, op4_wavelet_files, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": r"""
