@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrace.llm import gam, mixing, packing, pii, url_filter, wavelet
+from seatrace.llm import gam, mixing, near_dup, packing, pii, url_filter, wavelet
 from seatrace.llm.common import read
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -21,6 +21,10 @@ def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(wavelet.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "block_share")
 
 
-QUERIES = {f.__name__: f for f in (op2_voted_pii, op4_wavelet_files, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op2_voted_pii, op4_wavelet_files, op5_bottom_k_near_dups, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": r"""
