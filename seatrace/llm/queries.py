@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrace.llm import gam, mixing, near_dup, packing, pii, url_filter, wavelet
+from seatrace.llm import gam, mixing, near_dup, packing, pii, suffix_tree, url_filter, wavelet
 from seatrace.llm.common import read
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -16,6 +16,11 @@ def op2_voted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    return suffix_tree.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), training)
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return wavelet.read_token_files(wavelet.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -46,7 +51,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "block_share")
 
 
-QUERIES = {f.__name__: f for f in (op2_voted_pii, op4_wavelet_files, op5_bottom_k_near_dups, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op2_voted_pii, op3_suffix_tree_scores, op4_wavelet_files, op5_bottom_k_near_dups, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": r"""
