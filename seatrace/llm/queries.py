@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrace.llm import gam, mixing, near_dup, packing, pii, suffix_tree, url_filter, wavelet
+from seatrace.llm import ann_forest, gam, mixing, near_dup, packing, pii, suffix_tree, topk, url_filter, wavelet
 from seatrace.llm.common import read
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.forest_neighbours(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op2_voted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,6 +34,10 @@ def op5_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
+def op6_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
@@ -51,7 +59,21 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "block_share")
 
 
-QUERIES = {f.__name__: f for f in (op2_voted_pii, op3_suffix_tree_scores, op4_wavelet_files, op5_bottom_k_near_dups, op7_source_mix, op8_residual_packing, op9_quality_gam, op10_url_templates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_prefix_forest,
+        op2_voted_pii,
+        op3_suffix_tree_scores,
+        op4_wavelet_files,
+        op5_bottom_k_near_dups,
+        op6_branch_and_bound,
+        op7_source_mix,
+        op8_residual_packing,
+        op9_quality_gam,
+        op10_url_templates,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": r"""
@@ -71,5 +93,13 @@ c AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.whole,
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN whole < 3 AND reach <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+""",
+    "op6_branch_and_bound": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """,
 }
