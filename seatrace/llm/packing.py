@@ -78,11 +78,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, shard_rows: in
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
     level = 0
 
-    def local(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def local(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *[k for k in keys if k != "length"]], ascending=[False] + [True] * (len(keys) - 1))
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
         fill = np.bincount(bins, rows["length"]).astype(np.int64)
-        return rows.assign(_bin=key[0] << 32 | bins, _at=offsets, _fill=fill[bins]).drop(columns="_shard")
+        return rows.assign(_bin=int(key[0]) << 32 | bins, _at=offsets, _fill=fill[bins]).drop(columns="_shard")
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     placed = scratch(dealt.groupBy("_shard").applyInPandas(local, f"{types}, _bin long, _at long, _fill long"), "placed")
@@ -109,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, shard_rows: in
 
 
 def _merger(level: int, capacity: int, slack: int, carry: int):
-    def merge(key, items: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["fill", "item"], ascending=[False, True])
         bins, offsets = best_fit(items["fill"].to_numpy(), capacity)
         fill = np.bincount(bins, items["fill"]).astype(np.int64)
@@ -117,7 +117,7 @@ def _merger(level: int, capacity: int, slack: int, carry: int):
         keep = np.zeros(len(fill), bool)
         keep[order[:carry]] = True
         keep &= fill < capacity - slack
-        into = level << 56 | key[0] << 32 | bins
+        into = level << 56 | int(key[0]) << 32 | bins
         return pd.DataFrame({"node": key[0], "item": items["item"].to_numpy(), "into": into, "shift": offsets, "fill": fill[bins], "keep": keep[bins]})
 
     return merge
