@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,7 +58,7 @@ def centreline(alpha: np.ndarray, every: int = EVERY) -> list[tuple[int, float]]
 def tile_centrelines(cells: DataFrame) -> DataFrame:
     """(tile, col, centre) of cells (tile, row, col, alpha); a tile is one image of bounded size."""
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(rows["row"].max()) + 1, int(rows["col"].max()) + 1), np.int64)
         image[rows["row"], rows["col"]] = rows["alpha"]
         line = centreline(image)
@@ -88,7 +87,7 @@ def stitch(pieces: list[np.ndarray], gap: float) -> np.ndarray:
 def stitch_lines(pieces: DataFrame, gap: float) -> DataFrame:
     """(cable_id, seq, x, y) of pieces (cable_id, piece, points): one group per cable, tens of pieces."""
 
-    def one(key, rows: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [np.array([(p["x"], p["y"]) for p in points]) for points in rows.sort_values("piece")["points"]]
         line = stitch(parts, gap)
         return pd.DataFrame({"cable_id": key[0], "seq": np.arange(len(line)), "x": line[:, 0], "y": line[:, 1]})

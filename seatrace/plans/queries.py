@@ -230,7 +230,7 @@ def _path(chain: DataFrame) -> DataFrame:
     return ends.where("s1 > s0")
 
 
-@query(f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL} SELECT c.mmsi, event_id, {mm_sql('x0 + (at - s0) / (s1 - s0) * (x1 - x0)', 'ix_mm')}, {mm_sql('y0 + (at - s0) / (s1 - s0) * (y1 - y0)', 'iy_mm')} FROM (SELECT mmsi, event_id, chainage_mm / 1000 - 700 AS at FROM chain) c JOIN path p ON c.mmsi = p.mmsi AND s0 <= at AND at < s1")
+@query(f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL} SELECT c.mmsi, event_id, {mm_sql('x0 + (pos - s0) / (s1 - s0) * (x1 - x0)', 'ix_mm')}, {mm_sql('y0 + (pos - s0) / (s1 - s0) * (y1 - y0)', 'iy_mm')} FROM (SELECT mmsi, event_id, chainage_mm / 1000 - 700 AS pos FROM chain) c JOIN path p ON c.mmsi = p.mmsi AND s0 <= pos AND pos < s1")
 def path_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each vessel was 700 m earlier along its own path."""
     chain = _chain(spark, sf_dir)
