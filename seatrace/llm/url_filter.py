@@ -81,8 +81,7 @@ def path_templates(paths: DataFrame, distinct: int = 8, novelty: float = 0.3, al
     whole = F.when(F.size(rest) > 0, F.concat(head, F.array(F.array_join(rest, "/")))).otherwise(head)
     tree = paths.withColumn("segments", whole).withColumn("template", F.lit(""))
     for level in range(LEVELS + 1):
-        tree = _generalise(tree, level, distinct, novelty)
-    tree = scratch(tree, "tree")
+        tree = scratch(_generalise(tree, level, distinct, novelty), f"tree{level}")  # else a plan holds the one before twice
     # Branches: the first segment of a template; alike if their children have the same eighths.
     below = F.regexp_replace("template", r"^/[^/]*", "")
     branch = F.regexp_extract("template", r"^/([^/]*)", 1)
