@@ -14,8 +14,8 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Entries a worker's cache of pieces holds before it is emptied, and its cache of parts of pieces.
-PIECES, PARTS = 400_000, 800_000
+#: Entries a worker's cache of pieces holds before it is emptied, and its cache of marks.
+PIECES, MARKS = 1_000_000, 100_000
 #: White space other than the space and the line end, and what only Python takes for white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -49,8 +49,7 @@ class PieceEncoder:
         self.typecode = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = _kind(json.loads(self.library.to_str()))
         self.pieces = Cache(self._piece, PIECES)
-        self.parts = Cache(self._part, PARTS)
-        self.marks = Cache(self._library, PARTS)
+        self.marks = Cache(self._library, MARKS)
         self.letters = _byte_letters()
 
     def encode(self, text: str) -> bytes:
@@ -65,21 +64,27 @@ class PieceEncoder:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def _piece(self, piece: str) -> bytes:
-        found = SIMPLE.fullmatch(piece)
-        if not found:
+        """Ids of a piece not seen yet; one with marks is made of the piece without them."""
+        core = piece.removeprefix(" ")
+        if core.isascii() and core.isalpha():
+            space, letters, marks = piece[: len(piece) - len(core)], core, ""
+        elif found := SIMPLE.fullmatch(piece):
+            space, letters, marks = found.groups()
+        else:
             return self._library(piece)
-        space, letters, marks = found.groups()
         if self.kind == "words":
-            ids = self.parts[letters.lower()]
-        elif space == "\n":
-            ids = self.marks["\n"] + self.parts[letters]
+            space, letters = "", letters.lower()
+        if space == "\n":
+            ids = self.marks["\n"] + self.pieces[letters]
+        elif space + letters == piece:
+            return self._part(piece)
         else:
-            ids = self.parts[space + letters]
+            ids = self.pieces[space + letters]
         return ids + self.marks[marks] if marks else ids
 
     def _part(self, part: str) -> bytes:
         letters = self.letters
-        spelt = "".join([letters[b] for b in part.encode()])
+        spelt = part.replace(" ", letters[32]) if part.isascii() else "".join([letters[b] for b in part.encode()])
         return array(self.typecode, [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
 
     def _library(self, text: str) -> bytes:
