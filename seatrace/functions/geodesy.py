@@ -80,9 +80,15 @@ def _delta_sigma(big_b: Column, sin_s: Column, cos_s: Column, cos_m: Column) ->
     return big_b * sin_s * (cos_m + big_b / 4 * inner)
 
 
-def _on_sphere(lam: Column, u1: Column, u2: Column) -> Column:
+def _ends(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Struct of sines and cosines of the reduced latitudes, and the difference of longitude l."""
+    u1, u2 = reduced(lat1), reduced(lat2)
+    return F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
+
+
+def _on_sphere(lam: Column, e: Column) -> Column:
     """Struct of Vincenty's quantities for a difference of longitude lam on the auxiliary sphere."""
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
+    s1, c1, s2, c2 = e["s1"], e["c1"], e["s2"], e["c2"]
     a, b = c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)
 
     def rest(p: Column) -> Column:
@@ -97,7 +103,7 @@ def _on_sphere(lam: Column, u1: Column, u2: Column) -> Column:
 
 def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = VINCENTY_STEPS) -> Column:
     """Metres between two places (not nearly antipodal), after a fixed number of iterations."""
-    ends = F.struct(reduced(lat1).alias("u1"), reduced(lat2).alias("u2"), F.radians(lon2 - lon1).alias("l"))
+    ends = _ends(lon1, lat1, lon2, lat2)
 
     def measure(e: Column) -> Column:
         def step(lam: Column, _: Column) -> Column:
@@ -105,7 +111,7 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, st
                 c = FLATTENING / 16 * q["ca2"] * (4 + FLATTENING * (4 - 3 * q["ca2"]))
                 return e["l"] + (1 - c) * FLATTENING * q["sa"] * (q["sigma"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (-1 + 2 * q["cm"] * q["cm"])))
 
-            return let(_on_sphere(lam, e["u1"], e["u2"]), next_)
+            return let(_on_sphere(lam, e), next_)
 
         lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), e["l"], step)
 
@@ -113,40 +119,45 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, st
             big_a, big_b = _series_ab(q["ca2"] * ((A * A - B * B) / (B * B)))
             return B * big_a * (q["sigma"] - _delta_sigma(big_b, q["ss"], q["cs"], q["cm"]))
 
-        return let(let(lam, lambda x: _on_sphere(x, e["u1"], e["u2"])), metres)
+        return let(let(lam, lambda x: _on_sphere(x, e)), metres)
 
     return let(ends, measure)
 
 
 def geodesic_direct(lon: Column, lat: Column, bearing: Column, metres: Column | float, steps: int = VINCENTY_STEPS) -> Column:
     """Struct (lon, lat) at a distance along a bearing (degrees east of north)."""
-    start = F.struct(reduced(lat).alias("u"), F.radians(bearing).alias("az"))
+    u, az = reduced(lat), F.radians(bearing)
+    ends = F.struct(F.sin(u).alias("su"), F.cos(u).alias("cu"), F.sin(az).alias("sz"), F.cos(az).alias("cz"))
 
     def go(s: Column) -> Column:
-        su, cu, sz, cz = F.sin(s["u"]), F.cos(s["u"]), F.sin(s["az"]), F.cos(s["az"])
-        sin_alpha, sigma1 = cu * sz, F.atan2(su, cu * cz)
-        ca2 = 1 - sin_alpha * sin_alpha
-        big_a, big_b = _series_ab(ca2 * ((A * A - B * B) / (B * B)))
-        first = F.lit(metres) / (B * big_a) if not isinstance(metres, Column) else metres / (B * big_a)
-        step = lambda sigma, _: first + _delta_sigma(big_b, F.sin(sigma), F.cos(sigma), F.cos(2 * sigma1 + sigma))
+        sin_alpha = s["cu"] * s["sz"]
+        return let(F.struct(sin_alpha.alias("sa"), (1 - sin_alpha * sin_alpha).alias("ca2"), F.atan2(s["su"], s["cu"] * s["cz"]).alias("sigma1")), lambda g: arc(s, g))
+
+    def arc(s: Column, g: Column) -> Column:
+        big_a, big_b = _series_ab(g["ca2"] * ((A * A - B * B) / (B * B)))
+        far = metres if isinstance(metres, Column) else F.lit(metres)
+        # Bound once: the iterations would work them out anew each time.
+        return let(F.struct((far / (B * big_a)).alias("first"), big_b.alias("b")), lambda h: let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), h["first"], lambda sigma, _: step(g, h, sigma)), lambda sigma: place(s, g, sigma)))
 
-        def place(sigma: Column) -> Column:
-            ss, cs, cm = F.sin(sigma), F.cos(sigma), F.cos(2 * sigma1 + sigma)
-            flat = su * ss - cu * cs * cz
-            lat2 = F.atan2(su * cs + cu * ss * cz, (1 - FLATTENING) * F.sqrt(sin_alpha * sin_alpha + flat * flat))
-            lam = F.atan2(ss * sz, cu * cs - su * ss * cz)
-            c = FLATTENING / 16 * ca2 * (4 + FLATTENING * (4 - 3 * ca2))
-            diff = lam - (1 - c) * FLATTENING * sin_alpha * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
-            return F.struct((lon + F.degrees(diff)).alias("lon"), F.degrees(lat2).alias("lat"))
+    def step(g: Column, h: Column, sigma: Column) -> Column:
+        parts = F.struct(F.sin(sigma).alias("ss"), F.cos(sigma).alias("cs"), F.cos(2 * g["sigma1"] + sigma).alias("cm"))
+        return let(parts, lambda p: h["first"] + _delta_sigma(h["b"], p["ss"], p["cs"], p["cm"]))
 
-        return let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step), place)
+    def place(s: Column, g: Column, sigma: Column) -> Column:
+        ss, cs, cm = F.sin(sigma), F.cos(sigma), F.cos(2 * g["sigma1"] + sigma)
+        flat = s["su"] * ss - s["cu"] * cs * s["cz"]
+        lat2 = F.atan2(s["su"] * cs + s["cu"] * ss * s["cz"], (1 - FLATTENING) * F.sqrt(g["sa"] * g["sa"] + flat * flat))
+        lam = F.atan2(ss * s["sz"], s["cu"] * cs - s["su"] * ss * s["cz"])
+        c = FLATTENING / 16 * g["ca2"] * (4 + FLATTENING * (4 - 3 * g["ca2"]))
+        diff = lam - (1 - c) * FLATTENING * g["sa"] * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
+        return F.struct((lon + F.degrees(diff)).alias("lon"), F.degrees(lat2).alias("lat"))
 
-    return let(start, go)
+    return let(ends, go)
 
 
 def geodesic_bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = VINCENTY_STEPS) -> Column:
     """Bearing at the first place towards the second, degrees from -180 to 180."""
-    ends = F.struct(reduced(lat1).alias("u1"), reduced(lat2).alias("u2"), F.radians(lon2 - lon1).alias("l"))
+    ends = _ends(lon1, lat1, lon2, lat2)
 
     def measure(e: Column) -> Column:
         def step(lam: Column, _: Column) -> Column:
@@ -154,11 +165,10 @@ def geodesic_bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ste
                 c = FLATTENING / 16 * q["ca2"] * (4 + FLATTENING * (4 - 3 * q["ca2"]))
                 return e["l"] + (1 - c) * FLATTENING * q["sa"] * (q["sigma"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (-1 + 2 * q["cm"] * q["cm"])))
 
-            return let(_on_sphere(lam, e["u1"], e["u2"]), next_)
+            return let(_on_sphere(lam, e), next_)
 
         lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), e["l"], step)
-        u1, u2 = e["u1"], e["u2"]
-        return let(lam, lambda x: F.degrees(F.atan2(F.cos(u2) * F.sin(x), F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(x))))
+        return let(lam, lambda x: F.degrees(F.atan2(e["c2"] * F.sin(x), e["c1"] * e["s2"] - e["s1"] * e["c2"] * F.cos(x))))
 
     return let(ends, measure)
 
