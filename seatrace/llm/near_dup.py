@@ -12,7 +12,8 @@ other document retains come first and need no list, and very common values fall
 2. Inverted lists of the prefixes. Every member is paired with the list's smallest member only; pairs
    that meet often enough and whose union-sketch estimate reaches ``SHARED`` / k are confirmed on the
    full sets, and confirmed links give first components. A large group of copies is one component
-   after that, without a pair for each two of its members.
+   after that, without a pair for each two of its members; near copies that aren't linked to the
+   smallest member are left to step 3, which is costly for very large groups.
 3. Lists that still hold several components give the pairs between different components, which are
    estimated and confirmed the same way. No list is cut short.
 4. Components of all links; each document gets the smallest doc_id of its component.
