@@ -9,13 +9,20 @@ these prefixes, lengthened by two so that linked pairs meet at least three times
 other document retains come first and need no list, and very common values fall out at the end.
 
 1. One pass over the texts: set size, digest and sketch. Equal sets are one node from here on.
-2. Inverted lists of the prefixes. Every member is paired with the list's smallest member only; pairs
-   that meet often enough and whose union-sketch estimate reaches ``SHARED`` / k are confirmed on the
-   full sets, and confirmed links give first components. A large group of copies is one component
-   after that, without a pair for each two of its members; near copies that aren't linked to the
-   smallest member are left to step 3, which is costly for very large groups.
-3. Lists that still hold several components give the pairs between different components, which are
-   estimated and confirmed the same way. No list is cut short.
+2. Inverted lists of the prefixes. A star pass pairs every member only with its list's pivot, the
+   member whose retained values are the most widely shared; pairs that meet often enough and whose
+   union-sketch estimate reaches ``SHARED`` / k are confirmed on the full sets, and confirmed links give
+   first components. A large group of copies is nearly one component after that, without a pair for
+   each two of its members.
+3. Lists that still hold several components are open, and crowded if their pairs across components
+   outnumber their members ``CROWDED`` times. ``PASSES`` further passes compare what the main component
+   of crowded lists doesn't hold with one member of that component, another one each time. Open lists that aren't crowded then give all their pairs
+   between different components, estimated and confirmed the same way. Nodes of crowded lists, such as
+   the members of a large group that lie just outside of it, meet in the prefixes of their full sets
+   instead: two sets of n and m shingles are linked with percent / (100 + percent) of n + m in common
+   at least, so in an order by rarity a linked pair has one of its first shingles in common, as many
+   as its sets have beyond that. Edited passages come first there, so members that differ too much
+   from the rest of their group meet few others. Such pairs are confirmed too. No list is cut short.
 4. Components of all links; each document gets the smallest doc_id of its component.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing; fewer words than a
@@ -42,6 +49,7 @@ from seatrace.llm.components import connected_components
 from seatrace.llm.tokenization import Cache
 
 SKETCH, SHARED, MEETINGS = 64, 32, 3
+CROWDED, PASSES = 4, 4
 WORD_HASHES = 400_000
 PRIME, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,15 +113,79 @@ def least_overlap(n: Column, percent: int) -> Column:
 
 
 def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n): the prefixes of nodes (node, n, sketch) in order of rarity."""
+    """(value, node, n, centre): the prefixes of nodes (node, n, sketch) in order of rarity.
+
+    centre is the mean logarithm of how many nodes retain each value of the sketch.
+    """
     entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").count().where("count > 1")
     counted = entries.join(shared, "value")
-    ordered = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("own"))  # at most SKETCH values
     retained = F.least(F.col("n"), F.lit(SKETCH))
+    own = F.sort_array(F.collect_list(F.struct("count", "value"))).alias("own")  # at most SKETCH values
+    ordered = counted.groupBy("node", "n").agg(own, F.sum(F.log2("count")).alias("spread")).withColumn("centre", F.col("spread") / retained)
     prefix = retained - least_overlap(F.col("n"), percent) + MEETINGS
     ranked = ordered.withColumn("room", (prefix - (retained - F.size("own"))).cast("int")).where("room > 0")
-    return ranked.select("node", "n", F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"))
+    return ranked.select("node", "n", "centre", F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"))
+
+
+def with_parts(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """lists with each node's component as part, or itself where it has no link yet."""
+    return lists.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def open_lists(named: DataFrame) -> DataFrame:
+    """The rows of lists that hold several parts."""
+    mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
+    return named.join(mixed, "value")
+
+
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """(a, na, b, nb): every list's most central member with each other."""
+    pivots = lists.groupBy("value").agg(F.max(F.struct("centre", F.col("node").alias("a"), F.col("n").alias("na"))).alias("p"))
+    pairs = lists.join(pivots, "value").where(F.col("p.a") != F.col("node"))
+    return pairs.select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+
+
+def hub_pairs(named: DataFrame, order: Column) -> DataFrame:
+    """(a, na, b, nb): the main part's member of the highest order with the members of other parts."""
+    parts = named.groupBy("value", "part").agg(F.count("*").alias("c"))
+    main = parts.groupBy("value").agg(F.max(F.struct("c", "part"))["part"].alias("hub"))
+    pivots = named.groupBy(F.col("part").alias("hub")).agg(F.max(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("n").alias("na"))).alias("p"))
+    pairs = named.join(main, "value").where("part <> hub").groupBy("hub", F.col("node").alias("b"), F.col("n").alias("nb")).count()
+    pairs = pairs.where(F.col("count") >= MEETINGS).join(pivots, "hub")
+    return pairs.select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), "b", "nb")
+
+
+def crowded_lists(named: DataFrame) -> DataFrame:
+    """Values of the lists whose pairs across parts are many times their members."""
+    parts = named.groupBy("value", "part").agg(F.count("*").cast("double").alias("c"))
+    lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"))
+    return lists.where(F.col("size") * F.col("size") - F.col("within") > 2 * CROWDED * F.col("size")).select("value")
+
+
+def across_pairs(entries: DataFrame, within: Column) -> DataFrame:
+    """(a, na, b, nb) of entries (value, node, n, part, at) that meet in a value and have different parts."""
+    right = entries.select("value", *(F.col(x).alias(y) for x, y in (("node", "b"), ("n", "nb"), ("part", "part_b"), ("at", "at_b"))))
+    left = entries.select("value", F.col("node").alias("a"), F.col("n").alias("na"), "part", "at")
+    return left.join(right, "value").where((F.col("part") < F.col("part_b")) & within).select("a", "na", "b", "nb")
+
+
+def full_prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(value, node, n, part, at): the first shingles by rarity of each of nodes (node, part).
+
+    As many as a link to a smaller set can need; at is the place. Shingles that only one of the nodes
+    has take places but give no entry.
+    """
+    own = scratch(sets.join(nodes, "node").select("node", "part", "shingles"), "open")
+    values = own.select("node", F.explode("shingles").alias("value"))
+    shared = values.groupBy("value").count().where("count > 1")
+    order = F.sort_array(F.collect_list(F.struct("count", "value"))).alias("order")
+    ordered = values.join(shared, "value").groupBy("node").agg(order).join(own.select("node", "part", F.size("shingles").alias("n")), "node")
+    alone = F.col("n") - F.size("order")
+    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
+    ordered = ordered.withColumn("alone", alone).withColumn("room", room).where("room > 0")
+    entries = ordered.select("node", "n", "part", "alone", F.posexplode(F.slice("order", 1, F.col("room"))["value"]).alias("at", "value"))
+    return entries.select("value", "node", "n", "part", (F.col("at") + F.col("alone")).alias("at"))
 
 
 def met_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -127,17 +199,15 @@ def similar_sizes(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b): estimated on union sketches, confirmed on full sets."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), unsigned)), 1, SKETCH)
     common = F.size(F.array_intersect(F.transform(F.array_intersect("sa", "sb"), unsigned), union))
     likely = scratch(both.where(common * SKETCH >= SHARED * F.size(union)).select("a", "b").distinct(), "likely")
-    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = scratch(full_sets(docs, scratch(ids, "ids"), size), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b")
+    both = likely.join(side("b"), "b").join(side("a"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     linked = inter * 100 >= (F.size("sa") + F.size("sb") - inter) * percent
     return scratch(both.where(linked).select("a", "b").distinct(), "links")
@@ -157,19 +227,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Sets of fewer than four shingles are linked with equal sets only.
     nodes = scratch(chosen.where(F.col("n_shingles") * (100 - percent) >= percent).select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"]), "nodes")
     lists = scratch(inverted_lists(nodes, percent), "lists")
-    pivots = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    stars = lists.join(pivots, "value").select(F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    first = confirmed(met_pairs(stars.where((F.col("a") < F.col("b")) & similar_sizes(percent)), percent), nodes, docs, size, percent)
-    parts = connected_components(first)
-    named = lists.join(parts, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("part"))
-    named = scratch(named, "named")
-    mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
-    left = named.join(mixed, "value")
-    right = named.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"))
-    left = left.select("value", F.col("node").alias("a"), F.col("n").alias("na"), "part")
-    across = left.join(right, "value").where((F.col("part") < F.col("part_b")) & similar_sizes(percent))
-    second = confirmed(met_pairs(across, percent), nodes, docs, size, percent)
-    parts = connected_components(first.union(second)).withColumnRenamed("node", "_node")
+    sets = scratch(full_sets(docs, scratch(lists.select("node").distinct(), "ids"), size), "sets")
+    links = confirmed(met_pairs(star_pairs(lists).where(similar_sizes(percent)), percent), nodes, sets, percent)
+    named = scratch(open_lists(scratch(with_parts(lists, connected_components(links)), "named")), "named")
+    crowds = scratch(crowded_lists(named), "crowds")
+    for k in range(PASSES):
+        if crowds.isEmpty():
+            break
+        order = F.xxhash64("node", F.lit(k)) if k else F.col("centre")
+        pairs = hub_pairs(named.join(crowds, "value"), order).where(similar_sizes(percent)).select("a", "b").distinct()
+        links = links.union(confirmed(pairs, nodes, sets, percent))
+        named = scratch(open_lists(scratch(with_parts(named.drop("part"), connected_components(links)), "named")), "named")
+        crowds = scratch(crowded_lists(named), "crowds")
+    calm = named.join(crowds, "value", "left_anti").withColumn("at", F.lit(0))
+    met = met_pairs(across_pairs(calm, similar_sizes(percent)), percent)
+    thick = named.join(crowds, "value").select("node", "part").distinct()
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    early = (F.col("at") <= F.col("na") - need) & (F.col("at_b") <= F.col("nb") - need)
+    pairs = across_pairs(scratch(full_prefixes(thick, sets, percent), "prefixes"), early & similar_sizes(percent))
+    links = links.union(confirmed(scratch(met.union(pairs.select("a", "b")).distinct(), "pairs"), nodes, sets, percent))
+    parts = connected_components(links).withColumnRenamed("node", "_node")
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     found = found.join(parts, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
