@@ -199,13 +199,17 @@ def similar_sizes(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b): estimated on union sketches, confirmed on full sets."""
+def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the estimate on their union sketch doesn't rule out."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), unsigned)), 1, SKETCH)
     common = F.size(F.array_intersect(F.transform(F.array_intersect("sa", "sb"), unsigned), union))
-    likely = scratch(both.where(common * SKETCH >= SHARED * F.size(union)).select("a", "b").distinct(), "likely")
+    return scratch(both.where(common * SKETCH >= SHARED * F.size(union)).select("a", "b").distinct(), "likely")
+
+
+def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), by their full sets."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = likely.join(side("b"), "b").join(side("a"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -213,6 +217,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return scratch(both.where(linked).select("a", "b").distinct(), "links")
 
 
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), with full sets made for the likely ones only."""
+    likely = likely_pairs(pairs, nodes)
+    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    return linked_pairs(likely, scratch(full_sets(docs, scratch(ids, "ids"), size), "sets"), percent)
+
+
 def unsigned(value: Column) -> Column:
     """Order of a hash kept as a signed integer, as if unsigned."""
     return value.bitwiseXOR(F.lit(-(1 << 63)))
@@ -227,16 +238,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Sets of fewer than four shingles are linked with equal sets only.
     nodes = scratch(chosen.where(F.col("n_shingles") * (100 - percent) >= percent).select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"]), "nodes")
     lists = scratch(inverted_lists(nodes, percent), "lists")
-    sets = scratch(full_sets(docs, scratch(lists.select("node").distinct(), "ids"), size), "sets")
-    links = confirmed(met_pairs(star_pairs(lists).where(similar_sizes(percent)), percent), nodes, sets, percent)
+    links = confirmed(met_pairs(star_pairs(lists).where(similar_sizes(percent)), percent), nodes, docs, size, percent)
     named = scratch(open_lists(scratch(with_parts(lists, connected_components(links)), "named")), "named")
     crowds = scratch(crowded_lists(named), "crowds")
+    # A list that isn't crowded now never becomes so: the passes need no other sets.
+    sets = scratch(full_sets(docs, scratch(named.join(crowds, "value").select("node").distinct(), "ids"), size), "sets")
     for k in range(PASSES):
         if crowds.isEmpty():
             break
         order = F.xxhash64("node", F.lit(k)) if k else F.col("centre")
         pairs = hub_pairs(named.join(crowds, "value"), order).where(similar_sizes(percent)).select("a", "b").distinct()
-        links = links.union(confirmed(pairs, nodes, sets, percent))
+        links = links.union(linked_pairs(likely_pairs(pairs, nodes), sets, percent))
         named = scratch(open_lists(scratch(with_parts(named.drop("part"), connected_components(links)), "named")), "named")
         crowds = scratch(crowded_lists(named), "crowds")
     calm = named.join(crowds, "value", "left_anti").withColumn("at", F.lit(0))
@@ -245,7 +257,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     early = (F.col("at") <= F.col("na") - need) & (F.col("at_b") <= F.col("nb") - need)
     pairs = across_pairs(scratch(full_prefixes(thick, sets, percent), "prefixes"), early & similar_sizes(percent))
-    links = links.union(confirmed(scratch(met.union(pairs.select("a", "b")).distinct(), "pairs"), nodes, sets, percent))
+    links = links.union(confirmed(met, nodes, docs, size, percent))
+    links = links.union(linked_pairs(likely_pairs(pairs.select("a", "b").distinct(), nodes), sets, percent))
     parts = connected_components(links).withColumnRenamed("node", "_node")
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     found = found.join(parts, F.col("node") == F.col("_node"), "left")
