@@ -1,20 +1,21 @@
 """Probabilistic suffix tree for scoring texts: word contexts of varying length, kept by a divergence test.
 
 Tokens are the lower-cased words of a text and one end. The root gives every token
-(c + 1) / (N + V + 1). A context of one to ``depth`` words becomes a state if it makes up at least
-``context_share`` of all N tokens and its next-token counts differ from what the longest state that
-is a suffix of it predicts (twice the log-likelihood ratio above the number of next tokens plus
-``strictness`` times its standard deviation). A state's distribution is discounted absolutely and
-the mass taken off goes to its suffix:
+(c + 1) / (N + V + 1). A context of one to ``depth`` words seen ``least`` times becomes a state if its
+next-token counts differ from what the longest state that is a suffix of it predicts (twice the
+log-likelihood ratio above the number of next tokens plus ``strictness`` times its standard
+deviation). A state's distribution is discounted absolutely and the mass taken off goes to its suffix:
 
     P(w | s) = max(c(s w) - d, 0) / c(s) + (1 - sum of the former) P(w | longest suffix state of s)
 
-where next tokens with less than ``next_share`` of a state's counts are left to the suffix. Scores
-take the longest state that is a suffix of the words before each token.
+where next tokens seen once are left to the suffix. Scores take the longest state that is a suffix of
+the words before each token.
 
-What is broadcast has a proven bound: at most 1 / head_share frequent words, 1 / context_share states
-for each length and 1 / next_share next tokens of a state. All other words (the tail) get their
-counts from a shuffled join. Counts cover all training documents.
+States and next tokens are tables keyed by 64-bit hashes of their words, so they grow with the corpus:
+what follows a context is counted in shuffled groups and states are made by joins. Tasks hold only
+things of fixed size: the frequent words (at most 1 / head_share), up to ``held`` of the most frequent
+entries of the tree, and a filter of BITS bits that spares keys which are in no table. Places that meet
+an entry beyond those held are scored by a shuffled join. Counts cover all training documents.
 
 Edge cases: a null or empty text is the end alone; without training documents N and V are 0 and every
 token has probability 1; repeated rows are scored alike; an empty table gives no rows. Only doc_id and
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +37,15 @@ from seatrace.llm.common import scratch
 
 #: Name of the end in the table of counts; no word holds a space.
 END = " "
-TAIL, STOP = -1, -2
+TAIL = -1
+#: Bits of a filter of hashes, as a power of two.
+BITS = 26
+#: Sets the key of a state apart from that of a next token with the same words.
+STATE = 0x5851F42D4C957F2D
 
 
-@dataclass
-class Tree:
-    """States by level (context length) and their next-token tables.
-
-    ``contexts[k]`` are the sorted packed contexts of level k + 1 and ``rest[k]`` their masses for the
-    suffix; ``nexts[k]`` are sorted packed (state, token) pairs and ``probs[k]`` their discounted shares.
-    """
-
-    symbols: int
-    contexts: list[np.ndarray]
-    rest: list[np.ndarray]
-    nexts: list[np.ndarray]
-    probs: list[np.ndarray]
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
 def _texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -79,41 +73,52 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def with_hash(counts: DataFrame) -> DataFrame:
+    """counts with the hash of each token (gram) as the first words of a context have it."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array([word_hash(t) for t in batch.column(0).cast(pa.binary()).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_longer(np.zeros(len(words), np.int64), words))], ["token", "c", "gram"])
+
+    return counts.mapInArrow(hashed, "token string, c long, gram long")
+
+
 def encode(texts: DataFrame, head: dict[bytes, int], logs: np.ndarray) -> DataFrame:
-    """Rows with ids of the frequent words (TAIL for others), the other words with their counts, and the
-    sum of root log-probabilities of the frequent ones."""
+    """Rows with ids of the frequent words (TAIL for others), the hashes of the others in their order, the
+    others with their counts, and the sum of root log-probabilities of the frequent ones."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = head.get(b" ", TAIL)
         for batch in batches:
-            ids, bases, tails, counts, n_tokens = [], [], [], [], []
+            ids, rares, bases, tails, counts, n_tokens = [], [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = text.lower().split()
                 own = np.fromiter((head.get(w, TAIL) for w in words), np.int32, len(words))
                 own = np.append(own, np.int32(end))
-                rare = Counter(words[k] for k in np.flatnonzero(own[:-1] == TAIL).tolist())
+                others = [words[k] for k in np.flatnonzero(own[:-1] == TAIL).tolist()]
                 if end == TAIL:
-                    rare[b" "] += 1
+                    others.append(b" ")
+                rare = Counter(others)
+                hashes = {w: word_hash(w) for w in rare}
                 ids.append(own)
+                rares.append(np.array([hashes[w] for w in others], np.int64))
                 bases.append(float(logs[own[own >= 0]].sum()))
                 tails.append(list(rare))
                 counts.append(list(rare.values()))
                 n_tokens.append(len(own))
             arrays = [
-                batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(bases, pa.float64()),
-                pa.array(ids, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())),
+                batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.list_(pa.int32())),
+                pa.array(rares, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "head_base", "ids", "tail", "tail_n"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "tail", "tail_n"])
 
-    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids array<int>, tail array<string>, tail_n array<int>"
+    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids array<int>, rare array<long>, tail array<string>, tail_n array<int>"
     return texts.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(encoded, types)
 
 
-def _flat(column: pa.ListArray) -> np.ndarray:
-    """All ids of a batch, each document after a STOP."""
-    ends = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)
-    return np.insert(values[ends[0] : ends[-1]], ends[:-1] - ends[0], STOP)
+def _values(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
 def _slices(batch: pa.RecordBatch, ids: int, tokens: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -126,112 +131,130 @@ def _slices(batch: pa.RecordBatch, ids: int, tokens: int = 1 << 18) -> Iterator[
         at = stop
 
 
-def _states_at(flat: np.ndarray, level: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose ``level`` preceding tokens are a state of that level, and the states' numbers."""
-    at = np.arange(level, len(flat))
-    key = np.zeros(len(at), np.int64)
-    good = flat[at] != STOP
-    for back in range(level, 0, -1):
-        token = flat[at - back]
-        good &= (token >= 0) & (token < tree.symbols)
-        key = key * tree.symbols + token
-    at, key = at[good], key[good]
-    return _found(key, tree.contexts[level - 1], at)
-
-
-def _found(key: np.ndarray, sorted_keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return at[:0], key[:0]
-    place = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
-    hit = sorted_keys[place] == key
-    return at[hit], place[hit]
-
-
-def log_scores(flat: np.ndarray, tree: Tree, root: np.ndarray) -> np.ndarray:
-    """log10 of P / root for every place of flat (0 for STOP), so tail words need no root here.
-
-    root has the root probability of each id; that of a tail word cancels, since no state lists it.
-    """
-    known = flat >= 0
-    base = np.where(known, root[np.where(known, flat, 0)], 1.0)
-    p = base.copy()
-    for level in range(1, len(tree.contexts) + 1):
-        if len(flat) <= level:
-            break
-        at, state = _states_at(flat, level, tree)
-        p[at] *= tree.rest[level - 1][state]
-        token = flat[at].astype(np.int64)
-        near = (token >= 0) & (token < tree.symbols)
-        at, state, token = at[near], state[near], token[near]
-        at, place = _found(state * tree.symbols + token, tree.nexts[level - 1], at)
-        p[at] += tree.probs[level - 1][place]
-    return np.log10(p / base)
+def _longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, each made one word longer."""
+    x = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _grams(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the runs of 1 to ``most`` words that end at each token, each token's place in its
+    document, and its document. A run of k words is one only from place k - 1 on."""
+    flat, ends = _values(ids), ids.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(ends)
+    words = hashes[flat]
+    words[flat == TAIL] = _values(rare)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - (ends[:-1] - ends[0])[doc]
+    grams = [_longer(np.zeros(len(words), np.int64), words)]
+    while len(grams) < most:
+        grams.append(_longer(np.append(np.zeros(min(1, len(words)), np.int64), grams[-1][:-1]), words))
+    return grams, place, doc
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits at the leading and at the last BITS bits of each key (column gram): of fixed size, and never
+    without a key's bits."""
+    places = F.array(F.expr(f"shiftrightunsigned(gram, {64 - BITS})"), F.expr(f"gram & {(1 << BITS) - 1}L"))
+    words = keys.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bits"))
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
 
 
-def count_nexts(encoded: DataFrame, level: int, symbols: int, candidates: np.ndarray) -> DataFrame:
-    """(context, token, c): what follows each candidate context of that length; tail words are -1."""
-    only = Tree(symbols, [np.zeros(0, np.int64)] * (level - 1) + [candidates], [], [], [])
+def _maybe(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    key = key.view(np.uint64)
+    hit = lambda at: (bits[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+    return hit(key >> np.uint64(64 - BITS)) & hit(key & np.uint64((1 << BITS) - 1)) > 0
+
+
+def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.ndarray, tokens: int = 1 << 20) -> DataFrame:
+    """(gram, context, suffix, last, c): runs of level + 1 words by count, for contexts that pass the filter."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        emit = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys // (symbols + 1)), pa.array(keys % (symbols + 1) - 1), pa.array(n)], ["state", "token", "c"])
+        own, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            gram, context, suffix, last = (np.concatenate(x) for x in zip(*own))
+            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context[first], suffix[first], last[first], n)], ["gram", "context", "suffix", "last", "c"])
+
         for batch in (part for whole in batches for part in _slices(whole, 0)):
-            flat = _flat(batch.column(0))
-            if len(flat) <= level:
-                continue
-            at, state = _states_at(flat, level, only)
-            token = np.where(flat[at] < symbols, flat[at], TAIL).astype(np.int64)
-            keys, n = np.unique(state * (symbols + 1) + token + 1, return_counts=True)
-            keys, inverse = np.unique(np.concatenate([own[0], keys]), return_inverse=True)
-            own = keys, np.bincount(inverse, np.concatenate([own[1], n])).astype(np.int64)
-            if len(own[0]) > 1_000_000:
-                yield emit(*own)
-                own = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(own[0]):
-            yield emit(*own)
-
-    partial = encoded.where("not held_out").select("ids").mapInArrow(counts, "state long, token long, c long")
-    return partial.groupBy("state", "token").agg(F.sum("c").alias("c"))
-
-
-def learn_tree(encoded: DataFrame, root: np.ndarray, total: int, symbols: int, depth: int, context_share: float, next_share: float, discount: float, strictness: float, singles: np.ndarray) -> Tree:
-    """singles: counts of the frequent words, by id."""
-    tree = Tree(symbols, [], [], [], [])
-    least = max(2.0, context_share * total)
-    candidates = np.flatnonzero(singles[:symbols] >= least).astype(np.int64)
+            grams, place, doc = _grams(batch.column(0), batch.column(1), hashes, level + 1)
+            at = np.flatnonzero(place >= level)
+            at = at[_maybe(grams[level - 1][at - 1], bits)]
+            if len(at):
+                own.append((grams[level][at], grams[level - 1][at - 1], grams[level - 1][at], np.append(doc[1:] != doc[:-1], True)[at]))
+                size += len(at)
+            if size > tokens:
+                yield emit()
+                own, size = [], 0
+        if size:
+            yield emit()
+
+    partial = encoded.where("not held_out").select("ids", "rare").mapInArrow(counts, "gram long, context long, suffix long, last boolean, c long")
+    return partial.groupBy("gram").agg(*(F.any_value(x).alias(x) for x in ("context", "suffix", "last")), F.sum("c").alias("c"))
+
+
+def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale: float, depth: int, least: float, next_share: float, discount: float, strictness: float) -> DataFrame:
+    """(gram, value, c) of all entries: the mass that a state leaves to its suffix, under gram ^ STATE, and
+    the share of a state's next token over the root's. scale is N + V + 1."""
+    words = counts.select("gram", "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"))
+    # What the states up to this level give a token after a run's other words, and what the root gives it.
+    chances = words.select("gram", "p", F.col("p").alias("root"))
+    contexts = counts.where((F.col("c") >= least) & (F.col("token") != END)).select("gram", "c")
+    entries = []
     for level in range(1, depth + 1):
-        if not len(candidates):
+        counted = count_nexts(encoded, level, hashes, bit_filter(contexts)).where("c >= 2")
+        totals = contexts.select(F.col("gram").alias("context"), F.col("c").alias("total"))
+        before = chances.select(F.col("gram").alias("suffix"), F.col("p").alias("before"), "root")
+        listed = (F.col("c") >= F.col("total") * next_share).alias("listed")
+        known = scratch(counted.join(totals, "context").join(before, "suffix").select("gram", "context", "last", "c", "total", "before", "root", listed), f"known{level}")
+        c, total, share = F.col("c"), F.col("total"), (F.col("c") - discount) / F.col("total")
+        sums = known.where("listed").groupBy("context", "total").agg(
+            F.count("*").alias("kinds"), F.sum("c").alias("sum"), F.sum("before").alias("mass"), F.sum(c * F.log(c / total / F.col("before"))).alias("gain"), (1 - F.sum(share)).alias("rest")
+        )
+        other = total - F.col("sum")
+        gain = F.col("gain") + F.when(other > 0, other * F.log(other / total / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0)
+        states = sums.where(2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).select("context", "rest", "total")
+        states = scratch(states, f"states{level}")
+        judged = known.join(states.drop("total"), "context", "left")
+        own = F.when(F.col("rest").isNotNull() & F.col("listed"), share)
+        p = F.coalesce("rest", F.lit(1.0)) * F.col("before") + F.coalesce(own, F.lit(0.0))
+        chances = scratch(judged.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")), f"chances{level}")
+        entries.append(states.select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c")))
+        entries.append(chances.where("value is not null").select("gram", "value", "c"))
+        contexts = chances.where((F.col("c") >= least) & ~F.col("last")).select("gram", "c")
+    tree = entries[0]
+    for more in entries[1:]:
+        tree = tree.union(more)
+    return scratch(tree, "tree")
+
+
+def split_tree(tree: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Sorted keys and values of at most ``held`` of the most frequent entries, and a table of the others."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in tree.groupBy(step).count().collect()), reverse=True)
+    kept, cut = 0, 1 << 30
+    for at, n in sizes:
+        if kept + n > held:
             break
-        counted = scratch(count_nexts(encoded, level, symbols, candidates), f"nexts{level}")
-        totals = counted.groupBy("state").agg(F.sum("c").alias("total"))
-        listed = counted.join(totals, "state").where((F.col("token") >= 0) & (F.col("c") >= F.greatest(F.lit(2), F.col("total") * next_share)))
-        rows = listed.select("state", "token", "c", "total").toPandas().sort_values(["state", "token"])
-        state, token, c, of = (rows[k].to_numpy(np.int64) for k in ("state", "token", "c", "total"))
-        longer = candidates[state] * symbols + token
-        longer = np.sort(longer[c >= least])
-        # What the suffix predicts for each listed token: the context without its first word, as text.
-        context = np.stack([candidates[state] // symbols**k % symbols for k in range(level - 1, -1, -1)], 1)
-        flat = np.column_stack([np.full(len(c), STOP), context[:, 1:], token]).astype(np.int32).ravel() if len(c) else np.zeros(0, np.int32)
-        before = (root[token] * 10 ** log_scores(flat, tree, root)[level :: level + 1]) if len(c) else np.zeros(0)
-        n = len(candidates)
-        kinds = np.bincount(state, minlength=n)
-        sums, mass = np.bincount(state, c, n), np.bincount(state, before, n)
-        size = np.zeros(n)
-        size[state] = of
-        gain = np.bincount(state, c * np.log(np.maximum(c / np.maximum(of, 1), 1e-300) / before), n).astype(float)
-        other = np.maximum(size - sums, 0)
-        gain += np.where(other > 0, other * np.log(np.maximum(other, 1) / np.maximum(size, 1) / np.maximum(1 - mass, 1e-9)), 0)
-        kept = np.flatnonzero((kinds > 0) & (2 * gain > kinds + strictness * np.sqrt(2 * kinds)))
-        number = np.full(n, -1)
-        number[kept] = np.arange(len(kept))
-        own = number[state] >= 0
-        share = np.maximum(c[own] - discount, 0) / of[own]
-        tree.contexts.append(candidates[kept])
-        tree.nexts.append(number[state[own]] * symbols + token[own])
-        tree.probs.append(share)
-        tree.rest.append(1 - np.bincount(number[state[own]], share, len(kept)))
-        candidates = longer
-    return tree
+        kept, cut = kept + n, at
+    top = tree.where(step >= cut).select("gram", "value").toArrow()
+    keys, values = (top[x].to_numpy() for x in ("gram", "value"))
+    order = np.argsort(keys)
+    return keys[order], values[order], tree.where(step < cut).select("gram", "value")
+
+
+def _held(key: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the keys, NaN for those not held."""
+    if not len(keys):
+        return np.full(len(key), np.nan)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, values[at], np.nan)
 
 
 def score_texts(
@@ -239,36 +262,69 @@ def score_texts(
     training: Column,
     depth: int = 3,
     head_share: float = 1e-6,
-    symbol_share: float = 1e-5,
-    context_share: float = 1e-4,
-    next_share: float = 1e-3,
+    least: int = 2,
+    context_share: float = 0.0,
+    next_share: float = 0.0,
     discount: float = 0.75,
     strictness: float = 4.0,
+    held: int = 2_000_000,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; training is a condition on rows."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; training is a condition on rows.
+
+    context_share and next_share raise the counts that contexts and next tokens need, as shares of N and
+    of the context's count."""
     texts = _texts(docs, training)
-    counts = scratch(count_tokens(texts), "counts")
+    counts = scratch(with_hash(count_tokens(texts)), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("c") >= max(1.0, head_share * n)).toPandas().sort_values(["c", "token"], ascending=[False, True])
+    frequent = counts.where(F.col("c") >= max(1.0, head_share * n)).select("token", "c").toPandas().sort_values(["c", "token"], ascending=[False, True])
     singles = frequent["c"].to_numpy(np.int64)
     head = {t.encode(): k for k, t in enumerate(frequent["token"])}
+    hashes = np.array([*map(word_hash, head), 0], np.int64)
     root = (singles + 1) / (n + v + 1) if n else np.ones(1)
     encoded = scratch(encode(texts, head, np.log10(root)).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    symbols = max(1, int((singles >= symbol_share * n).sum()))
-    tree = learn_tree(encoded, root, n, symbols, depth, context_share, next_share, discount, strictness, singles)
+    tree = learn_tree(encoded, counts, hashes, float(n + v + 1), depth, max(2.0, least, context_share * n), next_share, discount, strictness)
+    keys, values, others = split_tree(tree, held)
+    bits = bit_filter(others)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, 4)):
             ids = batch.column(4)
-            starts = (ids.offsets.to_numpy().astype(np.int64)[:-1] - ids.offsets[0].as_py()) + np.arange(batch.num_rows)
-            flat = _flat(ids)
-            ratio = np.add.reduceat(log_scores(flat, tree, root), starts)
-            known = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ratio), pa.array(known), batch.column(5)], ["doc_id", "held_out", "n_tokens", "head_base", "ratio", "head_known", "row"])
-
-    head_part = encoded.select("doc_id", "held_out", "n_tokens", "head_base", "ids", "row").mapInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long"
+            grams, place, doc = _grams(ids, batch.column(5), hashes, depth + 1)
+            ratio, sought, found = np.ones(len(place)), [], []
+            for level in range(1, depth + 1):
+                for key in (np.append(np.zeros(1, np.int64), grams[level - 1][:-1]) ^ np.int64(STATE), grams[level]):
+                    value = _held(key, keys, values)
+                    here = place >= level
+                    if len(sought) % 2:  # a next token only where there may be a state
+                        here &= ~np.isnan(found[-1]) | (sought[-1] != 0)
+                    value[~here] = np.nan
+                    sought.append(np.where(np.isnan(value) & here & _maybe(key, bits), key, 0))
+                    found.append(value)
+                ratio = ratio * np.where(np.isnan(found[-2]), 1, found[-2]) + np.where(np.isnan(found[-1]), 0, found[-1])
+            at = np.flatnonzero(np.any([x != 0 for x in sought], 0))
+            logs = np.log10(ratio)
+            logs[at] = 0
+            sums = np.bincount(doc, logs, batch.num_rows)
+            known = np.bincount(doc, _values(ids) != TAIL, batch.num_rows).astype(np.int64)
+            offsets = np.append(0, np.cumsum(np.bincount(doc[at], minlength=batch.num_rows))).astype(np.int32)
+            lists = [pa.array(np.column_stack(x)[at].ravel()) for x in (sought, found)]
+            left = [pa.ListArray.from_arrays(pa.array(offsets * (2 * depth), pa.int32()), x) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums), pa.array(known), batch.column(6), *left], ["doc_id", "held_out", "n_tokens", "head_base", "ratio", "head_known", "row", "sought", "found"])
+
+    head_part = encoded.select("doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "row").mapInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long, sought array<long>, found array<double>"
     )
+    head_part = scratch(head_part, "scored")
+    slots = head_part.where(F.size("sought") > 0).select("row", F.posexplode(F.arrays_zip("sought", "found")).alias("k", "s"))
+    slots = slots.select("row", "k", F.col("s.sought").alias("gram"), F.col("s.found").alias("value"))
+    joined = slots.where("gram <> 0").drop("value").join(others, "gram").select("row", "k", "value")
+    places = joined.union(slots.where("gram = 0 and not isnan(value)").select("row", "k", "value"))
+    places = places.select("row", F.floor(F.col("k") / (2 * depth)).alias("place"), (F.col("k") % (2 * depth)).alias("slot"), "value")
+    places = places.groupBy("row", "place").agg(*(F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"v{k}") for k in range(2 * depth)))
+    chance = F.lit(1.0)
+    for level in range(depth):
+        chance = chance * F.coalesce(f"v{2 * level}", F.lit(1.0)) + F.coalesce(f"v{2 * level + 1}", F.lit(0.0))
+    places = places.groupBy("row").agg(F.sum(F.log10(chance)).alias("left_ratio"))
     tail = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("times"))
     seen = tail.join(counts, "token", "left")
     seen = seen.groupBy("row").agg(
@@ -276,7 +332,7 @@ def score_texts(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
     )
     base = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))
-    return head_part.join(seen, "row", "left").select(
+    return head_part.join(seen, "row", "left").join(places, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio")).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio") + F.coalesce("left_ratio", F.lit(0.0))).alias("score"),
     )

@@ -147,6 +147,21 @@ def test_scores_equal_a_tree_of_dictionaries(spark):
         assert math.isclose(got[k], want, rel_tol=1e-9), (k, got[k], want)
 
 
+def test_rare_contexts_are_states_whatever_the_corpus(spark):
+    """Contexts far below a ten-thousandth of the tokens, with all entries held and with all joined."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 40, 60)) for _ in range(700)]
+    texts += [f"c1 rare{k} word{k} then{k} c{k % 40}" for k in range(30) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p, states = brute_tree(texts, 3, 2.0, 0.0, 0.75, 4.0)
+    assert ("rare7",) in states and 1e-4 * 60 * len(texts) > 3
+    for held in (0, 100, 2_000_000):
+        got = {r["doc_id"]: r["score"] for r in rows(suffix_tree.score_texts(df, F.lit(True), held=held))}
+        for k in [*range(0, 700, 50), *range(700, len(texts))]:
+            tokens = [*words(texts[k]), " "]
+            assert math.isclose(got[k], sum(math.log10(p(tokens[:i], t)) for i, t in enumerate(tokens)), rel_tol=1e-9), (held, k)
+
+
 def test_quality_of_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in rows(queries.op9_quality_gam(spark, sf))}
