@@ -295,6 +295,50 @@ def result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear.result_matrix(_status(spark, sf_dir), seen)
 
 
+def _whole_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear.scenario_status(bridge.track(spark, sf_dir), _grid(spark), MAX_WARP)
+
+
+def _whole_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = _chain(spark, sf_dir)
+    tow = chain.select("mmsi", "event_id", (F.col("chainage_mm") / 1000).alias("s"), "x", "y", "depth")
+    accepted = _whole_status(spark, sf_dir).where("accepted").select("scenario_id", "ratio", "spread")
+    return gear.gear_positions(tow, _path(chain), accepted, 500.0)
+
+
+@query()
+def whole_scenario_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios judged by all points; the queries above, and their SQL, take a share of points and vessels."""
+    return _whole_status(spark, sf_dir)
+
+
+@query()
+def whole_scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_status(spark, sf_dir).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+@query()
+def whole_reference_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear.reference_case(_whole_status(spark, sf_dir))
+
+
+@query()
+def whole_missing_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear.missing_cells(_whole_status(spark, sf_dir).where("accepted"))
+
+
+@query()
+def whole_gear_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_gear(spark, sf_dir).select("scenario_id", "mmsi", "event_id", "component", mm(F.col("x")).alias("x_mm"), mm(F.col("y")).alias("y_mm"))
+
+
+@query()
+def whole_result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which components came west of x = 1000, by ratio and spread."""
+    seen = _whole_gear(spark, sf_dir).where("x < 1000").groupBy("scenario_id", "component").agg(F.min("event_id").alias("t"))
+    return gear.result_matrix(_whole_status(spark, sf_dir), seen)
+
+
 DEPTH_SQL = """points AS (SELECT event_id, event_id % 6500 / 100 + 0.25 AS px, event_id % 501 + 0.75 AS py FROM events),
 placed AS (SELECT *, CAST(floor(px - 0.5) AS INTEGER) AS c, CAST(floor(py - 0.5) AS INTEGER) AS r FROM points),
 near AS (SELECT p.*, a.elevation AS e0, b.elevation AS e1, d.elevation AS e2, e.elevation AS e3, px - (c + 0.5) AS dx, py - (r + 0.5) AS dy FROM placed p
