@@ -374,6 +374,14 @@ def slope_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("centre_row", "centre_col", *(whole(F.col(c), 1_000_000).alias(f"{c}_u") for c in ("median", "least", "greatest")), "cells")
 
 
+@query()
+def whole_slope_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As slope_neighbourhood, with every cell as a centre."""
+    cells = bridge.raster(spark, sf_dir)
+    found = raster.slope_summary(raster.neighbourhoods(cells.select("row", "col"), raster.horn_slopes(cells, 250.0, 400.0), 1000.0, 250.0, 400.0))
+    return found.select("centre_row", "centre_col", *(whole(F.col(c), 1_000_000).alias(f"{c}_u") for c in ("median", "least", "greatest")), "cells")
+
+
 @query(f"WITH {RASTER_SQL} SELECT col, {mm_sql('CAST(sum(row * elevation) AS DOUBLE) / sum(elevation)', 'centre_mm')} FROM cells WHERE elevation > 0 AND col % 4 = 0 GROUP BY col")
 def column_centreline(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = raster.column_centres(bridge.raster(spark, sf_dir), F.col("elevation"), 4)

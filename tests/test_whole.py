@@ -2,6 +2,7 @@
 
 import math
 from collections import defaultdict
+from statistics import median
 
 from seatrace.plans import bridge, queries
 from tests.compare import SMALL
@@ -65,3 +66,23 @@ def test_gear_of_all_points(spark):
     for r in queries.RATIOS:
         seen = {w: sorted({k[4] for k, p in places.items() if k[:2] == (r, w) and p[0] < 1000}) for w in queries.SPREADS}
         assert cells[r] == ";".join(f"{int(w)}:{str(status[r, w]).lower()}:{'+'.join(seen[w])}" for w in queries.SPREADS)
+
+
+def test_slopes_around_every_cell(spark):
+    cells = {(r["row"], r["col"]): r["elevation"] for r in bridge.raster(spark, SMALL).collect()}
+    slopes = {}
+    for r, c in cells:
+        ring = {(i, j): cells.get((r + i, c + j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j}
+        if None not in ring.values():
+            gx = sum((2 if i == 0 else 1) * j * e for (i, j), e in ring.items()) / (8 * 250)
+            gy = sum((2 if j == 0 else 1) * i * e for (i, j), e in ring.items()) / (8 * 400)
+            slopes[r, c] = math.degrees(math.atan(math.hypot(gx, gy)))
+    disc = [(i, j) for i in range(-3, 4) for j in range(-5, 6) if (i * 400) ** 2 + (j * 250) ** 2 <= 1000**2]
+    want = {}
+    for r, c in cells:
+        near = [slopes[k] for i, j in disc if (k := (r + i, c + j)) in slopes]
+        if near:
+            want[r, c] = 1e6 * median(near), 1e6 * min(near), 1e6 * max(near), len(near)
+    got = {(r["centre_row"], r["centre_col"]): (r["median_u"], r["least_u"], r["greatest_u"], r["cells"]) for r in queries.whole_slope_neighbourhood(spark, SMALL).collect()}
+    assert got.keys() == want.keys() and len(got) > 0.9 * len(cells)
+    assert all(got[k][3] == want[k][3] and all(map(close, got[k][:3], want[k][:3])) for k in got)
