@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatrace.functions import geodesy, masks, records
-from seatrace.functions.spline import smooth_tracks
+from seatrace.functions.spline import smooth_whole_tracks
 from seatrace.operators import crossings, gear, paths, positions, raster, summaries
 from seatrace.plans import bridge
 from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TRACK_SQL, table
@@ -520,11 +520,11 @@ def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def smooth_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothing splines of all tracks, each evaluated on ten-minute steps of its first day."""
+    """Smoothing splines of all tracks, each evaluated on ten-minute steps of its whole time."""
     points = bridge.track(spark, sf_dir).withColumn("t", F.col("us") / 1e6)
     start = points.groupBy("mmsi").agg(F.min("t").alias("_start"))
-    day = points.join(start, "mmsi").where("t < _start + 86400 * 5").select("mmsi", (F.col("t") - F.col("_start")).alias("t"), "x", "y")
-    return smooth_tracks(day, 0.0, 86400.0, 600.0, 40.0)
+    timed = points.join(start, "mmsi").select("mmsi", (F.col("t") - F.col("_start")).alias("t"), "x", "y")
+    return smooth_whole_tracks(timed, 600.0, 40.0)
 
 
 @query()

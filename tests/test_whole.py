@@ -4,6 +4,10 @@ import math
 from collections import defaultdict
 from statistics import median
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from seatrace.functions import spline
 from seatrace.plans import bridge, queries
 from tests.compare import SMALL
 
@@ -86,3 +90,42 @@ def test_slopes_around_every_cell(spark):
     got = {(r["centre_row"], r["centre_col"]): (r["median_u"], r["least_u"], r["greatest_u"], r["cells"]) for r in queries.whole_slope_neighbourhood(spark, SMALL).collect()}
     assert got.keys() == want.keys() and len(got) > 0.9 * len(cells)
     assert all(got[k][3] == want[k][3] and all(map(close, got[k][:3], want[k][:3])) for k in got)
+
+
+def plain_fit(t, xy, rms, at):
+    knots, c = spline.fit(t, xy, len(t) * rms**2)
+    return np.hstack([spline.evaluate(knots, c, at), spline.evaluate(knots, c, at, 1)])
+
+
+def test_smooth_whole_tracks(spark):
+    """Short tracks are one plain fit; a long one lies near a plain fit of all its points, without jumps."""
+    rng = np.random.default_rng(9)
+    tracks = {}
+    for mmsi, n in ((1, 3), (2, 4), (3, 60), (4, 300)):
+        t = np.cumsum(rng.uniform(100, 1500, n))
+        t -= t[0]
+        tracks[mmsi] = t, np.column_stack([5 * t + 20 * rng.standard_normal(n), 3000 * np.sin(t / 20_000) + 20 * rng.standard_normal(n)])
+    data = [(m, float(a), float(x), float(y)) for m, (t, xy) in tracks.items() for a, (x, y) in zip(t, xy)]
+    df = spark.createDataFrame(data, "mmsi long, t double, x double, y double")
+    got = defaultdict(list)
+    for r in spline.smooth_whole_tracks(df, 600.0, 25.0).orderBy("mmsi", "t").collect():
+        got[r["mmsi"]].append((r["t"], r["x"], r["y"], r["vx"], r["vy"]))
+    assert got.keys() == {2, 3, 4}
+    for m, found in got.items():
+        found = np.array(found)
+        t, xy = tracks[m]
+        assert np.array_equal(found[:, 0], np.arange(0, t[-1], 600.0))
+        want = plain_fit(t, xy, 25.0, found[:, 0])
+        if m < 4:
+            assert np.allclose(found[:, 1:], want, rtol=1e-9, atol=1e-6)
+        else:
+            off = np.hypot(*(found[:, 1:3] - want[:, :2]).T)
+            assert off.max() < 75 and np.sqrt((off**2).mean()) < 25
+            fine = np.array([tuple(r) for r in spline.smooth_whole_tracks(df.where("mmsi = 4"), 60.0, 25.0).orderBy("t").select("x", "y", "vx", "vy").collect()])
+            assert np.abs(np.diff(fine[:, :2], axis=0) / 60 - (fine[1:, 2:] + fine[:-1, 2:]) / 2).max() < 0.2
+
+
+def test_smooth_track_reaches_the_ends(spark):
+    ends = {r["mmsi"]: (r["a"], r["b"], r["n"]) for r in bridge.track(spark, SMALL).groupBy("mmsi").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count_distinct("us").alias("n")).collect()}
+    got = {r["mmsi"]: (r["t"], r["n"]) for r in queries.smooth_track(spark, SMALL).groupBy("mmsi").agg(F.max("t").alias("t"), F.count("*").alias("n")).collect()}
+    assert got == {m: (600.0 * ((b - a) // 600_000_000), (b - a) // 600_000_000 + 1) for m, (a, b, n) in ends.items() if n >= 4}
