@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special=True)
         end, kind = np.array([end_id], encode.typecode).tobytes(), np.dtype(encode.typecode)
         for batch in batches:
             rows: list[tuple] = []

@@ -39,20 +39,27 @@ class Cache(dict):
 
 
 class PieceEncoder:
-    """Encodes texts to ids packed as unsigned 16- or 32-bit integers (``typecode`` H or I)."""
+    """Encodes texts to ids packed as unsigned 16- or 32-bit integers (``typecode`` H or I).
 
-    def __init__(self, path: str):
+    With ``special``, strings of special tokens in a text get the tokens' ids, as by the library's default;
+    else they are text."""
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # strings of special tokens in a text are text
+        self.library.encode_special_tokens = not special
         self.typecode = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
-        self.kind = _kind(json.loads(self.library.to_str()))
+        spec = json.loads(self.library.to_str())
+        self.kind = _kind(spec)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)") if special else None
         self.pieces = Cache(self._piece, PIECES)
         self.marks = Cache(self._library, MARKS)
         self.letters = _byte_letters()
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return self._library(text)
         if self.kind == "words" and not SEPARATORS.search(text):
             pieces = text.split()
         elif self.kind == "pieces" and _single_spaced(text):
@@ -120,6 +127,6 @@ def _byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special: bool = False) -> PieceEncoder:
     """One encoder for each worker process and vocabulary."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special)

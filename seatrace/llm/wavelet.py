@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_by
     ranges = texts.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, part = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, shard, part = encoder(tokenizer, special=True), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encode.typecode).tobytes()
         ids, lengths, packed, n = [], [], [], 0
 

@@ -40,6 +40,14 @@ def test_encoder_on_any_text(name, text):
     assert np.frombuffer(fast.encode(text), fast.typecode).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", sorted(PATHS))
+def test_special_strings_as_by_the_librarys_default(name):
+    fast, slow = encoder(PATHS[name], special=True), Tokenizer.from_file(PATHS[name])
+    for text in ["plain words", "<|endoftext|>", "a <|endoftext|> b\n<|startoftext|>x", "a<|endoftext|>", "A <|ENDOFTEXT|> b", ""]:
+        assert np.frombuffer(fast.encode(text), fast.typecode).tolist() == slow.encode(text, add_special_tokens=False).ids, text
+    assert fast.encode("<|endoftext|>") != encoder(PATHS[name]).encode("<|endoftext|>")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 50_256), min_size=1, max_size=1500))
 def test_wavelet_block(ids):
