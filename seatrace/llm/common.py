@@ -17,10 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share; a temporary one is made only for a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = f"{tempfile.gettempdir()}/seatrace-scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -29,7 +31,8 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs only the steps after it, and lets one pass over the
-    texts feed several later steps. ``clear_scratch`` removes the tables of this application.
+    texts feed several later steps. ``discard`` removes a table of which nothing that isn't written
+    is still made.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,25 +40,25 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``scratch`` wrote, for which all that is made of them must be written before."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if not folder.rpartition("/")[0].endswith(_own_dir(spark).rpartition("/")[2]):
+                raise ValueError(f"{folder} is no scratch table")
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/seatrace-{spark.sparkContext.applicationId}"
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Rows of df whose ``on`` is among ``keys`` (one long column, no repeats).
-
-    The keys are counted first: up to broadcast_rows (about 16 MB) they are broadcast, beyond that
-    both sides are shuffled.
-    """
-    small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, "left_semi")
+#: Rows up to which a table of a few longs is broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if a count finds it small; its join is a shuffled one otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

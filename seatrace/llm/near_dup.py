@@ -2,33 +2,32 @@
 
 One hash function orders all shingles; a document's sketch is the k = 64 smallest of its set. Two
 documents with Jaccard similarity 0.8 share 51 of the 64 smallest values of their union on average;
-fewer than ``SHARED`` = 32 has a probability below 1e-7, and for sets of at most 40 shingles the
-least overlap follows exactly. So among retained values in a common order, rarest first, the first
-(size - least overlap + 1) of two linked documents must meet. Inverted lists therefore hold only
-these prefixes, lengthened by two so that linked pairs meet at least three times: values that no
-other document retains come first and need no list, and very common values fall out at the end.
+fewer than ``SHARED`` = 33 has a probability below 1e-7, and for sets of at most 40 shingles the
+least overlap follows exactly (``k=None`` retains whole sets, for which it always does). So among
+retained values in a common order, rarest first, the first (size - least overlap + 1) of two linked
+documents must meet. Inverted lists therefore hold only these prefixes, lengthened by two so that linked pairs
+meet at least three times: values that no other document retains come first and need no list, and
+very common values fall out at the end.
 
 1. One pass over the texts: set size, digest and sketch. Equal sets are one node from here on.
-2. Inverted lists of the prefixes. A star pass pairs every member only with its list's pivot, the
-   member whose retained values are the most widely shared; pairs that meet often enough and whose
-   union-sketch estimate reaches ``SHARED`` / k are confirmed on the full sets, and confirmed links give
-   first components. A large group of copies is nearly one component after that, without a pair for
-   each two of its members.
-3. Lists that still hold several components are open, and crowded if their pairs across components
-   outnumber their members ``CROWDED`` times. ``PASSES`` further passes compare what the main component
-   of crowded lists doesn't hold with one member of that component, another one each time. Open lists that aren't crowded then give all their pairs
-   between different components, estimated and confirmed the same way. Nodes of crowded lists, such as
-   the members of a large group that lie just outside of it, meet in the prefixes of their full sets
-   instead: two sets of n and m shingles are linked with percent / (100 + percent) of n + m in common
-   at least, so in an order by rarity a linked pair has one of its first shingles in common, as many
-   as its sets have beyond that. Edited passages come first there, so members that differ too much
-   from the rest of their group meet few others. Such pairs are confirmed too. No list is cut short.
-4. Components of all links; each document gets the smallest doc_id of its component.
+2. Inverted lists of the prefixes. Lists of up to ``short`` members give all their pairs, longer ones
+   pair every member with the list's pivot only, the member whose retained values are the most
+   widely shared. Pairs that meet often enough and whose union-sketch estimate reaches ``SHARED`` / k
+   are confirmed on the full sets, and confirmed links give first components. A large group of copies
+   is nearly one component after that, without a pair for each two of its members.
+3. Long lists that still hold several components: a node's home is the longest of them that it is in,
+   and two homes meet if a list has members of both. The nodes of a home are dealt into slots of
+   bounded size, those of the home's main component apart. Two slots of homes that meet are one tile, a task's
+   group: there all overlaps of full sets come from one sparse product, and what leaves the task is a
+   spanning forest of the links between components, not pairs. Slots of one and the same component
+   don't meet. Every pair that meets in a long list is in a tile, so no list is cut short.
+4. The components of step 2 are joined by the links between them; each document gets the smallest
+   doc_id of its component.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing; fewer words than a
-shingle are one shingle; rows with equal doc_id count as one document for links; a null doc_id is
-never a component's name: the row takes the component of its set, or null if no other row has the
-set, and is kept only in that case; an empty table gives no rows. Shingles are compared by 64-bit
+shingle are one shingle; rows with equal doc_id are rows of their own, linked by their texts only; a
+null doc_id is never a component's name: the row takes the name of its component, or null if that has
+no other, and is kept only in that case; an empty table gives no rows. Shingles are compared by 64-bit
 hashes, digests have 128 bits. Only doc_id and text are read, so other columns cannot clash
 (``drop_near_duplicates`` keeps all columns).
 """
@@ -36,20 +35,25 @@ hashes, digests have 128 bits. Only doc_id and text are read, so other columns c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrace.llm.common import scratch, semi_join
-from seatrace.llm.components import connected_components
+from seatrace.llm.common import discard, scratch, sized
+from seatrace.llm.components import connected_components, roots
 from seatrace.llm.tokenization import Cache
 
-SKETCH, SHARED, MEETINGS = 64, 32, 3
-CROWDED, PASSES = 4, 4
+SKETCH, SHARED, MEETINGS = 64, 33, 3
+SHORT = 8
+#: Of a slot: nodes, and shingles of all its nodes (on average; a larger set is a slot's own).
+SLOT_NODES, SLOT_SHINGLES = 1024, 1 << 17
+#: Columns of a product at a time, and cells of a column above which it goes through the product.
+WIDTH, CELLS = 2048, 256
 WORD_HASHES = 400_000
 PRIME, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -75,44 +79,58 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch."""
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def texts_of(docs: DataFrame, row: str | None) -> DataFrame:
+    number = F.col(row) if row else F.lit(0)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def sketches(texts: DataFrame, size: int, k: int | None) -> DataFrame:
+    """doc_id, row, n_shingles, digest of the set, sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([s[:SKETCH] for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketch"])
+            sets = [shingle_set(t, size) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            columns = [batch.column(0), batch.column(1), n, pa.array(map(_digest, sets), pa.binary()), _lists([s[:k] for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "digest", "sketch"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return texts.mapInArrow(sketch, "doc_id long, row long, n_shingles long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the documents whose doc_id is among nodes."""
+def full_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of nodes (node, first, digest), by the text of the row named in first."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["node", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return semi_join(texts, nodes, "node").mapInArrow(sets, "node long, shingles array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, found), pa.binary()), _lists(found)], ["key", "digest", "shingles"])
 
-
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    key = F.xxhash64(F.col("first.doc_id"), F.col("first.row")).alias("key")
+    wanted = scratch(nodes.select("node", key, "digest"), "wanted")
+    keyed = texts.select(F.xxhash64("doc_id", "row").alias("key"), "text")
+    chosen = keyed.join(sized(wanted.select("key").distinct()), "key", "left_semi")
+    found = chosen.mapInArrow(sets, "key long, digest binary, shingles array<long>")
+    # One row a node where rows repeat an id and a text.
+    return found.join(sized(wanted), ["key", "digest"]).select("node", "shingles").dropDuplicates(["node"])
 
 
-def least_overlap(n: Column, percent: int) -> Column:
+def least_overlap(n: Column, percent: int, k: int | None) -> Column:
     """Retained values that a document with n shingles shares at least with one it is linked to."""
-    return F.least(F.ceil(n * percent / 100), F.lit(SHARED)).cast("int")
+    exact = F.ceil(n * percent / 100)
+    return (F.least(exact, F.lit(SHARED)) if k else exact).cast("int")
 
 
-def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
+def inverted_lists(nodes: DataFrame, percent: int, k: int | None) -> DataFrame:
     """(value, node, n, centre): the prefixes of nodes (node, n, sketch) in order of rarity.
 
     centre is the mean logarithm of how many nodes retain each value of the sketch.
@@ -120,92 +138,59 @@ def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
     entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").count().where("count > 1")
     counted = entries.join(shared, "value")
-    retained = F.least(F.col("n"), F.lit(SKETCH))
-    own = F.sort_array(F.collect_list(F.struct("count", "value"))).alias("own")  # at most SKETCH values
+    retained = F.least(F.col("n"), F.lit(k)) if k else F.col("n")
+    own = F.sort_array(F.collect_list(F.struct("count", "value"))).alias("own")  # of one sketch
     ordered = counted.groupBy("node", "n").agg(own, F.sum(F.log2("count")).alias("spread")).withColumn("centre", F.col("spread") / retained)
-    prefix = retained - least_overlap(F.col("n"), percent) + MEETINGS
+    prefix = retained - least_overlap(F.col("n"), percent, k) + MEETINGS
     ranked = ordered.withColumn("room", (prefix - (retained - F.size("own"))).cast("int")).where("room > 0")
     return ranked.select("node", "n", "centre", F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"))
 
 
-def with_parts(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """lists with each node's component as part, or itself where it has no link yet."""
-    return lists.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-
-
-def open_lists(named: DataFrame) -> DataFrame:
-    """The rows of lists that hold several parts."""
-    mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
-    return named.join(mixed, "value")
-
-
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, na, b, nb): every list's most central member with each other."""
-    pivots = lists.groupBy("value").agg(F.max(F.struct("centre", F.col("node").alias("a"), F.col("n").alias("na"))).alias("p"))
-    pairs = lists.join(pivots, "value").where(F.col("p.a") != F.col("node"))
-    return pairs.select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-
+def near_in_size(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-def hub_pairs(named: DataFrame, order: Column) -> DataFrame:
-    """(a, na, b, nb): the main part's member of the highest order with the members of other parts."""
-    parts = named.groupBy("value", "part").agg(F.count("*").alias("c"))
-    main = parts.groupBy("value").agg(F.max(F.struct("c", "part"))["part"].alias("hub"))
-    pivots = named.groupBy(F.col("part").alias("hub")).agg(F.max(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("n").alias("na"))).alias("p"))
-    pairs = named.join(main, "value").where("part <> hub").groupBy("hub", F.col("node").alias("b"), F.col("n").alias("nb")).count()
-    pairs = pairs.where(F.col("count") >= MEETINGS).join(pivots, "hub")
-    return pairs.select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), "b", "nb")
 
+def short_pairs(lists: DataFrame, sizes: DataFrame, percent: int, short: int) -> DataFrame:
+    """(a, na, b, nb): all pairs of lists of at most short members, each member with those after it."""
+    after = Window.partitionBy("value").orderBy("node").rowsBetween(1, short - 1)
+    members = lists.join(sizes.where(F.col("size") <= short).select("value"), "value")
+    others = F.collect_list(F.struct("node", "n")).over(after)
+    met = members.select("node", "n", F.filter(others, lambda o: near_in_size(o["n"], F.col("n"), percent)).alias("others"))
+    return met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("others").alias("o")).select("a", "na", F.col("o.node").alias("b"), F.col("o.n").alias("nb"))
 
-def crowded_lists(named: DataFrame) -> DataFrame:
-    """Values of the lists whose pairs across parts are many times their members."""
-    parts = named.groupBy("value", "part").agg(F.count("*").cast("double").alias("c"))
-    lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"))
-    return lists.where(F.col("size") * F.col("size") - F.col("within") > 2 * CROWDED * F.col("size")).select("value")
 
+def star_pairs(lists: DataFrame, long_lists: DataFrame, percent: int) -> DataFrame:
+    """(a, na, b, nb): the pivot of every one of long_lists with each other member."""
+    pairs = lists.join(long_lists, "value").where(F.col("pivot.node") != F.col("node")).where(near_in_size(F.col("pivot.n"), F.col("n"), percent))
+    return pairs.select(F.col("pivot.node").alias("a"), F.col("pivot.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
 
-def across_pairs(entries: DataFrame, within: Column) -> DataFrame:
-    """(a, na, b, nb) of entries (value, node, n, part, at) that meet in a value and have different parts."""
-    right = entries.select("value", *(F.col(x).alias(y) for x, y in (("node", "b"), ("n", "nb"), ("part", "part_b"), ("at", "at_b"))))
-    left = entries.select("value", F.col("node").alias("a"), F.col("n").alias("na"), "part", "at")
-    return left.join(right, "value").where((F.col("part") < F.col("part_b")) & within).select("a", "na", "b", "nb")
 
-
-def full_prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n, part, at): the first shingles by rarity of each of nodes (node, part).
-
-    As many as a link to a smaller set can need; at is the place. Shingles that only one of the nodes
-    has take places but give no entry.
-    """
-    own = scratch(sets.join(nodes, "node").select("node", "part", "shingles"), "open")
-    values = own.select("node", F.explode("shingles").alias("value"))
-    shared = values.groupBy("value").count().where("count > 1")
-    order = F.sort_array(F.collect_list(F.struct("count", "value"))).alias("order")
-    ordered = values.join(shared, "value").groupBy("node").agg(order).join(own.select("node", "part", F.size("shingles").alias("n")), "node")
-    alone = F.col("n") - F.size("order")
-    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
-    ordered = ordered.withColumn("alone", alone).withColumn("room", room).where("room > 0")
-    entries = ordered.select("node", "n", "part", "alone", F.posexplode(F.slice("order", 1, F.col("room"))["value"]).alias("at", "value"))
-    return entries.select("value", "node", "n", "part", (F.col("at") + F.col("alone")).alias("at"))
-
-
-def met_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+def met_pairs(pairs: DataFrame, percent: int, k: int | None) -> DataFrame:
     """Distinct (a, b) of pairs (a, na, b, nb), each as often as they meet, that meet often enough."""
     counted = pairs.groupBy("a", "b", "na", "nb").count()
-    need = F.least(F.lit(MEETINGS), least_overlap(F.col("na"), percent), least_overlap(F.col("nb"), percent))
+    need = F.least(F.lit(MEETINGS), least_overlap(F.col("na"), percent, k), least_overlap(F.col("nb"), percent, k))
     return counted.where(F.col("count") >= need).select("a", "b")
 
 
-def similar_sizes(percent: int) -> Column:
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def unsigned(value: Column) -> Column:
+    """Order of a hash kept as a signed integer, as if unsigned."""
+    return value.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that the estimate on their union sketch doesn't rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    own = scratch(nodes.select("node", "sketch").join(sized(ends_of(pairs)), "node", "left_semi"), "own")
+    side = lambda x: own.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), unsigned)), 1, SKETCH)
     common = F.size(F.array_intersect(F.transform(F.array_intersect("sa", "sb"), unsigned), union))
-    return scratch(both.where(common * SKETCH >= SHARED * F.size(union)).select("a", "b").distinct(), "likely")
+    likely = scratch(both.where(common * SKETCH >= SHARED * F.size(union)).select("a", "b"), "likely")
+    discard(own)
+    return likely
 
 
 def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,62 +199,152 @@ def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = likely.join(side("b"), "b").join(side("a"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     linked = inter * 100 >= (F.size("sa") + F.size("sb") - inter) * percent
-    return scratch(both.where(linked).select("a", "b").distinct(), "links")
-
+    return scratch(both.where(linked).select("a", "b"), "links")
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b), with full sets made for the likely ones only."""
-    likely = likely_pairs(pairs, nodes)
-    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    return linked_pairs(likely, scratch(full_sets(docs, scratch(ids, "ids"), size), "sets"), percent)
 
+def homes(lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, n, part, home) of the lists that hold several parts, and the homes (a, b) that meet.
 
-def unsigned(value: Column) -> Column:
-    """Order of a hash kept as a signed integer, as if unsigned."""
-    return value.bitwiseXOR(F.lit(-(1 << 63)))
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    sketched = scratch(sketches(docs, size), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = scratch(classes, "classes")
-    chosen = sketched.join(classes.where("node is not null"), "digest").where("doc_id = node")
+    lists has value, size, node, n; a node without a part is its own.
+    """
+    named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
+    several = scratch(named.join(mixed, "value"), "several")
+    members = several.groupBy("node").agg(F.max(F.struct("size", "value"))["value"].alias("home"), F.first("n").alias("n"), F.first("part").alias("part"))
+    members = scratch(members, "members")
+    there = scratch(several.select("value", "node").join(members.select("node", "home"), "node").select("value", "home").distinct(), "there")
+    other = there.select("value", F.col("home").alias("b"))
+    met = there.withColumnRenamed("home", "a").join(other, "value").where("a < b").select("a", "b").distinct()
+    own = members.select(F.col("home").alias("a"), F.col("home").alias("b")).distinct()
+    return members, met.union(own)
+
+
+def tiles(members: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, part, slot) in slots of bounded size, and the pairs (a, b) of slots to compare."""
+    counts = members.groupBy("home", "part").count()
+    main = counts.groupBy("home").agg(F.max(F.struct("count", "part"))["part"].alias("main"))
+    sorted_out = scratch(members.join(main, "home").withColumn("alone", F.when(F.col("part") == F.col("main"), F.col("main"))), "sorted")
+    room = F.greatest(F.count("*") / SLOT_NODES, F.sum("n") / SLOT_SHINGLES)
+    slots = sorted_out.groupBy("home", "alone").agg(F.ceil(room).cast("int").alias("k"))
+    slots = scratch(slots.select("home", "alone", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).withColumn("slot", F.monotonically_increasing_id()), "slots")
+    dealt = sorted_out.join(slots.select("home", "alone", "k").distinct().withColumnRenamed("alone", "apart"), ["home"]).where("alone <=> apart")
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    where = slots.select(F.col("home").alias("at"), F.col("alone").alias("apart"), "i", "slot")
+    dealt = dealt.drop("apart").join(where.withColumnRenamed("i", "j"), (F.col("home") == F.col("at")) & F.col("alone").eqNullSafe(F.col("apart")) & (F.col("i") == F.col("j")))
+    side = lambda x: slots.select(F.col("home").alias(x), F.col("alone").alias(f"alone_{x}"), F.col("slot").alias(f"slot_{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").where("a < b or slot_a <= slot_b")
+    both = both.where("alone_a is null or alone_b is null or alone_a <> alone_b")
+    return scratch(dealt.select("node", "part", "slot"), "dealt"), scratch(both.select(F.col("slot_a").alias("a"), F.col("slot_b").alias("b")), "tiles")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the sets a with each of the sets b.
+
+    Values of few cells are added one by one, the others go through a product of 0/1 matrices.
+    """
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    values, at = np.unique(np.concatenate([*a, *b, np.zeros(0, np.uint64)]), return_inverse=True)
+    at = [at[: len(rows[0])], at[len(rows[0]) :]]
+    cells = np.multiply(*(np.bincount(x, minlength=len(values)) for x in at))
+    out = np.zeros(len(a) * len(b), np.int64)
+    few = (cells > 0) & (cells <= CELLS)
+    left, right = ((r[few[x]], x[few[x]]) for r, x in zip(rows, at, strict=True))
+    order = np.argsort(right[1], kind="stable")
+    begin, end = (np.searchsorted(right[1], left[1], side, sorter=order) for side in ("left", "right"))
+    many = end - begin
+    hits = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+    out += np.bincount(np.repeat(left[0], many) * len(b) + right[0][order][hits], minlength=len(out))
+    place = np.cumsum(cells > CELLS) - 1
+    product = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int((cells > CELLS).sum()), WIDTH):
+        x, y = (np.zeros((len(s), WIDTH), np.float32) for s in (a, b))
+        for m, r, c in ((x, rows[0], at[0]), (y, rows[1], at[1])):
+            own = (cells[c] > CELLS) & (place[c] >= start) & (place[c] < start + WIDTH)
+            m[r[own], place[c[own]] - start] = 1
+        product += x @ y.T
+    return out.reshape(len(a), len(b)) + product.astype(np.int64)
+
+
+def tile_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A tile's links between parts, as a spanning forest (a, b) of parts."""
+
+    def link(tile: pa.Table) -> pa.Table:
+        second = tile["second"].to_numpy()
+        parts = tile["part"].to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in tile["shingles"].combine_chunks()]
+        ia = np.flatnonzero(~second)
+        ib = np.flatnonzero(second) if second.any() else ia
+        both = overlaps([sets[k] for k in ia], [sets[k] for k in ib])
+        na, nb = (np.array([len(sets[k]) for k in i], np.int64) for i in (ia, ib))
+        linked = both * 100 >= (na[:, None] + nb[None, :] - both) * percent
+        x, y = np.nonzero(linked & (parts[ia][:, None] != parts[ib][None, :]))
+        pairs = np.unique(np.stack([parts[ia[x]], parts[ib[y]]], 1), axis=0)
+        stars = [(p, q) for p, q in roots(pairs.tolist()).items() if p != q]
+        return pa.table({"a": pa.array([p for p, _ in stars], pa.int64()), "b": pa.array([q for _, q in stars], pa.int64())})
+
+    return link
+
+
+def long_links(lists: DataFrame, parts: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between parts whose nodes meet in lists (value, size, node, n)."""
+    dealt, pairs = tiles(*homes(lists, parts))
+    used = dealt.join(sized(pairs.select(F.col("a").alias("slot")).union(pairs.select("b")).distinct()), "slot", "left_semi")
+    sets = scratch(full_sets(texts, nodes.join(sized(used.select("node")), "node", "left_semi"), size), "sets")
+    own = scratch(sets.join(used, "node").select("slot", "part", "shingles"), "own")
+    discard(sets)
+    first = own.join(pairs, F.col("slot") == F.col("a")).withColumn("second", F.lit(False))
+    second = own.join(pairs.where("a <> b"), F.col("slot") == F.col("b")).withColumn("second", F.lit(True))
+    both = first.union(second).select("a", "b", "second", "part", "shingles")
+    links = scratch(both.groupBy("a", "b").applyInArrow(tile_links(percent), "a long, b long"), "links")
+    discard(own)
+    return links
+
+
+def groups(docs: DataFrame, size: int, percent: int, k: int | None, short: int, row: str | None) -> DataFrame:
+    """doc_id, row, n_shingles, and name, the first (no_id, doc_id, row) of the row's component."""
+    texts = texts_of(docs, row)
+    sketched = scratch(sketches(texts, size, k), "sketches")
+    first = F.min(F.struct(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("first"), F.col("n_shingles").alias("n"), "sketch"))
+    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(first.alias("x")).select("digest", "x.*")
+    classes = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     # Sets of fewer than four shingles are linked with equal sets only.
-    nodes = scratch(chosen.where(F.col("n_shingles") * (100 - percent) >= percent).select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"]), "nodes")
-    lists = scratch(inverted_lists(nodes, percent), "lists")
-    links = confirmed(met_pairs(star_pairs(lists).where(similar_sizes(percent)), percent), nodes, docs, size, percent)
-    named = scratch(open_lists(scratch(with_parts(lists, connected_components(links)), "named")), "named")
-    crowds = scratch(crowded_lists(named), "crowds")
-    # A list that isn't crowded now never becomes so: the passes need no other sets.
-    sets = scratch(full_sets(docs, scratch(named.join(crowds, "value").select("node").distinct(), "ids"), size), "sets")
-    for k in range(PASSES):
-        if crowds.isEmpty():
-            break
-        order = F.xxhash64("node", F.lit(k)) if k else F.col("centre")
-        pairs = hub_pairs(named.join(crowds, "value"), order).where(similar_sizes(percent)).select("a", "b").distinct()
-        links = links.union(linked_pairs(likely_pairs(pairs, nodes), sets, percent))
-        named = scratch(open_lists(scratch(with_parts(named.drop("part"), connected_components(links)), "named")), "named")
-        crowds = scratch(crowded_lists(named), "crowds")
-    calm = named.join(crowds, "value", "left_anti").withColumn("at", F.lit(0))
-    met = met_pairs(across_pairs(calm, similar_sizes(percent)), percent)
-    thick = named.join(crowds, "value").select("node", "part").distinct()
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    early = (F.col("at") <= F.col("na") - need) & (F.col("at_b") <= F.col("nb") - need)
-    pairs = across_pairs(scratch(full_prefixes(thick, sets, percent), "prefixes"), early & similar_sizes(percent))
-    links = links.union(confirmed(met, nodes, docs, size, percent))
-    links = links.union(linked_pairs(likely_pairs(pairs.select("a", "b").distinct(), nodes), sets, percent))
-    parts = connected_components(links).withColumnRenamed("node", "_node")
-    found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    found = found.join(parts, F.col("node") == F.col("_node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
+    nodes = classes.where(F.col("n") * (100 - percent) >= percent)
+    lists = scratch(inverted_lists(nodes, percent, k), "lists")
+    pivot = F.max(F.struct("centre", "node", "n")).alias("pivot")
+    sizes = scratch(lists.groupBy("value").agg(F.count("*").alias("size"), pivot), "sizes")
+    long_lists = sizes.where(F.col("size") > short)
+    met = scratch(met_pairs(short_pairs(lists, sizes, percent, short).union(star_pairs(lists, long_lists, percent)), percent, k), "met")
+    likely = likely_pairs(met, nodes)
+    sets = scratch(full_sets(texts, nodes.join(sized(ends_of(likely)), "node", "left_semi"), size), "sets")
+    links = linked_pairs(likely, sets, percent)
+    discard(sets)
+    parts = connected_components(links)
+    further = connected_components(long_links(lists.join(long_lists.select("value", "size"), "value"), parts, nodes, texts, size, percent))
+    further = further.select(F.col("node").alias("root"), F.col("component").alias("last"))
+    joined = parts.join(further, F.col("component") == F.col("root"), "full")
+    joined = joined.select(F.coalesce("node", "root").alias("node"), F.coalesce("last", "component").alias("component"))
+    firsts = joined.join(classes.select("node", "first"), "node")
+    names = firsts.groupBy("component").agg(F.min("first").alias("name"))
+    named = joined.join(names, "component").select("node", "name")
+    named = scratch(classes.select("digest", "node", "first").join(named, "node", "left").select("digest", F.coalesce("name", "first").alias("name")), "named")
+    return sketched.select("doc_id", "row", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int | None = SKETCH, short: int = SHORT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    component = F.when(F.col("n_shingles") > 0, F.col("name.doc_id")).otherwise(F.col("doc_id"))
+    found = groups(docs, size, percent, k, short, None).select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, all columns kept; texts aren't shuffled for few groups."""
-    found = scratch(near_duplicates(docs, size, percent), "groups")
-    gone = scratch(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= 2_000_000
-    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int | None = SKETCH, short: int = SHORT) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id, all columns kept.
+
+    Rows are numbered in a written table, so repeated and null ids are told apart. Texts aren't shuffled
+    where few rows go.
+    """
+    number = f"row_{uuid.uuid4().hex}"
+    rows = scratch(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = groups(rows, size, percent, k, short, number)
+    gone = scratch(found.where((F.col("n_shingles") > 0) & (F.col("name.row") != F.col("row"))).select(F.col("row").alias(number)), "gone")
+    return rows.join(sized(gone), number, "left_anti").drop(number)

@@ -66,7 +66,7 @@ def edited(rng, tokens, changes):
     return own
 
 
-def test_planted_near_copies_chains_and_a_large_group(spark):
+def test_planted_near_copies_chains_and_a_large_group(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data, n = [], 0
     for group in range(60):
@@ -88,8 +88,29 @@ def test_planted_near_copies_chains_and_a_large_group(spark):
         data.append((n, " ".join([f"big{k}" for k in range(30)] + [f"own{rng.integers(1 << 30)}" for _ in range(60)])))
         n += 1
     df = spark.createDataFrame(data, "doc_id long, text string")
-    for size in (2, 5):
-        check(data, near_dup.near_duplicates(df, size=size), size)
+    check(data, near_dup.near_duplicates(df, size=2), 2)
+    # Whole sets as sketches; all lists long, with tiles of few nodes; all lists short.
+    check(data, near_dup.near_duplicates(df, size=5, k=None), 5)
+    monkeypatch.setattr(near_dup, "SLOT_NODES", 16)
+    check(data, near_dup.near_duplicates(df, size=5, short=2), 5)
+    check(data, near_dup.near_duplicates(df, size=5, short=1000), 5)
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(1)
+    a, b = ([np.unique(rng.integers(0, 3000, rng.integers(0, 900)).astype(np.uint64)) for _ in range(n)] for n in (40, 33))
+    a += [np.arange(5, dtype=np.uint64)] * 30
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert (near_dup.overlaps(a, b) == want).all()
+    assert near_dup.overlaps([], b).shape == (0, 33)
+
+
+def test_rows_that_repeat_ids_are_told_apart(spark):
+    first, second = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    data = [(1, first), (1, second), (None, first + " x"), (None, second), (2, first), (1, first)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    check(data, near_dup.near_duplicates(df, size=2), 2)
+    assert sorted(r["text"] for r in rows(near_dup.drop_near_duplicates(df, size=2))) == [first, second]
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -103,6 +124,9 @@ def test_one_document_of_each_group_stays(spark):
 def test_components_of_chains_stars_and_rings(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 400)] + [(500 + k, 500 + (k + 1) % 9) for k in range(9)] + [(7, 7)]
     got = {(r["node"], r["component"]) for r in rows(connected_components(spark.createDataFrame(links, "a long, b long")))}
+    for held in (2, 30):
+        again = connected_components(spark.createDataFrame(links, "a long, b long").repartition(8), held)
+        assert {(r["node"], r["component"]) for r in rows(again)} == got
     assert got == {(k, 100) for k in range(100, 161)} | {(k, 200) for k in range(200, 400)} | {(k, 500) for k in range(500, 509)}
 
 
