@@ -40,6 +40,11 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(*names: str) -> list[str]:
+    """Names for columns of a plan's own, which no input column has."""
+    return [f"{name}_{uuid.uuid4().hex[:16]}" for name in names]
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``scratch`` wrote, for which all that is made of them must be written before."""
     for df in tables:

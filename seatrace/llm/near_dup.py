@@ -15,12 +15,15 @@ very common values fall out at the end.
    widely shared. Pairs that meet often enough and whose union-sketch estimate reaches ``SHARED`` / k
    are confirmed on the full sets, and confirmed links give first components. A large group of copies
    is nearly one component after that, without a pair for each two of its members.
-3. Long lists that still hold several components: a node's home is the longest of them that it is in,
-   and two homes meet if a list has members of both. The nodes of a home are dealt into slots of
-   bounded size, those of the home's main component apart. Two slots of homes that meet are one tile, a task's
-   group: there all overlaps of full sets come from one sparse product, and what leaves the task is a
-   spanning forest of the links between components, not pairs. Slots of one and the same component
-   don't meet. Every pair that meets in a long list is in a tile, so no list is cut short.
+3. Long lists that still hold several components: their members bring their sketches, and a member
+   stays if it has enough retained values in common with one of another component. Lists of more than a slot's
+   members are cut into pairs of slots for that, so no list is one task's group. Then a node's home is
+   the longest list that it stays in, and two homes meet if a list has members of both. The nodes of
+   a home are dealt into slots of bounded size, those of the home's main component apart. Two slots of
+   homes that meet are one tile, a task's group: there all overlaps of full sets come from one sparse
+   product, and what leaves the task is a spanning forest of the links between components, not pairs.
+   Slots of one and the same component don't meet. Every pair that meets in a long list and has
+   enough in common is in a tile, so no list is cut short.
 4. The components of step 2 are joined by the links between them; each document gets the smallest
    doc_id of its component.
 
@@ -202,14 +205,39 @@ def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch(both.where(linked).select("a", "b"), "links")
 
 
-def homes(lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (node, n, part, home) of the lists that hold several parts, and the homes (a, b) that meet.
+def likely_members(lists: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int, k: int | None) -> DataFrame:
+    """The rows of lists (value, size, node, n), with part, whose node has a likely partner of another part there.
 
-    lists has value, size, node, n; a node without a part is its own.
+    A node without a part is its own. Linked nodes have at least so many retained values in common as the
+    smaller need of the two says.
     """
     named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
     several = scratch(named.join(mixed, "value"), "several")
+    own = scratch(nodes.select("node", "sketch").join(sized(several.select("node").distinct()), "node", "left_semi"), "own")
+    slots = F.ceil(F.col("size") / SLOT_NODES).cast("int")
+    slot = F.pmod(F.xxhash64("node"), slots).cast("int")
+    rows = several.withColumn("i", slot).withColumn("j", F.explode(F.sequence(F.lit(0), slots - 1)))
+    rows = rows.select("value", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).alias("second"), "node", "n", "part", least_overlap(F.col("n"), percent, k).alias("need"))
+
+    def stay(tile: pa.Table) -> pa.Table:
+        ia, ib = sides(tile)
+        need, n, part = (tile[x].to_numpy() for x in ("need", "n", "part"))
+        sets = array_rows(tile["sketch"])
+        both = overlaps([sets[x] for x in ia], [sets[x] for x in ib])
+        fit = (both >= np.minimum(need[ia][:, None], need[ib][None, :])) & (part[ia][:, None] != part[ib][None, :])
+        fit &= np.minimum(n[ia][:, None], n[ib][None, :]) * 100 >= np.maximum(n[ia][:, None], n[ib][None, :]) * percent
+        kept = np.union1d(ia[fit.any(1)], ib[fit.any(0)])
+        return tile.select(["value", "node"]).take(pa.array(kept))
+
+    stays = rows.join(own, "node").groupBy("value", "a", "b").applyInArrow(stay, "value long, node long").distinct()
+    members = scratch(several.join(stays, ["value", "node"]), "likely_members")
+    discard(several, own)
+    return members
+
+
+def homes(several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, n, part, home) of lists (value, size, node, n, part), and the homes (a, b) that meet."""
     members = several.groupBy("node").agg(F.max(F.struct("size", "value"))["value"].alias("home"), F.first("n").alias("n"), F.first("part").alias("part"))
     members = scratch(members, "members")
     there = scratch(several.select("value", "node").join(members.select("node", "home"), "node").select("value", "home").distinct(), "there")
@@ -265,15 +293,24 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(a), len(b)) + product.astype(np.int64)
 
 
+def sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a tile's two sides; a tile without second ones is compared with itself."""
+    second = tile["second"].to_numpy()
+    first = np.flatnonzero(~second)
+    return first, np.flatnonzero(second) if second.any() else first
+
+
+def array_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in column.combine_chunks()]
+
+
 def tile_links(percent: int) -> Callable[[pa.Table], pa.Table]:
     """A tile's links between parts, as a spanning forest (a, b) of parts."""
 
     def link(tile: pa.Table) -> pa.Table:
-        second = tile["second"].to_numpy()
+        ia, ib = sides(tile)
         parts = tile["part"].to_numpy()
-        sets = [x.values.to_numpy().view(np.uint64) for x in tile["shingles"].combine_chunks()]
-        ia = np.flatnonzero(~second)
-        ib = np.flatnonzero(second) if second.any() else ia
+        sets = array_rows(tile["shingles"])
         both = overlaps([sets[k] for k in ia], [sets[k] for k in ib])
         na, nb = (np.array([len(sets[k]) for k in i], np.int64) for i in (ia, ib))
         linked = both * 100 >= (na[:, None] + nb[None, :] - both) * percent
@@ -285,9 +322,9 @@ def tile_links(percent: int) -> Callable[[pa.Table], pa.Table]:
     return link
 
 
-def long_links(lists: DataFrame, parts: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def long_links(lists: DataFrame, parts: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, k: int | None) -> DataFrame:
     """Links (a, b) between parts whose nodes meet in lists (value, size, node, n)."""
-    dealt, pairs = tiles(*homes(lists, parts))
+    dealt, pairs = tiles(*homes(likely_members(lists, parts, nodes, percent, k)))
     used = dealt.join(sized(pairs.select(F.col("a").alias("slot")).union(pairs.select("b")).distinct()), "slot", "left_semi")
     sets = scratch(full_sets(texts, nodes.join(sized(used.select("node")), "node", "left_semi"), size), "sets")
     own = scratch(sets.join(used, "node").select("slot", "part", "shingles"), "own")
@@ -319,7 +356,7 @@ def groups(docs: DataFrame, size: int, percent: int, k: int | None, short: int,
     links = linked_pairs(likely, sets, percent)
     discard(sets)
     parts = connected_components(links)
-    further = connected_components(long_links(lists.join(long_lists.select("value", "size"), "value"), parts, nodes, texts, size, percent))
+    further = connected_components(long_links(lists.join(long_lists.select("value", "size"), "value"), parts, nodes, texts, size, percent, k))
     further = further.select(F.col("node").alias("root"), F.col("component").alias("last"))
     joined = parts.join(further, F.col("component") == F.col("root"), "full")
     joined = joined.select(F.coalesce("node", "root").alias("node"), F.coalesce("last", "component").alias("component"))
