@@ -8,9 +8,10 @@ trees. All rows of those ranges are candidates and are ranked by exact Euclidean
 precision. ``reach`` is a share, so recall doesn't depend on the size of the data; on vectors spread
 evenly over a sphere of 64 dimensions, 64 trees with a reach of 0.8 (some six tenths of the rows) find over 0.9 of the 10 nearest.
 
-Of vectors that are equal only the k + 1 smallest ids are candidates, which is exact: no other copy
-can be among any query's k nearest. They are found by a ranking that keeps k + 1 per task before it
-shuffles, so a vector that a third of all rows share is no large group.
+Of rows with equal vectors only those of the k + 1 smallest ids are candidates, and k rows of an id,
+which is exact: whichever id is the query's own, k of the first remaining rows are among them. They are
+found by rankings that keep as many per task before they shuffle, so a vector that a third of all rows
+share is no large group.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 rows without id; vectors of different lengths don't meet; ties go to the smaller id; with fewer than k
@@ -73,8 +74,8 @@ def forest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id", v
     """query_id, rank, vec_id and score (distance) of the k nearest found for every row with is_query (a condition on id)."""
     valid = finite_vectors(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     valid = scratch(valid, "vectors")
-    copies = Window.partitionBy("v").orderBy("id")
-    rows = valid.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    rows = valid.withColumn("copy", F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))).where(F.col("copy") <= k)
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1).select("id", "v")
     queries = valid.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
     def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray):
