@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of at most ``capacity`` tokens, by residual levels.
 
 Texts are tokenised where they lie; only documents longer than a sequence are cut. Pieces (without
-their ids) are dealt to shards of bounded size by a hash. Every shard packs its pieces best-fit, the
+their ids) are numbered and dealt to shards of bounded size by a hash of the number, so equal rows don't meet. Every shard packs its pieces best-fit, the
 longest first, and closes the bins that are nearly full. The other bins are items of the next level:
 groups of ``fan_in`` shards pack their items the same way, until one group is left, so bins of
 different shards are joined. A group hands on at most ``carry`` items, the emptiest ones, and closes
@@ -9,7 +9,7 @@ the rest, so no task grows with the input. Every piece stays in exactly one sequ
 
 Edge cases: a null or empty text has the end id only; repeated rows are packed separately; null doc
 ids are kept; an empty table gives no rows. Only doc_id and text are read, so other columns cannot
-clash.
+clash (``pack`` keeps other columns and replaces sequence_id and offset).
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from seatrace.llm.common import scratch
+from seatrace.llm.common import discard, fresh, scratch
 from seatrace.llm.tokenization import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,20 +74,27 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, shard_rows: int = 50_000, fan_in: int = 8, carry: int = 20_000) -> DataFrame:
     """pieces (with a column length of 1 to capacity) with sequence_id and offset."""
-    keys = pieces.columns
+    keys = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row, shard, bin_, at, filled, into, shift = fresh("row", "shard", "bin", "at", "fill", "into", "shift")
     shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    numbered = scratch(pieces.select(*keys).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dealt = numbered.withColumn(shard, F.pmod(F.xxhash64(row), F.lit(shards)).cast("int"))
     level = 0
 
-    def local(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", *[k for k in keys if k != "length"]], ascending=[False] + [True] * (len(keys) - 1))
-        bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
-        fill = np.bincount(bins, rows["length"]).astype(np.int64)
-        return rows.assign(_bin=int(key[0]) << 32 | bins, _at=offsets, _fill=fill[bins]).drop(columns="_shard")
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = scratch(dealt.groupBy("_shard").applyInPandas(local, f"{types}, _bin long, _at long, _fill long"), "placed")
-    open_ = placed.where(F.col("_fill") < capacity - slack).select(F.col("_bin").alias("item"), F.col("_fill").alias("fill")).distinct()
+    def local(key: tuple, rows: pa.Table) -> pa.Table:
+        lengths = rows["length"].to_numpy()
+        order = np.lexsort((rows[row].to_numpy(), -lengths))
+        bins, offsets = best_fit(lengths[order], capacity)
+        fill = np.bincount(bins, lengths[order]).astype(np.int64)
+        rows = rows.take(pa.array(order)).drop_columns([shard])
+        for name, values in ((bin_, key[0].as_py() << 32 | bins), (at, offsets), (filled, fill[bins])):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
+
+    placed = dealt.groupBy(shard).applyInArrow(local, StructType([*numbered.schema, *(StructField(c, LongType()) for c in (bin_, at, filled))]))
+    placed = scratch(placed.drop(row), "placed")
+    discard(numbered)
+    open_ = placed.where(F.col(filled) < capacity - slack).select(F.col(bin_).alias("item"), F.col(filled).alias("fill")).distinct()
     open_ = open_.withColumn("node", F.shiftright("item", 32))
     moves = None
     while True:
@@ -103,9 +111,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, shard_rows: in
         if shards == 1:
             break
         open_ = merged.where("keep").select("node", F.col("into").alias("item"), "fill").distinct()
-    moves = moves.select(F.col("item").alias("_bin"), "into", "shift")
-    out = placed.join(moves, "_bin", "left")
-    return out.select(*keys, F.coalesce("into", "_bin").alias("sequence_id"), (F.col("_at") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    moves = moves.select(F.col("item").alias(bin_), F.col("into").alias(into), F.col("shift").alias(shift))
+    out = placed.join(moves, bin_, "left")
+    return out.select(*keys, F.coalesce(into, bin_).alias("sequence_id"), (F.col(at) + F.coalesce(shift, F.lit(0))).alias("offset"))
 
 
 def _merger(level: int, capacity: int, slack: int, carry: int):

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -131,3 +132,12 @@ def test_packing_in_levels(spark):
 def test_packing_of_odd_rows(spark):
     check_packing([r[:2] for r in ODD], rows(packing.pack_documents(odd_docs(spark), PATHS["word_bpe_49k"])))
     assert rows(packing.pack_documents(empty_docs(spark), PATHS["word_bpe_49k"])) == []
+
+
+def test_packing_of_null_large_and_repeated_ids(spark):
+    data = [(None, "one two three"), (9007199254740993, "four five"), (9007199254740995, "six"), (None, ""), *[(5, "the same row again")] * 40]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("_bin", F.lit("x")).withColumn("fill", F.lit(None))
+    check_packing(data, rows(packing.pack_documents(df, PATHS["word_bpe_49k"], capacity=16, shard_rows=10, fan_in=2)), 16)
+    pieces = packing.token_pieces(df, PATHS["word_bpe_49k"], 16).withColumn("_bin", F.lit("x")).withColumn("offset", F.lit("old"))
+    got = packing.pack(pieces, 16)
+    assert got.columns == [*pieces.columns[:-1], "sequence_id", "offset"] and {r["_bin"] for r in rows(got)} == {"x"}
