@@ -7,13 +7,17 @@ the first ones are capped and the rest get weight x level.
 
 A target of e epochs is drawn as floor(e) whole repetitions of every document and one more of a
 seeded fraction. The fraction is taken systematically: documents of a source stand in the order of a
-seeded hash, and those before the point where the remaining size is reached are repeated once more,
-so a source misses its target by at most half a document.
+seeded hash of their id, then size, then a row number, and those before the point where the remaining
+size is reached are repeated once more, so a source misses its target by at most half a document.
+That point is found by narrowing: the sums of 4,096 buckets of the hash say in which one it lies, those
+of its buckets in which of these, and so on down to the row, with partial sums at every step, so
+neither a large source nor many rows of one id meet in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; an empty
-table gives no rows; documents of size 0 take 0; repeated rows are separate documents, and those that
-agree in doc_id and size are taken alike. Columns of the input named like the added ones are
-replaced. Joined by broadcast are tables of a row per source only.
+table gives no rows; documents of size 0 take 0; repeated rows, and rows with equal or null ids, are
+separate documents of which only as many are taken as fit (among rows equal in id and size the row
+number decides, which holds for one run over a stable input). Columns of the input named like the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrace.llm.common import WORD, scratch
+from seatrace.llm.common import WORD, fresh, scratch, sized
 
-#: First hex digits of the seeded hash that name the bucket a document falls in (16 ** 3 buckets).
-BUCKET_DIGITS = 3
+#: Hex digits of the seeded hash that name a bucket (16 ** 3 buckets).
+DIGITS = 3
+ADDED = ("size", "source_size", "target", "repeats")
 
 
 def word_count(text: Column) -> Column:
@@ -52,50 +57,66 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return fills.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def same(a: Column | str, b: Column | str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def last_taken(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, end, whether it is taken): the row (hash, size, row) of each source in which its rest ends.
+
+    slim has source, h, size and row; targets source and rest. Each step sums the sizes of the groups that a
+    part of the order's key makes, finds the group of every source in which the rest ends, and keeps its rows.
+    """
+    steps = [F.substring("h", 1, DIGITS), F.substring("h", DIGITS + 1, DIGITS), F.col("h"), F.col("size"), F.shiftright("row", 33), F.col("row")]
+    before = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside, ends = slim, targets.select("source", "rest")
+    for k, step in enumerate(steps):
+        sums = inside.groupBy("source", step.alias("key")).agg(F.sum("size").alias("sum"))
+        sums = sums.withColumn("offset", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+        rest = sized(ends.select(F.col("source").alias("of"), "rest"))
+        found = sums.join(rest, same("source", "of")).where((F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("sum")))
+        ends = scratch(found.select("source", F.col("key").alias("end"), (F.col("rest") - F.col("offset")).alias("rest")), f"ends{k}")
+        here = sized(ends.select(F.col("source").alias("of"), "end"))
+        inside = inside.join(here, same("source", "of") & (step == F.col("end"))).select(*slim.columns)
+        if k < len(steps) - 1:
+            inside = scratch(inside, f"inside{k}")
+    last = inside.join(sized(ends.select(F.col("source").alias("of"), "rest")), same("source", "of"))
+    return last.select("source", F.struct("h", "size", "row").alias("end"), (F.col("size") / 2 <= F.col("rest")).alias("taken"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", size: Column | None = None) -> DataFrame:
     """docs with size, source_size, target and repeats: how often the mix takes each row.
 
-    Texts are never shuffled: sizes go to a scratch table, from which every source gets its target
-    and the place in hash order up to which its documents are repeated once more; that row per
-    source is joined back.
+    size (by default the words of the text) is counted once, into a written copy of the rows with a number
+    each; texts are never shuffled. A row per source is joined back, by broadcast if the sources are few.
     """
-    own = docs.drop("size", "source_size", "target", "repeats")
-    hashed = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    bucket = F.substring("_h", 1, BUCKET_DIGITS)
-    slim = scratch(own.select("source", hashed.alias("_h"), word_count(F.col("text")).alias("size")), "sizes")
-    buckets = slim.groupBy("source", bucket.alias("_b")).agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = scratch(buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))), "buckets")
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.withColumn("whole", F.least(whole.cast("long"), F.lit(max_epochs)))
-    targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = scratch(targets.withColumnRenamed("source", "_s"), "targets")
-    in_source = F.col("source").eqNullSafe(F.col("_s"))
-    # The one bucket of a source in which its remaining size ends.
-    ends = buckets.join(F.broadcast(targets), in_source)
-    ends = ends.where((F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("bucket_size")))
-    ends = ends.select("_s", F.col("_b").alias("_end"), "offset", "rest")
-    inside = slim.join(F.broadcast(ends), in_source & (bucket == F.col("_end")))
-    within = Window.partitionBy("_s").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
-    last = inside.withColumn("_reach", reach).where(F.col("_reach") <= F.col("rest"))
-    last = last.groupBy(F.col("_s").alias("_l")).agg(F.max(F.struct("_h", "size")).alias("_last"))
-    ends = ends.join(last, F.col("_s").eqNullSafe(F.col("_l")), "left")
-    ends = ends.select(F.col("_s").alias("_e"), F.coalesce("_last", F.struct(F.col("_end").alias("_h"), F.lit(-1).cast("long").alias("size"))).alias("_last"))
-    plan = targets.join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "source_size", "target", "whole", "_last")
-    plan = F.broadcast(scratch(plan, "plan"))  # a row per source
-    mixed = own.withColumn("_h", hashed).withColumn("size", word_count(F.col("text"))).join(plan, in_source, "left")
-    extra = F.coalesce((F.col("whole") < max_epochs) & (F.struct("_h", "size") <= F.col("_last")), F.lit(False))
-    return mixed.withColumn("repeats", F.col("whole").cast("int") + extra.cast("int")).drop("_h", "_s", "whole", "_last")
+    row, h, whole, end, taken, of = fresh("row", "h", "whole", "end", "taken", "of")
+    size = word_count(F.col("text")) if size is None else size
+    counted = docs.withColumn("size", size).drop(*ADDED[1:]).withColumn(row, F.monotonically_increasing_id())
+    rows = scratch(counted.withColumn(h, F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "rows")
+    slim = rows.select("source", F.col(h).alias("h"), "size", F.col(row).alias("row"))
+    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    targets = targets.withColumn("times", F.least(times.cast("long"), F.lit(max_epochs)))
+    targets = scratch(targets.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")), "targets")
+    ends = last_taken(slim, targets.where(F.col("times") < max_epochs)).withColumnRenamed("source", "last_of")
+    plan = targets.join(ends, same("source", "last_of"), "left")
+    plan = plan.select(F.col("source").alias(of), F.col("times").alias(whole), F.col("end").alias(end), F.col("taken").alias(taken), "source_size", "target")
+    mixed = rows.join(sized(scratch(plan, "plan")), same("source", of), "left")
+    own = F.struct(F.col(h).alias("h"), "size", F.col(row).alias("row"))
+    extra = F.coalesce((own < F.col(end)) | ((own == F.col(end)) & F.col(taken)), F.lit(False))
+    repeats = (F.col(whole).cast("int") + extra.cast("int")).alias("repeats")
+    return mixed.select(*[c for c in docs.columns if c not in ADDED], "size", "source_size", "target", repeats)
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """Each row as often as its repeats say, without the columns that mix_sources added."""
-    out = mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("repeats"))))
-    return out.drop("_n", "size", "source_size", "target", "repeats")
+    (n,) = fresh("n")
+    return mixed.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col("repeats")))).drop(n, *ADDED)
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    mixed = mix_sources(docs.select("doc_id", "source", "text"), **how)
+    """doc_id, size, source_size, target and taken of every row; of the text only its size is kept."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix_sources(slim, size=F.col("size"), **how)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
