@@ -175,6 +175,25 @@ def test_mix_of_odd_rows(spark):
     assert rows(mixing.mix_report(empty_docs(spark))) == []
 
 
+def test_mix_takes_only_as_many_rows_of_one_id_as_fit(spark):
+    data = [(1, "a b c", "x")] * 500 + [(None, "a b c", "y")] * 500
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
+    got = rows(mixing.mix_report(df))
+    for source, want in ((1, 1000), (None, 2000)):
+        own = [r for r in got if r["doc_id"] == source]
+        assert own[0]["target"] == want and abs(sum(r["taken"] for r in own) - want) <= 3 and {r["taken"] for r in own} <= {0, 3, 6, 9}
+
+
+def test_mix_keeps_columns_whose_names_clash(spark):
+    docs = odd_docs(spark).drop("size", "target")
+    for name in ("_s", "_n", "whole", "_last", "_end", "rest", "h", "of", "taken"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "size", "source_size", "target", "repeats"]
+    assert all(r[name] == "clash" for r in rows(mixed) for name in ("_h", "_s", "whole", "_last", "h", "taken"))
+    assert mixing.repeat_rows(mixed).columns == docs.columns
+
+
 def plain_rule(url):
     m = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
     found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
@@ -215,6 +234,117 @@ def test_odd_urls(spark):
     assert rows(url_filter.judge_urls(empty, queries.URL_RULES)) == []
 
 
+def plain_tree(paths, levels, distinct=8, novelty=0.3, alike_pages=8, strictness=3.0, prior=4.0, base_rate=0.1):
+    """{(host, shaped path): (template, share)} of {(host, shaped path): (n, blocked, allowed)}, by loops."""
+    names = {key: [] for key in paths}
+    cut = {(h, p): (x[:levels] + ["/".join(x[levels:])] * (len(x) > levels)) for h, p in paths for x in [[s for s in p.split("/") if s]]}
+    for level in range(levels + 1):
+        kids = {}
+        for key, segments in cut.items():
+            if level < len(segments):
+                below = kids.setdefault((key[0], tuple(names[key])), Counter())
+                below[segments[level]] += paths[key][0]
+        for key, segments in cut.items():
+            if level < len(segments):
+                below = kids[key[0], tuple(names[key][:level])]
+                wild = len(below) >= distinct and len(below) >= novelty * sum(below.values())
+                names[key].append("*" if wild else segments[level])
+    done = {key: [] for key in paths}
+    for level in range(levels + 1):
+        branches = {}
+        for key, own in names.items():
+            if level < len(own):
+                kind = branches.setdefault((key[0], tuple(done[key])), {}).setdefault(own[level], [Counter(), 0, 0])
+                kind[0][own[level + 1] if level + 1 < len(own) else ""] += paths[key][0]
+                kind[1] += paths[key][1]
+                kind[2] += paths[key][2]
+        new = {}
+        for node, kinds in branches.items():
+            leads = {}
+            for name, (kids, b, a) in kinds.items():
+                lead = max((n, c) for c, n in kids.items())[1]
+                if sum(kids.values()) >= alike_pages and lead and name != "*":
+                    leads.setdefault(lead, []).append((name, kids, b, a))
+            found = []
+            for lead, group in leads.items():
+                pool = sum((x[1] for x in group), Counter())
+                pages, blocked, labelled = sum(pool.values()), sum(x[2] for x in group), sum(x[2] + x[3] for x in group)
+                alike = []
+                for name, kids, b, a in group:
+                    total = sum(kids.values())
+                    gain = 2 * sum(n * np.log((n / total) / (pool[c] / pages)) for c, n in kids.items())
+                    free, own, others = len(pool) - 1, b + a, labelled - b - a
+                    same = True
+                    if own and others:
+                        share = blocked / labelled
+                        same = (b / own - (blocked - b) / others) ** 2 <= strictness**2 * share * (1 - share) * (1 / own + 1 / others)
+                    if same and gain <= free + strictness * np.sqrt(2 * free) + 1e-6:
+                        alike.append((name, total))
+                if len(alike) > 1:
+                    found.append((-sum(n for _, n in alike), lead, [x for x, _ in alike]))
+            for k, (_, _, alike) in enumerate(sorted(found), 1):
+                new |= {(node, name): "~" if k == 1 else f"~{k}" for name in alike}
+        for key, own in names.items():
+            if level < len(own):
+                done[key].append(new.get(((key[0], tuple(done[key])), own[level]), own[level]))
+    sums, labels = Counter(), {}
+    for key, own in done.items():
+        sums[key[0], tuple(own), 0] += paths[key][1]
+        sums[key[0], tuple(own), 1] += paths[key][2]
+        for depth in range(len(own)):
+            x = labels.setdefault((key[0], tuple(own[:depth])), {}).setdefault(own[depth], [0, 0])
+            x[0] += paths[key][1]
+            x[1] += paths[key][2]
+    out = {}
+    for key, own in done.items():
+        up = base_rate
+        for depth in range(len(own)):
+            known = [b / (b + a) for b, a in labels[key[0], tuple(own[:depth])].values() if b + a]
+            up = (sum(known) + prior * up) / (len(known) + prior)
+        b, a = (sums[key[0], tuple(own), k] for k in (0, 1))
+        out[key] = ("".join(f"/{x}" for x in own), (b + prior * up) / (b + a + prior))
+    return out
+
+
+def test_tree_and_shares_by_loops(spark):
+    rng = np.random.default_rng(6)
+    paths = {}
+    for host in ("a", "b", "c"):
+        for _ in range(400):
+            depth = int(rng.integers(0, 6))
+            path = "".join(f"/{'xyzuvw'[int(rng.integers(0, 2 + k))]}{int(rng.integers(0, 40)) if rng.random() < 0.1 else ''}" for k in range(depth))
+            n = int(rng.integers(1, 30))
+            label = rng.random()
+            bad = path.startswith(("/x", "/y/y")) ^ (rng.random() < 0.05)
+            paths[host, path] = (n, n if label < 0.4 and bad else 0, n if label < 0.4 and not bad else 0)
+    df = spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, shaped string, n long, blocked long, allowed long")
+    for levels in (2, 6):
+        templates = url_filter.path_templates(df, levels=levels)
+        shares = {(r["host"], r["template"]): r["block_share"] for r in rows(url_filter.block_shares(templates, 4.0, 0.1))}
+        want = plain_tree(paths, levels)
+        got = {(r["host"], r["shaped"]): (r["template"], shares[r["host"], r["template"]]) for r in rows(templates)}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+        assert any("~" in v[0] for v in got.values())
+
+
+def test_the_method_blocks_pages_that_no_rule_covers(spark):
+    urls = [f"http://x.com/{lang}/{k}" for lang in ("en", "de", "fr") for k in range(30)] + [f"http://x.com/shop/{'ab'[k % 2]}/{k}" for k in range(30)]
+    got = judged(spark, urls)
+    verdicts = Counter((r["url"].split("/")[3], r["verdict"]) for r in got)
+    assert verdicts == {("en", "block"): 30, ("de", "block"): 30, ("fr", "block"): 30, ("shop", "allow"): 30}
+    assert len({round(r["block_share"], 6) for r in got if r["rule"] is None}) == 2
+
+
+def test_clashing_names_and_a_very_long_url(spark):
+    df = spark.createDataFrame([(1, "http://x.com/" + "a/" * 50_000 + "?q"), (2, None)], "page_id long, url string")
+    for name in ("_h", "_s", "_rule", "_shaped", "shaped", "segments", "names", "template", "done"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = {r["page_id"]: r for r in rows(url_filter.judge_urls(df, queries.URL_RULES))}
+    assert len(got) == 2 and all(got[k][name] == "clash" for k in got for name in ("_h", "_s", "_rule", "_shaped", "segments", "done"))
+    assert len(got[1]["path"]) == 100_001
+
+
 def test_templates_and_merged_branches(spark):
     urls = [f"http://shop.io/{lang}/item/{k}" for lang in ("aa", "bb") for k in range(40)] + [f"http://shop.io/user/name{chr(97 + k % 26)}{chr(97 + k // 26)}/posts" for k in range(60)] + [f"http://shop.io/about/{k % 2}" for k in range(9)]
     got = Counter(r["template"] for r in judged(spark, urls))
