@@ -1,13 +1,17 @@
-"""Geodesy as column expressions: transverse Mercator by Krüger's series, geodesics by Vincenty's formulae.
+"""Geodesy: transverse Mercator by Krüger's series, geodesics by Vincenty's formulae.
 
-Angles are degrees, lengths metres. Every builder gives one expression, evaluated in the JVM.
+Angles are degrees, lengths metres. UTM is one expression of built-in functions. Geodesics iterate, which
+built-in functions can only do in interpreted lambdas, so they are numpy kernels over Arrow batches. A null
+coordinate gives a null; nearly antipodal places have no distance that can be relied on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS 84 ellipsoid (GRS 80 differs below a tenth of a millimetre here) and UTM constants.
@@ -65,128 +69,115 @@ def utm_inverse(east: Column, north: Column, zone: int = 33) -> Column:
     return let(planar, angles)
 
 
-def reduced(lat: Column) -> Column:
-    return F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
+def reduced(lat: np.ndarray) -> np.ndarray:
+    return np.arctan((1 - FLATTENING) * np.tan(np.radians(lat)))
 
 
-def _series_ab(u2: Column) -> tuple[Column, Column]:
+def _series_ab(u2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
     return big_a, big_b
 
 
-def _delta_sigma(big_b: Column, sin_s: Column, cos_s: Column, cos_m: Column) -> Column:
+def _delta_sigma(big_b: np.ndarray, sin_s: np.ndarray, cos_s: np.ndarray, cos_m: np.ndarray) -> np.ndarray:
     inner = cos_s * (-1 + 2 * cos_m * cos_m) - big_b / 6 * cos_m * (-3 + 4 * sin_s * sin_s) * (-3 + 4 * cos_m * cos_m)
     return big_b * sin_s * (cos_m + big_b / 4 * inner)
 
 
-def _ends(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Struct of sines and cosines of the reduced latitudes, and the difference of longitude l."""
-    u1, u2 = reduced(lat1), reduced(lat2)
-    return F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
+def _longitude_gain(sa: np.ndarray, ca2: np.ndarray, sigma: np.ndarray, ss: np.ndarray, cs: np.ndarray, cm: np.ndarray) -> np.ndarray:
+    """What the ellipsoid takes off a difference of longitude on the auxiliary sphere."""
+    c = FLATTENING / 16 * ca2 * (4 + FLATTENING * (4 - 3 * ca2))
+    return (1 - c) * FLATTENING * sa * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
 
 
-def _on_sphere(lam: Column, e: Column) -> Column:
-    """Struct of Vincenty's quantities for a difference of longitude lam on the auxiliary sphere."""
-    s1, c1, s2, c2 = e["s1"], e["c1"], e["s2"], e["c2"]
-    a, b = c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)
+def inverse(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, steps: int = VINCENTY_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Metres between places, and the bearing at the first towards the second, from -180 to 180."""
+    u1, u2, l = reduced(lat1), reduced(lat2), np.radians(lon2 - lon1)
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
 
-    def rest(p: Column) -> Column:
-        sin_alpha = F.when(p["ss"] > 0, c1 * c2 * F.sin(lam) / p["ss"]).otherwise(0.0)
-        return let(
-            F.struct(p["ss"].alias("ss"), p["cs"].alias("cs"), F.atan2(p["ss"], p["cs"]).alias("sigma"), sin_alpha.alias("sa"), (1 - sin_alpha * sin_alpha).alias("ca2")),
-            lambda q: F.struct(q["ss"].alias("ss"), q["cs"].alias("cs"), q["sigma"].alias("sigma"), q["sa"].alias("sa"), q["ca2"].alias("ca2"), F.when(q["ca2"] > 0, q["cs"] - 2 * s1 * s2 / q["ca2"]).otherwise(0.0).alias("cm")),
-        )
+    def on_sphere(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        ss = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
+        cs = s1 * s2 + c1 * c2 * np.cos(lam)
+        sa = np.divide(c1 * c2 * np.sin(lam), ss, out=np.zeros_like(ss), where=ss > 0)
+        ca2 = 1 - sa * sa
+        cm = np.where(ca2 > 0, cs - 2 * np.divide(s1 * s2, ca2, out=np.zeros_like(ca2), where=ca2 > 0), 0)
+        return sa, ca2, np.arctan2(ss, cs), ss, cs, cm
 
-    return let(F.struct(F.sqrt(a * a + b * b).alias("ss"), (s1 * s2 + c1 * c2 * F.cos(lam)).alias("cs")), rest)
+    lam = l
+    for _ in range(steps):
+        lam = l + _longitude_gain(*on_sphere(lam))
+    _, ca2, sigma, ss, cs, cm = on_sphere(lam)
+    big_a, big_b = _series_ab(ca2 * ((A * A - B * B) / (B * B)))
+    metres = B * big_a * (sigma - _delta_sigma(big_b, ss, cs, cm))
+    missing = np.isnan(l + u1 + u2)
+    bearing = np.degrees(np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)))
+    return np.where(missing, np.nan, metres), np.where(missing, np.nan, bearing)
 
 
-def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = VINCENTY_STEPS) -> Column:
-    """Metres between two places (not nearly antipodal), after a fixed number of iterations."""
-    ends = _ends(lon1, lat1, lon2, lat2)
+def direct(lon: np.ndarray, lat: np.ndarray, bearing: np.ndarray, metres: np.ndarray, steps: int = VINCENTY_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude at a distance along a bearing (degrees east of north)."""
+    u, az = reduced(lat), np.radians(bearing)
+    su, cu, sz, cz = np.sin(u), np.cos(u), np.sin(az), np.cos(az)
+    sa, sigma1 = cu * sz, np.arctan2(su, cu * cz)
+    ca2 = 1 - sa * sa
+    big_a, big_b = _series_ab(ca2 * ((A * A - B * B) / (B * B)))
+    first = sigma = metres / (B * big_a)
+    for _ in range(steps):
+        sigma = first + _delta_sigma(big_b, np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma))
+    ss, cs, cm = np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma)
+    flat = su * ss - cu * cs * cz
+    lat2 = np.arctan2(su * cs + cu * ss * cz, (1 - FLATTENING) * np.sqrt(sa * sa + flat * flat))
+    lam = np.arctan2(ss * sz, cu * cs - su * ss * cz)
+    return lon + np.degrees(lam - _longitude_gain(sa, ca2, sigma, ss, cs, cm)), np.degrees(lat2)
 
-    def measure(e: Column) -> Column:
-        def step(lam: Column, _: Column) -> Column:
-            def next_(q: Column) -> Column:
-                c = FLATTENING / 16 * q["ca2"] * (4 + FLATTENING * (4 - 3 * q["ca2"]))
-                return e["l"] + (1 - c) * FLATTENING * q["sa"] * (q["sigma"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (-1 + 2 * q["cm"] * q["cm"])))
 
-            return let(_on_sphere(lam, e), next_)
+def _kernel(kind: str, f: Callable[..., np.ndarray | tuple[np.ndarray, ...]], *columns: Column | float) -> Column:
+    """f over Arrow batches of the columns (numbers are literals) as doubles; a tuple makes a struct."""
+    names = [part.split(":")[0] for part in kind.removeprefix("struct<").split(",")]
 
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), e["l"], step)
+    def run(*series: pd.Series) -> pd.Series:
+        out = f(*(s.to_numpy(np.float64, na_value=np.nan) for s in series))
+        return pd.DataFrame(dict(zip(names, out, strict=True))) if isinstance(out, tuple) else pd.Series(out)
 
-        def metres(q: Column) -> Column:
-            big_a, big_b = _series_ab(q["ca2"] * ((A * A - B * B) / (B * B)))
-            return B * big_a * (q["sigma"] - _delta_sigma(big_b, q["ss"], q["cs"], q["cm"]))
+    run.__annotations__ = {"series": pd.Series, "return": pd.DataFrame if kind.startswith("struct") else pd.Series}
+    return F.pandas_udf(run, kind)(*(c.cast("double") if isinstance(c, Column) else F.lit(float(c)) for c in columns))
 
-        return let(let(lam, lambda x: _on_sphere(x, e)), metres)
 
-    return let(ends, measure)
+def geodesic_distance(lon1: Column | float, lat1: Column | float, lon2: Column | float, lat2: Column | float) -> Column:
+    """Metres between two places, after a fixed number of iterations."""
+    return _kernel("double", lambda *x: inverse(*x)[0], lon1, lat1, lon2, lat2)
 
 
-def geodesic_direct(lon: Column, lat: Column, bearing: Column, metres: Column | float, steps: int = VINCENTY_STEPS) -> Column:
-    """Struct (lon, lat) at a distance along a bearing (degrees east of north)."""
-    u, az = reduced(lat), F.radians(bearing)
-    ends = F.struct(F.sin(u).alias("su"), F.cos(u).alias("cu"), F.sin(az).alias("sz"), F.cos(az).alias("cz"))
-
-    def go(s: Column) -> Column:
-        sin_alpha = s["cu"] * s["sz"]
-        return let(F.struct(sin_alpha.alias("sa"), (1 - sin_alpha * sin_alpha).alias("ca2"), F.atan2(s["su"], s["cu"] * s["cz"]).alias("sigma1")), lambda g: arc(s, g))
-
-    def arc(s: Column, g: Column) -> Column:
-        big_a, big_b = _series_ab(g["ca2"] * ((A * A - B * B) / (B * B)))
-        far = metres if isinstance(metres, Column) else F.lit(metres)
-        # Bound once: the iterations would work them out anew each time.
-        return let(F.struct((far / (B * big_a)).alias("first"), big_b.alias("b")), lambda h: let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), h["first"], lambda sigma, _: step(g, h, sigma)), lambda sigma: place(s, g, sigma)))
-
-    def step(g: Column, h: Column, sigma: Column) -> Column:
-        parts = F.struct(F.sin(sigma).alias("ss"), F.cos(sigma).alias("cs"), F.cos(2 * g["sigma1"] + sigma).alias("cm"))
-        return let(parts, lambda p: h["first"] + _delta_sigma(h["b"], p["ss"], p["cs"], p["cm"]))
-
-    def place(s: Column, g: Column, sigma: Column) -> Column:
-        ss, cs, cm = F.sin(sigma), F.cos(sigma), F.cos(2 * g["sigma1"] + sigma)
-        flat = s["su"] * ss - s["cu"] * cs * s["cz"]
-        lat2 = F.atan2(s["su"] * cs + s["cu"] * ss * s["cz"], (1 - FLATTENING) * F.sqrt(g["sa"] * g["sa"] + flat * flat))
-        lam = F.atan2(ss * s["sz"], s["cu"] * cs - s["su"] * ss * s["cz"])
-        c = FLATTENING / 16 * g["ca2"] * (4 + FLATTENING * (4 - 3 * g["ca2"]))
-        diff = lam - (1 - c) * FLATTENING * g["sa"] * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
-        return F.struct((lon + F.degrees(diff)).alias("lon"), F.degrees(lat2).alias("lat"))
-
-    return let(ends, go)
-
-
-def geodesic_bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = VINCENTY_STEPS) -> Column:
+def geodesic_bearing(lon1: Column | float, lat1: Column | float, lon2: Column | float, lat2: Column | float) -> Column:
     """Bearing at the first place towards the second, degrees from -180 to 180."""
-    ends = _ends(lon1, lat1, lon2, lat2)
+    return _kernel("double", lambda *x: inverse(*x)[1], lon1, lat1, lon2, lat2)
 
-    def measure(e: Column) -> Column:
-        def step(lam: Column, _: Column) -> Column:
-            def next_(q: Column) -> Column:
-                c = FLATTENING / 16 * q["ca2"] * (4 + FLATTENING * (4 - 3 * q["ca2"]))
-                return e["l"] + (1 - c) * FLATTENING * q["sa"] * (q["sigma"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (-1 + 2 * q["cm"] * q["cm"])))
 
-            return let(_on_sphere(lam, e), next_)
-
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), e["l"], step)
-        return let(lam, lambda x: F.degrees(F.atan2(e["c2"] * F.sin(x), e["c1"] * e["s2"] - e["s1"] * e["c2"] * F.cos(x))))
-
-    return let(ends, measure)
+def geodesic_direct(lon: Column | float, lat: Column | float, bearing: Column | float, metres: Column | float) -> Column:
+    """Struct (lon, lat) at a distance along a bearing (degrees east of north)."""
+    return _kernel("struct<lon:double,lat:double>", direct, lon, lat, bearing, metres)
 
 
 def local_forward(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
     """Struct (x, y) of the azimuthal equidistant projection: distance and bearing from its centre."""
-    far = geodesic_distance(F.lit(lon0), F.lit(lat0), lon, lat)
-    turn = F.radians(geodesic_bearing(F.lit(lon0), F.lit(lat0), lon, lat))
-    polar = F.struct(far.alias("r"), turn.alias("a"))
-    return let(polar, lambda p: F.struct((p["r"] * F.sin(p["a"])).alias("x"), (p["r"] * F.cos(p["a"])).alias("y")))
+
+    def project(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far, turn = inverse(np.full_like(lon, lon0), np.full_like(lat, lat0), lon, lat)
+        return far * np.sin(np.radians(turn)), far * np.cos(np.radians(turn))
+
+    return _kernel("struct<x:double,y:double>", project, lon, lat)
 
 
 def local_inverse(x: Column, y: Column, lon0: float, lat0: float) -> Column:
     """Struct (lon, lat) of a place of the azimuthal equidistant projection."""
-    return geodesic_direct(F.lit(lon0), F.lit(lat0), F.degrees(F.atan2(x, y)), F.sqrt(x * x + y * y))
+
+    def place(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return direct(np.full_like(x, lon0), np.full_like(y, lat0), np.degrees(np.arctan2(x, y)), np.hypot(x, y))
+
+    return _kernel("struct<lon:double,lat:double>", place, x, y)
 
 
-def geodesic_circle(lon: Column, lat: Column, radius: float, step: int = 5) -> Column:
-    """Array of (lon, lat) at bearings 0, step, ...; the first place closes the ring."""
-    bearings = F.sequence(F.lit(0), F.lit(360), F.lit(step))
-    return F.transform(bearings, lambda b: geodesic_direct(lon, lat, (b % 360).cast("double"), radius))
+def geodesic_circles(places: DataFrame, radius: float, step: int = 5) -> DataFrame:
+    """places (lon, lat) with n and v, the ring's n-th vertex (lon, lat), at bearings 0, step, ...; the first closes the ring."""
+    ring = places.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(360 // step))))
+    return ring.withColumn("v", geodesic_direct(F.col("lon"), F.col("lat"), F.col("n") * step % 360, radius))

@@ -28,14 +28,13 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     """All intersections of steps with line segments: step columns, cable_id, seg, t, cx, cy.
 
-    Both sides are listed in the vertical strips of width ``cell`` that they touch and joined on the
-    strip; a pair that meets in several strips counts in the first common one only. Collinear overlaps
-    (a determinant of 0) give no hit.
+    Both sides are listed in the square cells of width ``cell`` that the boxes around them touch and joined
+    on the cell, so a line in any direction is many keys; a pair that meets in several cells counts in the first
+    common one only. Collinear overlaps (a determinant of 0) give no hit, nor do null coordinates.
     """
-    a = steps.withColumn("_strip", F.explode(_cells(F.col("x0"), F.col("x1"), cell)))
-    b = segments.withColumn("_strip", F.explode(_cells(F.col("cx0"), F.col("cx1"), cell)))
-    first = F.greatest(F.floor(F.least("x0", "x1") / cell), F.floor(F.least("cx0", "cx1") / cell)).cast("long")
-    near = a.join(b, "_strip").where(F.col("_strip") == first)
+    listed = lambda df, p: df.withColumn("_gx", F.explode(_cells(F.col(f"{p}x0"), F.col(f"{p}x1"), cell))).withColumn("_gy", F.explode(_cells(F.col(f"{p}y0"), F.col(f"{p}y1"), cell)))
+    first = lambda c: F.greatest(F.floor(F.least(f"{c}0", f"{c}1") / cell), F.floor(F.least(f"c{c}0", f"c{c}1") / cell)).cast("long")
+    near = listed(steps, "").join(listed(segments, "c"), ["_gx", "_gy"]).where((F.col("_gx") == first("x")) & (F.col("_gy") == first("y")))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ex, ey = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
     den = dx * ey - dy * ex
@@ -43,7 +42,7 @@ def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float) -> DataFra
     solved = near.withColumn("_den", den).where("_den <> 0").withColumn("_u", (px * ey - py * ex) / F.col("_den")).withColumn("_v", (px * dy - py * dx) / F.col("_den"))
     hits = solved.where("_u between 0 and 1 and _v between 0 and 1")
     along = lambda p: F.col(f"{p}0") + F.col("_u") * (F.col(f"{p}1") - F.col(f"{p}0"))
-    return hits.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y")).drop("_strip", "_den", "_u", "_v")
+    return hits.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y")).drop("_gx", "_gy", "_den", "_u", "_v")
 
 
 def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) -> DataFrame:
@@ -61,3 +60,11 @@ def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: floa
     if end is not None:
         inside = inside & (F.col("t") < end)
     return without_repeats(hits.where(inside), [*keys, "cable_id"])
+
+
+def crossing_metrics(hits: DataFrame, start: str, end: str) -> DataFrame:
+    """(component, crossings, inside, scenarios, vessels) of hits; inside are those with start <= t < end."""
+    a, b = (F.unix_micros(F.lit(d).cast("timestamp")) for d in (start, end))
+    inside = (F.col("t") >= a) & (F.col("t") < b)
+    counts = [F.count("*").alias("crossings"), F.count_if(inside).alias("inside"), F.count_distinct("scenario_id").alias("scenarios"), F.count_distinct("mmsi").alias("vessels")]
+    return hits.groupBy("component").agg(*counts)

@@ -1,13 +1,18 @@
-"""Towed gear behind a vessel: the parameter grid, lag along the path, component places, rejections."""
+"""Towed gear behind a vessel: the parameter grid, lag along the path, component places, rejections.
+
+Nulls: a point without a depth rejects every scenario and has no gear; a point without coordinates or
+chainage has no gear either. Empty tables of points give scenarios that are all rejected, and no positions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrace.operators.paths import interpolate, length
+from seatrace.operators.paths import consecutive, interpolate, length
 
-CEILING, REACH = "warp ceiling", "door spread exceeds horizontal warp reach"
+CEILING, REACH, NO_DEPTH = "warp ceiling", "door spread exceeds horizontal warp reach", "missing depth"
+OFF_PATH, SHORT_CHORD = "the lag reaches before the path", "the path turns back on itself"
 
 
 def scenario_grid(spark: SparkSession, ratios: list[float], spreads: list[float]) -> DataFrame:
@@ -19,6 +24,7 @@ def scenario_grid(spark: SparkSession, ratios: list[float], spreads: list[float]
 
 
 def lag_squared(depth: Column) -> Column:
+    """Of the horizontal reach of the warp, from the columns ratio and spread."""
     warp, half = F.col("ratio") * depth, F.col("spread") / 2
     return warp * warp - depth * depth - half * half
 
@@ -27,26 +33,40 @@ def scenario_status(points: DataFrame, grid: DataFrame, max_warp: float, depth:
     """(scenario_id, ratio, spread, accepted, rejection_reason): one bad second rejects a scenario.
 
     A larger depth only lengthens the warp, and the lag grows with it for ratios above 1, so the whole
-    product isn't needed: least and greatest depth decide, and those are one row.
+    product isn't needed: least and greatest depth decide, and those are one row. A missing depth, or no
+    point at all, rejects all scenarios.
     """
-    ends = points.agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"))
+    ends = points.agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"), (F.count(depth) < F.greatest(F.count("*"), F.lit(1))).alias("_missing"))
     both = grid.crossJoin(ends)
     short = F.least(lag_squared(F.col("_lo")), lag_squared(F.col("_hi"))) <= 0
-    reason = F.when(F.col("ratio") * F.greatest("_lo", "_hi") > max_warp, CEILING).when(short, REACH)
+    reason = F.when(F.col("_missing"), NO_DEPTH).when(F.col("ratio") * F.greatest("_lo", "_hi") > max_warp, CEILING).when(short, REACH)
     return both.select("scenario_id", "ratio", "spread", reason.isNull().alias("accepted"), reason.alias("rejection_reason"))
 
 
-def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, clump_offset: float = 0.0) -> DataFrame:
-    """(scenario_id, mmsi, event_id, component, x, y) for accepted scenarios.
+def swept_points(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, depth_offset: float = 0.0) -> DataFrame:
+    """Every point of tow for every scenario, with its lag, the place there on the path, and why it has no gear, if so.
+
+    tow has mmsi, event_id, us, s (chainage), x, y and depth, to which depth_offset is added; path has the
+    segments of the same tows. The depth is per point, before the grid multiplies the rows; the grid, a few
+    hundred rows by its parameters, is left to the planner's own limit for broadcasts.
+    """
+    swept = tow.crossJoin(grid).withColumn("_lag", F.sqrt(lag_squared(F.col("depth") + depth_offset))).where("_lag > 0")
+    found = interpolate(swept.withColumn("_at", F.col("s") - F.col("_lag")), path, "_at", width, keep=True)
+    found = found.withColumn("_chord", length(F.col("x") - F.col("ix"), F.col("y") - F.col("iy")))
+    return found.withColumn("reason", F.when(F.col("ix").isNull(), OFF_PATH).when(F.col("_chord") < 1, SHORT_CHORD))
+
+
+def gear_failures(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, depth_offset: float = 0.0) -> DataFrame:
+    """(scenario_id, mmsi, event_id, reason) of the points that gear_positions has no rows for."""
+    return swept_points(tow, path, grid, width, depth_offset).where("reason is not null").select("scenario_id", "mmsi", "event_id", "reason")
+
+
+def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, clump_offset: float = 0.0, depth_offset: float = 0.0) -> DataFrame:
+    """(scenario_id, mmsi, event_id, us, component, x, y) for the scenarios of grid, the accepted ones.
 
-    tow has mmsi, event_id, s (chainage), x, y and depth; path has the segments of the same tows. The
-    depth is per point, before the grid multiplies the rows; the grid is broadcast (a few hundred
-    rows by its parameters). Points whose lag reaches before the start of their path are left out.
+    Points that gear_failures lists have no rows; a result is whole only if there are none.
     """
-    swept = tow.crossJoin(F.broadcast(grid)).withColumn("_lag", F.sqrt(lag_squared(F.col("depth")))).where("_lag > 0")
-    found = interpolate(swept.withColumn("_at", F.col("s") - F.col("_lag")), path, "_at", width)
-    chord = length(F.col("x") - F.col("ix"), F.col("y") - F.col("iy"))
-    found = found.withColumn("_chord", chord).where("_chord >= 1")
+    found = swept_points(tow, path, grid, width, depth_offset).where("reason is null")
     found = found.withColumn("_ux", (F.col("x") - F.col("ix")) / F.col("_chord")).withColumn("_uy", (F.col("y") - F.col("iy")) / F.col("_chord"))
     found = found.withColumn("_cx", F.col("x") - F.col("_lag") * F.col("_ux")).withColumn("_cy", F.col("y") - F.col("_lag") * F.col("_uy"))
     half = F.col("spread") / 2
@@ -58,12 +78,24 @@ def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: floa
         return F.struct(F.lit(name).alias("component"), px.alias("px"), py.alias("py"))
 
     parts = F.array(place("port_door", half, 0.0), place("starboard_door", -half, 0.0), place("centre_clump", F.lit(0.0), clump_offset))
-    return found.select("scenario_id", "mmsi", "event_id", F.explode(parts).alias("p")).select("scenario_id", "mmsi", "event_id", "p.component", F.col("p.px").alias("x"), F.col("p.py").alias("y"))
+    return found.select("scenario_id", "mmsi", "event_id", "us", F.explode(parts).alias("p")).select("scenario_id", "mmsi", "event_id", "us", "p.component", F.col("p.px").alias("x"), F.col("p.py").alias("y"))
 
 
-def closure_errors(doors: DataFrame, rtol: float = 1e-5, atol: float = 1e-6) -> DataFrame:
-    """Rows of (got, wanted) that differ by more than atol + rtol * |wanted|."""
-    return doors.where(F.abs(F.col("got") - F.col("wanted")) > atol + rtol * F.abs("wanted"))
+def component_steps(positions: DataFrame) -> DataFrame:
+    """Steps (t0, t1, x0, y0, x1, y1) of each part of the gear, by scenario and vessel."""
+    steps = consecutive(positions, ["scenario_id", "mmsi", "component"], ["us", "event_id"], ["us", "x", "y"])
+    return steps.withColumnsRenamed({"us0": "t0", "us1": "t1"})
+
+
+def door_distances(positions: DataFrame) -> DataFrame:
+    """(scenario_id, mmsi, event_id, got): how far apart the two doors are, one grouping of the positions."""
+    at = lambda name, c: F.max(F.when(F.col("component") == name, F.col(c)))
+    apart = length(*(at("port_door", c) - at("starboard_door", c) for c in "xy"))
+    return positions.groupBy("scenario_id", "mmsi", "event_id").agg(apart.alias("got"))
+
+
+def differs_much(got: Column, wanted: Column, rtol: float = 1e-5, atol: float = 1e-6) -> Column:
+    return F.abs(got - wanted) > atol + rtol * F.abs(wanted)
 
 
 def reference_case(status: DataFrame) -> DataFrame:
@@ -90,7 +122,3 @@ def result_matrix(status: DataFrame, components: DataFrame) -> DataFrame:
     cell = F.concat_ws(":", F.col("spread").cast("int").cast("string"), F.col("accepted").cast("string"), F.array_join("names", "+"))
     cells = F.transform(F.array_sort(F.collect_list(F.struct("spread", cell.alias("cell")))), lambda s: s["cell"])
     return full.groupBy("ratio").agg(F.array_join(cells, ";").alias("cells"))
-
-
-def in_order(df: DataFrame, *keys: str) -> Column:
-    return F.row_number().over(Window.orderBy(*keys))

@@ -13,10 +13,11 @@ def length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def consecutive(points: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+def consecutive(points: DataFrame, key: str | list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Pairs of a point and the next one of its key: each column as <name>0 and <name>1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    pairs = points.select(key, *(F.col(c).alias(f"{c}0") for c in columns), *(F.lead(c).over(w).alias(f"{c}1") for c in columns), F.lead(F.lit(True)).over(w).alias("_more"))
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy(*order)
+    pairs = points.select(*keys, *(F.col(c).alias(f"{c}0") for c in columns), *(F.lead(c).over(w).alias(f"{c}1") for c in columns), F.lead(F.lit(True)).over(w).alias("_more"))
     return pairs.where("_more").drop("_more")
 
 
@@ -45,7 +46,7 @@ def tow_points(points: DataFrame, offset: float, vx: str = "vx", vy: str = "vy")
     return points.withColumn("tow_x", aft("x", vx)).withColumn("tow_y", aft("y", vy))
 
 
-def range_join(probes: DataFrame, intervals: DataFrame, key: str, value: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(probes: DataFrame, intervals: DataFrame, key: str, value: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
     """probes with the intervals of their key where low <= value < high, as an equi-join on buckets.
 
     An interval is listed in every bucket of ``width`` that it touches, a probe in its own, so work
@@ -53,16 +54,17 @@ def range_join(probes: DataFrame, intervals: DataFrame, key: str, value: str, lo
     """
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
     listed = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    placed = probes.withColumn("_bucket", bucket(value))
-    return placed.join(listed, [key, "_bucket"]).where((F.col(low) <= F.col(value)) & (F.col(value) < F.col(high))).drop("_bucket")
+    listed = listed.withColumnsRenamed({key: "_key", "_bucket": "_in"})
+    met = (F.col(key) == F.col("_key")) & (bucket(value) == F.col("_in")) & (F.col(low) <= F.col(value)) & (F.col(value) < F.col(high))
+    return probes.join(listed, met, how).drop("_key", "_in")
 
 
-def interpolate(probes: DataFrame, path: DataFrame, value: str, width: float) -> DataFrame:
-    """probes with (ix, iy), the path's place at chainage ``value``; probes off the path are left out.
+def interpolate(probes: DataFrame, path: DataFrame, value: str, width: float, keep: bool = False) -> DataFrame:
+    """probes with (ix, iy), the path's place at chainage ``value``; those off the path are left out, or null if kept.
 
     path has mmsi, s0, s1, x0, y0, x1, y1 for each segment.
     """
-    hit = range_join(probes, path, "mmsi", value, "s0", "s1", width)
+    hit = range_join(probes, path, "mmsi", value, "s0", "s1", width, "left" if keep else "inner")
     part = (F.col(value) - F.col("s0")) / (F.col("s1") - F.col("s0"))
     along = lambda a, b: F.col(a) + part * (F.col(b) - F.col(a))
     return hit.withColumn("ix", along("x0", "x1")).withColumn("iy", along("y0", "y1")).drop("s0", "s1", "x0", "y0", "x1", "y1")
