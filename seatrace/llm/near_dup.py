@@ -17,7 +17,8 @@ very common values fall out at the end.
    is nearly one component after that, without a pair for each two of its members.
 3. Long lists that still hold several components: their members bring their sketches, and a member
    stays if it has enough retained values in common with one of another component. Lists of more than a slot's
-   members are cut into pairs of slots for that, so no list is one task's group. Then a node's home is
+   members are cut into pairs of slots for that, so no list is one task's group; the members of its main
+   component meet the others only. Then a node's home is
    the longest list that it stays in, and two homes meet if a list has members of both. The nodes of
    a home are dealt into slots of bounded size, those of the home's main component apart. Two slots of
    homes that meet are one tile, a task's group: there all overlaps of full sets come from one sparse
@@ -212,12 +213,17 @@ def likely_members(lists: DataFrame, parts: DataFrame, nodes: DataFrame, percent
     smaller need of the two says.
     """
     named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
+    counts = named.groupBy("value", "part").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("value").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all")).where("all > main.c")
+    slots_of = lambda c: F.ceil(c / SLOT_NODES).cast("int")
+    mixed = mixed.select("value", F.col("main.part").alias("main"), slots_of(F.col("all") - F.col("main.c")).alias("others"), slots_of(F.col("main.c")).alias("mains"))
     several = scratch(named.join(mixed, "value"), "several")
     own = scratch(nodes.select("node", "sketch").join(sized(several.select("node").distinct()), "node", "left_semi"), "own")
-    slots = F.ceil(F.col("size") / SLOT_NODES).cast("int")
-    slot = F.pmod(F.xxhash64("node"), slots).cast("int")
-    rows = several.withColumn("i", slot).withColumn("j", F.explode(F.sequence(F.lit(0), slots - 1)))
+    # A list's main part has slots of its own, which meet those of the other members only.
+    is_main, deal = F.col("part") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    slot = F.when(is_main, F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others")))
+    met = F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    rows = several.withColumn("i", slot).withColumn("j", F.explode(met))
     rows = rows.select("value", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).alias("second"), "node", "n", "part", least_overlap(F.col("n"), percent, k).alias("need"))
 
     def stay(tile: pa.Table) -> pa.Table:
@@ -231,7 +237,7 @@ def likely_members(lists: DataFrame, parts: DataFrame, nodes: DataFrame, percent
         return tile.select(["value", "node"]).take(pa.array(kept))
 
     stays = rows.join(own, "node").groupBy("value", "a", "b").applyInArrow(stay, "value long, node long").distinct()
-    members = scratch(several.join(stays, ["value", "node"]), "likely_members")
+    members = scratch(several.join(stays, ["value", "node"]).select("value", "size", "node", "n", "part"), "likely_members")
     discard(several, own)
     return members
 
