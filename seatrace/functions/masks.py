@@ -1,4 +1,8 @@
-"""Lines from rasterised masks: the largest connected part of a tile, its centreline, and stitching."""
+"""Lines from rasterised masks: the largest connected part of a tile, its centreline, and stitching.
+
+Edge cases: a null alpha is no mask; a tile whose part has fewer than two columns gives no line; an empty table
+gives no rows; pieces of fewer than two points are left out, and a line without any other has no points.
+"""
 
 from __future__ import annotations
 
@@ -60,7 +64,7 @@ def tile_centrelines(cells: DataFrame) -> DataFrame:
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(rows["row"].max()) + 1, int(rows["col"].max()) + 1), np.int64)
-        image[rows["row"], rows["col"]] = rows["alpha"]
+        image[rows["row"], rows["col"]] = rows["alpha"].fillna(0)
         line = centreline(image)
         return pd.DataFrame({"tile": key[0], "col": [c for c, _ in line], "centre": [r for _, r in line]})
 
@@ -70,6 +74,8 @@ def tile_centrelines(cells: DataFrame) -> DataFrame:
 def stitch(pieces: list[np.ndarray], gap: float) -> np.ndarray:
     """One line of pieces: from the smallest end on, always the piece with the nearest end next."""
     rest = [p for p in pieces if len(p) > 1]
+    if not rest:
+        return np.zeros((0, 2))
     first = min(range(len(rest)), key=lambda k: min(tuple(rest[k][0]), tuple(rest[k][-1])))
     line = rest.pop(first)
     if tuple(line[-1]) < tuple(line[0]):
@@ -88,7 +94,7 @@ def stitch_lines(pieces: DataFrame, gap: float) -> DataFrame:
     """(cable_id, seq, x, y) of pieces (cable_id, piece, points): one group per cable, tens of pieces."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.array([(p["x"], p["y"]) for p in points]) for points in rows.sort_values("piece")["points"]]
+        parts = [np.array([(p["x"], p["y"]) for p in points]).reshape(-1, 2) for points in rows.sort_values("piece")["points"]]
         line = stitch(parts, gap)
         return pd.DataFrame({"cable_id": key[0], "seq": np.arange(len(line)), "x": line[:, 0], "y": line[:, 1]})
 

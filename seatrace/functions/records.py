@@ -43,3 +43,13 @@ def hour_records(reports: DataFrame, column: str) -> DataFrame:
             yield pd.DataFrame({"gear": [r.get("geartype") for r in found], "hours": [float(r["hours"]) for r in found], "vessel_id": [r.get("vesselId") for r in found]}, dtype=object)
 
     return reports.select(column).mapInPandas(rows, "gear string, hours double, vessel_id string")
+
+
+def datasets(reports: DataFrame, column: str, prefix: str = DATASET) -> DataFrame:
+    """(dataset), the distinct keys in the reports' JSON that start with prefix; null reports have none."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"dataset": sorted({k for text in batch[column] if text for k in find_datasets(json.loads(text), prefix)})}, dtype=object)
+
+    return reports.select(column).mapInPandas(rows, "dataset string").distinct()

@@ -1,4 +1,8 @@
-"""Cleaning of position reports: choosing one report per time, islands of repeats, speed outliers."""
+"""Cleaning of position reports: choosing one report per time, islands of repeats, speed outliers.
+
+Nulls: a report without a type ranks last, null coordinates equal each other in islands, and a speed that
+can't be worked out (a null, or equal times) is no jump. Empty tables give no rows, or counts of 0.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Aggregates of catch reports, density cells, fishing effort and metric tables."""
+"""Aggregates of catch reports, density cells, fishing effort and metric tables.
+
+Nulls: a null meets no condition and differs from every value; points without coordinates share the cell null;
+empty tables give counts of 0, sums of 0 hours, and no cells, duplicates or hashes.
+"""
 
 from __future__ import annotations
 
@@ -41,23 +45,34 @@ def density_cells(points: DataFrame, size: float) -> DataFrame:
     return points.groupBy(F.rint(F.col("x") / size).cast("long").alias("gx"), F.rint(F.col("y") / size).cast("long").alias("gy")).agg(F.count("*").alias("n"))
 
 
-def top_two_cells(cells: DataFrame) -> DataFrame:
-    """The two densest cells, labelled west and east by gx (then gy); ties in density by gx, gy."""
+def top_two_cells(cells: DataFrame, required: bool = False) -> DataFrame:
+    """The two densest cells, labelled west and east by gx (then gy); ties in density by gx, gy.
+
+    If two are required, one alone is an error when it is read.
+    """
     top = cells.orderBy(F.desc("n"), "gx", "gy").limit(2)
     side = F.row_number().over(Window.orderBy("gx", "gy"))
-    return top.withColumn("label", F.when(side == 1, "west").otherwise("east"))
+    label = F.when(side == 1, "west").otherwise("east")
+    if required:
+        both = F.count("*").over(Window.partitionBy()) == 2
+        label = F.when(both, label).otherwise(F.raise_error(F.lit("fewer than two occupied cells")).cast("string"))
+    return top.withColumn("label", label)
+
+
+#: Gear type of trawlers in effort reports. Fixed value.
+TRAWLERS = "TRAWLERS"
 
 
 def effort_summary(records: DataFrame) -> DataFrame:
     """One row: hours of trawlers to one decimal, of all gear, and vessels of each; empty ids don't count.
 
-    records has gear, hours and vessel_id.
+    records has gear, hours and vessel_id; without any there are 0 hours.
     """
-    trawler = F.col("gear") == "trawlers"
+    trawler = F.col("gear") == TRAWLERS
     vessel = F.nullif(F.col("vessel_id"), F.lit(""))
     return records.agg(
-        F.round(F.sum(F.when(trawler, F.col("hours"))), 1).alias("trawler_hours"),
-        F.sum("hours").alias("all_hours"),
+        F.round(F.coalesce(F.sum(F.when(trawler, F.col("hours"))), F.lit(0.0)), 1).alias("trawler_hours"),
+        F.coalesce(F.sum("hours"), F.lit(0.0)).alias("all_hours"),
         F.countDistinct(F.when(trawler, vessel)).alias("trawlers"),
         F.countDistinct(vessel).alias("vessels"),
     )
@@ -77,9 +92,31 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def current_runs(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The runs (run_id and more) that the metric table names, with its other columns."""
+    return runs.join(metrics.distinct(), "run_id")
+
+
+def exactly_one(df: DataFrame, what: str) -> DataFrame:
+    """df's one row; none, or more, is an error when it is read."""
+    two = df.limit(2)
+    n = two.agg(F.count("*").alias("_n"))
+    message = F.concat(F.lit(f"expected one {what}, found "), F.when(F.col("_n") == 0, "none").otherwise("several"))
+    # From the side of the count, so that an empty df has a row to fail.
+    checked = n.withColumn("_ok", F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).where("_ok")
+    return checked.join(two.withColumn("_ok", F.lit(True)), "_ok", "left").select(*df.columns)
+
+
 def current_run(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The runs that the metric table names; more or fewer than one is for the caller to refuse."""
-    return runs.join(metrics.select("run_id").distinct(), "run_id")
+    """The one run that the metric table names; another number of runs is an error."""
+    return exactly_one(current_runs(runs, metrics.select("run_id")).distinct(), "current run")
+
+
+def same_run(metrics: DataFrame, run_id: str, config_sha256: str) -> DataFrame:
+    """metrics (name, value, run_id, config_sha256) as (name, value); one of another run is an error when it is read."""
+    ok = F.col("run_id").eqNullSafe(F.lit(run_id)) & F.col("config_sha256").eqNullSafe(F.lit(config_sha256))
+    stale = F.raise_error(F.concat(F.lit("not of the current run: "), "name")).cast("string")
+    return metrics.select(F.when(ok, F.col("name")).otherwise(stale).alias("name"), "value")
 
 
 def manifest_hash(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:

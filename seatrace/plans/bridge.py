@@ -72,6 +72,16 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", (6 + (k % 600) / 50).alias("lon"), (76 + (k % 300) / 100).alias("lat"))
 
 
+def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mmsi, us, longitude, latitude, lon, lat, speed, course): some without a speed."""
+    k = F.col("event_id")
+    lon, lat, speed = 9 + k % 7 / 10, 78 + k % 5 / 10, F.when(k % 11 != 0, k % 5 / 4)
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("mmsi"), micros("ts").alias("us"), lon.alias("longitude"), lat.alias("latitude"), lon.alias("lon"), lat.alias("lat"),
+        speed.alias("speed"), F.col("value").alias("course"),
+    )
+
+
 #: The same stand-ins as SQL, to be put before a query.
 TRACK_SQL = """track AS (SELECT user_id AS mmsi, ts, epoch_us(ts) AS us, event_id,
   CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 100 AS x,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seatrace.functions import geodesy, masks, records
 from seatrace.functions.spline import smooth_whole_tracks
-from seatrace.operators import crossings, gear, paths, positions, raster, summaries
+from seatrace.operators import crossings, gear, paths, positions, provenance, raster, summaries, validation
 from seatrace.plans import bridge
 from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TRACK_SQL, table
 
@@ -163,10 +163,20 @@ def speed_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir).select("mmsi", "event_id")
 
 
-@query(f"WITH {ISLANDS_SQL}, k AS (SELECT * FROM islands QUALIFY size < 4) SELECT CAST((SELECT count(*) FROM events) AS BIGINT) AS source_positions, CAST((SELECT count(*) FROM islands) AS BIGINT) AS position_groups, CAST((SELECT count(*) FROM k) AS BIGINT) AS kept_positions, CAST((SELECT count(*) FROM islands) - (SELECT count(*) FROM k) AS BIGINT) AS rejected_positions".replace("QUALIFY", "WHERE"))
+QUALITY_SQL = f"""{ISLANDS_SQL}, jumps AS (SELECT *, abs(x - lag(x) OVER v) / (abs(us - lag(us) OVER v) / 1e6) AS v0, abs(x - lead(x) OVER v) / (abs(us - lead(us) OVER v) / 1e6) AS v1,
+  count(*) OVER (PARTITION BY mmsi) AS n FROM islands WINDOW v AS (PARTITION BY mmsi ORDER BY us, island)),
+good AS (SELECT * FROM jumps WHERE NOT coalesce(v0 > 0.0002 AND v1 > 0.0002 AND n >= 4, false))"""
+
+
+@query(
+    f"WITH {QUALITY_SQL} SELECT CAST((SELECT count(*) FROM events) AS BIGINT) AS source_positions, CAST((SELECT count(*) FROM islands) AS BIGINT) AS position_groups, "
+    "CAST((SELECT count(*) FROM good) AS BIGINT) AS kept_positions, CAST((SELECT count(*) FROM islands) - (SELECT count(*) FROM good) AS BIGINT) AS rejected_positions"
+)
 def track_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    islands = _islands(spark, sf_dir)
-    return positions.track_quality(table(spark, sf_dir, "events"), islands, islands.where("size < 4"))
+    """Positions, groups of repeats, and groups that isolated jumps reject."""
+    islands = _islands(spark, sf_dir).withColumn("t", F.col("us") / 1e6)
+    kept = positions.drop_speed_outliers(islands, 0.0002, ["us", "island"])
+    return positions.track_quality(table(spark, sf_dir, "events"), islands, kept)
 
 
 @query("""WITH c AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN '25' ELSE '21' END AS area, printf('%02d', l_linenumber) AS location, year(l_shipdate) AS year, month(l_shipdate) AS month,
@@ -359,10 +369,18 @@ def crossing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.crossing_metrics(_gear_crossings(spark, sf_dir), *FAILURE)
 
 
-# Names under which earlier rounds registered the queries over all points and vessels, as all of these are now.
-for _f in (scenario_status, scenario_counts, reference_case, missing_scenarios, gear_positions, result_matrix):
-    QUERIES[f"whole_{_f.__name__}"] = _f
-    ORACLE_SQL[f"whole_{_f.__name__}"] = ORACLE_SQL[_f.__name__]
+def also_named(name: str, f: Query) -> Query:
+    """Register f under a second name, under which an earlier form without SQL was known."""
+    QUERIES[name], ORACLE_SQL[name] = f, ORACLE_SQL[f.__name__]
+    return f
+
+
+whole_scenario_status = also_named("whole_scenario_status", scenario_status)
+whole_scenario_counts = also_named("whole_scenario_counts", scenario_counts)
+whole_reference_case = also_named("whole_reference_case", reference_case)
+whole_missing_scenarios = also_named("whole_missing_scenarios", missing_scenarios)
+whole_gear_positions = also_named("whole_gear_positions", gear_positions)
+whole_result_matrix = also_named("whole_result_matrix", result_matrix)
 
 
 DEPTH_SQL = """points AS (SELECT event_id, event_id % 6500 / 100 + 0.25 AS px, event_id % 501 + 0.75 AS py FROM events),
@@ -400,8 +418,7 @@ def slope_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("centre_row", "centre_col", *(whole(F.col(c), 1_000_000).alias(f"{c}_u") for c in ("median", "least", "greatest")), "cells")
 
 
-QUERIES["whole_slope_neighbourhood"] = slope_neighbourhood
-ORACLE_SQL["whole_slope_neighbourhood"] = ORACLE_SQL["slope_neighbourhood"]
+whole_slope_neighbourhood = also_named("whole_slope_neighbourhood", slope_neighbourhood)
 
 
 @query(f"WITH {RASTER_SQL} SELECT col, {mm_sql('CAST(sum(row * elevation) AS DOUBLE) / sum(elevation)', 'centre_mm')} FROM cells WHERE elevation > 0 AND col % 4 = 0 GROUP BY col")
@@ -423,11 +440,11 @@ def density_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.top_two_cells(summaries.density_cells(bridge.track(spark, sf_dir), 100.0))
 
 
-@query("""WITH r AS (SELECT CASE WHEN event_type = 'purchase' THEN 'trawlers' ELSE event_type END AS gear, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS hours, CASE WHEN user_id % 10 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS vessel FROM events)
-SELECT CAST(sum(CASE WHEN gear = 'trawlers' THEN hours END) AS DOUBLE) AS trawler_hours, CAST(sum(hours) AS DOUBLE) AS all_hours, CAST(count(DISTINCT CASE WHEN gear = 'trawlers' THEN nullif(vessel, '') END) AS BIGINT) AS trawlers, CAST(count(DISTINCT nullif(vessel, '')) AS BIGINT) AS vessels FROM r""")
+@query("""WITH r AS (SELECT CASE WHEN event_type = 'purchase' THEN 'TRAWLERS' ELSE event_type END AS gear, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS hours, CASE WHEN user_id % 10 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS vessel FROM events)
+SELECT CAST(sum(CASE WHEN gear = 'TRAWLERS' THEN hours END) AS DOUBLE) AS trawler_hours, CAST(sum(hours) AS DOUBLE) AS all_hours, CAST(count(DISTINCT CASE WHEN gear = 'TRAWLERS' THEN nullif(vessel, '') END) AS BIGINT) AS trawlers, CAST(count(DISTINCT nullif(vessel, '')) AS BIGINT) AS vessels FROM r""")
 def effort_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "user_id", "props")
-    gear_name = F.when(F.col("event_type") == "purchase", "trawlers").otherwise(F.col("event_type"))
+    gear_name = F.when(F.col("event_type") == "purchase", "TRAWLERS").otherwise(F.col("event_type"))
     vessel = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string"))
     return summaries.effort_summary(events.select(gear_name.alias("gear"), F.get_json_object("props", "$.k").cast("double").alias("hours"), vessel.alias("vessel_id")))
 
@@ -444,7 +461,7 @@ def nested_effort_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_run_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("run_id"))
     named = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("run_id"), "c_mktsegment")
-    return summaries.current_run(runs, named).join(named.distinct(), "run_id").select("o_orderkey", "run_id", "c_mktsegment")
+    return summaries.current_runs(runs, named).select("o_orderkey", "run_id", "c_mktsegment")
 
 
 @query("SELECT 'orders.' || o_orderpriority AS name, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY 1 UNION ALL SELECT 'customers.' || c_mktsegment, CAST(count(*) AS VARCHAR) FROM customer GROUP BY 1")
@@ -576,6 +593,86 @@ def local_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", whole(F.col("p.x"), 100).alias("x_cm"), whole(F.col("p.y"), 100).alias("y_cm"))
 
 
+SLOW_SQL = """slow AS (SELECT 9 + event_id % 7 / 10 AS lon, 78 + event_id % 5 / 10 AS lat FROM events WHERE CASE WHEN event_id % 11 <> 0 THEN event_id % 5 / 4 END <= 0.5)"""
+
+
+def _clusters_sql() -> str:
+    e = 2 * geodesy.N**0.5 / (1 + geodesy.N)
+    scale = geodesy.UTM_SCALE * geodesy.RECTIFYING
+    east = " + ".join(["eta", *(f"{a!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(geodesy.ALPHA, 1))])
+    north = " + ".join(["xi", *(f"{a!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(geodesy.ALPHA, 1))])
+    xi = " - ".join(["xi", *(f"{b!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, b in enumerate(geodesy.BETA, 1))])
+    eta = " - ".join(["eta", *(f"{b!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, b in enumerate(geodesy.BETA, 1))])
+    lat = " + ".join(["chi", *(f"{d!r} * sin({2 * k} * chi)" for k, d in enumerate(geodesy.DELTA, 1))])
+    return f"""WITH {SLOW_SQL}, s AS (SELECT radians(lon - 15) AS lam, sin(radians(lat)) AS sp FROM slow), t AS (SELECT *, sinh(atanh(sp) - {e!r} * atanh({e!r} * sp)) AS t FROM s),
+    p AS (SELECT atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+    g AS (SELECT CAST(round_even(({geodesy.UTM_EAST} + {scale!r} * ({east})) / 1000, 0) AS BIGINT) AS gx, CAST(round_even({scale!r} * ({north}) / 1000, 0) AS BIGINT) AS gy, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2),
+    top AS (SELECT *, row_number() OVER (ORDER BY gx, gy) AS k FROM (SELECT * FROM g ORDER BY n DESC, gx, gy LIMIT 2)),
+    q AS (SELECT k, n, gy * 1000 / {scale!r} AS xi, (gx * 1000 - {geodesy.UTM_EAST}) / {scale!r} AS eta FROM top), r AS (SELECT k, n, {xi} AS xi, {eta} AS eta FROM q),
+    c AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM r)
+    SELECT CASE WHEN k = 1 THEN 'west' ELSE 'east' END AS label, {mm_sql('degrees(atan2(sinh(eta), cos(xi))) + 15', 'lon_u', 1_000_000)}, {mm_sql(f'degrees({lat})', 'lat_u', 1_000_000)}, n FROM c"""
+
+
+@query(_clusters_sql())
+def dwell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two cells of a kilometre where slow vessels stay most."""
+    found = validation.dwell_clusters(bridge.speeds(spark, sf_dir), 0.5, 1000.0)
+    return found.select("label", whole(F.col("lon"), 1_000_000).alias("lon_u"), whole(F.col("lat"), 1_000_000).alias("lat_u"), "n")
+
+
+@query()
+def spatial_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate against a surveyed line, the slow clusters and a core."""
+    line = bridge.cable(spark, sf_dir).select(F.col("cable_id").alias("line_id"), "seq", (9 + F.col("x") / 10_000).alias("lon"), (78 + F.col("y") / 10_000).alias("lat"))
+    return validation.spatial_validation(line, validation.dwell_clusters(bridge.speeds(spark, sf_dir), 0.5, 1000.0), 9.2, 78.1, (9.94, 78.19))
+
+
+@query(f"WITH {TRACK_SQL}, {STEPS_SQL}, {CABLE_SQL}, {HITS_SQL} SELECT mmsi, {mm_sql('(min(t) - epoch_us(TIMESTAMP ' + repr(FAILURE[0]) + ')) / 3.6e9', 'delay_u', 1_000)}, CAST(count(DISTINCT CAST(floor(t) AS BIGINT)) AS BIGINT) AS times FROM crossed GROUP BY mmsi")
+def crossing_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours from the failure's start to each vessel's first crossing, and its number of distinct times."""
+    hits = _crossings(spark, sf_dir)
+    times = validation.crossing_times(hits, ["mmsi"]).groupBy("mmsi").agg(F.count("*").alias("times"))
+    first = hits.groupBy("mmsi").agg(F.min("t").alias("t"))
+    return first.join(times, "mmsi").select("mmsi", mm(validation.delay_hours(F.col("t"), f"{FAILURE[0]} 00:00:00")).alias("delay_u"), "times")
+
+
+@query("SELECT event_type AS dataset_id, CAST(count(*) AS BIGINT) AS positions, CAST(count(DISTINCT user_id) AS BIGINT) AS vessels, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_id"), F.col("user_id").alias("mmsi"), "ts")
+    return provenance.ingest_summary(rows)
+
+
+@query("""WITH w AS (SELECT DISTINCT user_id AS mmsi, date_trunc('day', ts) AS a FROM events),
+p AS (SELECT mmsi, a, '{"end":"' || strftime(a + INTERVAL 1 DAY, '%Y%m%d%H%M') || '","minSpeed":0.5,"mmsiIds":[' || mmsi || '],"start":"' || strftime(a, '%Y%m%d%H%M') || '"}' AS payload FROM w)
+SELECT mmsi, CAST(a AS DATE) AS day, payload, substr(sha256('ais/positions/for-mmsis-time:' || payload), 1, 16) AS request_id FROM p""")
+def position_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request of each vessel and day, with its canonical payload and id."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    windows = table(spark, sf_dir, "events").select(F.col("user_id").alias("mmsi"), day.alias("a")).distinct().withColumn("b", F.col("a") + F.expr("INTERVAL 1 DAY"))
+    return provenance.position_requests(windows, 0.5).select("mmsi", F.col("a").cast("date").alias("day"), "payload", "request_id")
+
+
+@query("""WITH v AS (SELECT min(200 * n_nationkey) - 50 AS x0, max(200 * n_nationkey) + 50 AS x1, min(20 * ((n_nationkey * 7) % 5 - 2)) - 50 AS y0, max(20 * ((n_nationkey * 7) % 5 - 2)) + 50 AS y1 FROM nation)
+SELECT CAST(x0 + i * 300 AS DOUBLE) AS minx, CAST(y0 + j * 300 AS DOUBLE) AS miny, CAST(least(x0 + i * 300 + 300, x1) AS DOUBLE) AS maxx, CAST(least(y0 + j * 300 + 300, y1) AS DOUBLE) AS maxy
+FROM v, unnest(range(0, 100)) AS a(i), unnest(range(0, 100)) AS b(j) WHERE x0 + i * 300 < x1 AND y0 + j * 300 < y1""")
+def tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 300 m that cover the cable and 50 m around it."""
+    return validation.tile_plan(validation.bounds_around(bridge.cable(spark, sf_dir), 50.0), 300.0)
+
+
+@query()
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of each vessel's positions in order."""
+    return provenance.content_hashes(bridge.speeds(spark, sf_dir), b"positions-v1\0")
+
+
+@query(f"""WITH {RASTER_SQL}, l AS (SELECT row, sha256(string_agg(CAST(elevation AS VARCHAR), ',' ORDER BY col)) AS h, min(elevation) AS a, max(elevation) AS b FROM cells GROUP BY row)
+SELECT count(*) = (SELECT count(*) FROM embeddings) AS complete, min(a) AS least, max(b) AS greatest, sha256(string_agg(h, ',' ORDER BY row)) AS sha256 FROM l""")
+def raster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the raster is whole, its range and a hash."""
+    return provenance.raster_report(bridge.raster(spark, sf_dir), table(spark, sf_dir, "embeddings").count(), 64)
+
+
 @query(f"WITH {PLACES_SQL} SELECT c_custkey, {mm_sql('lon', 'lon_u', 1_000_000)}, {mm_sql('lat', 'lat_u', 1_000_000)} FROM places")
 def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places through the local projection and UTM and back."""

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatrace.operators.summaries import exactly_one, same_run
+
 POINTER = "CURRENT"  # names that begin with _ are hidden from readers
 
 
@@ -29,21 +31,92 @@ def require_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     return df
 
 
+def require_table(spark: SparkSession, name: str) -> DataFrame:
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"table {name} is missing")
+    return spark.table(name)
+
+
+def ensure_tables(spark: SparkSession, schemas: dict[str, str]) -> None:
+    """Make the tables that don't exist; one that does must have the columns of its schema."""
+    for name, schema in schemas.items():
+        if spark.catalog.tableExists(name):
+            require_columns(spark.table(name), spark.createDataFrame([], schema).columns)
+        else:
+            spark.createDataFrame([], schema).write.saveAsTable(name)
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str) -> None:
     """Write all tables of a run, then name it in one pointer file, so a reader never sees tables of two runs.
 
-    While the pointer is replaced there is none for a moment; a reader then fails and can try again.
+    The pointer is replaced by one rename over it, so there is always one.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{run_id}/{name}")
-    fs, path = _file_system(spark, root)
-    part, pointer = path(f"{root}/{POINTER}.part"), path(f"{root}/{POINTER}")
+    write_text(spark, f"{root}/{POINTER}", run_id)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: beside its place first, then renamed over what is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    fs, at = _file_system(spark, path)
+    part = at(f"{path}.part")
     out = fs.create(part, True)
-    out.write(bytearray(run_id.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(part, pointer):
-        raise OSError(f"{POINTER} of {root} could not be replaced")
+    rename = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(part.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, at(path), rename)
+
+
+def write_report(spark: SparkSession, document: dict, path: str) -> None:
+    write_text(spark, path, json.dumps(document, indent=2, sort_keys=True) + "\n")
+
+
+#: Rows of a table that a document may hold; the driver makes documents.
+DOCUMENT_ROWS = 100_000
+
+
+def _small(df: DataFrame, what: str) -> list[dict]:
+    rows = df.limit(DOCUMENT_ROWS + 1).collect()
+    if len(rows) > DOCUMENT_ROWS:
+        raise ValueError(f"a document holds {DOCUMENT_ROWS} {what} at most")
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def publication_document(run: DataFrame, metrics: DataFrame, matrix: DataFrame) -> dict:
+    """provenance, metrics (nested by their dotted names) and result matrix of one run.
+
+    run is one row with run_id, config_sha256 and whatever else names its inputs; metrics has name, value
+    (JSON), run_id and config_sha256, all of that run; matrix has ratio and cells.
+    """
+    own = _small(exactly_one(run, "run"), "runs")[0]
+    values = _small(same_run(metrics, own["run_id"], own["config_sha256"]), "metrics")
+    if not values:
+        raise ValueError("metrics are missing")
+    return {
+        "provenance": {k: v for k, v in own.items() if v is not None},
+        "metrics": nested({m["name"]: json.loads(m["value"]) for m in values}),
+        "result_matrix": sorted(_small(matrix, "rows of the matrix"), key=lambda r: r["ratio"]),
+    }
+
+
+def playback_document(published: dict, run_id: str, crossings: DataFrame, frames: DataFrame) -> dict:
+    """Crossings within the failure's interval and the frames to replay, coordinates to the millimetre, half to even.
+
+    crossings has scenario_id, component, t, cx, cy and inside; frames has component, t, x and y. The run must
+    be the published one.
+    """
+    if published["provenance"]["run_id"] != run_id:
+        raise ValueError("the replay is not of the published run")
+    inside = crossings.where("inside").select("scenario_id", "component", "t", F.bround("cx", 3).alias("x"), F.bround("cy", 3).alias("y"))
+    places = frames.select("component", "t", F.bround("x", 3).alias("x"), F.bround("y", 3).alias("y"))
+    by = lambda *keys: lambda r: tuple(r[k] for k in keys)
+    return {
+        "provenance": {"run_id": run_id},
+        "failure_interval_crossings": sorted(_small(inside, "crossings"), key=by("scenario_id", "t", "component")),
+        "replay": sorted(_small(places, "frames"), key=by("component", "t")),
+    }
 
 
 def published(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -51,8 +124,8 @@ def published(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{run_id}/{table}").where(F.col("run_id") == run_id)
 
 
-def report_json(metrics: dict[str, object]) -> str:
-    """Dotted names as nested objects, keys sorted; a name that is also a prefix is an error."""
+def nested(metrics: dict[str, object]) -> dict:
+    """Dotted names as nested objects; a name that is also a prefix is an error."""
     root: dict = {}
     for name, value in metrics.items():
         *above, last = name.split(".")
@@ -64,7 +137,12 @@ def report_json(metrics: dict[str, object]) -> str:
         if last in at:
             raise ValueError(f"{name} comes twice")
         at[last] = value
-    return json.dumps(root, indent=2, sort_keys=True) + "\n"
+    return root
+
+
+def report_json(metrics: dict[str, object]) -> str:
+    """Dotted names as nested objects, keys sorted."""
+    return json.dumps(nested(metrics), indent=2, sort_keys=True) + "\n"
 
 
 def _file_system(spark: SparkSession, root: str):
