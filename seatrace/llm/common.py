@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,18 @@ BROADCAST_ROWS = 200_000
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count finds it small; its join is a shuffled one otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+#: Bytes of text that a task turns into Python objects at a time; a longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes of text, so that a task's memory doesn't follow its texts."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at, before = stop, int(ends[stop - 1])

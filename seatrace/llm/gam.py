@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatrace.llm.common import scratch
+from seatrace.llm.common import scratch, text_slices
 
 FEATURES = (
     "words", "word_length", "upper", "digit", "mark", "symbol", "pipe", "shout", "stop", "line_end", "non_ascii",
@@ -65,7 +65,7 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     fields = [docs.schema[k] for k in keep] + [T.StructField(f, T.DoubleType()) for f in FEATURES]
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, len(keep)):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             rows = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
             columns = [*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(FEATURES)))]
@@ -225,7 +225,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, names.index("text")):
             texts = batch.column(names.index("text")).fill_null("").cast(pa.binary()).to_pylist()
             if texts:
                 good = model.score(np.array([statistics(t) for t in texts])) >= threshold

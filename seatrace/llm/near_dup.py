@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatrace.llm.common import discard, scratch, sized
+from seatrace.llm.common import discard, scratch, sized, text_slices
 from seatrace.llm.components import connected_components, roots
 from seatrace.llm.tokenization import Cache
 
@@ -102,7 +102,7 @@ def sketches(texts: DataFrame, size: int, k: int | None) -> DataFrame:
     """doc_id, row, n_shingles, digest of the set, sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             sets = [shingle_set(t, size) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             columns = [batch.column(0), batch.column(1), n, pa.array(map(_digest, sets), pa.binary()), _lists([s[:k] for s in sets])]
@@ -115,7 +115,7 @@ def full_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of nodes (node, first, digest), by the text of the row named in first."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             found = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, found), pa.binary()), _lists(found)], ["key", "digest", "shingles"])
 

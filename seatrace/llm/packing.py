@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from seatrace.llm.common import discard, fresh, scratch
+from seatrace.llm.common import discard, fresh, scratch, text_slices
 from seatrace.llm.tokenization import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, special=True)
         end, kind = np.array([end_id], encode.typecode).tobytes(), np.dtype(encode.typecode)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(encode.encode(text) + end, kind).astype("<u4")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatrace.llm.common import scratch
+from seatrace.llm.common import scratch, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -109,11 +109,11 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     if first:
         found += [(2, *m.span()) for m in GROUPS.finditer(text, first.start())]
         found += [(3, *m.span()) for m in LOCAL.finditer(text, max(0, first.start() - 1))]
-    taken, end, out = sorted((a, b) for _, a, b in base), 0, []
+    taken, at, end, out = sorted((a, b) for _, a, b in base), 0, 0, []
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], s[0])):
-        while taken and taken[0][1] <= a:
-            taken.pop(0)
-        if a >= end and not (taken and taken[0][0] < b):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a >= end and not (at < len(taken) and taken[at][0] < b):
             out.append((kind, a, b))
             end = b
     return out
@@ -156,7 +156,7 @@ def find_candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = lambda text, s, strict: {"kind": s[0], "start": s[1], "stop": s[2], "votes": votes(text, s, strict)}
-        for batch in batches:
+        for batch in text_slices(batches, len(keep)):
             counts, hashes, bases, looses = np.zeros((batch.num_rows, 4), np.int64), [], [], []
             for row, text in enumerate(batch.column(len(keep)).to_pylist()):
                 base = base_spans(text)
@@ -265,7 +265,7 @@ def redact(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
         return "".join(out) + text[end:] if out else text
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, at):
             texts = pa.array([replace(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], batch.schema.names)
 
