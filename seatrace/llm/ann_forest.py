@@ -75,7 +75,7 @@ def forest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id", v
     valid = finite_vectors(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     valid = scratch(valid, "vectors")
     rows = valid.withColumn("copy", F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))).where(F.col("copy") <= k)
-    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1).select("id", "v")
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1).select("id", "v", "row")
     queries = valid.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
     def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray):

@@ -1,6 +1,7 @@
 """A query set against all vectors in blocks, for the two searches.
 
-Vectors are dealt to shards by a hash of their id and queries to blocks of bounded size; every pair
+Vectors are dealt to shards by a hash of their row number, so that rows of one id are spread, and queries
+to blocks of bounded size; every pair
 of a shard and a block of queries is one group, searched with numpy, that returns the best k of each
 query. The groups' results are then ranked per query. Vectors meet only vectors of their own length.
 """
@@ -23,20 +24,23 @@ Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.nda
 
 
 def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of rows with an id whose vector is not null and has only finite components, as doubles."""
+    """(id, v, row) of rows with an id whose vector is not null and has only finite components, as doubles.
+
+    row is their number, which holds once the result is written.
+    """
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def search_blocks(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, search: Search, k: int, score_type: str, best: Column) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best among rows (id, v) by ``best``, then id."""
+    """query_id, rank, vec_id, score of each query's k best among rows (id, v, row) by ``best``, then id."""
     shards = max(-(-n_rows // MOST), min(FEW, -(-n_rows // SPREAD)), 1)
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("dim", F.size("v")).withColumn("shard", deal(shards)).withColumn("block", every(blocks))
-    right = queries.withColumn("dim", F.size("v")).withColumn("block", deal(blocks)).withColumn("shard", every(shards))
+    left = rows.withColumn("dim", F.size("v")).withColumn("shard", deal("row", shards)).withColumn("block", every(blocks))
+    right = queries.withColumn("dim", F.size("v")).withColumn("block", deal("id", blocks)).withColumn("shard", every(shards))
     arrow = pa.int64() if score_type == "long" else pa.float64()
     names = ["query_id", "vec_id", "score"]
 
