@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatrace.llm.common import scratch
+from seatrace.llm.common import discard, scratch
 
 #: Name of the end in the table of counts; no word holds a space.
 END = " "
@@ -205,6 +205,7 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     words = counts.select("gram", "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"))
     # What the states up to this level give a token after a run's other words, and what the root gives it.
     chances = words.select("gram", "p", F.col("p").alias("root"))
+    written: list[DataFrame] = []
     contexts = counts.where((F.col("c") >= least) & (F.col("token") != END)).select("gram", "c")
     entries = []
     for level in range(1, depth + 1):
@@ -224,14 +225,19 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
         judged = known.join(states.drop("total"), "context", "left")
         own = F.when(F.col("rest").isNotNull() & F.col("listed"), share)
         p = F.coalesce("rest", F.lit(1.0)) * F.col("before") + F.coalesce(own, F.lit(0.0))
-        chances = scratch(judged.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")), f"chances{level}")
+        made = scratch(judged.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")), f"chances{level}")
+        discard(known)
+        chances = made
+        written += [states, chances]
         entries.append(states.select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c")))
         entries.append(chances.where("value is not null").select("gram", "value", "c"))
         contexts = chances.where((F.col("c") >= least) & ~F.col("last")).select("gram", "c")
     tree = entries[0]
     for more in entries[1:]:
         tree = tree.union(more)
-    return scratch(tree, "tree")
+    whole = scratch(tree, "tree")
+    discard(*written)
+    return whole
 
 
 def split_tree(tree: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
