@@ -5,9 +5,12 @@ and dot, IPv6 addresses, digit groups inside a run too long for a card, card num
 phone numbers without a country code. Six labelers vote yes, no or nothing on every candidate:
 strict pattern, check rule of the kind, gazetteer (known endings, issuers, codes), cue words before
 the span, its surroundings, and plainness of its digits. The votes of the whole table are counted by
-pattern (kind, form, votes: a few thousand patterns at most); on those counts EM estimates each
-labeler's reliability per kind, and a logistic span classifier is trained on the posteriors. A loose
-candidate becomes a span if the classifier gives it ``threshold``; base spans always stay.
+pattern (kind and votes: a few thousand patterns at most); on those counts EM estimates each labeler's
+reliability per kind. The posteriors train a logistic span classifier that sees more than the votes: the
+span's length and separators, its place in the line, the characters on both sides and the word before
+(``shape_of``). A loose candidate becomes a span if the classifier gives it ``threshold``; base spans always
+stay. The classifier is fitted to all candidates of the table by Newton steps: tasks send sums of a fixed
+size, never candidates.
 
 Two steps touch the data: one pass over the texts finds candidates (written without texts to a
 scratch table), and a pass over that table applies the classifier.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,11 @@ CUES = {
 AGAINST = re.compile(r"(?i)version|isbn|order|invoice|token|hash|sha|secret|key|serial|build")
 LABELERS = ("pattern", "check", "gazetteer", "cue", "around", "plain")
 
-SPAN = "struct<kind:int,start:int,stop:int,votes:string>"
+#: Letters of each place of a shape: length, place in the line, character before and after, word before, separators.
+SHAPES = ("abcd", "smew", "nldsp", "nldsp", "nciwk", "nsdox")
+WIDTH = len(KINDS) + 2 * len(LABELERS) + sum(map(len, SHAPES))
+
+SPAN = "struct<kind:int,start:int,stop:int,votes:string,shape:string>"
 FOUND = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, loose array<{SPAN}>"
 
 Span = tuple[int, int, int]
@@ -144,18 +151,36 @@ def votes(text: str, span: Span, strict: bool) -> str:
     return f"{KINDS[kind]}{yes(strict, False)}{check}{gazetteer}{cue}{around}{plain}"
 
 
+def _char(c: str) -> str:
+    return "n" if not c else "l" if c.isalpha() else "d" if c.isdigit() else "s" if c.isspace() else "p"
+
+
+def shape_of(text: str, span: Span) -> str:
+    """What the classifier sees of a span besides the votes, a letter of each of SHAPES."""
+    _, a, b = span
+    own, before, after = text[a:b], text[max(0, a - 80) : a], text[b : b + 80]
+    length = "abcd"[(len(own) > 10) + (len(own) > 16) + (len(own) > 24)]
+    first, last = not before.rpartition("\n")[2].strip(), not after.partition("\n")[0].strip()
+    line = "w" if first and last else "s" if first else "e" if last else "m"
+    words = before.split()
+    word = "n" if not words else "k" if words[-1][-1] in ":=#" else "i" if any(map(str.isdigit, words[-1])) else "c" if words[-1][0].isupper() else "w"
+    kinds = {x for x in own if x in " -."}
+    inside = "n" if not kinds else "x" if len(kinds) > 1 else {" ": "s", "-": "d", ".": "o"}[kinds.pop()]
+    return length + line + _char(before[-1:]) + _char(after[:1]) + word + inside
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def find_candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, base counts and hash, and all candidates with their votes; without the text."""
-    fields = [docs.schema[k] for k in keep] + T._parse_datatype_string(FOUND).fields
+    fields = [docs.schema[k] for k in keep] + T.StructType.fromDDL(FOUND).fields
     names = [f.name for f in fields]
-    arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string())]))
+    arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string()), ("shape", pa.string())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = lambda text, s, strict: {"kind": s[0], "start": s[1], "stop": s[2], "votes": votes(text, s, strict)}
+        entry = lambda text, s, strict: {"kind": s[0], "start": s[1], "stop": s[2], "votes": votes(text, s, strict), "shape": shape_of(text, s)}
         for batch in text_slices(batches, len(keep)):
             counts, hashes, bases, looses = np.zeros((batch.num_rows, 4), np.int64), [], [], []
             for row, text in enumerate(batch.column(len(keep)).to_pylist()):
@@ -199,47 +224,92 @@ def fit_labelers(patterns: list[tuple[str, int]], rounds: int = 50, trust: float
     return out
 
 
-def train_spans(patterns: list[tuple[str, int]], posterior: dict[str, float], steps: int = 400, l2: float = 1e-3) -> dict[str, float]:
-    """Probability of each pattern under a logistic classifier of kind and votes, trained on the posteriors."""
-    if not patterns:
-        return {}
-    feature = lambda p: [float(p.startswith(k)) for k in KINDS] + [float(c == s) for c in p[-len(LABELERS) :] for s in "+-"]
-    x = np.array([feature(p) for p, _ in patterns])
-    y = np.array([posterior[p] for p, _ in patterns])
-    n = np.log1p(np.array([c for _, c in patterns], float))  # a common pattern doesn't drown the others
-    w = np.zeros(x.shape[1])
+def features(candidates: list[tuple[str, str]]) -> np.ndarray:
+    """Rows of 0 and 1 for (votes, shape): the kind, the votes for and against, and the letters of the shape."""
+    x = np.zeros((len(candidates), WIDTH))
+    for row, (own, shape) in zip(x, candidates, strict=True):
+        row[next(k for k, kind in enumerate(KINDS) if own.startswith(kind))] = 1
+        for k, vote in enumerate(own[-len(LABELERS) :]):
+            if vote != "0":
+                row[len(KINDS) + 2 * k + (vote == "-")] = 1
+        at = len(KINDS) + 2 * len(LABELERS)
+        for letters, letter in zip(SHAPES, shape, strict=True):
+            row[at + letters.index(letter)] = 1
+            at += len(letters)
+    return x
+
+
+def chances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the log-likelihood over weighted rows, side by side."""
+    p = chances(x, w)
+    return np.column_stack([x.T @ (n * (y - p)), (x * (n * p * (1 - p))[:, None]).T @ x])
+
+
+def fit_classifier(sums: Callable[[np.ndarray], np.ndarray], mass: float, steps: int = 12, l2: float = 1e-3) -> np.ndarray:
+    """Weights by Newton steps; sums gives newton_sums over all rows, mass is the rows' total weight."""
+    w = np.zeros(WIDTH)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + (l2 * n.sum() + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (n * (y - p)) - l2 * n.sum() * w)
+        both = sums(w)
+        step = np.linalg.solve(both[:, 1:] + (l2 * mass + 1e-6) * np.eye(WIDTH), both[:, 0] - l2 * mass * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    return dict(zip([p for p, _ in patterns], (1 / (1 + np.exp(-x @ w))).tolist()))
+    return w
+
+
+def span_classifier(found: DataFrame) -> np.ndarray | None:
+    """Weights learnt from all candidates of the table; None if it has none.
+
+    Candidates weigh so that a pattern of votes has the logarithm of its count in all: a common one doesn't
+    drown the others.
+    """
+    every = found.select(F.explode(F.concat("base", "loose")).alias("c")).select("c.votes", "c.shape")
+    kinds = scratch(every.groupBy("votes", "shape").count(), "kinds")
+    patterns = sorted((r["votes"], r["n"]) for r in kinds.groupBy("votes").agg(F.sum("count").alias("n")).collect())  # at most 4 kinds x 3 ** 6 votes
+    if not patterns:
+        return None
+    posterior = fit_labelers(patterns)
+    weight = {p: float(np.log1p(n) / n) for p, n in patterns}
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((WIDTH, WIDTH + 1))
+            for batch in batches:
+                own, shapes, counts = (c.to_pylist() for c in batch.columns)
+                y, n = (np.array([of[v] for v in own]) for of in (posterior, weight))
+                total += newton_sums(features(list(zip(own, shapes, strict=True))), y, n * counts, w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
 
+        parts = kinds.mapInArrow(part, "sums array<double>").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+        return np.array([r["v"] for r in parts.orderBy("k").collect()]).reshape(WIDTH, WIDTH + 1)  # of fixed size
 
-def span_classifier(found: DataFrame) -> dict[str, float]:
-    """Probability by vote pattern, learnt from all candidates of the table."""
-    every = found.select(F.explode(F.concat("base.votes", "loose.votes")).alias("pattern"))
-    counted = every.groupBy("pattern").count()  # at most 4 kinds x 3 ** 6 votes
-    patterns = sorted((r["pattern"], r["count"]) for r in counted.collect())
-    return train_spans(patterns, fit_labelers(patterns))
+    return fit_classifier(sums, float(sum(np.log1p(n) for _, n in patterns)))
 
 
-def accepted(found: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """found with spans: the base spans and the loose candidates that the classifier takes."""
-    good = sorted(p for p, t in span_classifier(found).items() if t >= threshold)
-    taken = F.filter("loose", lambda s: s["votes"].isin(good)) if good else F.filter("loose", lambda s: F.lit(False))
-    spans = F.array_sort(F.transform(F.concat("base", taken), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
-    return found.withColumn("_spans", spans)
+def taken(candidates: list[tuple[str, str]], w: np.ndarray | None, threshold: float) -> list[bool]:
+    """Which loose candidates (votes, shape) become spans."""
+    return (chances(features(candidates), w) >= threshold).tolist() if candidates and w is not None else [False] * len(candidates)
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, counts and hash of the base spans, and all spans as kind:start:end, comma-joined."""
-    found = accepted(scratch(find_candidates(docs), "candidates"), threshold)
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    text = F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
+    found = scratch(find_candidates(docs), "candidates")
+    w = span_classifier(found)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, looses = (c.to_pylist() for c in batch.columns[-2:])
+            good = iter(taken([(s["votes"], s["shape"]) for row in looses for s in row], w, threshold))
+            rows = [base + [s for s in loose if next(good)] for base, loose in zip(bases, looses, strict=True)]
+            spans = [joined(sorted(((s["kind"], s["start"], s["stop"]) for s in row), key=lambda s: (s[1], s[0], s[2]))) for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.string())], [*batch.schema.names[:-2], "spans"])
+
+    out = T.StructType([*found.schema.fields[:-2], T.StructField("spans", T.StringType())])
+    return found.mapInArrow(every, out).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 def redact(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -248,15 +318,16 @@ def redact(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     The classifier is learnt in a first pass over the texts; the second finds the spans again and
     replaces them, so texts are never joined to spans.
     """
-    weights = span_classifier(scratch(find_candidates(docs), "candidates"))
-    good = {p for p, t in weights.items() if t >= threshold}
+    w = span_classifier(scratch(find_candidates(docs), "candidates"))
     at = docs.columns.index("text")
 
     def replace(text: str | None) -> str | None:
         if not text:
             return text
         base = base_spans(text)
-        spans = base + [s for s in loose_spans(text, base) if votes(text, s, False) in good]
+        loose = loose_spans(text, base)
+        good = taken([(votes(text, s, False), shape_of(text, s)) for s in loose], w, threshold)
+        spans = base + [s for s, keep in zip(loose, good, strict=True) if keep]
         out, end = [], 0
         for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
             if a >= end:

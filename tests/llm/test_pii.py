@@ -1,6 +1,8 @@
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,5 +98,35 @@ def test_reliabilities_favour_consistent_labelers():
     patterns = [("email+++++0", 500), ("email-----0", 300), ("email++0++0", 100), ("email--0+-0", 60), ("email+-0--0", 5)]
     posterior = pii.fit_labelers(patterns)
     assert posterior["email+++++0"] > 0.9 > 0.1 > posterior["email-----0"]
-    trained = pii.train_spans(patterns, posterior)
-    assert trained["email+++++0"] > 0.7 > 0.3 > trained["email-----0"]
+    shapes = ["bmsswn", "bmlpwx"]
+    x = pii.features([(p, shapes[posterior[p] < 0.5]) for p, _ in patterns])
+    assert x.shape == (5, pii.WIDTH) and (x.sum(1) <= 1 + 6 + 6).all()
+    y, n = np.array([posterior[p] for p, _ in patterns]), np.array([float(n) for _, n in patterns])
+    w = pii.fit_classifier(lambda w: pii.newton_sums(x, y, n, w), n.sum())
+    p = pii.chances(x, w)
+    assert p[0] > 0.7 > 0.3 > p[1]
+    # The shape alone moves what the votes leave open.
+    open_ = pii.chances(pii.features([("email0000+0", s) for s in shapes]), w)
+    assert open_[0] > open_[1]
+
+
+def test_weights_fit_by_tasks_equal_those_of_one_array(spark):
+    found = pii.find_candidates(documents(spark)).repartition(5).cache()
+    own = Counter((s["votes"], s["shape"]) for r in found.collect() for s in r["base"] + r["loose"])
+    patterns = Counter()
+    for (v, _), c in own.items():
+        patterns[v] += c
+    posterior = pii.fit_labelers(sorted(patterns.items()))
+    x = pii.features(list(own))
+    y = np.array([posterior[v] for v, _ in own])
+    n = np.array([c * np.log1p(patterns[v]) / patterns[v] for (v, _), c in own.items()])
+    want = pii.fit_classifier(lambda w: pii.newton_sums(x, y, n, w), float(sum(np.log1p(c) for c in patterns.values())))
+    assert np.allclose(pii.span_classifier(found), want, atol=1e-6)
+
+
+def test_loose_spans_that_the_votes_and_shapes_speak_for(spark):
+    mails = [f"Contact: name{k} (at) place{k} dot com\nor so" for k in range(40)]
+    codes = [f"serial version 9{k:03d} 4{k:03d} 1111 2222x and more" for k in range(40)]
+    got = rows(pii.find_pii(spark.createDataFrame(list(enumerate(mails + codes)), "doc_id long, text string")))
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert all(spans[k].startswith("email:9:") for k in range(40)) and not any(spans[k] for k in range(40, 80))
