@@ -58,7 +58,7 @@ SHORT = 8
 SLOT_NODES, SLOT_SHINGLES = 1024, 1 << 17
 #: Columns of a product at a time, and cells of a column above which it goes through the product.
 WIDTH, CELLS = 2048, 256
-WORD_HASHES = 400_000
+WORD_HASHES = 200_000
 PRIME, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 word_hashes = Cache(xxhash.xxh3_64_intdigest, WORD_HASHES)

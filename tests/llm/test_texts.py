@@ -190,3 +190,75 @@ def test_gam_finds_an_interaction():
     model = gam.fit_gam(x[:2000], y[:2000])
     assert {tuple(sorted(p[:2])) for p in model.pairs} >= {(2, 5)}
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9
+
+
+def plain_gam(x, y, bins, rounds, rate, n_pairs, pair_bins, pair_rounds, l2):
+    """Probabilities of the rows by the same boosting, cell by cell in loops."""
+    n, m = len(x), len(x[0])
+    quantiles = lambda k, parts: sorted({float(np.quantile([r[k] for r in x], q / parts)) for q in range(1, parts)})
+    place = lambda cuts, v: sum(v >= c for c in cuts)
+    fine, coarse = ([quantiles(k, parts) for k in range(m)] for parts in (bins, pair_bins))
+    b1 = [[place(fine[k], r[k]) for k in range(m)] for r in x]
+    b2 = [[place(coarse[k], r[k]) for k in range(m)] for r in x]
+    share = (sum(y) + 1) / (n + 2)
+    total = [math.log(share / (1 - share))] * n
+    gain = lambda g, h: g * g / (h + l2)
+
+    def slopes():
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        return [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+
+    def cut(g, h):
+        best = (-math.inf, 0)
+        for at in range(1, len(g)):
+            best = max(best, (gain(sum(g[:at]), sum(h[:at])) + gain(sum(g[at:]), sum(h[at:])) - gain(sum(g), sum(h)), at), key=lambda b: b[0])
+        return best if len(g) > 1 else (0.0, 0)
+
+    def quarters(g, h):
+        best = (-math.inf, None)
+        for i in range(1, len(g)):
+            for j in range(1, len(g[0])):
+                cells = [[(r, c) for r in range(len(g)) for c in range(len(g[0])) if (r < i, c < j) == side] for side in ((True, True), (True, False), (False, True), (False, False))]
+                sums = [(sum(g[r][c] for r, c in own), sum(h[r][c] for r, c in own)) for own in cells]
+                value = sum(gain(*s) for s in sums)
+                if value > best[0]:
+                    best = value, {rc: -s[0] / (s[1] + l2) for own, s in zip(cells, sums) for rc in own}
+        return best
+
+    def grids(a, b):
+        g, h = slopes()
+        out = [[[0.0] * (len(coarse[b]) + 1) for _ in range(len(coarse[a]) + 1)] for _ in range(2)]
+        for k in range(n):
+            for grid, v in zip(out, (g[k], h[k])):
+                grid[b2[k][a]][b2[k][b]] += v
+        return out
+
+    for _ in range(rounds):
+        for k in range(m):
+            size, (g, h) = len(fine[k]) + 1, slopes()
+            gs, hs = ([sum(v[i] for i in range(n) if b1[i][k] == c) for c in range(size)] for v in (g, h))
+            middle = cut(gs, hs)[1]
+            edges = {0, middle, size}
+            for a, b in ((0, middle), (middle, size)):
+                better, at = cut(gs[a:b], hs[a:b])
+                if better > 0:
+                    edges.add(a + at)
+            edges = sorted(edges)
+            leaf = {c: -sum(gs[a:b]) / (sum(hs[a:b]) + l2) for a, b in zip(edges, edges[1:]) for c in range(a, b)}
+            for i in range(n):
+                total[i] += rate * leaf[b1[i][k]]
+    scored = sorted(((quarters(*grids(a, b))[0], a, b) for a in range(m) for b in range(a)), reverse=True)[:n_pairs]
+    for _ in range(pair_rounds):
+        for _, a, b in scored:
+            cells = quarters(*grids(a, b))[1]
+            for i in range(n):
+                total[i] += rate * cells[b2[i][a], b2[i][b]]
+    return [1 / (1 + math.exp(-t)) for t in total]
+
+
+def test_boosted_tables_by_loops():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((120, 3))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.standard_normal(120)) > 0).astype(float)
+    how = dict(bins=6, rounds=3, rate=0.3, n_pairs=2, pair_bins=3, pair_rounds=2, l2=2.0)
+    assert np.allclose(gam.fit_gam(x, y, **how).score(x), plain_gam(x.tolist(), y.tolist(), **how), atol=1e-9)
