@@ -1,4 +1,8 @@
-"""Timed crossings of moving points over polylines."""
+"""Timed crossings of moving points over polylines.
+
+Nulls: a step or a segment with a null coordinate or time meets nothing; tracks of one point have no steps; empty
+tables have no crossings. Repeated points make steps of no length, which cross nothing.
+"""
 
 from __future__ import annotations
 

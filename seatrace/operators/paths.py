@@ -1,4 +1,8 @@
-"""Paths: steps, chainage, points aft of the antenna, interpolation along the path, distances to lines."""
+"""Paths: steps, chainage, points aft of the antenna, interpolation along the path, distances to lines.
+
+Nulls: a step with a null coordinate has length 0 in a chainage, and a null distance; empty tables give no rows.
+Points of equal time keep the order of their further keys.
+"""
 
 from __future__ import annotations
 

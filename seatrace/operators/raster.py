@@ -1,4 +1,7 @@
-"""Rasters as cells (row, col, elevation): bilinear depths, Horn slopes, neighbourhoods, centrelines."""
+"""Rasters as cells (row, col, elevation): bilinear depths, Horn slopes, neighbourhoods, centrelines.
+
+A null elevation is no data; a cell is given once; empty rasters give null depths and no slopes or lines.
+"""
 
 from __future__ import annotations
 
