@@ -178,10 +178,13 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = 16 << 20, image_tokens: int = 1 << 22) -> DataFrame:
-    """The table of images, in ascending doc_id: range-partitioned shards, cut after image_tokens ids."""
+    """The table of images, in ascending doc_id: range-partitioned shards, cut after image_tokens ids.
+
+    Rows of one id, or of none, are cut into shards by the first letters of their texts, which is their order.
+    """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = texts.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = texts.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, part = encoder(tokenizer, special=True), TaskContext.get().partitionId(), 0

@@ -141,3 +141,10 @@ def test_packing_of_null_large_and_repeated_ids(spark):
     pieces = packing.token_pieces(df, PATHS["word_bpe_49k"], 16).withColumn("_bin", F.lit("x")).withColumn("offset", F.lit("old"))
     got = packing.pack(pieces, 16)
     assert got.columns == [*pieces.columns[:-1], "sequence_id", "offset"] and {r["_bin"] for r in rows(got)} == {"x"}
+
+
+def test_token_files_of_many_rows_of_one_id(spark):
+    data = [(d, f"{chr(97 + k % 26)} row {k}") for d in (7, None) for k in range(120)] + [(7, "same")] * 5 + [(3, None), (9, "last")]
+    files = wavelet.write_token_files(spark.createDataFrame(data, "doc_id long, text string"), PATHS["byte_bpe_50k"], shard_bytes=256)
+    check_files(data, rows(wavelet.read_token_files(files)))
+    assert files.groupBy("shard").agg(F.max("n_docs").alias("n")).agg(F.max("n")).first()[0] < 100
