@@ -5,27 +5,32 @@ A null elevation is no data; a cell is given once; empty rasters give null depth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODATA = -32767
 
 
-def _stencil(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each cell listed at every anchor that has it at one of the offsets (k is the offset's number)."""
-    at = [F.struct(F.lit(k).alias("k"), (F.col("row") - r).alias("row"), (F.col("col") - c).alias("col")) for k, (r, c) in enumerate(offsets)]
-    return cells.select("elevation", F.explode(F.array(*at)).alias("a")).select("a.k", "a.row", "a.col", "elevation")
+def _beside(values: list[str], along: str, across: str, step: int) -> list[Column]:
+    """Each value of the next cell (or the last, for a step of -1) along a row or column; null if none lies there."""
+    w = Window.partitionBy(across).orderBy(along)
+    near = F.lead(along, step).over(w) == F.col(along) + step
+    return [F.when(near, F.lead(v, step).over(w)) for v in values]
+
+
+def _with_data(cells: DataFrame, nodata: int) -> DataFrame:
+    return cells.select("row", "col", F.when(F.col("elevation") != nodata, F.col("elevation")).alias("e"))
 
 
 def bilinear_depth(points: DataFrame, cells: DataFrame, nodata: int = NODATA) -> DataFrame:
     """points (px, py in pixels) with depth: minus the bilinear elevation of the four nearest centres.
 
-    Null off the raster, next to nodata, and where the elevation isn't below 0. The four cells of
-    each place are brought together by one grouping, so points are joined once.
+    Null off the raster, next to nodata, and where the elevation isn't below 0. Two windows bring the four
+    cells of each place together, so a cell is shuffled twice whatever the stencil.
     """
-    four = _stencil(cells.where(F.col("elevation") != nodata), [(0, 0), (0, 1), (1, 0), (1, 1)])
-    value = lambda k: F.max(F.when(F.col("k") == k, F.col("elevation"))).alias(f"e{k}")
-    squares = four.groupBy("row", "col").agg(*map(value, range(4)), F.count("*").alias("_n")).where("_n = 4").drop("_n")
+    right = _with_data(cells, nodata).withColumnRenamed("e", "e0").withColumn("e1", _beside(["e0"], "col", "row", 1)[0])
+    below = _beside(["e0", "e1"], "row", "col", 1)
+    squares = right.withColumns({"e2": below[0], "e3": below[1]}).dropna(subset=["e0", "e1", "e2", "e3"])
     placed = points.withColumn("col", F.floor(F.col("px") - 0.5).cast("int")).withColumn("row", F.floor(F.col("py") - 0.5).cast("int"))
     dx, dy = F.col("px") - (F.col("col") + 0.5), F.col("py") - (F.col("row") + 0.5)
     e = F.col("e0") * (1 - dx) * (1 - dy) + F.col("e1") * dx * (1 - dy) + F.col("e2") * (1 - dx) * dy + F.col("e3") * dx * dy
@@ -34,16 +39,17 @@ def bilinear_depth(points: DataFrame, cells: DataFrame, nodata: int = NODATA) ->
 
 
 def horn_slopes(cells: DataFrame, size_x: float, size_y: float, nodata: int = NODATA) -> DataFrame:
-    """(row, col, slope): degrees by Horn's 3 x 3 weights; cells without all eight neighbours have none."""
-    ring = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
-    weight = lambda near, far: (2 if far == 0 else 1) * near
-    east, south = ([weight(o[axis], o[1 - axis]) for o in ring] for axis in (1, 0))
-    pick = lambda weights: F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1)
-    near = _stencil(cells.where(F.col("elevation") != nodata), ring)
-    sums = near.groupBy("row", "col").agg(F.sum(pick(east) * F.col("elevation")).alias("gx"), F.sum(pick(south) * F.col("elevation")).alias("gy"), F.count("*").alias("n"))
-    whole = sums.where("n = 8").join(cells.select("row", "col"), ["row", "col"], "left_semi")
+    """(row, col, slope): degrees by Horn's 3 x 3 weights; cells without all eight neighbours have none.
+
+    The weights are those of a difference along one axis of sums (1, 2, 1) along the other, so one window
+    along rows and one along columns do.
+    """
+    own = _with_data(cells, nodata).withColumns({"west": _beside(["e"], "col", "row", -1)[0], "east": _beside(["e"], "col", "row", 1)[0]})
+    own = own.select("row", "col", (F.col("east") - F.col("west")).alias("d"), (F.col("west") + 2 * F.col("e") + F.col("east")).alias("s"))
+    north, south = (_beside(["d", "s"], "row", "col", step) for step in (-1, 1))
+    sums = own.select("row", "col", (north[0] + 2 * F.col("d") + south[0]).alias("gx"), (south[1] - north[1]).alias("gy"))
     dx, dy = F.col("gx") / (8 * size_x), F.col("gy") / (8 * size_y)
-    return whole.select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
+    return sums.dropna(subset=["gx", "gy"]).select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
 
 
 def neighbourhoods(centres: DataFrame, values: DataFrame, radius: float, size_x: float, size_y: float) -> DataFrame:
