@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatrace.functions.geodesy import local_inverse
 from seatrace.operators.paths import consecutive, interpolate, length
+from seatrace.operators.raster import bilinear_depth
 
 CEILING, REACH, NO_DEPTH = "warp ceiling", "door spread exceeds horizontal warp reach", "missing depth"
 OFF_PATH, SHORT_CHORD = "the lag reaches before the path", "the path turns back on itself"
@@ -56,6 +58,17 @@ def swept_points(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float,
     return found.withColumn("reason", F.when(F.col("ix").isNull(), OFF_PATH).when(F.col("_chord") < 1, SHORT_CHORD))
 
 
+def depths_under(points: DataFrame, cells: DataFrame, centre: tuple[float, float], corner: tuple[float, float], pixel: tuple[float, float]) -> DataFrame:
+    """points (tow_x, tow_y in the local projection around centre) with depth, from a raster of geographic cells.
+
+    corner is the longitude and latitude of the raster's north-west corner, pixel the degrees of a cell. A point
+    without a place, off the raster or over land has a null depth, which scenario_status refuses.
+    """
+    there = points.withColumn("_g", local_inverse(F.col("tow_x"), F.col("tow_y"), *centre))
+    placed = there.withColumns({"px": (F.col("_g.lon") - corner[0]) / pixel[0], "py": (corner[1] - F.col("_g.lat")) / pixel[1]})
+    return bilinear_depth(placed.drop("_g"), cells).drop("px", "py")
+
+
 def gear_failures(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, depth_offset: float = 0.0) -> DataFrame:
     """(scenario_id, mmsi, event_id, reason) of the points that gear_positions has no rows for."""
     return swept_points(tow, path, grid, width, depth_offset).where("reason is not null").select("scenario_id", "mmsi", "event_id", "reason")

@@ -306,6 +306,17 @@ def result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear.result_matrix(_status(spark, sf_dir), seen)
 
 
+#: Where the stand-in raster lies: centre of the projection, north-west corner, degrees of a cell.
+CENTRE, CORNER, PIXEL = (9.55, 78.34), (9.5, 78.36), (0.02, 0.001)
+
+
+@query()
+def tow_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth of the raster under each tow point, 25 m aft of the antenna."""
+    steps = _steps(bridge.track(spark, sf_dir)).select("mmsi", "t0", F.col("x0").alias("x"), F.col("y0").alias("y"), ((F.col("x1") - F.col("x0")) / 10).alias("vx"), ((F.col("y1") - F.col("y0")) / 10).alias("vy"))
+    return gear.depths_under(paths.tow_points(steps, 25), bridge.raster(spark, sf_dir), CENTRE, CORNER, PIXEL).select("mmsi", "t0", mm(F.col("depth")).alias("depth_mm"))
+
+
 FAILURES_SQL = f"""failures AS (SELECT scenario_id, CASE WHEN ix IS NULL THEN '{gear.OFF_PATH}' ELSE '{gear.SHORT_CHORD}' END AS reason FROM (
   SELECT w.scenario_id, w.x, w.y, x0 + (s - lag - s0) / (s1 - s0) * (x1 - x0) AS ix, y0 + (s - lag - s0) / (s1 - s0) * (y1 - y0) AS iy
   FROM swept w LEFT JOIN path p ON w.mmsi = p.mmsi AND s0 <= s - lag AND s - lag < s1) WHERE ix IS NULL OR sqrt((x - ix) * (x - ix) + (y - iy) * (y - iy)) < 1)"""

@@ -7,7 +7,7 @@ from statistics import median
 import numpy as np
 from pyspark.sql import functions as F
 
-from seatrace.functions import spline
+from seatrace.functions import geodesy, spline
 from seatrace.plans import bridge, queries
 from tests.compare import SMALL
 
@@ -72,6 +72,35 @@ def test_gear_of_all_points(spark):
         assert cells[r] == ";".join(f"{int(w)}:{str(status[r, w]).lower()}:{'+'.join(seen[w])}" for w in queries.SPREADS)
 
 
+def test_depths_under_the_tow_points(spark):
+    cells = {(r["row"], r["col"]): r["elevation"] for r in bridge.raster(spark, SMALL).collect()}
+    tracks = defaultdict(list)
+    for r in bridge.track(spark, SMALL).orderBy("us", "event_id").collect():
+        tracks[r["mmsi"]].append(r)
+    want = defaultdict(list)
+    for mmsi, own in tracks.items():
+        for a, b in zip(own, own[1:]):
+            v = math.hypot(b["x"] - a["x"], b["y"] - a["y"]) / 10
+            depth = None
+            if v >= 0.01:
+                x, y = (a[c] - (b[c] - a[c]) / 10 / v * 25 for c in "xy")
+                lon, lat = (float(c[0]) for c in geodesy.direct(*(np.array([k]) for k in (*queries.CENTRE, math.degrees(math.atan2(x, y)), math.hypot(x, y)))))
+                px, py = (lon - queries.CORNER[0]) / queries.PIXEL[0] - 0.5, (queries.CORNER[1] - lat) / queries.PIXEL[1] - 0.5
+                r, c = math.floor(py), math.floor(px)
+                four = [cells.get((r + i, c + j)) for i in (0, 1) for j in (0, 1)]
+                if None not in four:
+                    e = sum(v * w for v, w in zip(four, ((1 - px + c) * (1 - py + r), (px - c) * (1 - py + r), (1 - px + c) * (py - r), (px - c) * (py - r))))
+                    depth = -e if e < 0 else None
+            want[mmsi, a["us"]].append(depth)
+    got = defaultdict(list)
+    for r in queries.tow_depths(spark, SMALL).collect():
+        got[r["mmsi"], r["t0"]].append(r["depth_mm"])
+    assert got.keys() == want.keys() and sum(v != [None] for v in got.values()) > 100
+    for k, depths in want.items():
+        assert sorted(map(repr, (d is None for d in depths))) == sorted(map(repr, (d is None for d in got[k])))
+        assert all(close(g, 1000 * w) for g, w in zip(sorted(d for d in got[k] if d is not None), sorted(d for d in depths if d is not None)))
+
+
 def test_slopes_around_every_cell(spark):
     cells = {(r["row"], r["col"]): r["elevation"] for r in bridge.raster(spark, SMALL).collect()}
     slopes = {}
