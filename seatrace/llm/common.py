@@ -86,3 +86,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLIC
             stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, stop - at)
             at, before = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()

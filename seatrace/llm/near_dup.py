@@ -61,7 +61,10 @@ WIDTH, CELLS = 2048, 256
 WORD_HASHES = 200_000
 PRIME, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-word_hashes = Cache(xxhash.xxh3_64_intdigest, WORD_HASHES)
+
+def word_hashes() -> Cache:
+    """A task's cache; it goes with the task, so that an idle worker holds none."""
+    return Cache(xxhash.xxh3_64_intdigest, WORD_HASHES)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,13 +73,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
+def shingle_set(text: bytes, size: int, hashes: Cache) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles of ``size`` words, A-Z lower-cased."""
     words = text.lower().split()
     n = min(size, len(words))
     if not n:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     h = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         h = _mix(h * PRIME + own[k : len(words) - n + 1 + k])
@@ -102,8 +105,9 @@ def sketches(texts: DataFrame, size: int, k: int | None) -> DataFrame:
     """doc_id, row, n_shingles, digest of the set, sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in text_slices(batches, 2):
-            sets = [shingle_set(t, size) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t, size, hashes) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             columns = [batch.column(0), batch.column(1), n, pa.array(map(_digest, sets), pa.binary()), _lists([s[:k] for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "digest", "sketch"])
@@ -115,8 +119,9 @@ def full_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of nodes (node, first, digest), by the text of the row named in first."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in text_slices(batches, 1):
-            found = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingle_set(t, size, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, found), pa.binary()), _lists(found)], ["key", "digest", "shingles"])
 
     key = F.xxhash64(F.col("first.doc_id"), F.col("first.row")).alias("key")
