@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 #: Entries a worker's cache of pieces holds before it is emptied, and its cache of marks.
@@ -22,6 +23,11 @@ ODD = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 #: A piece of letters up to U+00FF, with the white space before and the ASCII marks after it.
 SIMPLE = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
+#: What sentencepiece writes for a space; where a text is cut into chunks, and where a long one into parts.
+SPACE = "\u2581"
+CHUNKS = re.compile(r"(?<=\S)(?=[ \n])")
+BOUNDARY = re.compile(r"\S(?=[ \n])")
+
 
 class Cache(dict):
     """Keeps what ``make`` gave for each key, up to ``most`` keys; then starts anew."""
@@ -126,7 +132,68 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+class SentencePieces:
+    """Encodes texts by a sentencepiece model; ``cuts`` says whether a text may be encoded in ``chunks``.
+
+    A model has cuts if it is a BPE model that leaves texts as they are but for one space before them,
+    and none of its pieces has a space after another character or a line end anywhere: then no merge
+    crosses from a character that is no white space to a space or a line end."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        self.library = SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+        normal, trained, kinds = model.normalizer_spec, model.trainer_spec, {1, 2, 3, 6}  # normal, unknown, control and byte pieces
+        plain = not normal.precompiled_charsmap and not normal.normalization_rule_tsv and normal.add_dummy_prefix and normal.escape_whitespaces
+        plain = plain and not normal.remove_extra_whitespaces and not trained.treat_whitespace_as_suffix and trained.model_type == 2
+        parts = (p.type in kinds and SPACE not in p.piece.lstrip(SPACE) and "\n" not in p.piece for p in model.pieces)
+        self.cuts = bool(plain) and all(parts)
+        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
+        self.lengths = Cache(lambda chunk: len(self.encode_chunks([chunk])[0]), PIECES)
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each of the chunks of a text with a space before it."""
+        found = self.library.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        # What the model puts before a line end is a piece of its own; nothing comes of an empty text.
+        return [ids[1:] if c[0] != " " else ids or [self.library.piece_to_id(SPACE)] for c, ids in zip(chunks, found)]
+
+    def may_cut(self, text: str) -> bool:
+        return self.cuts and SPACE not in text and text != ""
+
+    def count(self, text: str) -> int:
+        return self.count_chunks(" " + text) if self.may_cut(text) else len(self.library.encode(text, num_threads=1))
+
+    def count_chunks(self, spaced: str) -> int:
+        """Tokens of a text that may be cut, given with the space before it (or of a part of it)."""
+        return sum(map(self.lengths.__getitem__, chunks(spaced)))
+
+
+def chunks(text: str) -> list[str]:
+    """text cut before each space or line end that follows a character that is no white space."""
+    if text[:1] == " " and _single_spaced(text[1:]):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+    return CHUNKS.split(text)
+
+
+def safe_parts(text: str, size: int) -> Iterator[str]:
+    """text in parts of about ``size`` characters or more, each but the first with white space at its start
+    and each but the last with none at its end."""
+    at = 0
+    while len(text) - at > size and (end := BOUNDARY.search(text, at + size - 1)):
+        yield text[at : end.end()]
+        at = end.end()
+    yield text[at:] if at else text
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, special: bool = False) -> PieceEncoder:
     """One encoder for each worker process and vocabulary."""
     return PieceEncoder(path, special)
+
+
+@lru_cache(maxsize=4)
+def sentence_pieces(path: str) -> SentencePieces:
+    """One for each worker process and model."""
+    return SentencePieces(path)
