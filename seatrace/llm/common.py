@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,9 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     is still made.
     """
     spark = df.sparkSession
+    if _own_dir(spark) not in _CLEARED:
+        _CLEARED.add(_own_dir(spark))
+        atexit.register(_clear_at_exit, spark)
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,8 +60,31 @@ def discard(*tables: DataFrame) -> None:
         for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
             if not folder.rpartition("/")[0].endswith(_own_dir(spark).rpartition("/")[2]):
                 raise ValueError(f"{folder} is no scratch table")
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, folder)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go once nothing in the driver refers to them
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results that are made of them must be written before.
+
+    Called when the driver ends, too, if it still can."""
+    _remove(spark, _own_dir(spark))
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear_scratch(spark)
+    except Exception:  # the session or its connection has ended before: the folder is left to its owner
+        pass
+
+
+_CLEARED: set[str] = set()
 
 
 def _own_dir(spark: SparkSession) -> str:

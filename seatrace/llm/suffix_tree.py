@@ -14,8 +14,9 @@ the words before each token.
 States and next tokens are tables keyed by 64-bit hashes of their words, so they grow with the corpus:
 what follows a context is counted in shuffled groups and states are made by joins. Tasks hold only
 things of fixed size: the frequent words (at most 1 / head_share), up to ``held`` of the most frequent
-entries of the tree, and a filter of BITS bits that spares keys which are in no table. Places that meet
-an entry beyond those held are scored by a shuffled join. Counts cover all training documents.
+entries of the tree, and a filter of BITS bits that spares keys which are in no table. Blocks of texts
+ask for the other entries that they meet, each key once: keys and entries meet in ranges of keys, and
+the answers go back to their block, which then scores its texts. Counts cover all training documents.
 
 Edge cases: a null or empty text is the end alone; without training documents N and V are 0 and every
 token has probability 1; repeated rows are scored alike; an empty table gives no rows. Only doc_id and
@@ -30,6 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ END = " "
 TAIL = -1
 #: Bits of a filter of hashes, as a power of two.
 BITS = 26
+#: Tokens of a block, whose rows ask for entries together; entries of a range of keys, which answers them.
+BLOCK_TOKENS, RANGE_ENTRIES = 1 << 19, 1 << 18
 #: Sets the key of a state apart from that of a next token with the same words.
 STATE = 0x5851F42D4C957F2D
 
@@ -86,12 +90,13 @@ def with_hash(counts: DataFrame) -> DataFrame:
 
 def encode(texts: DataFrame, head: dict[bytes, int], logs: np.ndarray) -> DataFrame:
     """Rows with ids of the frequent words (TAIL for others), the hashes of the others in their order, the
-    others with their counts, and the sum of root log-probabilities of the frequent ones."""
+    others with their counts, the sum of root log-probabilities of the frequent ones, and a block of
+    about BLOCK_TOKENS tokens."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = head.get(b" ", TAIL)
+        end, block, size = head.get(b" ", TAIL), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            ids, rares, bases, tails, counts, n_tokens = [], [], [], [], [], []
+            ids, rares, bases, tails, counts, n_tokens, blocks = [], [], [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = text.lower().split()
                 own = np.fromiter((head.get(w, TAIL) for w in words), np.int32, len(words))
@@ -107,13 +112,17 @@ def encode(texts: DataFrame, head: dict[bytes, int], logs: np.ndarray) -> DataFr
                 tails.append(list(rare))
                 counts.append(list(rare.values()))
                 n_tokens.append(len(own))
+                if size and size + len(own) > BLOCK_TOKENS:
+                    block, size = block + 1, 0
+                size += len(own)
+                blocks.append(block)
             arrays = [
                 batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.list_(pa.int32())),
-                pa.array(rares, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())),
+                pa.array(rares, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(blocks, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "tail", "tail_n"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "tail", "tail_n", "block"])
 
-    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids array<int>, rare array<long>, tail array<string>, tail_n array<int>"
+    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids array<int>, rare array<long>, tail array<string>, tail_n array<int>, block long"
     return texts.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(encoded, types)
 
 
@@ -205,7 +214,7 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     words = counts.select("gram", "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"))
     # What the states up to this level give a token after a run's other words, and what the root gives it.
     chances = words.select("gram", "p", F.col("p").alias("root"))
-    written: list[DataFrame] = []
+    last_level: list[DataFrame] = []
     contexts = counts.where((F.col("c") >= least) & (F.col("token") != END)).select("gram", "c")
     entries = []
     for level in range(1, depth + 1):
@@ -226,18 +235,16 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
         own = F.when(F.col("rest").isNotNull() & F.col("listed"), share)
         p = F.coalesce("rest", F.lit(1.0)) * F.col("before") + F.coalesce(own, F.lit(0.0))
         made = scratch(judged.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")), f"chances{level}")
-        discard(known)
-        chances = made
-        written += [states, chances]
-        entries.append(states.select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c")))
-        entries.append(chances.where("value is not null").select("gram", "value", "c"))
+        masses = states.select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c"))
+        entries.append(scratch(masses.union(made.where("value is not null").select("gram", "value", "c")), f"tree{level}"))
+        discard(known, states, *last_level)
+        chances, last_level = made, [made]
         contexts = chances.where((F.col("c") >= least) & ~F.col("last")).select("gram", "c")
+    discard(*last_level)
     tree = entries[0]
     for more in entries[1:]:
         tree = tree.union(more)
-    whole = scratch(tree, "tree")
-    discard(*written)
-    return whole
+    return tree
 
 
 def split_tree(tree: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
@@ -263,6 +270,93 @@ def _held(key: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, values[at], np.nan)
 
 
+def _sought(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, depth: int, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places, documents, and for each level the state before a place and its next token: the values held
+    (NaN for others) and the keys that may be in the table of the others (0 elsewhere)."""
+    grams, place, doc = _grams(ids, rare, hashes, depth + 1)
+    slots: list[tuple[np.ndarray, np.ndarray]] = []
+    for level in range(1, depth + 1):
+        for key in (np.append(np.zeros(min(1, len(place)), np.int64), grams[level - 1][:-1]) ^ np.int64(STATE), grams[level]):
+            value = _held(key, keys, values)
+            here = place >= level
+            if len(slots) % 2:  # a next token only where there may be a state
+                here &= ~np.isnan(slots[-1][0]) | (slots[-1][1] != 0)
+            value[~here] = np.nan
+            slots.append((value, np.where(np.isnan(value) & here & _maybe(key, bits), key, 0)))
+    return place, doc, slots
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> tuple[list[int], list[np.ndarray]]:
+    """Ascending keys cut at the ranges of their leading bits."""
+    number = (keys >> np.int64(64 - ranges)) if ranges else np.zeros(len(keys), np.int64)
+    kinds, first = np.unique(number, return_index=True)
+    return kinds.tolist(), np.split(keys, first[1:])
+
+
+def missing_keys(encoded: DataFrame, hashes: np.ndarray, depth: int, keys: np.ndarray, values: np.ndarray, bits: np.ndarray, ranges: int) -> DataFrame:
+    """(range, block, keys): the keys that a block's places need and no task holds, each once a block."""
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            kinds, parts = _by_range(np.unique(np.concatenate(own)), ranges)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array([at] * len(kinds), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["range", "block", "keys"])
+
+        own, at = [], None
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            first = np.append(0, np.flatnonzero(np.diff(blocks)) + 1)
+            for start, size in zip(first.tolist(), np.diff(np.append(first, len(blocks))).tolist()):
+                if own and blocks[start] != at:
+                    yield emit()
+                    own = []
+                at = int(blocks[start])
+                for part in _slices(batch.slice(start, size), 1):
+                    *_, slots = _sought(part.column(1), part.column(2), hashes, depth, keys, values, bits)
+                    own += [key for _, asked in slots if len(key := np.unique(asked[asked != 0]))]
+        if own:
+            yield emit()
+
+    return encoded.select("block", "ids", "rare").mapInArrow(missing, "range long, block long, keys binary")
+
+
+def answers(asked: DataFrame, others: DataFrame, ranges: int) -> DataFrame:
+    """(block, keys, values) of the asked keys that are in others: both sides meet in ranges of keys, packed."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            key, value = (np.concatenate(x) for x in zip(*own))
+            order = np.argsort(key)
+            kinds, parts = _by_range(key[order], ranges)
+            values = np.split(value[order], np.cumsum([len(x) for x in parts])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (parts, values))], ["range", "keys", "values"])
+
+        own, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                own.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size > 1 << 20:
+                yield emit()
+                own, size = [], 0
+        if own:
+            yield emit()
+
+    def answered(rows: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = (np.frombuffer(b"".join(known[c].to_pylist()), k) for c, k in (("keys", np.int64), ("values", np.float64)))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        parts = []
+        for block, own in zip(rows["block"].to_pylist(), rows["keys"]):
+            own = np.frombuffer(own.as_buffer(), np.int64)
+            value = _held(own, keys, values)
+            there = ~np.isnan(value)
+            parts.append((block, own[there].tobytes(), value[there].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*parts) if parts else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()))], ["block", "keys", "values"])
+
+    table = others.mapInArrow(packed, "range long, keys binary, values binary")
+    return asked.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(answered, "block long, keys binary, values binary")
+
+
 def score_texts(
     docs: DataFrame,
     training: Column,
@@ -292,45 +386,35 @@ def score_texts(
     keys, values, others = split_tree(tree, held)
     bits = bit_filter(others)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole, 4)):
-            ids = batch.column(4)
-            grams, place, doc = _grams(ids, batch.column(5), hashes, depth + 1)
-            ratio, sought, found = np.ones(len(place)), [], []
-            for level in range(1, depth + 1):
-                for key in (np.append(np.zeros(1, np.int64), grams[level - 1][:-1]) ^ np.int64(STATE), grams[level]):
-                    value = _held(key, keys, values)
-                    here = place >= level
-                    if len(sought) % 2:  # a next token only where there may be a state
-                        here &= ~np.isnan(found[-1]) | (sought[-1] != 0)
-                    value[~here] = np.nan
-                    sought.append(np.where(np.isnan(value) & here & _maybe(key, bits), key, 0))
-                    found.append(value)
-                ratio = ratio * np.where(np.isnan(found[-2]), 1, found[-2]) + np.where(np.isnan(found[-1]), 0, found[-1])
-            at = np.flatnonzero(np.any([x != 0 for x in sought], 0))
-            logs = np.log10(ratio)
-            logs[at] = 0
-            sums = np.bincount(doc, logs, batch.num_rows)
-            known = np.bincount(doc, _values(ids) != TAIL, batch.num_rows).astype(np.int64)
-            offsets = np.append(0, np.cumsum(np.bincount(doc[at], minlength=batch.num_rows))).astype(np.int32)
-            lists = [pa.array(np.column_stack(x)[at].ravel()) for x in (sought, found)]
-            left = [pa.ListArray.from_arrays(pa.array(offsets * (2 * depth), pa.int32()), x) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums), pa.array(known), batch.column(6), *left], ["doc_id", "held_out", "n_tokens", "head_base", "ratio", "head_known", "row", "sought", "found"])
-
-    head_part = encoded.select("doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "row").mapInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long, sought array<long>, found array<double>"
+    rest = others.count()
+    ranges = max(0, (rest // RANGE_ENTRIES).bit_length())
+    asked = missing_keys(encoded, hashes, depth, keys, values, bits, ranges)
+    found = answers(asked, others, ranges)
+
+    def score(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        own, mass = (np.frombuffer(b"".join(answered[c].to_pylist()), k) for c, k in (("keys", np.int64), ("values", np.float64)))
+        order = np.argsort(own)
+        own, mass = own[order], mass[order]
+        sums, known = [], []
+        for batch in (part for whole in rows.combine_chunks().to_batches() for part in _slices(whole, 5)):
+            place, doc, slots = _sought(batch.column(5), batch.column(6), hashes, depth, keys, values, bits)
+            ratio = np.ones(len(place))
+            for level in range(depth):
+                (state, asked_state), (share, asked_share) = slots[2 * level : 2 * level + 2]
+                for value, key in ((state, asked_state), (share, asked_share)):
+                    at = np.flatnonzero(key)
+                    value[at] = _held(key[at], own, mass)
+                ratio = ratio * np.where(np.isnan(state), 1, state) + np.where(np.isnan(share), 0, share)
+            sums.append(np.bincount(doc, np.log10(ratio), batch.num_rows))
+            known.append(np.bincount(doc, _values(batch.column(5)) != TAIL, batch.num_rows).astype(np.int64))
+        columns = [rows[c] for c in ("doc_id", "held_out", "n_tokens", "head_base")]
+        return pa.table([*columns, pa.array(np.concatenate(sums)), pa.array(np.concatenate(known)), rows["row"]], ["doc_id", "held_out", "n_tokens", "head_base", "ratio", "head_known", "row"])
+
+    placed = encoded.select("block", "doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "row")
+    head_part = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long"
     )
     head_part = scratch(head_part, "scored")
-    slots = head_part.where(F.size("sought") > 0).select("row", F.posexplode(F.arrays_zip("sought", "found")).alias("k", "s"))
-    slots = slots.select("row", "k", F.col("s.sought").alias("gram"), F.col("s.found").alias("value"))
-    joined = slots.where("gram <> 0").drop("value").join(others, "gram").select("row", "k", "value")
-    places = joined.union(slots.where("gram = 0 and not isnan(value)").select("row", "k", "value"))
-    places = places.select("row", F.floor(F.col("k") / (2 * depth)).alias("place"), (F.col("k") % (2 * depth)).alias("slot"), "value")
-    places = places.groupBy("row", "place").agg(*(F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"v{k}") for k in range(2 * depth)))
-    chance = F.lit(1.0)
-    for level in range(depth):
-        chance = chance * F.coalesce(f"v{2 * level}", F.lit(1.0)) + F.coalesce(f"v{2 * level + 1}", F.lit(0.0))
-    places = places.groupBy("row").agg(F.sum(F.log10(chance)).alias("left_ratio"))
     tail = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("times"))
     seen = tail.join(counts, "token", "left")
     seen = seen.groupBy("row").agg(
@@ -338,7 +422,7 @@ def score_texts(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
     )
     base = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))
-    return head_part.join(seen, "row", "left").join(places, "row", "left").select(
+    return head_part.join(seen, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio") + F.coalesce("left_ratio", F.lit(0.0))).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio")).alias("score"),
     )
