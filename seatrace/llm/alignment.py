@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens over the same texts, and how often their ids end together.
 
 A is a byte-level vocabulary read on a space and the text, B a sentencepiece model, which puts that
-space itself. Both are encoded in chunks whose ends are token ends of both, so a chunk seen before is
-looked up in a bounded cache. Bytes where tokens of both end cut the tokens into groups; each such pair
-of an A and a B token is a link.
+space itself. Bytes where tokens of both end cut the tokens into groups; each such pair of an A and a B
+token is a link.
 
 1. Tasks align their texts in slices and write one row a document with its links as packed ids. Rows of
    about ``BLOCK`` links share a block.
@@ -21,21 +20,28 @@ each; an empty table gives no rows. Only doc_id and text are read, so other colu
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatrace.llm.common import scratch, text_slices
-from seatrace.llm.tokenization import SPACE, PieceEncoder, SentencePieces, chunks
+from seatrace.llm.tokenization import PieceEncoder, SentencePieces
 
 #: Links of a block, ids of B in a stripe, rows of blocks of a stripe that go to one salt.
 BLOCK, STRIPE, SALT_ROWS = 4 << 20, 64, 64
-#: Chunks that a worker keeps, and bytes of text aligned at a time.
-CHUNKS_KEPT, SLICE = 300_000, 1 << 20
+#: Bytes of text aligned at a time.
+SLICE = 1 << 20
+#: Fixed value: how byte-level vocabularies of this kind cut a text into words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of letters, digits, marks and white space that every library takes for the same.
+PLAIN = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
 
 ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 COUNTED = "stripe int, links binary, times binary, best binary"
@@ -48,53 +54,46 @@ class Aligner:
         self.a, self.b = PieceEncoder(a_path), SentencePieces(b_path)
         if self.a.kind != "pieces" or self.a.typecode != "H":
             raise ValueError(f"{a_path} is no byte-level vocabulary of up to 65,536 ids")
-        self.a.pieces.most = CHUNKS_KEPT
         letters = {letter: k for k, letter in enumerate(self.a.letters)}
-        vocabulary = sorted((k, t) for t, k in self.a.library.get_vocab(with_added_tokens=False).items())
-        spelt = {k: bytes(letters[c] for c in t) for k, t in vocabulary if all(c in letters for c in t)}
+        vocabulary = self.a.library.get_vocab(with_added_tokens=False)
+        spelt = {k: bytes(letters[c] for c in t) for t, k in vocabulary.items() if all(c in letters for c in t)}
         self.a_bytes = [spelt.get(k, b"") for k in range(self.a.library.get_vocab_size())]
         self.a_size, self.b_size = len(self.a_bytes), len(self.b.bytes)
         self.a_length, self.b_length = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b.bytes))
         marks = [f"{k}{end}".encode() for n, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for k in range(n) for end in ends]
         self.marks = np.array(marks, object)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of chunks not seen yet; None where a chunk's tokens don't spell it."""
-        if len(self.known) + len(new) > CHUNKS_KEPT:
-            self.known.clear()
-        for chunk, b in zip(new, self.b.encode_chunks(new)):
-            a = np.frombuffer(self.a.pieces[chunk], np.uint16)
-            own = chunk.encode()
-            same = own == b"".join([self.a_bytes[k] for k in a]) == b"".join([self.b.bytes[k] for k in b])
-            self.known[chunk] = (a.tobytes(), np.array(b, np.uint16).tobytes()) if same else None
-
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of A and of B of each text as unsigned 16-bit integers; none where they don't spell it."""
-        cut = [chunks(" " + t) if self.b.may_cut(t) else None for t in texts]
-        seen = set().union(*(c for c in cut if c))
-        if len(seen) > CHUNKS_KEPT // 2:  # a long text of rare words
-            return [(b"", b"") if SPACE in t else self._whole(t) for t in texts]
-        if new := [c for c in seen if c not in self.known]:
-            self._learn(new)
-            if missing := [c for c in seen if c not in self.known]:  # the cache was emptied
-                self._learn(missing)
+        self.ranked = self._ranked(vocabulary)
+
+    def _ranked(self, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
+        """The vocabulary by ranks, if its ids are ranks: letters first, then the merges in their order."""
+        merges = json.loads(self.a.library.to_str())["model"]["merges"]
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        first = len(self.a.letters)
+        if any(vocabulary[t] != first + k for k, t in enumerate(joined)) or any(vocabulary.get(c, first) >= first for c in self.a.letters):
+            return None
+        ranks = {self.a_bytes[k]: k for k in range(first + len(joined))}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B of each text; none where they don't spell it."""
+        none = np.zeros(0, np.uint16)
         found = []
-        for text, own in zip(texts, cut):
-            pairs = [*map(self.known.__getitem__, own)] if own else [None]
-            found.append(tuple(map(b"".join, zip(*pairs))) if None not in pairs else self._whole(text))
+        for text, b in zip(texts, self.b.library.encode(texts, num_threads=1)):
+            spaced = " " + text
+            own = spaced.encode()
+            if not text or own != b"".join(map(self.b.bytes.__getitem__, b)):
+                found.append((none, none))
+                continue
+            plain = self.ranked and PLAIN.fullmatch(text)
+            a = self.ranked.encode_to_numpy(spaced).astype(np.uint16) if plain else np.frombuffer(self.a.encode(spaced), np.uint16)
+            same = int(self.a_length[a].sum()) == len(own) and own == b"".join(map(self.a_bytes.__getitem__, a.tolist()))
+            found.append((a, np.array(b, np.uint16)) if same else (none, none))
         return found
 
-    def _whole(self, text: str) -> tuple[bytes, bytes]:
-        spaced = " " + text
-        a, b = self.a.library.encode(spaced, add_special_tokens=False).ids, self.b.library.encode(text, num_threads=1)
-        same = text and spaced.encode() == b"".join([self.a_bytes[k] for k in a]) == b"".join([self.b.bytes[k] for k in b])
-        return tuple(np.array(x if same else [], np.uint16).tobytes() for x in (a, b))
-
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """Of each text: tokens of A and of B, groups, their hash, and the links b * a_size + a in ascending order."""
         found = self.tokens(texts)
-        a, b = (np.frombuffer(b"".join(x), np.uint16) for x in zip(*found))
+        a, b = (np.concatenate(x) for x in zip(*found))
         a_ends, b_ends = self.a_length[a].cumsum(), self.b_length[b].cumsum()
         at = np.minimum(np.searchsorted(b_ends, a_ends), max(0, len(b) - 1))
         a_last = b_ends[at] == a_ends if len(b) else np.zeros(len(a), bool)
@@ -108,7 +107,7 @@ class Aligner:
         up_to = np.append(a_at + 1, len(a))  # tokens of A up to each group
         spelt[np.arange(len(b)) + up_to[np.cumsum(b_last) - b_last]] = b.astype(np.int64) * 2 + b_last + 2 * self.a_size
         links = (b[b_at].astype(np.int64) * self.a_size + a[a_at]).astype(np.uint32 if self.a_size * self.b_size < 1 << 32 else np.uint64)
-        sizes = np.array([[len(x) // 2, len(y) // 2] for x, y in found])
+        sizes = np.array([[len(x), len(y)] for x, y in found])
         ends = np.vstack([[0, 0], sizes.cumsum(0)])
         cuts = np.searchsorted(a_at, ends[:, 0])
         result = []
@@ -218,10 +217,11 @@ def pair_counts(pairs: DataFrame, salts: int, a_size: int, kind: type) -> DataFr
         if found := _stripe_matrix(batches, 1, a_size, kind):
             yield row(*found)
 
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: not to be merged by size
     if salts == 1:
-        return pairs.groupBy("stripe").applyInArrow(part, COUNTED)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-    return salted.groupBy("stripe", "salt").applyInArrow(part, COUNTED).groupBy("stripe").applyInArrow(whole, COUNTED)
+        return pairs.repartition(tasks, "stripe").groupBy("stripe").applyInArrow(part, COUNTED)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).repartition(tasks, "stripe", "salt")
+    return salted.groupBy("stripe", "salt").applyInArrow(part, COUNTED).repartition(tasks, "stripe").groupBy("stripe").applyInArrow(whole, COUNTED)
 
 
 def block_answers(pairs: DataFrame, counts: DataFrame, salts: int, kind: type) -> DataFrame:

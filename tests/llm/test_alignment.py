@@ -109,14 +109,12 @@ def test_aligner_on_any_texts(texts):
         assert links.tolist() == sorted(b[-1] * alignment.aligner(BYTES, PIECES).a_size + a[-1] for a, b in own[2])
 
 
-def test_a_small_cache_of_chunks_changes_nothing(monkeypatch):
-    texts = [r[1] for r in ODD if r[1]] + TEXTS
-    whole = alignment.Aligner(BYTES, PIECES).align(texts)
-    monkeypatch.setattr(alignment, "CHUNKS_KEPT", 100)
-    own = alignment.Aligner(BYTES, PIECES)
-    for at in range(0, len(texts), 2):
-        for a, b in zip(own.align(texts[at : at + 2]), whole[at:]):
-            assert a[:4] == b[:4] and a[4].tolist() == b[4].tolist()
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdefghtheing'stdll  \n\t.,!?0123456789éüßçàÉ-_()\"<|>"), max_size=200))
+def test_ranks_encode_as_merges_do(text):
+    own = alignment.aligner(BYTES, PIECES)
+    assert own.ranked and alignment.PLAIN.fullmatch(text)
+    assert own.ranked.encode_to_numpy(text).tolist() == PLAIN.a.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts_of_the_driver_table(spark):
