@@ -42,8 +42,8 @@ END = " "
 TAIL = -1
 #: Bits of a filter of hashes, as a power of two.
 BITS = 26
-#: Tokens of a block, whose rows ask for entries together; entries of a range of keys, which answers them.
-BLOCK_TOKENS, RANGE_ENTRIES = 1 << 19, 1 << 18
+#: Tokens of a block, whose rows count and ask together; training tokens and entries for each range of hashes.
+BLOCK_TOKENS, RANGE_TOKENS, RANGE_ENTRIES = 1 << 19, 1 << 20, 1 << 18
 #: Sets the key of a state apart from that of a next token with the same words.
 STATE = 0x5851F42D4C957F2D
 
@@ -180,35 +180,95 @@ def _maybe(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return hit(key >> np.uint64(64 - BITS)) & hit(key & np.uint64((1 << BITS) - 1)) > 0
 
 
-def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.ndarray, tokens: int = 1 << 20) -> DataFrame:
-    """(gram, context, suffix, last, c): runs of level + 1 words by count, for contexts that pass the filter."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of rows of one block (the first column), cut into slices."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        first = np.append(0, np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else np.zeros(0, np.int64)
+        for start, size in zip(first.tolist(), np.diff(np.append(first, len(blocks))).tolist()):
+            yield int(blocks[start]), _slices(batch.slice(start, size), 1)
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> tuple[list[int], np.ndarray]:
+    """The ranges of ascending keys, by their leading bits, and where all but the first begin."""
+    number = (keys >> np.int64(64 - ranges)) if ranges else np.zeros(len(keys), np.int64)
+    kinds, first = np.unique(number, return_index=True)
+    return kinds.tolist(), first[1:]
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = [], 0
 
+def _packed(names: list[str], kinds: list[int], longs: list[int] | None, *parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of a range, perhaps a block, and packed arrays."""
+    first = [pa.array(kinds, pa.int64())] + ([pa.array(longs, pa.int64())] if longs is not None else [])
+    return pa.RecordBatch.from_arrays([*first, *(pa.array([x.tobytes() for x in p[: len(kinds)]], pa.binary()) for p in parts)], names)  # an empty array splits into one part
+
+
+def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.ndarray, ranges: int) -> DataFrame:
+    """(gram, context, suffix, last, c): runs of level + 1 words that come twice or more, for contexts that
+    pass the filter.
+
+    Most runs come once. So blocks send only their runs' hashes and times, packed, to ranges of hashes; those
+    name a block for each run that came again, and that block alone writes what belongs to it."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
-            gram, context, suffix, last = (np.concatenate(x) for x in zip(*own))
-            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context[first], suffix[first], last[first], n)], ["gram", "context", "suffix", "last", "c"])
-
-        for batch in (part for whole in batches for part in _slices(whole, 0)):
-            grams, place, doc = _grams(batch.column(0), batch.column(1), hashes, level + 1)
-            at = np.flatnonzero(place >= level)
-            at = at[_maybe(grams[level - 1][at - 1], bits)]
-            if len(at):
-                own.append((grams[level][at], grams[level - 1][at - 1], grams[level - 1][at], np.append(doc[1:] != doc[:-1], True)[at]))
-                size += len(at)
-            if size > tokens:
+            gram, n = np.unique(np.concatenate(own), return_counts=True)
+            kinds, first = _by_range(gram, ranges)
+            return _packed(["range", "block", "keys", "times"], kinds, [block] * len(kinds), np.split(gram, first), np.split(n.astype(np.int32), first))
+
+        own, block = [], None
+        for at, parts in _runs(batches):
+            if own and at != block:
                 yield emit()
-                own, size = [], 0
-        if size:
+                own = []
+            block = at
+            for part in parts:
+                grams, place, _ = _grams(part.column(1), part.column(2), hashes, level + 1)
+                here = np.flatnonzero(place >= level)
+                own.append(grams[level][here[_maybe(grams[level - 1][here - 1], bits)]])
+        if own:
             yield emit()
 
-    partial = encoded.where("not held_out").select("ids", "rare").mapInArrow(counts, "gram long, context long, suffix long, last boolean, c long")
-    return partial.groupBy("gram").agg(*(F.any_value(x).alias(x) for x in ("context", "suffix", "last")), F.sum("c").alias("c"))
-
-
-def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale: float, depth: int, least: float, next_share: float, discount: float, strictness: float) -> DataFrame:
+    def again(rows: pa.Table) -> pa.Table:
+        keys, times = ([np.frombuffer(x.as_buffer(), k) for x in rows[c]] for c, k in (("keys", np.int64), ("times", np.int32)))
+        blocks = np.repeat(rows["block"].to_numpy(), [*map(len, keys)])
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(keys, kind="stable")
+        gram, first = np.unique(keys[order], return_index=True)
+        sums = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        kept = np.flatnonzero(sums >= 2)
+        owner = blocks[order[first[kept]]]
+        by = np.argsort(owner, kind="stable")
+        kinds, cut = np.unique(owner[by], return_index=True)
+        parts = (np.split(x[kept][by], cut[1:]) if len(kinds) else [] for x in (gram, sums))
+        return pa.Table.from_batches([_packed(["block", "keys", "counts"], kinds.tolist(), None, *parts)])
+
+    def written(rows: pa.Table, own: pa.Table) -> pa.Table:
+        keys, sums = (np.frombuffer(b"".join(own[c].to_pylist()), np.int64) for c in ("keys", "counts"))
+        order = np.argsort(keys)
+        keys, sums = keys[order], sums[order]
+        found = []
+        for _, parts in _runs(rows.combine_chunks().to_batches()) if len(keys) else ():
+            for part in parts:
+                grams, place, doc = _grams(part.column(1), part.column(2), hashes, level + 1)
+                here = np.flatnonzero(place >= level)
+                at = np.minimum(np.searchsorted(keys, grams[level][here]), len(keys) - 1)
+                hit = keys[at] == grams[level][here]
+                at, first = np.unique(at[hit], return_index=True)
+                here = here[hit][first]
+                found.append((at, grams[level - 1][here - 1], grams[level - 1][here], np.append(doc[1:] != doc[:-1], True)[here]))
+        if not found:
+            found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
+        at, context, suffix, last = (np.concatenate(x) for x in zip(*found))
+        at, first = np.unique(at, return_index=True)
+        return pa.table([pa.array(x) for x in (keys[at], context[first], suffix[first], last[first], sums[at])], ["gram", "context", "suffix", "last", "c"])
+
+    training = encoded.where("not held_out").select("block", "ids", "rare")
+    asked = training.mapInArrow(counts, "range long, block long, keys binary, times binary")
+    owned = asked.groupBy("range").applyInArrow(again, "block long, keys binary, counts binary")
+    return training.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(written, "gram long, context long, suffix long, last boolean, c long")
+
+
+def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale: float, ranges: int, depth: int, least: float, next_share: float, discount: float, strictness: float) -> DataFrame:
     """(gram, value, c) of all entries: the mass that a state leaves to its suffix, under gram ^ STATE, and
     the share of a state's next token over the root's. scale is N + V + 1."""
     words = counts.select("gram", "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"))
@@ -218,7 +278,7 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     contexts = counts.where((F.col("c") >= least) & (F.col("token") != END)).select("gram", "c")
     entries = []
     for level in range(1, depth + 1):
-        counted = count_nexts(encoded, level, hashes, bit_filter(contexts)).where("c >= 2")
+        counted = count_nexts(encoded, level, hashes, bit_filter(contexts), ranges)
         totals = contexts.select(F.col("gram").alias("context"), F.col("c").alias("total"))
         before = chances.select(F.col("gram").alias("suffix"), F.col("p").alias("before"), "root")
         listed = (F.col("c") >= F.col("total") * next_share).alias("listed")
@@ -286,33 +346,24 @@ def _sought(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, depth: in
     return place, doc, slots
 
 
-def _by_range(keys: np.ndarray, ranges: int) -> tuple[list[int], list[np.ndarray]]:
-    """Ascending keys cut at the ranges of their leading bits."""
-    number = (keys >> np.int64(64 - ranges)) if ranges else np.zeros(len(keys), np.int64)
-    kinds, first = np.unique(number, return_index=True)
-    return kinds.tolist(), np.split(keys, first[1:])
-
-
 def missing_keys(encoded: DataFrame, hashes: np.ndarray, depth: int, keys: np.ndarray, values: np.ndarray, bits: np.ndarray, ranges: int) -> DataFrame:
     """(range, block, keys): the keys that a block's places need and no task holds, each once a block."""
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
-            kinds, parts = _by_range(np.unique(np.concatenate(own)), ranges)
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array([at] * len(kinds), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["range", "block", "keys"])
+            asked = np.unique(np.concatenate(own))
+            kinds, first = _by_range(asked, ranges)
+            return _packed(["range", "block", "keys"], kinds, [block] * len(kinds), np.split(asked, first))
 
-        own, at = [], None
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            first = np.append(0, np.flatnonzero(np.diff(blocks)) + 1)
-            for start, size in zip(first.tolist(), np.diff(np.append(first, len(blocks))).tolist()):
-                if own and blocks[start] != at:
-                    yield emit()
-                    own = []
-                at = int(blocks[start])
-                for part in _slices(batch.slice(start, size), 1):
-                    *_, slots = _sought(part.column(1), part.column(2), hashes, depth, keys, values, bits)
-                    own += [key for _, asked in slots if len(key := np.unique(asked[asked != 0]))]
+        own, block = [], None
+        for at, parts in _runs(batches):
+            if own and at != block:
+                yield emit()
+                own = []
+            block = at
+            for part in parts:
+                *_, slots = _sought(part.column(1), part.column(2), hashes, depth, keys, values, bits)
+                own += [key for _, asked in slots if len(key := np.unique(asked[asked != 0]))]
         if own:
             yield emit()
 
@@ -326,9 +377,8 @@ def answers(asked: DataFrame, others: DataFrame, ranges: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             key, value = (np.concatenate(x) for x in zip(*own))
             order = np.argsort(key)
-            kinds, parts = _by_range(key[order], ranges)
-            values = np.split(value[order], np.cumsum([len(x) for x in parts])[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (parts, values))], ["range", "keys", "values"])
+            kinds, first = _by_range(key[order], ranges)
+            return _packed(["range", "keys", "values"], kinds, None, np.split(key[order], first), np.split(value[order], first))
 
         own, size = [], 0
         for batch in batches:
@@ -382,7 +432,7 @@ def score_texts(
     hashes = np.array([*map(word_hash, head), 0], np.int64)
     root = (singles + 1) / (n + v + 1) if n else np.ones(1)
     encoded = scratch(encode(texts, head, np.log10(root)).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    tree = learn_tree(encoded, counts, hashes, float(n + v + 1), depth, max(2.0, least, context_share * n), next_share, discount, strictness)
+    tree = learn_tree(encoded, counts, hashes, float(n + v + 1), (n // RANGE_TOKENS).bit_length(), depth, max(2.0, least, context_share * n), next_share, discount, strictness)
     keys, values, others = split_tree(tree, held)
     bits = bit_filter(others)
 
