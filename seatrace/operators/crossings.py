@@ -6,11 +6,20 @@ tables have no crossings. Repeated points make steps of no length, which cross n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatrace.operators.cells import touched_cells
+
 #: Hits of one track closer than this (microseconds) are one crossing, e.g. at a shared vertex.
 SAME_US = 1.0
+#: Lines are parallel if their cross product is within this share of its terms, and lie on one another within TOUCH.
+ROUNDING, TOUCH = 2.0**-50, 1e-9
 
 
 def clip_steps(steps: DataFrame, start: float | None, end: float | None) -> DataFrame:
@@ -25,39 +34,98 @@ def clip_steps(steps: DataFrame, start: float | None, end: float | None) -> Data
     return cut.withColumns({f"_{c}": e for c, e in ends.items()}).drop(*ends, "t0", "t1").withColumnsRenamed({f"_{c}": c for c in ends} | {"_a": "t0", "_b": "t1"})
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(F.least(low, high) / size).cast("long"), F.floor(F.greatest(low, high) / size).cast("long"))
-
-
-def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
-    """All intersections of steps with line segments: step columns, cable_id, seg, t, cx, cy.
+def _meetings(steps: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
+    """Pairs that meet, with _u and _to, the parts of the step where they begin and end to do so.
 
-    Both sides are listed in the square cells of width ``cell`` that the boxes around them touch and joined
-    on the cell, so a line in any direction is many keys; a pair that meets in several cells counts in the first
-    common one only. Collinear overlaps (a determinant of 0) give no hit, nor do null coordinates.
+    Steps and segments are listed in the cells that they touch and joined on the cell; a pair counts in the
+    cell of its first common point only. Parallel lines meet where they lie on one another: within
+    TOUCH of the step, from _u to _to. Steps and segments without length meet nothing.
     """
-    listed = lambda df, p: df.withColumn("_gx", F.explode(_cells(F.col(f"{p}x0"), F.col(f"{p}x1"), cell))).withColumn("_gy", F.explode(_cells(F.col(f"{p}y0"), F.col(f"{p}y1"), cell)))
-    first = lambda c: F.greatest(F.floor(F.least(f"{c}0", f"{c}1") / cell), F.floor(F.least(f"c{c}0", f"c{c}1") / cell)).cast("long")
-    near = listed(steps, "").join(listed(segments, "c"), ["_gx", "_gy"]).where((F.col("_gx") == first("x")) & (F.col("_gy") == first("y")))
+    listed = touched_cells(steps, ("x0", "y0", "x1", "y1"), cell)
+    lines = touched_cells(segments, ("cx0", "cy0", "cx1", "cy1"), cell)
+    near = listed.join(lines.select("_gx", "_gy").distinct(), ["_gx", "_gy"], "left_semi").join(lines, ["_gx", "_gy"])
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ex, ey = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
-    den = dx * ey - dy * ex
     px, py = F.col("cx0") - F.col("x0"), F.col("cy0") - F.col("y0")
-    solved = near.withColumn("_den", den).where("_den <> 0").withColumn("_u", (px * ey - py * ex) / F.col("_den")).withColumn("_v", (px * dy - py * dx) / F.col("_den"))
-    hits = solved.where("_u between 0 and 1 and _v between 0 and 1")
+    solved = near.withColumns({"_den": dx * ey - dy * ex, "_across": px * dy - py * dx, "_squared": dx * dx + dy * dy}).where((F.col("_squared") > 0) & ((ex != 0) | (ey != 0)))
+    parallel = F.abs("_den") <= ROUNDING * (F.abs(dx * ey) + F.abs(dy * ex))
+    along = lambda x, y: ((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy) / F.col("_squared")
+    first, last = along("cx0", "cy0"), along("cx1", "cy1")
+    on = F.abs("_across") <= TOUCH * F.sqrt("_squared")
+    u = F.when(~parallel, (px * ey - py * ex) / F.col("_den")).when(on, F.greatest(F.least(first, last), F.lit(0.0)))
+    to = F.when(~parallel, (px * ey - py * ex) / F.col("_den")).when(on, F.least(F.greatest(first, last), F.lit(1.0)))
+    v = F.when(~parallel, F.col("_across") / F.col("_den")).otherwise(0.0)
+    met = solved.withColumns({"_u": u, "_to": to, "_v": v}).where("_u between 0 and 1 and _v between 0 and 1 and _u <= _to")
+    place = lambda p: F.floor((F.col(f"{p}0") + F.col("_u") * (F.col(f"{p}1") - F.col(f"{p}0"))) / cell).cast("long")
+    return met.where((F.col("_gx") == place("x")) & (F.col("_gy") == place("y"))).drop("_gx", "_gy", "_den", "_across", "_squared", "_v")
+
+
+def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float, parts: bool = True) -> DataFrame:
+    """All points where steps meet lines: step columns, cable_id, seg, t, cx, cy.
+
+    Where a step runs along a line, no point of that stretch is a hit. With ``parts`` the step's other
+    meetings with the line are; without, a step that runs along a line anywhere has no hit with it.
+    """
+    met = _meetings(steps, segments, cell)
+    of = Window.partitionBy(*(c for c in steps.columns), "cable_id")
+    covers = F.when(F.col("_to") > F.col("_u"), F.col("_to"))
+    if parts:
+        reach = F.max(covers).over(of.orderBy("_u", F.desc("_to")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hidden = F.coalesce(reach >= F.col("_u"), F.lit(False))
+    else:
+        hidden = F.max(covers).over(of).isNotNull()
+    hits = met.withColumn("_hidden", hidden).where("not _hidden")
     along = lambda p: F.col(f"{p}0") + F.col("_u") * (F.col(f"{p}1") - F.col(f"{p}0"))
-    return hits.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y")).drop("_gx", "_gy", "_den", "_u", "_v")
+    return hits.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y")).drop("_u", "_to", "_hidden")
 
 
 def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) -> DataFrame:
-    """Hits that come at least ``same`` after the hit before them on the same track and line."""
-    w = Window.partitionBy(*keys).orderBy("t", "seg")
-    return hits.withColumn("_gap", F.col("t") - F.lag("t").over(w)).where(F.col("_gap").isNull() | (F.col("_gap") >= same)).drop("_gap")
-
+    """Hits that come at least ``same`` after the last one kept of the same track and line.
 
-def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: float, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Crossings with start <= t < end, once each."""
-    hits = crossing_hits(clip_steps(steps, start, end), segments, cell)
+    Hits are sorted by track in one shuffle and pass by in batches with the time of the last kept one.
+    A hit that far from the one before is kept in any case, so only runs of closer ones are walked.
+    """
+    columns = hits.columns
+    at = columns.index("t")
+    ids = [columns.index(k) for k in keys]
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before, last = None, 0.0, 0.0  # of the row before: its track, its time, the last kept time
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            times = batch.column(at).to_numpy(zero_copy_only=False)
+            new = np.ones(n, bool)  # starts a track
+            if n > 1:
+                new[1:] = np.any([_differs(batch.column(k)) for k in ids], axis=0)
+            own = tuple(batch.column(k)[0].as_py() for k in ids)
+            new[0] = own != key
+            free = new | (np.diff(times, prepend=before) >= same)
+            for k in np.flatnonzero(~free).tolist():
+                if k and free[k - 1]:  # else the last kept one is known from the rows before
+                    last = times[k - 1]
+                if times[k] - last >= same:
+                    free[k], last = True, times[k]
+            if free[-1]:
+                last = times[-1]
+            key, before = tuple(batch.column(k)[n - 1].as_py() for k in ids), times[-1]
+            yield batch.filter(pa.array(free))
+
+    ordered = hits.repartition(*keys).sortWithinPartitions(*keys, "t", "seg")
+    return ordered.mapInArrow(kept, hits.schema)
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    return pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False) & ~both.to_numpy(zero_copy_only=False)
+
+
+def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: float, start: float | None = None, end: float | None = None, parts: bool = True) -> DataFrame:
+    """Crossings with start <= t < end, once each; see ``crossing_hits`` for ``parts``."""
+    hits = crossing_hits(clip_steps(steps, start, end), segments, cell, parts)
     inside = F.lit(True)
     if start is not None:
         inside = inside & (F.col("t") >= start)

@@ -6,11 +6,11 @@ chainage has no gear either. Empty tables of points give scenarios that are all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seatrace.functions.geodesy import local_inverse
-from seatrace.operators.paths import consecutive, interpolate, length
+from seatrace.operators.paths import consecutive, interpolate, length, tow_points
 from seatrace.operators.raster import bilinear_depth
 
 CEILING, REACH, NO_DEPTH = "warp ceiling", "door spread exceeds horizontal warp reach", "missing depth"
@@ -31,17 +31,20 @@ def lag_squared(depth: Column) -> Column:
     return warp * warp - depth * depth - half * half
 
 
-def scenario_status(points: DataFrame, grid: DataFrame, max_warp: float, depth: str = "depth") -> DataFrame:
+def scenario_status(points: DataFrame, grid: DataFrame, max_warp: float, depth: str = "depth", depth_offset: float = 0.0) -> DataFrame:
     """(scenario_id, ratio, spread, accepted, rejection_reason): one bad second rejects a scenario.
 
-    A larger depth only lengthens the warp, and the lag grows with it for ratios above 1, so the whole
-    product isn't needed: least and greatest depth decide, and those are one row. A missing depth, or no
-    point at all, rejects all scenarios.
+    depth_offset is added to every depth. The warp follows the depth, and the squared lag the square of it,
+    so the whole product isn't needed: the greatest depth, and the least and the greatest absolute one
+    decide, and those are one row. A depth that is null, NaN or not above 0 counts as missing, and that, or
+    no point at all, rejects all scenarios.
     """
-    ends = points.agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"), (F.count(depth) < F.greatest(F.count("*"), F.lit(1))).alias("_missing"))
+    known = F.col(depth) > 0
+    real = F.when(known & ~F.isnan(depth), F.col(depth) + depth_offset)
+    ends = points.agg(F.min(F.abs(real)).alias("_lo"), F.max(F.abs(real)).alias("_hi"), F.max(real).alias("_deep"), (F.count(real) < F.greatest(F.count("*"), F.lit(1))).alias("_missing"))
     both = grid.crossJoin(ends)
     short = F.least(lag_squared(F.col("_lo")), lag_squared(F.col("_hi"))) <= 0
-    reason = F.when(F.col("_missing"), NO_DEPTH).when(F.col("ratio") * F.greatest("_lo", "_hi") > max_warp, CEILING).when(short, REACH)
+    reason = F.when(F.col("_missing"), NO_DEPTH).when(F.col("ratio") * F.col("_deep") > max_warp, CEILING).when(short, REACH)
     return both.select("scenario_id", "ratio", "spread", reason.isNull().alias("accepted"), reason.alias("rejection_reason"))
 
 
@@ -52,12 +55,29 @@ def swept_points(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float,
     segments of the same tows. The depth is per point, before the grid multiplies the rows; the grid, a few
     hundred rows by its parameters, is left to the planner's own limit for broadcasts.
     """
-    swept = tow.crossJoin(grid).withColumn("_lag", F.sqrt(lag_squared(F.col("depth") + depth_offset))).where("_lag > 0")
+    squared = lag_squared(F.col("depth") + depth_offset)
+    swept = tow.crossJoin(grid).where((squared > 0) & ~F.isnan(squared)).withColumn("_lag", F.sqrt(squared))
     found = interpolate(swept.withColumn("_at", F.col("s") - F.col("_lag")), path, "_at", width, keep=True)
     found = found.withColumn("_chord", length(F.col("x") - F.col("ix"), F.col("y") - F.col("iy")))
     return found.withColumn("reason", F.when(F.col("ix").isNull(), OFF_PATH).when(F.col("_chord") < 1, SHORT_CHORD))
 
 
+def towed_track(steps: DataFrame, cells: DataFrame, offset: float, corner: tuple[float, float], pixel: tuple[float, float], centre: tuple[float, float] | None = None) -> DataFrame:
+    """(mmsi, event_id, us, x, y, depth): tow points ``offset`` aft of the antenna, with the raster's depth under them.
+
+    steps are the antenna's places (mmsi, event_id, us, x, y) with their velocity (vx, vy). The raster lies in the
+    plane of x and y, or is one of degrees around ``centre``, to which points are projected back. Where the vessel
+    is stationary there is no tow point and no row.
+    """
+    tow = tow_points(steps, offset).where("tow_x is not null").select("mmsi", "event_id", "us", "tow_x", "tow_y")
+    if centre is not None:
+        deep = depths_under(tow, cells, centre, corner, pixel)
+    else:
+        placed = tow.withColumns({"px": (F.col("tow_x") - corner[0]) / pixel[0], "py": (corner[1] - F.col("tow_y")) / pixel[1]})
+        deep = bilinear_depth(placed, cells)
+    return deep.select("mmsi", "event_id", "us", F.col("tow_x").alias("x"), F.col("tow_y").alias("y"), "depth")
+
+
 def depths_under(points: DataFrame, cells: DataFrame, centre: tuple[float, float], corner: tuple[float, float], pixel: tuple[float, float]) -> DataFrame:
     """points (tow_x, tow_y in the local projection around centre) with depth, from a raster of geographic cells.
 
@@ -74,14 +94,20 @@ def gear_failures(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float
     return swept_points(tow, path, grid, width, depth_offset).where("reason is not null").select("scenario_id", "mmsi", "event_id", "reason")
 
 
-def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, clump_offset: float = 0.0, depth_offset: float = 0.0) -> DataFrame:
+def gear_centres(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, depth_offset: float = 0.0) -> DataFrame:
+    """swept_points that have gear, with its direction (_ux, _uy) and centre (_cx, _cy) a lag behind the tow point."""
+    found = swept_points(tow, path, grid, width, depth_offset).where("reason is null")
+    found = found.withColumn("_ux", (F.col("x") - F.col("ix")) / F.col("_chord")).withColumn("_uy", (F.col("y") - F.col("iy")) / F.col("_chord"))
+    return found.withColumn("_cx", F.col("x") - F.col("_lag") * F.col("_ux")).withColumn("_cy", F.col("y") - F.col("_lag") * F.col("_uy"))
+
+
+def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: float, clump_offset: float = 0.0, depth_offset: float = 0.0, observation: Observation | None = None) -> DataFrame:
     """(scenario_id, mmsi, event_id, us, component, x, y) for the scenarios of grid, the accepted ones.
 
-    Points that gear_failures lists have no rows; a result is whole only if there are none.
+    Points that gear_failures lists have no rows; a result is whole only if there are none. With an observation, the
+    pass that writes the positions also counts its points and those that break an invariant: doors that aren't
+    the spread apart (open_doors) or whose distance and depth don't make the warp (open_warps).
     """
-    found = swept_points(tow, path, grid, width, depth_offset).where("reason is null")
-    found = found.withColumn("_ux", (F.col("x") - F.col("ix")) / F.col("_chord")).withColumn("_uy", (F.col("y") - F.col("iy")) / F.col("_chord"))
-    found = found.withColumn("_cx", F.col("x") - F.col("_lag") * F.col("_ux")).withColumn("_cy", F.col("y") - F.col("_lag") * F.col("_uy"))
     half = F.col("spread") / 2
 
     def place(name: str, across: Column | float, along: float) -> Column:
@@ -91,7 +117,22 @@ def gear_positions(tow: DataFrame, path: DataFrame, grid: DataFrame, width: floa
         return F.struct(F.lit(name).alias("component"), px.alias("px"), py.alias("py"))
 
     parts = F.array(place("port_door", half, 0.0), place("starboard_door", -half, 0.0), place("centre_clump", F.lit(0.0), clump_offset))
-    return found.select("scenario_id", "mmsi", "event_id", "us", F.explode(parts).alias("p")).select("scenario_id", "mmsi", "event_id", "us", "p.component", F.col("p.px").alias("x"), F.col("p.py").alias("y"))
+    found = gear_centres(tow, path, grid, width, depth_offset).withColumn("_parts", parts)
+    if observation is not None:
+        port, starboard = (F.struct(F.col("_parts")[k]["px"].alias("x"), F.col("_parts")[k]["py"].alias("y")) for k in (0, 1))
+        apart, loose = closure_faults(port, starboard, F.struct("x", "y"), F.col("depth") + depth_offset)
+        found = found.observe(observation, F.count("*").alias("points"), F.count_if(apart).alias("open_doors"), F.count_if(loose).alias("open_warps"))
+    rows = found.select("scenario_id", "mmsi", "event_id", "us", F.explode("_parts").alias("p"))
+    return rows.select("scenario_id", "mmsi", "event_id", "us", "p.component", F.col("p.px").alias("x"), F.col("p.py").alias("y"))
+
+
+def closure_faults(port: Column, starboard: Column, tow: Column, depth: Column) -> tuple[Column, Column]:
+    """Whether the doors (x, y) aren't the column spread apart, and whether a door's distance from the tow point
+    and the depth don't make a warp of the column ratio times the depth."""
+    far = lambda a, b: length(a["x"] - b["x"], a["y"] - b["y"])
+    warp = F.col("ratio") * depth
+    loose = [differs_much(length(far(door, tow), depth), warp) for door in (port, starboard)]
+    return differs_much(far(port, starboard), F.col("spread")), loose[0] | loose[1]
 
 
 def component_steps(positions: DataFrame) -> DataFrame:
@@ -100,11 +141,15 @@ def component_steps(positions: DataFrame) -> DataFrame:
     return steps.withColumnsRenamed({"us0": "t0", "us1": "t1"})
 
 
-def door_distances(positions: DataFrame) -> DataFrame:
-    """(scenario_id, mmsi, event_id, got): how far apart the two doors are, one grouping of the positions."""
-    at = lambda name, c: F.max(F.when(F.col("component") == name, F.col(c)))
-    apart = length(*(at("port_door", c) - at("starboard_door", c) for c in "xy"))
-    return positions.groupBy("scenario_id", "mmsi", "event_id").agg(apart.alias("got"))
+def gear_closure(positions: DataFrame, tow: DataFrame, grid: DataFrame, depth_offset: float = 0.0) -> DataFrame:
+    """(scenario_id, points, open_doors, open_warps) of positions that were written before, from the tow points
+    (mmsi, event_id, x, y, depth) and the grid, not from the formula that placed them."""
+    at = lambda name: F.max(F.when(F.col("component") == name, F.struct("x", "y")))
+    doors = positions.groupBy("scenario_id", "mmsi", "event_id").agg(at("port_door").alias("_port"), at("starboard_door").alias("_starboard"))
+    both = doors.join(tow.select("mmsi", "event_id", "x", "y", "depth"), ["mmsi", "event_id"]).join(grid, "scenario_id")
+    apart, loose = closure_faults(F.col("_port"), F.col("_starboard"), F.struct("x", "y"), F.col("depth") + depth_offset)
+    count = lambda wrong: F.count_if(F.coalesce(wrong, F.lit(True)))
+    return both.groupBy("scenario_id").agg(F.count("*").alias("points"), count(apart).alias("open_doors"), count(loose).alias("open_warps"))
 
 
 def differs_much(got: Column, wanted: Column, rtol: float = 1e-5, atol: float = 1e-6) -> Column:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A polyline table is broadcast up to this many segments; beyond it distances need a bucketed join.
-BROADCAST_SEGMENTS = 200_000
+from seatrace.functions.geodesy import local_forward
+from seatrace.operators.cells import touched_cells
 
 
 def length(dx: Column, dy: Column) -> Column:
@@ -82,14 +82,64 @@ def segment_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y
     return length(x - (x0 + part * dx), y - (y0 + part * dy))
 
 
-def screen_vessels(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
-    """(mmsi, cable_id, distance, within): least distance of a vessel's points to each line, and whether <= reach.
+def _pairs_of_cells(cell: float) -> tuple[Column, Column]:
+    """The least and the greatest distance there can be from a place in a cell (_px, _py) to the nearest place in (_lx, _ly)."""
+    across, along = F.abs(F.col("_px") - F.col("_lx")), F.abs(F.col("_py") - F.col("_ly"))
+    near = length(F.greatest(across - 1, F.lit(0)).cast("double"), F.greatest(along - 1, F.lit(0)).cast("double"))
+    return near * cell, length((across + 1).cast("double"), (along + 1).cast("double")) * cell
 
-    Every pair of vessel and line has a row, so every point meets every segment: lines are reference
-    data, broadcast only if they have at most BROADCAST_SEGMENTS segments and combined per task.
+
+def nearest_lines(points: DataFrame, segments: DataFrame, cell: float = 400.0, fan: int = 16, levels: int = 2, salts: int = 64) -> DataFrame:
+    """(mmsi, cable_id, distance): the least distance from a vessel's points (mmsi, x, y) to each line.
+
+    Points and segments lie in square cells of width ``cell``, those in cells ``fan`` times as wide, and so on for
+    ``levels``. From the widest down, pairs of cells of a vessel and a line are joined by their wider cells,
+    and a pair goes on only if it may be nearer than the best of its vessel and line surely is. In the end
+    points meet the segments of the few cells left. The widest cells of every vessel meet those of every
+    line, since every such pair has a row of the result; they are dealt over ``salts``. Points and segments
+    without a place are left out.
     """
-    small = segments.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
-    pairs = points.crossJoin(F.broadcast(segments) if small else segments)
+    finite = lambda *columns: " and ".join(f"abs({c}) < 'inf'" for c in columns)
+    number = lambda c: F.floor(F.col(c) / cell).cast("long")
+    placed = points.where(finite("x", "y")).select("mmsi", "x", "y", number("x").alias("_px"), number("y").alias("_py"))
+    drawn = touched_cells(segments.where(finite("cx0", "cy0", "cx1", "cy1")), ("cx0", "cy0", "cx1", "cy1"), cell).withColumnsRenamed({"_gx": "_lx", "_gy": "_ly"})
+
+    def coarser(df: DataFrame, key: str, x: str, y: str) -> list[DataFrame]:
+        found = [df.select(key, x, y).distinct()]
+        for _ in range(levels):
+            wide = [F.floor(F.col(c) / fan).cast("long").alias(c) for c in (x, y)]
+            found.append(found[-1].select(key, *wide).distinct())
+        return found
+
+    vessels, lines = coarser(placed, "mmsi", "_px", "_py"), coarser(drawn, "cable_id", "_lx", "_ly")
+    pairs = vessels[-1].withColumn("_salt", F.pmod(F.xxhash64("mmsi", "_px", "_py"), F.lit(salts)).cast("int"))
+    pairs = pairs.join(lines[-1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "_salt").drop("_salt")
+    both = Window.partitionBy("mmsi", "cable_id")
+    for level in range(levels, -1, -1):
+        if level < levels:
+            for df, key, x, y in ((vessels[level], "mmsi", "_px", "_py"), (lines[level], "cable_id", "_lx", "_ly")):
+                inner = df.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / fan).cast("long").alias(x), F.floor(F.col(y) / fan).cast("long").alias(y))
+                pairs = pairs.join(inner, [key, x, y]).drop(x, y).withColumnsRenamed({"_x": x, "_y": y})
+        low, high = _pairs_of_cells(cell * fan**level)
+        pairs = pairs.withColumn("_best", F.min(high).over(both)).where(low <= F.col("_best") * (1 + 1e-6)).drop("_best")
     gap = segment_distance(*(F.col(c) for c in ("x", "y", "cx0", "cy0", "cx1", "cy1")))
-    nearest = pairs.groupBy("mmsi", "cable_id").agg(F.min(gap).alias("distance"))
-    return nearest.withColumn("within", F.col("distance") <= reach)
+    met = pairs.join(placed, ["mmsi", "_px", "_py"]).join(drawn, ["cable_id", "_lx", "_ly"])
+    return met.groupBy("mmsi", "cable_id").agg(F.min(gap).alias("distance"))
+
+
+def screen_vessels(points: DataFrame, segments: DataFrame, reach: float, **how) -> DataFrame:
+    """(mmsi, cable_id, distance, within): least distance of a vessel's points to each line, and whether <= reach."""
+    return nearest_lines(points, segments, **how).withColumn("within", F.col("distance") <= reach)
+
+
+def screen_positions(positions: DataFrame, lines: DataFrame, centre: tuple[float, float], start: str, end: str, reach: float, **how) -> DataFrame:
+    """The same of geographic positions (mmsi, ts, lon, lat) within [start, end), against vertices (cable_id, seq, lon, lat).
+
+    Places off the globe are left out, repeated positions count once, and both sides are projected around
+    ``centre`` first.
+    """
+    on_globe = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)
+    seen = positions.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")) & on_globe)
+    seen = seen.select("mmsi", "ts", "lon", "lat").distinct()
+    flat = lambda df: df.withColumn("_p", local_forward(F.col("lon"), F.col("lat"), *centre)).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p")
+    return screen_vessels(flat(seen).select("mmsi", "x", "y"), polyline_segments(flat(lines)), reach, **how)

@@ -52,6 +52,24 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("row", "col", F.floor(F.col("e").cast("double") * 1000).cast("int").alias("elevation"))
 
 
+#: Where the stand-in sea lies in the plane of the tracks: north-west corner, and width and height of a cell.
+SEA_CORNER, SEA_PIXEL = (-2000.0, 800.0), (500.0, 8.0)
+
+
+def sea(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, col, elevation): the stand-in raster as a sea bed, 100 to 899 below the surface everywhere."""
+    bed = (-100 - F.abs("elevation") % 800).cast("int")
+    return raster(spark, sf_dir).select("row", "col", bed.alias("elevation"))
+
+
+def antenna_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mmsi, event_id, us, x, y, vx, vy): every place of a track but its last, with ten seconds to the next."""
+    points = track(spark, sf_dir)
+    w = Window.partitionBy("mmsi").orderBy("us", "event_id")
+    ahead = points.withColumns({f"v{p}": (F.lead(p).over(w) - F.col(p)) / 10 for p in "xy"})
+    return ahead.where("vx is not null").select("mmsi", "event_id", "us", "x", "y", "vx", "vy")
+
+
 def catches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as catch reports: every fifth has no gear specification."""
     items = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_partkey")
@@ -93,5 +111,15 @@ CABLE_SQL = """cable AS (SELECT 'cable_a' AS cable_id, n_nationkey AS seq, CAST(
 segments AS (SELECT * FROM (SELECT cable_id, seq AS seg, x AS cx0, y AS cy0, lead(x) OVER w AS cx1, lead(y) OVER w AS cy1 FROM cable WINDOW w AS (PARTITION BY cable_id ORDER BY seq)) WHERE cx1 IS NOT NULL)"""
 RASTER_SQL = """cells AS (SELECT CAST(vec_id AS INTEGER) AS row, CAST(i - 1 AS INTEGER) AS col, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS INTEGER) AS elevation
   FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))"""
+SEA_SQL = RASTER_SQL.replace("cells AS", "land AS") + """, cells AS (SELECT row, col, -100 - abs(elevation) % 800 AS elevation FROM land)"""
+#: Tow points with the depth of the sea under them, under the name of the tracks they come from.
+TOWED_SQL = TRACK_SQL.replace("track AS", "antenna AS") + f""", {SEA_SQL},
+aft AS (SELECT mmsi, event_id, us, x - vx / v * 25 AS x, y - vy / v * 25 AS y FROM (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM (
+  SELECT *, (lead(x) OVER w - x) / 10 AS vx, (lead(y) OVER w - y) / 10 AS vy FROM antenna WINDOW w AS (PARTITION BY mmsi ORDER BY us, event_id))) WHERE v >= 0.01),
+pixels AS (SELECT *, CAST(floor(px - 0.5) AS INTEGER) AS c, CAST(floor(py - 0.5) AS INTEGER) AS r FROM (
+  SELECT *, (x - {SEA_CORNER[0]}) / {SEA_PIXEL[0]} AS px, ({SEA_CORNER[1]} - y) / {SEA_PIXEL[1]} AS py FROM aft)),
+stencil AS (SELECT p.*, a.elevation AS e0, b.elevation AS e1, d.elevation AS e2, e.elevation AS e3, px - (c + 0.5) AS dx, py - (r + 0.5) AS dy FROM pixels p
+  LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells d ON d.row = r + 1 AND d.col = c LEFT JOIN cells e ON e.row = r + 1 AND e.col = c + 1),
+track AS (SELECT mmsi, event_id, us, x, y, CASE WHEN e < 0 THEN -e END AS depth FROM (SELECT *, e0 * (1 - dx) * (1 - dy) + e1 * dx * (1 - dy) + e2 * (1 - dx) * dy + e3 * dx * dy AS e FROM stencil))"""
 STEPS_SQL = """steps AS (SELECT * FROM (SELECT mmsi, us AS t0, x AS x0, y AS y0, lead(us) OVER w AS t1, lead(x) OVER w AS x1, lead(y) OVER w AS y1
   FROM track WINDOW w AS (PARTITION BY mmsi ORDER BY us, event_id)) WHERE t1 IS NOT NULL)"""

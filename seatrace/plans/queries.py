@@ -16,7 +16,7 @@ from seatrace.functions import geodesy, masks, records
 from seatrace.functions.spline import smooth_whole_tracks
 from seatrace.operators import crossings, gear, paths, positions, provenance, raster, summaries, validation
 from seatrace.plans import bridge
-from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TRACK_SQL, table
+from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TOWED_SQL, TRACK_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,21 +46,26 @@ def mm_sql(value: str, name: str, scale: int = 1000) -> str:
 
 
 RATIOS, SPREADS = [2.0, 2.5, 3.0, 3.5, 4.0], [120.0, 320.0, 520.0]
-MAX_WARP = 3000.0
+MAX_WARP, DEPTH_OFFSET = 3000.0, -20.0
 GRID_SQL = f"""grid AS (SELECT printf('G%04d', r.k * {len(SPREADS)} + s.k) AS scenario_id, r.v AS ratio, s.v AS spread FROM
   (VALUES {", ".join(f"({k}, CAST({v} AS DOUBLE))" for k, v in enumerate(RATIOS))}) r(k, v), (VALUES {", ".join(f"({k}, CAST({v} AS DOUBLE))" for k, v in enumerate(SPREADS))}) s(k, v))"""
 STATUS_SQL = f"""status AS (SELECT scenario_id, ratio, spread, reason IS NULL AS accepted, reason AS rejection_reason FROM (SELECT *,
-  CASE WHEN ratio * hi > {MAX_WARP} THEN '{gear.CEILING}' WHEN least(ratio * lo * (ratio * lo) - lo * lo - spread / 2 * (spread / 2), ratio * hi * (ratio * hi) - hi * hi - spread / 2 * (spread / 2)) <= 0 THEN '{gear.REACH}' END AS reason
-  FROM grid, (SELECT min(depth) AS lo, max(depth) AS hi FROM track)))"""
+  CASE WHEN missing THEN '{gear.NO_DEPTH}' WHEN ratio * deep > {MAX_WARP} THEN '{gear.CEILING}' WHEN short <= 0 THEN '{gear.REACH}' END AS reason
+  FROM (SELECT scenario_id, ratio, spread, max(depth + {DEPTH_OFFSET}) AS deep, bool_or(depth IS NULL) AS missing,
+    min(ratio * (depth + {DEPTH_OFFSET}) * (ratio * (depth + {DEPTH_OFFSET})) - (depth + {DEPTH_OFFSET}) * (depth + {DEPTH_OFFSET}) - spread / 2 * (spread / 2)) AS short FROM grid, track GROUP BY ALL)))"""
 
 
 def _grid(spark: SparkSession) -> DataFrame:
     return gear.scenario_grid(spark, RATIOS, SPREADS)
 
 
+def _towed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The antenna's tracks, 25 m aft, with the depth of the sea there."""
+    return gear.towed_track(bridge.antenna_steps(spark, sf_dir), bridge.sea(spark, sf_dir), 25.0, bridge.SEA_CORNER, bridge.SEA_PIXEL)
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "events").select((100 + F.col("event_id") % 40 * 20).cast("double").alias("depth"))
-    return gear.scenario_status(points, _grid(spark), MAX_WARP)
+    return gear.scenario_status(_towed(spark, sf_dir), _grid(spark), MAX_WARP, depth_offset=DEPTH_OFFSET)
 
 
 def _steps(track: DataFrame) -> DataFrame:
@@ -253,29 +258,29 @@ def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark)
 
 
-@query(f"WITH {TRACK_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT * FROM status")
+@query(f"WITH {TOWED_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT * FROM status")
 def scenario_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status(spark, sf_dir)
 
 
-@query(f"WITH {TRACK_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT accepted) AS BIGINT) AS rejected FROM status")
+@query(f"WITH {TOWED_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT accepted) AS BIGINT) AS rejected FROM status")
 def scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status(spark, sf_dir).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query(f"""WITH {TRACK_SQL}, {GRID_SQL}, {STATUS_SQL}, e AS (SELECT (min(ratio) + max(ratio)) / 2 AS mr, (min(spread) + max(spread)) / 2 AS ms, CASE WHEN max(ratio) > min(ratio) THEN max(ratio) - min(ratio) ELSE 1.0 END AS sr, CASE WHEN max(spread) > min(spread) THEN max(spread) - min(spread) ELSE 1.0 END AS ss FROM status)
+@query(f"""WITH {TOWED_SQL}, {GRID_SQL}, {STATUS_SQL}, e AS (SELECT (min(ratio) + max(ratio)) / 2 AS mr, (min(spread) + max(spread)) / 2 AS ms, CASE WHEN max(ratio) > min(ratio) THEN max(ratio) - min(ratio) ELSE 1.0 END AS sr, CASE WHEN max(spread) > min(spread) THEN max(spread) - min(spread) ELSE 1.0 END AS ss FROM status)
 SELECT scenario_id, ratio, spread FROM status, e WHERE accepted ORDER BY abs(ratio - mr) / sr + abs(spread - ms) / ss, ratio, spread LIMIT 1""")
 def reference_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear.reference_case(_status(spark, sf_dir))
 
 
-@query(f"WITH {TRACK_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT r.ratio, s.spread FROM (SELECT DISTINCT ratio FROM status WHERE accepted) r, (SELECT DISTINCT spread FROM status WHERE accepted) s WHERE NOT EXISTS (SELECT 1 FROM status t WHERE t.accepted AND t.ratio = r.ratio AND t.spread = s.spread)")
+@query(f"WITH {TOWED_SQL}, {GRID_SQL}, {STATUS_SQL} SELECT r.ratio, s.spread FROM (SELECT DISTINCT ratio FROM status WHERE accepted) r, (SELECT DISTINCT spread FROM status WHERE accepted) s WHERE NOT EXISTS (SELECT 1 FROM status t WHERE t.accepted AND t.ratio = r.ratio AND t.spread = s.spread)")
 def missing_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear.missing_cells(_status(spark, sf_dir).where("accepted"))
 
 
-GEAR_SQL = """tows AS (SELECT mmsi, event_id, us, chainage_mm / 1000 AS s, x, y, depth FROM chain),
-swept AS (SELECT *, sqrt(l2) AS lag FROM (SELECT t.*, g.scenario_id, g.ratio, g.spread, g.ratio * depth * (g.ratio * depth) - depth * depth - g.spread / 2 * (g.spread / 2) AS l2 FROM tows t, status g WHERE g.accepted) WHERE l2 > 0),
+GEAR_SQL = f"""tows AS (SELECT mmsi, event_id, us, chainage_mm / 1000 AS s, x, y, depth, depth + {DEPTH_OFFSET} AS d FROM chain),
+swept AS (SELECT *, sqrt(l2) AS lag FROM (SELECT t.*, g.scenario_id, g.ratio, g.spread, g.ratio * d * (g.ratio * d) - d * d - g.spread / 2 * (g.spread / 2) AS l2 FROM tows t, status g WHERE g.accepted) WHERE l2 > 0),
 found AS (SELECT w.*, x0 + (s - lag - s0) / (s1 - s0) * (x1 - x0) AS ix, y0 + (s - lag - s0) / (s1 - s0) * (y1 - y0) AS iy FROM swept w JOIN path p ON w.mmsi = p.mmsi AND s0 <= s - lag AND s - lag < s1),
 turned AS (SELECT *, (x - ix) / chord AS ux, (y - iy) / chord AS uy FROM (SELECT *, sqrt((x - ix) * (x - ix) + (y - iy) * (y - iy)) AS chord FROM found) WHERE chord >= 1),
 centred AS (SELECT *, x - lag * ux AS cx, y - lag * uy AS cy FROM turned),
@@ -283,21 +288,24 @@ placed AS (SELECT scenario_id, mmsi, event_id, us, component, cx + across * -uy
 
 
 def _gear_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chain = _chain(spark, sf_dir)
+    """Tow points with chainage and depth, the path they make, and the accepted scenarios."""
+    towed = _towed(spark, sf_dir)
+    chain = paths.chainage(towed, ["us", "event_id"])
     tow = chain.select("mmsi", "event_id", "us", (F.col("chainage_mm") / 1000).alias("s"), "x", "y", "depth")
-    return tow, _path(chain), _status(spark, sf_dir).where("accepted").select("scenario_id", "ratio", "spread")
+    status = gear.scenario_status(towed, _grid(spark), MAX_WARP, depth_offset=DEPTH_OFFSET)
+    return tow, _path(chain), status.where("accepted").select("scenario_id", "ratio", "spread")
 
 
 def _gear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gear.gear_positions(*_gear_inputs(spark, sf_dir), 500.0)
+    return gear.gear_positions(*_gear_inputs(spark, sf_dir), 500.0, depth_offset=DEPTH_OFFSET)
 
 
-@query(f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL} SELECT scenario_id, mmsi, event_id, component, {mm_sql('px', 'x_mm')}, {mm_sql('py', 'y_mm')} FROM placed")
+@query(f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL} SELECT scenario_id, mmsi, event_id, component, {mm_sql('px', 'x_mm')}, {mm_sql('py', 'y_mm')} FROM placed")
 def gear_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gear(spark, sf_dir).select("scenario_id", "mmsi", "event_id", "component", mm(F.col("x")).alias("x_mm"), mm(F.col("y")).alias("y_mm"))
 
 
-@query(f"""WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, m AS (SELECT scenario_id, component, min(event_id) AS t FROM placed WHERE px < 1000 GROUP BY 1, 2),
+@query(f"""WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, m AS (SELECT scenario_id, component, min(event_id) AS t FROM placed WHERE px < 1000 GROUP BY 1, 2),
 n AS (SELECT scenario_id, string_agg(component, '+' ORDER BY component) AS names FROM m GROUP BY 1)
 SELECT ratio, string_agg(CAST(CAST(spread AS INTEGER) AS VARCHAR) || ':' || CAST(accepted AS VARCHAR) || ':' || coalesce(names, ''), ';' ORDER BY spread) AS cells FROM status LEFT JOIN n USING (scenario_id) GROUP BY ratio""")
 def result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,26 +331,27 @@ FAILURES_SQL = f"""failures AS (SELECT scenario_id, CASE WHEN ix IS NULL THEN '{
 
 
 @query(
-    f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {FAILURES_SQL} "
+    f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {FAILURES_SQL} "
     "SELECT scenario_id, reason, CAST(count(*) AS BIGINT) AS points FROM failures GROUP BY 1, 2"
 )
 def gear_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points without gear positions, by scenario and reason."""
-    return gear.gear_failures(*_gear_inputs(spark, sf_dir), 500.0).groupBy("scenario_id", "reason").agg(F.count("*").alias("points"))
+    return gear.gear_failures(*_gear_inputs(spark, sf_dir), 500.0, DEPTH_OFFSET).groupBy("scenario_id", "reason").agg(F.count("*").alias("points"))
 
 
 @query(
-    f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, "
-    "d AS (SELECT a.scenario_id, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS got, spread AS wanted FROM placed a JOIN placed b "
-    "ON a.scenario_id = b.scenario_id AND a.event_id = b.event_id AND a.component = 'port_door' AND b.component = 'starboard_door' JOIN status s ON s.scenario_id = a.scenario_id) "
-    "SELECT scenario_id, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (abs(got - wanted) > 1e-6 + 1e-5 * abs(wanted)) AS BIGINT) AS open FROM d GROUP BY 1"
+    f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, "
+    "d AS (SELECT a.scenario_id, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS got, spread AS wanted, ratio * t.d AS warp, "
+    "sqrt((a.px - t.x) * (a.px - t.x) + (a.py - t.y) * (a.py - t.y) + t.d * t.d) AS port, sqrt((b.px - t.x) * (b.px - t.x) + (b.py - t.y) * (b.py - t.y) + t.d * t.d) AS starboard "
+    "FROM placed a JOIN placed b ON a.scenario_id = b.scenario_id AND a.event_id = b.event_id AND a.component = 'port_door' AND b.component = 'starboard_door' "
+    "JOIN status s ON s.scenario_id = a.scenario_id JOIN tows t ON t.event_id = a.event_id) "
+    "SELECT scenario_id, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (abs(got - wanted) > 1e-6 + 1e-5 * abs(wanted)) AS BIGINT) AS open_doors, "
+    "CAST(count(*) FILTER (abs(port - warp) > 1e-6 + 1e-5 * abs(warp) OR abs(starboard - warp) > 1e-6 + 1e-5 * abs(warp)) AS BIGINT) AS open_warps FROM d GROUP BY 1"
 )
 def gear_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many points of a scenario have doors that aren't the door spread apart."""
-    spreads = _status(spark, sf_dir).select("scenario_id", F.col("spread").alias("wanted"))
-    doors = gear.door_distances(_gear(spark, sf_dir)).join(spreads, "scenario_id")
-    wrong = gear.differs_much(F.col("got"), F.col("wanted"))
-    return doors.groupBy("scenario_id").agg(F.count("*").alias("points"), F.count_if(wrong).alias("open"))
+    """How many points of a scenario have doors that aren't the spread apart, or that don't close the warp's triangle."""
+    tow, path, grid = _gear_inputs(spark, sf_dir)
+    return gear.gear_closure(gear.gear_positions(tow, path, grid, 500.0, depth_offset=DEPTH_OFFSET), tow, grid, DEPTH_OFFSET)
 
 
 GEAR_HITS_SQL = """gsteps AS (SELECT * FROM (SELECT scenario_id, mmsi, component, us AS t0, px AS x0, py AS y0, lead(us) OVER w AS t1, lead(px) OVER w AS x1, lead(py) OVER w AS y1
@@ -357,7 +366,7 @@ def _gear_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {CABLE_SQL}, {GEAR_HITS_SQL} "
+    f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {CABLE_SQL}, {GEAR_HITS_SQL} "
     "SELECT scenario_id, mmsi, component, cable_id, CAST(count(*) AS BIGINT) AS crossings, CAST(floor(min(t) / 1000) AS BIGINT) AS first_ms, CAST(floor(max(t) / 1000) AS BIGINT) AS last_ms "
     "FROM crossed GROUP BY ALL"
 )
@@ -371,7 +380,7 @@ FAILURE = ("2024-01-10", "2024-01-20")
 
 
 @query(
-    f"WITH {TRACK_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {CABLE_SQL}, {GEAR_HITS_SQL} "
+    f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {CABLE_SQL}, {GEAR_HITS_SQL} "
     f"SELECT component, CAST(count(*) AS BIGINT) AS crossings, CAST(count(*) FILTER (t >= epoch_us(TIMESTAMP '{FAILURE[0]}') AND t < epoch_us(TIMESTAMP '{FAILURE[1]}')) AS BIGINT) AS inside, "
     "CAST(count(DISTINCT scenario_id) AS BIGINT) AS scenarios, CAST(count(DISTINCT mmsi) AS BIGINT) AS vessels FROM crossed GROUP BY 1"
 )
@@ -380,20 +389,6 @@ def crossing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.crossing_metrics(_gear_crossings(spark, sf_dir), *FAILURE)
 
 
-def also_named(name: str, f: Query) -> Query:
-    """Register f under a second name, under which an earlier form without SQL was known."""
-    QUERIES[name], ORACLE_SQL[name] = f, ORACLE_SQL[f.__name__]
-    return f
-
-
-whole_scenario_status = also_named("whole_scenario_status", scenario_status)
-whole_scenario_counts = also_named("whole_scenario_counts", scenario_counts)
-whole_reference_case = also_named("whole_reference_case", reference_case)
-whole_missing_scenarios = also_named("whole_missing_scenarios", missing_scenarios)
-whole_gear_positions = also_named("whole_gear_positions", gear_positions)
-whole_result_matrix = also_named("whole_result_matrix", result_matrix)
-
-
 DEPTH_SQL = """points AS (SELECT event_id, event_id % 6500 / 100 + 0.25 AS px, event_id % 501 + 0.75 AS py FROM events),
 placed AS (SELECT *, CAST(floor(px - 0.5) AS INTEGER) AS c, CAST(floor(py - 0.5) AS INTEGER) AS r FROM points),
 near AS (SELECT p.*, a.elevation AS e0, b.elevation AS e1, d.elevation AS e2, e.elevation AS e3, px - (c + 0.5) AS dx, py - (r + 0.5) AS dy FROM placed p
@@ -429,9 +424,6 @@ def slope_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("centre_row", "centre_col", *(whole(F.col(c), 1_000_000).alias(f"{c}_u") for c in ("median", "least", "greatest")), "cells")
 
 
-whole_slope_neighbourhood = also_named("whole_slope_neighbourhood", slope_neighbourhood)
-
-
 @query(f"WITH {RASTER_SQL} SELECT col, {mm_sql('CAST(sum(row * elevation) AS DOUBLE) / sum(elevation)', 'centre_mm')} FROM cells WHERE elevation > 0 AND col % 4 = 0 GROUP BY col")
 def column_centreline(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = raster.column_centres(bridge.raster(spark, sf_dir), F.col("elevation"), 4)

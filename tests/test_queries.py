@@ -3,11 +3,7 @@ import pytest
 from seatrace.plans.queries import ORACLE_SQL, QUERIES
 from tests.compare import SMALL, assert_same
 
-#: Registered under two names; the first is enough.
-ALIASES = {f"whole_{k}" for k in QUERIES if f"whole_{k}" in QUERIES}
-
-
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - ALIASES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     assert_same(QUERIES[name](spark, SMALL), SMALL, ORACLE_SQL[name])
 

@@ -17,7 +17,8 @@ def close(got, want):
 
 
 def brute_gear(points):
-    """(status by (ratio, spread), places) of points (mmsi, us, event_id, x, y, depth)."""
+    """(status by (ratio, spread), places) of points (mmsi, us, event_id, x, y, depth), all depths moved by the offset."""
+    points = [p | {"depth": p["depth"] + queries.DEPTH_OFFSET} for p in points]
     lag2 = lambda r, w, d: (r * d) ** 2 - d * d - (w / 2) ** 2
     status = {}
     for r in queries.RATIOS:
@@ -50,23 +51,22 @@ def brute_gear(points):
 
 
 def test_gear_of_all_points(spark):
-    status, places = brute_gear([r.asDict() for r in bridge.track(spark, SMALL).collect()])
-    found = {(r["ratio"], r["spread"]): r["accepted"] for r in queries.whole_scenario_status(spark, SMALL).collect()}
+    status, places = brute_gear([r.asDict() for r in queries._towed(spark, SMALL).collect()])
+    found = {(r["ratio"], r["spread"]): r["accepted"] for r in queries.scenario_status(spark, SMALL).collect()}
     assert found == status and any(status.values())
-    # Depths of 760 m and more reject the ratios of 3.5 and 4.
-    assert not any(v for (r, _), v in found.items() if r >= 3.5)
+    assert not all(status.values())
     name = {r["scenario_id"]: (r["ratio"], r["spread"]) for r in queries.scenario_grid(spark, SMALL).collect()}
-    got = {(*name[r["scenario_id"]], r["mmsi"], r["event_id"], r["component"]): (r["x_mm"], r["y_mm"]) for r in queries.whole_gear_positions(spark, SMALL).collect()}
+    got = {(*name[r["scenario_id"]], r["mmsi"], r["event_id"], r["component"]): (r["x_mm"], r["y_mm"]) for r in queries.gear_positions(spark, SMALL).collect()}
     assert got.keys() == places.keys() and len({k[2] for k in got}) == 15
     assert all(close(got[k][c], 1000 * places[k][c]) for k in got for c in (0, 1))
-    counts = queries.whole_scenario_counts(spark, SMALL).first()
+    counts = queries.scenario_counts(spark, SMALL).first()
     assert (counts["accepted"], counts["rejected"]) == (sum(status.values()), len(status) - sum(status.values()))
     middle = min((abs(r - 3) / 2 + abs(w - 320) / 400, r, w) for (r, w), v in status.items() if v)
-    best = queries.whole_reference_case(spark, SMALL).first()
+    best = queries.reference_case(spark, SMALL).first()
     assert (best["ratio"], best["spread"]) == middle[1:]
     full = {(r, w) for r in {r for (r, _), v in status.items() if v} for w in {w for (_, w), v in status.items() if v}}
-    assert {tuple(r) for r in queries.whole_missing_scenarios(spark, SMALL).collect()} == {k for k in full if not status[k]}
-    cells = {r["ratio"]: r["cells"] for r in queries.whole_result_matrix(spark, SMALL).collect()}
+    assert {tuple(r) for r in queries.missing_scenarios(spark, SMALL).collect()} == {k for k in full if not status[k]}
+    cells = {r["ratio"]: r["cells"] for r in queries.result_matrix(spark, SMALL).collect()}
     for r in queries.RATIOS:
         seen = {w: sorted({k[4] for k, p in places.items() if k[:2] == (r, w) and p[0] < 1000}) for w in queries.SPREADS}
         assert cells[r] == ";".join(f"{int(w)}:{str(status[r, w]).lower()}:{'+'.join(seen[w])}" for w in queries.SPREADS)
@@ -116,7 +116,7 @@ def test_slopes_around_every_cell(spark):
         near = [slopes[k] for i, j in disc if (k := (r + i, c + j)) in slopes]
         if near:
             want[r, c] = 1e6 * median(near), 1e6 * min(near), 1e6 * max(near), len(near)
-    got = {(r["centre_row"], r["centre_col"]): (r["median_u"], r["least_u"], r["greatest_u"], r["cells"]) for r in queries.whole_slope_neighbourhood(spark, SMALL).collect()}
+    got = {(r["centre_row"], r["centre_col"]): (r["median_u"], r["least_u"], r["greatest_u"], r["cells"]) for r in queries.slope_neighbourhood(spark, SMALL).collect()}
     assert got.keys() == want.keys() and len(got) > 0.9 * len(cells)
     assert all(got[k][3] == want[k][3] and all(map(close, got[k][:3], want[k][:3])) for k in got)
 
