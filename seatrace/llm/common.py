@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -62,7 +63,15 @@ def discard(*tables: DataFrame) -> None:
                 raise ValueError(f"{folder} is no scratch table")
             _remove(spark, folder)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go once nothing in the driver refers to them
+        free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go now: they do once the driver collects what refers to them, and a
+    step that has just ended is still referred to for a moment."""
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, folder: str) -> None:

@@ -32,10 +32,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatrace.llm.common import discard, scratch
+from seatrace.llm.common import discard, free_shuffles, scratch
 
 #: Name of the end in the table of counts; no word holds a space.
 END = " "
@@ -202,12 +203,13 @@ def _packed(names: list[str], kinds: list[int], longs: list[int] | None, *parts:
     return pa.RecordBatch.from_arrays([*first, *(pa.array([x.tobytes() for x in p[: len(kinds)]], pa.binary()) for p in parts)], names)  # an empty array splits into one part
 
 
-def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.ndarray, ranges: int) -> DataFrame:
+def count_nexts(encoded: DataFrame, level: int, shared: Broadcast, ranges: int) -> DataFrame:
     """(gram, context, suffix, last, c): runs of level + 1 words that come twice or more, for contexts that
     pass the filter.
 
     Most runs come once. So blocks send only their runs' hashes and times, packed, to ranges of hashes; those
-    name a block for each run that came again, and that block alone writes what belongs to it."""
+    name a block for each run that came again, and that block alone writes what belongs to it. shared has the
+    hashes of the frequent words and the filter."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
@@ -221,6 +223,7 @@ def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.nda
                 yield emit()
                 own = []
             block = at
+            hashes, bits = shared.value
             for part in parts:
                 grams, place, _ = _grams(part.column(1), part.column(2), hashes, level + 1)
                 here = np.flatnonzero(place >= level)
@@ -246,7 +249,7 @@ def count_nexts(encoded: DataFrame, level: int, hashes: np.ndarray, bits: np.nda
         keys, sums = (np.frombuffer(b"".join(own[c].to_pylist()), np.int64) for c in ("keys", "counts"))
         order = np.argsort(keys)
         keys, sums = keys[order], sums[order]
-        found = []
+        found, hashes = [], shared.value[0]
         for _, parts in _runs(rows.combine_chunks().to_batches()) if len(keys) else ():
             for part in parts:
                 grams, place, doc = _grams(part.column(1), part.column(2), hashes, level + 1)
@@ -278,11 +281,15 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     contexts = counts.where((F.col("c") >= least) & (F.col("token") != END)).select("gram", "c")
     entries = []
     for level in range(1, depth + 1):
-        counted = count_nexts(encoded, level, hashes, bit_filter(contexts), ranges)
+        shared = encoded.sparkSession.sparkContext.broadcast((hashes, bit_filter(contexts)))
+        counted = scratch(count_nexts(encoded, level, shared, ranges), f"counted{level}")
+        shared.destroy()
+        free_shuffles(encoded.sparkSession)
         totals = contexts.select(F.col("gram").alias("context"), F.col("c").alias("total"))
         before = chances.select(F.col("gram").alias("suffix"), F.col("p").alias("before"), "root")
         listed = (F.col("c") >= F.col("total") * next_share).alias("listed")
         known = scratch(counted.join(totals, "context").join(before, "suffix").select("gram", "context", "last", "c", "total", "before", "root", listed), f"known{level}")
+        discard(counted)
         c, total, share = F.col("c"), F.col("total"), (F.col("c") - discount) / F.col("total")
         sums = known.where("listed").groupBy("context", "total").agg(
             F.count("*").alias("kinds"), F.sum("c").alias("sum"), F.sum("before").alias("mass"), F.sum(c * F.log(c / total / F.col("before"))).alias("gain"), (1 - F.sum(share)).alias("rest")
@@ -330,7 +337,7 @@ def _held(key: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, values[at], np.nan)
 
 
-def _sought(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, depth: int, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _sought(ids: pa.ListArray, rare: pa.ListArray, depth: int, hashes: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Places, documents, and for each level the state before a place and its next token: the values held
     (NaN for others) and the keys that may be in the table of the others (0 elsewhere)."""
     grams, place, doc = _grams(ids, rare, hashes, depth + 1)
@@ -346,7 +353,7 @@ def _sought(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, depth: in
     return place, doc, slots
 
 
-def missing_keys(encoded: DataFrame, hashes: np.ndarray, depth: int, keys: np.ndarray, values: np.ndarray, bits: np.ndarray, ranges: int) -> DataFrame:
+def missing_keys(encoded: DataFrame, depth: int, shared: Broadcast, ranges: int) -> DataFrame:
     """(range, block, keys): the keys that a block's places need and no task holds, each once a block."""
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +369,7 @@ def missing_keys(encoded: DataFrame, hashes: np.ndarray, depth: int, keys: np.nd
                 own = []
             block = at
             for part in parts:
-                *_, slots = _sought(part.column(1), part.column(2), hashes, depth, keys, values, bits)
+                *_, slots = _sought(part.column(1), part.column(2), depth, *shared.value)
                 own += [key for _, asked in slots if len(key := np.unique(asked[asked != 0]))]
         if own:
             yield emit()
@@ -371,7 +378,8 @@ def missing_keys(encoded: DataFrame, hashes: np.ndarray, depth: int, keys: np.nd
 
 
 def answers(asked: DataFrame, others: DataFrame, ranges: int) -> DataFrame:
-    """(block, keys, values) of the asked keys that are in others: both sides meet in ranges of keys, packed."""
+    """(block, range, values) of others for the keys that a block asked for in a range, in ascending order of the
+    keys, NaN where there is none: both sides meet in ranges of keys, packed."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
@@ -395,16 +403,16 @@ def answers(asked: DataFrame, others: DataFrame, ranges: int) -> DataFrame:
         keys, values = (np.frombuffer(b"".join(known[c].to_pylist()), k) for c, k in (("keys", np.int64), ("values", np.float64)))
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        parts = []
-        for block, own in zip(rows["block"].to_pylist(), rows["keys"]):
-            own = np.frombuffer(own.as_buffer(), np.int64)
-            value = _held(own, keys, values)
-            there = ~np.isnan(value)
-            parts.append((block, own[there].tobytes(), value[there].tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*parts) if parts else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()))], ["block", "keys", "values"])
+        own: dict[int, np.ndarray] = {}
+        for block, asked in zip(rows["block"].to_pylist(), rows["keys"]):
+            asked = np.frombuffer(asked.as_buffer(), np.int64)
+            own[block] = np.union1d(own[block], asked) if block in own else asked
+        parts = [_held(asked, keys, values).tobytes() for asked in own.values()]
+        number = pa.array(rows["range"].to_pylist()[:1] * len(own), pa.int64())
+        return pa.table([pa.array(list(own), pa.int64()), number, pa.array(parts, pa.binary())], ["block", "range", "values"])
 
     table = others.mapInArrow(packed, "range long, keys binary, values binary")
-    return asked.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(answered, "block long, keys binary, values binary")
+    return asked.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(answered, "block long, range long, values binary")
 
 
 def score_texts(
@@ -438,22 +446,26 @@ def score_texts(
 
     rest = others.count()
     ranges = max(0, (rest // RANGE_ENTRIES).bit_length())
-    asked = missing_keys(encoded, hashes, depth, keys, values, bits, ranges)
-    found = answers(asked, others, ranges)
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, keys, values, bits))
+    asked = missing_keys(encoded, depth, shared, ranges)
+    found = scratch(answers(asked, others, ranges), "answers")
+    discard(tree)
 
     def score(rows: pa.Table, answered: pa.Table) -> pa.Table:
-        own, mass = (np.frombuffer(b"".join(answered[c].to_pylist()), k) for c, k in (("keys", np.int64), ("values", np.float64)))
-        order = np.argsort(own)
-        own, mass = own[order], mass[order]
+        order = np.argsort(answered["range"].to_numpy())
+        mass = np.frombuffer(b"".join(answered["values"].take(pa.array(order)).to_pylist()), np.float64)
+        batches = [part for whole in rows.combine_chunks().to_batches() for part in _slices(whole, 5)]
+        sought = [_sought(b.column(5), b.column(6), depth, *shared.value) for b in batches]
+        own = np.unique(np.concatenate([key[key != 0] for *_, slots in sought for _, key in slots] or [np.zeros(0, np.int64)]))
+        if len(own) != len(mass):
+            raise ValueError("a block's answers aren't those to its questions")
         sums, known = [], []
-        for batch in (part for whole in rows.combine_chunks().to_batches() for part in _slices(whole, 5)):
-            place, doc, slots = _sought(batch.column(5), batch.column(6), hashes, depth, keys, values, bits)
+        for batch, (place, doc, slots) in zip(batches, sought):
+            for value, key in slots:
+                at = np.flatnonzero(key)
+                value[at] = mass[np.searchsorted(own, key[at])]
             ratio = np.ones(len(place))
-            for level in range(depth):
-                (state, asked_state), (share, asked_share) = slots[2 * level : 2 * level + 2]
-                for value, key in ((state, asked_state), (share, asked_share)):
-                    at = np.flatnonzero(key)
-                    value[at] = _held(key[at], own, mass)
+            for (state, _), (share, _) in zip(slots[::2], slots[1::2]):
                 ratio = ratio * np.where(np.isnan(state), 1, state) + np.where(np.isnan(share), 0, share)
             sums.append(np.bincount(doc, np.log10(ratio), batch.num_rows))
             known.append(np.bincount(doc, _values(batch.column(5)) != TAIL, batch.num_rows).astype(np.int64))
@@ -465,6 +477,8 @@ def score_texts(
         score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long"
     )
     head_part = scratch(head_part, "scored")
+    shared.destroy()
+    discard(found)
     tail = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("times"))
     seen = tail.join(counts, "token", "left")
     seen = seen.groupBy("row").agg(
