@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seatrace.functions import geodesy, masks, records
 from seatrace.functions.spline import smooth_whole_tracks
-from seatrace.operators import crossings, gear, paths, positions, provenance, raster, summaries, validation
+from seatrace.operators import crossings, gear, paths, positions, provenance, raster, summaries, tiles, validation
 from seatrace.plans import bridge
 from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TOWED_SQL, TRACK_SQL, table
 
@@ -419,8 +419,7 @@ def horn_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT centre_row, centre_col, {mm_sql('median(slope)', 'median_u', 1_000_000)}, {mm_sql('min(slope)', 'least_u', 1_000_000)}, {mm_sql('max(slope)', 'greatest_u', 1_000_000)}, CAST(count(*) AS BIGINT) AS cells FROM near GROUP BY centre_row, centre_col""")
 def slope_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes within a kilometre of every cell."""
-    cells = bridge.raster(spark, sf_dir)
-    found = raster.slope_summary(raster.neighbourhoods(cells.select("row", "col"), raster.horn_slopes(cells, 250.0, 400.0), 1000.0, 250.0, 400.0))
+    found = tiles.slopes_around(bridge.raster(spark, sf_dir), 1000.0, 250.0, 400.0, raster.NODATA)
     return found.select("centre_row", "centre_col", *(whole(F.col(c), 1_000_000).alias(f"{c}_u") for c in ("median", "least", "greatest")), "cells")
 
 
@@ -701,6 +700,20 @@ def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.tile_centrelines(cells)
 
 
+#: Level above which a cell of the raster belongs to the mask, and how often the mask is grown.
+MASK_LEVEL, GROWN = 260, 1
+PARTS_SQL = f"""grown AS (SELECT DISTINCT c.row + o.i AS row, c.col + o.j AS col FROM cells c, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(i, j) WHERE c.elevation > {MASK_LEVEL}),
+walk AS (SELECT row, col, row AS r, col AS c FROM grown UNION SELECT w.row, w.col, g.row, g.col FROM walk w, grown g WHERE g.row BETWEEN w.r - 1 AND w.r + 1 AND g.col BETWEEN w.c - 1 AND w.c + 1),
+named AS (SELECT row, col, min(struct_pack(r := r, c := c)) AS first FROM walk GROUP BY row, col)"""
+
+
+@query(f"WITH RECURSIVE {RASTER_SQL}, {PARTS_SQL} SELECT first.r AS first_row, first.c AS first_col, CAST(count(*) AS BIGINT) AS cells FROM cells JOIN named USING (row, col) WHERE elevation > {MASK_LEVEL} GROUP BY first")
+def mask_part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the raster's high cells, connected once grown, in tiles of 16 cells that they run across."""
+    cells = bridge.raster(spark, sf_dir).where(F.col("elevation") > MASK_LEVEL).select("row", "col", F.lit(1).alias("alpha"))
+    return tiles.part_sizes(tiles.mask_parts(cells, GROWN, tile=16))
+
+
 @query()
 def stitched_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cable cut into five pieces, shuffled and joined again by nearest ends."""
