@@ -70,7 +70,7 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let shuffle files of finished steps go now: they do once the driver collects what refers to them, and a
     step that has just ended is still referred to for a moment."""
     for _ in range(2):
-        time.sleep(0.3)
+        time.sleep(0.1)
         spark.sparkContext._jvm.System.gc()
 
 

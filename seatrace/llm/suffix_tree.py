@@ -330,11 +330,14 @@ def split_tree(tree: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray, Data
 
 
 def _held(key: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Values of the keys, NaN for those not held."""
-    if not len(keys):
-        return np.full(len(key), np.nan)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, values[at], np.nan)
+    """Values of the keys, NaN for those not held; keys are sought in their order, which is several times as fast."""
+    found = np.full(len(key), np.nan)
+    if len(keys):
+        order = np.argsort(key)
+        sought = key[order]
+        at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        found[order] = np.where(keys[at] == sought, values[at], np.nan)
+    return found
 
 
 def _sought(ids: pa.ListArray, rare: pa.ListArray, depth: int, hashes: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -344,12 +347,16 @@ def _sought(ids: pa.ListArray, rare: pa.ListArray, depth: int, hashes: np.ndarra
     slots: list[tuple[np.ndarray, np.ndarray]] = []
     for level in range(1, depth + 1):
         for key in (np.append(np.zeros(min(1, len(place)), np.int64), grams[level - 1][:-1]) ^ np.int64(STATE), grams[level]):
-            value = _held(key, keys, values)
             here = place >= level
             if len(slots) % 2:  # a next token only where there may be a state
                 here &= ~np.isnan(slots[-1][0]) | (slots[-1][1] != 0)
-            value[~here] = np.nan
-            slots.append((value, np.where(np.isnan(value) & here & _maybe(key, bits), key, 0)))
+            at = np.flatnonzero(here)
+            value, asked = np.full(len(key), np.nan), np.zeros(len(key), np.int64)
+            value[at] = _held(key[at], keys, values)
+            at = at[np.isnan(value[at])]
+            at = at[_maybe(key[at], bits)]
+            asked[at] = key[at]
+            slots.append((value, asked))
     return place, doc, slots
 
 
