@@ -27,17 +27,21 @@ def short_id(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def position_requests(windows: DataFrame, min_speed: float) -> DataFrame:
+def position_requests(windows: DataFrame, min_speed: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """windows (mmsi, a, b) with endpoint, payload and request_id of the request for each.
 
-    Bounds with seconds can't be asked for and are an error when the row is read.
+    A window without a vessel asks for the box (west, south, east, north); one with neither, and bounds with
+    seconds, can't be asked for and are an error when the row is read.
     """
     exact = lambda c: F.col(c) == F.date_trunc("minute", c).cast("timestamp_ntz")
     stamp = lambda c: F.date_format(c, "yyyyMMddHHmm")
     start = F.when(exact("a") & exact("b"), stamp("a")).otherwise(F.raise_error(F.lit("bounds of a request are whole minutes")).cast("string"))
-    payload = canonical_json(mmsiIds=F.array("mmsi"), start=start, end=stamp("b"), minSpeed=F.lit(float(min_speed)))
-    asked = windows.withColumn("endpoint", F.lit("ais/positions/for-mmsis-time")).withColumn("payload", payload)
-    return asked.withColumn("request_id", short_id(F.concat_ws(":", "endpoint", "payload")))
+    asked_box = F.lit(None if box is None else ",".join(map(str, box))).cast("string")
+    named = F.coalesce(F.col("mmsi").cast("string"), asked_box, F.raise_error(F.lit("a request needs a vessel or a box")).cast("string")).isNotNull()
+    payload = canonical_json(mmsiIds=F.when(F.col("mmsi").isNotNull(), F.array("mmsi")), bbox=F.when(F.col("mmsi").isNull(), asked_box), start=start, end=stamp("b"), minSpeed=F.lit(float(min_speed)))
+    endpoint = F.when(F.col("mmsi").isNotNull(), "ais/positions/for-mmsis-time").when(named, "ais/positions/within-bbox-time")
+    asked = windows.withColumn("endpoint", endpoint).withColumn("payload", payload)
+    return asked.withColumn("request_id", short_id(F.concat(F.lit('{"endpoint":"'), "endpoint", F.lit('","payload":'), "payload", F.lit("}"))))
 
 
 def manifest_rows(requests: DataFrame, dataset_id: str) -> DataFrame:

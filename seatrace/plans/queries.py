@@ -646,7 +646,7 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT DISTINCT user_id AS mmsi, date_trunc('day', ts) AS a FROM events),
 p AS (SELECT mmsi, a, '{"end":"' || strftime(a + INTERVAL 1 DAY, '%Y%m%d%H%M') || '","minSpeed":0.5,"mmsiIds":[' || mmsi || '],"start":"' || strftime(a, '%Y%m%d%H%M') || '"}' AS payload FROM w)
-SELECT mmsi, CAST(a AS DATE) AS day, payload, substr(sha256('ais/positions/for-mmsis-time:' || payload), 1, 16) AS request_id FROM p""")
+SELECT mmsi, CAST(a AS DATE) AS day, payload, substr(sha256('{"endpoint":"ais/positions/for-mmsis-time","payload":' || payload || '}'), 1, 16) AS request_id FROM p""")
 def position_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request of each vessel and day, with its canonical payload and id."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")

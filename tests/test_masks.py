@@ -99,8 +99,32 @@ def test_spline_of_a_cubic_and_of_noise():
         spline.fit(t[:3], noisy[:3], 1.0)
 
 
+def walk(value):
+    """Records and keys of a report by plain recursion: (hours records not below others, all keys)."""
+    if isinstance(value, dict):
+        keys = set(value).union(*(walk(v)[1] for v in value.values()))
+        hours = value.get("hours")
+        if isinstance(hours, (int, float)) and not isinstance(hours, bool):
+            return [(float(hours), value.get("geartype"), value.get("vesselId"))], keys
+        return [r for v in value.values() for r in walk(v)[0]], keys
+    if isinstance(value, list):
+        parts = [walk(v) for v in value]
+        return [r for p in parts for r in p[0]], set().union(*(p[1] for p in parts))
+    return [], set()
+
+
 def test_nested_records(spark):
-    report = {"a": [{"public-global-fishing-effort:v3": [{"hours": 1.5, "geartype": "X", "vesselId": "v", "below": {"hours": 9}}]}, {"b": {"hours": True, "c": {"hours": 2}}}]}
-    df = spark.createDataFrame([(json.dumps(report),), (None,), ("[]",)], "json string")
-    assert sorted((r["hours"], r["gear"]) for r in records.hour_records(df, "json").collect()) == [(1.5, "X"), (2.0, None)]
-    assert [r["dataset"] for r in records.datasets(df, "json").collect()] == ["public-global-fishing-effort:v3"]
+    name = "public-global-fishing-effort:v3"
+    reports = [
+        {"a": [{name: [{"hours": 1.5, "geartype": "X", "vesselId": "v", "below": {"hours": 9, name + "x": 1}}]}, {"b": {"hours": True, "c": {"hours": 2}}}]},
+        [], {}, 7, "text", None, [[[[{"hours": 3}]], {"hours": "4"}], {"hours": None, "x": {"hours": -1e3, "vesselId": None}}], {name + "y": [], "hours": {"hours": 12345678901234567890}}, {"e": {}, "f": [{}, {"hours": 0}]},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in reports] + [(None,)], "json string")
+    want = [walk(r) for r in reports]
+    got = sorted(((r["hours"], r["gear"], r["vessel_id"]) for r in records.hour_records(df, "json").collect()), key=repr)
+    assert got == sorted((r for w in want for r in w[0]), key=repr) and len(got) == 6
+    assert {r["dataset"] for r in records.datasets(df, "json").collect()} == {k for w in want for k in w[1] if k.startswith(records.DATASET)}
+    assert "Python" not in records.hour_records(df, "json")._jdf.queryExecution().executedPlan().toString()
+    assert records.hour_records(df.where("json is null"), "json").count() == 0
+    with pytest.raises(Exception, match="more than 2 levels"):
+        records.hour_records(df, "json", depth=2).collect()

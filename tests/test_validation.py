@@ -31,7 +31,11 @@ def test_requests_and_manifest(spark):
     payload = json.dumps({"mmsiIds": [257], "start": "202201070305", "end": "202201070315", "minSpeed": 0.5}, sort_keys=True, separators=(",", ":"))
     row = asked.first()
     assert row["payload"] == payload
-    assert row["request_id"] == hashlib.sha256(f"{row['endpoint']}:{payload}".encode()).hexdigest()[:16]
+    assert row["request_id"] == hashlib.sha256(f'{{"endpoint":"{row["endpoint"]}","payload":{payload}}}'.encode()).hexdigest()[:16]
+    boxed = provenance.position_requests(windows.withColumn("mmsi", F.lit(None).cast("long")), 0.5, (1.0, 2.0, 3.0, 4.5)).first()
+    assert boxed["endpoint"] == "ais/positions/within-bbox-time" and '"bbox":"1.0,2.0,3.0,4.5"' in boxed["payload"] and "mmsiIds" not in boxed["payload"]
+    with pytest.raises(Exception, match="a vessel or a box"):
+        provenance.position_requests(windows.withColumn("mmsi", F.lit(None).cast("long")), 0.5).collect()
     rows = provenance.manifest_rows(asked.union(asked), "d").collect()
     assert len(rows) == 1 and rows[0]["acquisition_id"] == hashlib.sha256(row["request_id"].encode()).hexdigest()[:16]
     with pytest.raises(Exception, match="whole minutes"):
