@@ -148,11 +148,6 @@ def geodesic_distance(lon1: Column | float, lat1: Column | float, lon2: Column |
     return _kernel("double", lambda *x: inverse(*x)[0], lon1, lat1, lon2, lat2)
 
 
-def geodesic_bearing(lon1: Column | float, lat1: Column | float, lon2: Column | float, lat2: Column | float) -> Column:
-    """Bearing at the first place towards the second, degrees from -180 to 180."""
-    return _kernel("double", lambda *x: inverse(*x)[1], lon1, lat1, lon2, lat2)
-
-
 def geodesic_direct(lon: Column | float, lat: Column | float, bearing: Column | float, metres: Column | float) -> Column:
     """Struct (lon, lat) at a distance along a bearing (degrees east of north)."""
     return _kernel("struct<lon:double,lat:double>", direct, lon, lat, bearing, metres)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def micros_of(when: datetime) -> int:
+    return round(when.replace(tzinfo=UTC).timestamp() * 1_000_000)
+
+
 def sway(event_id: str = "event_id") -> Column:
     return (50 * (F.col(event_id) % 7 - 3)).cast("double")
 

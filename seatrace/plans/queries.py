@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatrace.functions import geodesy, masks, records
-from seatrace.functions.spline import smooth_whole_tracks
-from seatrace.operators import crossings, gear, paths, positions, provenance, raster, summaries, tiles, validation
+from seatrace.functions.spline import smooth_tracks, smooth_whole_tracks
+from seatrace.operators import crossings, gear, paths, positions, provenance, raster, runs, summaries, tiles, validation
 from seatrace.plans import bridge
 from seatrace.plans.bridge import CABLE_SQL, RASTER_SQL, REPORTS_SQL, STEPS_SQL, TOWED_SQL, TRACK_SQL, table
 
@@ -377,6 +377,7 @@ def gear_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FAILURE = ("2024-01-10", "2024-01-20")
+SMOOTHED = ("2024-01-10", "2024-01-13")
 
 
 @query(
@@ -389,6 +390,59 @@ def crossing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.crossing_metrics(_gear_crossings(spark, sf_dir), *FAILURE)
 
 
+CONFIG = {"geometry_grid": {"door_spreads_m": SPREADS, "warp_depth_ratios": RATIOS}, "gear": {"depth_offset_m": DEPTH_OFFSET, "max_warp_length_m": MAX_WARP}, "failure_interval": list(FAILURE)}
+CONFIG_SHA256 = runs.config_sha256(CONFIG)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's row: hashes of the configuration, of stand-ins for its inputs, and of a fixed text for the code."""
+    text = lambda name, key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]), ","), 256).alias(name)
+    regions = table(spark, sf_dir, "region").agg(text("ais_content_sha256", "r_regionkey", "r_name"))
+    nations = table(spark, sf_dir, "nation").agg(text("cable_sha256", "n_nationkey", "n_name"))
+    fixed = {name: F.sha2(F.lit(name), 256) for name in ("ais_source_manifest_sha256", "bathymetry_sha256", "implementation_sha256")}
+    return runs.with_run_id(regions.join(nations).withColumns(fixed | {"config_sha256": F.lit(CONFIG_SHA256)}))
+
+
+def _metrics_sql() -> str:
+    groups = {
+        "ais.track": QUALITY_METRICS_SQL,
+        "ais.screen": f"SELECT CAST(count(DISTINCT mmsi) AS BIGINT) AS observed, CAST(count(DISTINCT CASE WHEN distance <= {SCREEN_REACH} THEN mmsi END) AS BIGINT) AS retained FROM screen",
+        "model.scenarios": "SELECT CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT accepted) AS BIGINT) AS rejected FROM status",
+        "model.reference": "SELECT scenario_id, ratio, spread FROM status, (SELECT (min(ratio) + max(ratio)) / 2 AS mr, (min(spread) + max(spread)) / 2 AS ms, max(ratio) - min(ratio) AS sr, max(spread) - min(spread) AS ss FROM status) WHERE accepted ORDER BY abs(ratio - mr) / sr + abs(spread - ms) / ss, ratio, spread LIMIT 1",
+    }
+    columns = {"ais.track": ("source_positions", "position_groups", "kept_positions", "rejected_positions"), "ais.screen": ("observed", "retained"), "model.scenarios": ("accepted", "rejected"), "model.reference": ("scenario_id", "ratio", "spread")}
+    rows = [f"SELECT '{g}.{c}' AS name, CAST(to_json({c}) AS VARCHAR) AS value FROM ({sql})" for g, sql in groups.items() for c in columns[g]]
+    counts = ("crossings", "inside", "scenarios", "vessels")
+    rows += [f"SELECT 'model.crossings.' || component || '.{c}', CAST({c} AS VARCHAR) FROM parts" for c in counts]
+    nul = "'\\x00'::BLOB"
+    fixed = [f"sha256('{name}')::BLOB" for name in ("ais_source_manifest_sha256", "bathymetry_sha256", "implementation_sha256")]
+    parts = [f"'{CONFIG_SHA256}'::BLOB", "a::BLOB", fixed[0], "c::BLOB", fixed[1], fixed[2]]
+    screen = SCREEN_SQL.replace("FROM track, segments", "FROM antenna, segments")
+    islands = ISLANDS_SQL + ", " + QUALITY_SQL.removeprefix(ISLANDS_SQL + ", ")
+    return (
+        f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL}, {CABLE_SQL}, {GEAR_HITS_SQL}, {screen}, {islands}, "
+        f"parts AS (SELECT component, count(*) AS crossings, count(*) FILTER (t >= epoch_us(TIMESTAMP '{FAILURE[0]}') AND t < epoch_us(TIMESTAMP '{FAILURE[1]}')) AS inside, count(DISTINCT scenario_id) AS scenarios, count(DISTINCT mmsi) AS vessels FROM crossed GROUP BY 1), "
+        f"run AS (SELECT 'run_' || substr(sha256({f' || {nul} || '.join(parts)}), 1, 16) AS run_id FROM (SELECT sha256(string_agg(r_name, ',' ORDER BY r_regionkey)) AS a FROM region), (SELECT sha256(string_agg(n_name, ',' ORDER BY n_nationkey)) AS c FROM nation)), "
+        f"metrics AS ({' UNION ALL '.join(rows)}) SELECT run_id, '{CONFIG_SHA256}' AS config_sha256, name, value FROM metrics, run"
+    )
+
+
+QUALITY_METRICS_SQL = "SELECT CAST((SELECT count(*) FROM events) AS BIGINT) AS source_positions, CAST((SELECT count(*) FROM islands) AS BIGINT) AS position_groups, CAST((SELECT count(*) FROM good) AS BIGINT) AS kept_positions, CAST((SELECT count(*) FROM islands) - (SELECT count(*) FROM good) AS BIGINT) AS rejected_positions"
+
+
+@query(_metrics_sql().replace("g AS (SELECT *, CAST(sum(changed)", "numbered AS (SELECT *, CAST(sum(changed)").replace("AS x, any_value(y) AS y, CAST(count(*) AS BIGINT) AS size FROM g GROUP BY", "AS x, any_value(y) AS y, CAST(count(*) AS BIGINT) AS size FROM numbered GROUP BY"))
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric table of a run: its tracks, screen, scenarios, reference case and crossings, under its id."""
+    groups = [
+        runs.metric_rows(track_quality(spark, sf_dir), "ais.track"),
+        runs.metric_rows(screen_counts(spark, sf_dir), "ais.screen"),
+        runs.metric_rows(scenario_counts(spark, sf_dir), "model.scenarios"),
+        runs.metric_rows(reference_case(spark, sf_dir), "model.reference"),
+        runs.metric_rows(crossing_metrics(spark, sf_dir), "model.crossings", by="component"),
+    ]
+    return runs.metric_table(groups, _run(spark, sf_dir)).drop("generated_at")
+
+
 DEPTH_SQL = """points AS (SELECT event_id, event_id % 6500 / 100 + 0.25 AS px, event_id % 501 + 0.75 AS py FROM events),
 placed AS (SELECT *, CAST(floor(px - 0.5) AS INTEGER) AS c, CAST(floor(py - 0.5) AS INTEGER) AS r FROM points),
 near AS (SELECT p.*, a.elevation AS e0, b.elevation AS e1, d.elevation AS e2, e.elevation AS e3, px - (c + 0.5) AS dx, py - (r + 0.5) AS dy FROM placed p
@@ -453,8 +507,12 @@ def effort_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS gear, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS hours, CAST(count(*) AS BIGINT) AS records FROM events GROUP BY 1""")
 def nested_effort_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records found at any depth of a report; here each event is wrapped in two levels of JSON."""
-    wrapped = F.format_string('{"entries": [{"public-global-fishing-effort:v1": [{"geartype": "%s", "hours": %s}]}]}', "event_type", F.get_json_object("props", "$.k"))
+    """Records found at any depth of a report; here events lie bare, in two or in five levels, with more below them."""
+    bare = F.format_string('{"geartype": "%s", "hours": %s, "below": [{"hours": 99}]}', "event_type", F.get_json_object("props", "$.k"))
+    two = F.concat(F.lit('{"entries": [{"public-global-fishing-effort:v1": ['), bare, F.lit("]}]}"))
+    five = F.concat(F.lit('[[{"hours": true, "a": {"hours": "9", "b": ['), bare, F.lit("]}}]]"))
+    kind = F.col("event_id") % 3
+    wrapped = F.when(kind == 0, bare).when(kind == 1, two).otherwise(five)
     found = records.hour_records(table(spark, sf_dir, "events").select(wrapped.alias("json")), "json")
     return found.groupBy("gear").agg(F.sum("hours").alias("hours"), F.count("*").alias("records"))
 
@@ -693,6 +751,19 @@ def smooth_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smooth_whole_tracks(timed, 600.0, 40.0)
 
 
+@query()
+def smooth_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One smoothing spline of each vessel's positions within a closed window, on its steps of ten minutes."""
+    start, end = (datetime.fromisoformat(d) for d in SMOOTHED)
+    points = bridge.track(spark, sf_dir).where(positions.closed("ts", *SMOOTHED)).withColumn("t", (F.col("us") - bridge.micros_of(start)) / 1e6)
+    return smooth_tracks(points.select("mmsi", "t", "x", "y"), 0.0, (end - start).total_seconds(), 600.0, 40.0)
+
+
+@query(f"WITH {CABLE_SQL} SELECT cable_id, {mm_sql('sum(sqrt((cx1 - cx0) * (cx1 - cx0) + (cy1 - cy0) * (cy1 - cy0)))', 'length_mm')} FROM segments GROUP BY 1")
+def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.line_length(bridge.cable(spark, sf_dir)).select("cable_id", mm(F.col("length_m")).alias("length_mm"))
+
+
 @query()
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 64 raster rows: centreline of the largest connected part of the cells above a level."""

@@ -84,18 +84,25 @@ def _small(df: DataFrame, what: str) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
+#: What a published run must say of itself. Fixed values.
+PROVENANCE = ("run_id", "config_sha256", "implementation_sha256", "ais_acquisition_id", "ais_content_sha256", "ais_source_manifest_sha256", "cable_sha256", "bathymetry_sha256")
+
+
 def publication_document(run: DataFrame, metrics: DataFrame, matrix: DataFrame) -> dict:
-    """provenance, metrics (nested by their dotted names) and result matrix of one run.
+    """provenance, config, metrics (nested by their dotted names) and result matrix of one run.
 
-    run is one row with run_id, config_sha256 and whatever else names its inputs; metrics has name, value
-    (JSON), run_id and config_sha256, all of that run; matrix has ratio and cells.
+    run is one row with PROVENANCE and effective_config_json; metrics has name, value (JSON), run_id and
+    config_sha256, all of that run; matrix has ratio and cells.
     """
     own = _small(exactly_one(run, "run"), "runs")[0]
+    if missing := [c for c in (*PROVENANCE, "effective_config_json") if own.get(c) is None]:
+        raise ValueError(f"the run doesn't say its {', '.join(missing)}")
     values = _small(same_run(metrics, own["run_id"], own["config_sha256"]), "metrics")
     if not values:
         raise ValueError("metrics are missing")
     return {
-        "provenance": {k: v for k, v in own.items() if v is not None},
+        "provenance": {k: own[k] for k in PROVENANCE},
+        "config": json.loads(own["effective_config_json"]),
         "metrics": nested({m["name"]: json.loads(m["value"]) for m in values}),
         "result_matrix": sorted(_small(matrix, "rows of the matrix"), key=lambda r: r["ratio"]),
     }

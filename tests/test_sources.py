@@ -74,12 +74,16 @@ def test_archives_manifests_and_dataset(spark, tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    run = spark.createDataFrame([("run_1", "c1", "m")], "run_id string, config_sha256 string, ais_sha256 string")
+    facts = {c: c[:3] for c in sinks.PROVENANCE} | {"run_id": "run_1", "config_sha256": "c1"}
+    run = spark.createDataFrame([(*facts.values(), '{"b": [1, 2]}', "n")], ", ".join(f"{c} string" for c in (*facts, "effective_config_json", "note")))
     metrics = spark.createDataFrame([("a.b", "1.5", "run_1", "c1"), ("a.c", "null", "run_1", "c1")], "name string, value string, run_id string, config_sha256 string")
     matrix = spark.createDataFrame([(2.5, "x"), (2.0, "y")], "ratio double, cells string")
     document = sinks.publication_document(run, metrics, matrix)
     assert document["metrics"] == {"a": {"b": 1.5, "c": None}} and [r["ratio"] for r in document["result_matrix"]] == [2.0, 2.5]
-    assert document["provenance"] == {"run_id": "run_1", "config_sha256": "c1", "ais_sha256": "m"}
+    assert document["provenance"] == facts and document["config"] == {"b": [1, 2]}
+    for lost in (run.drop("cable_sha256"), run.withColumn("bathymetry_sha256", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="doesn't say its"):
+            sinks.publication_document(lost, metrics, matrix)
     with pytest.raises(Exception, match="not of the current run: a.b"):
         sinks.publication_document(run, metrics.withColumn("config_sha256", F.lit("c2")).where("name = 'a.b'"), matrix)
     for bad in (run.union(run.withColumn("run_id", F.lit("run_2"))), run.where("false")):

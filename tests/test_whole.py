@@ -2,12 +2,14 @@
 
 import math
 from collections import defaultdict
+from datetime import datetime
 from statistics import median
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from seatrace.functions import geodesy, spline
+from seatrace.operators import positions
 from seatrace.plans import bridge, queries
 from tests.compare import SMALL
 
@@ -158,3 +160,24 @@ def test_smooth_track_reaches_the_ends(spark):
     ends = {r["mmsi"]: (r["a"], r["b"], r["n"]) for r in bridge.track(spark, SMALL).groupBy("mmsi").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count_distinct("us").alias("n")).collect()}
     got = {r["mmsi"]: (r["t"], r["n"]) for r in queries.smooth_track(spark, SMALL).groupBy("mmsi").agg(F.max("t").alias("t"), F.count("*").alias("n")).collect()}
     assert got == {m: (600.0 * ((b - a) // 600_000_000), (b - a) // 600_000_000 + 1) for m, (a, b, n) in ends.items() if n >= 4}
+
+
+def test_smooth_window_is_one_fit_of_a_closed_window(spark):
+    start = bridge.micros_of(datetime.fromisoformat(queries.SMOOTHED[0]))
+    end = bridge.micros_of(datetime.fromisoformat(queries.SMOOTHED[1]))
+    tracks = defaultdict(dict)
+    for r in bridge.track(spark, SMALL).collect():
+        if start <= r["us"] <= end:
+            tracks[r["mmsi"]].setdefault((r["us"] - start) / 1e6, []).append((r["x"], r["y"]))
+    got = defaultdict(list)
+    for r in queries.smooth_window(spark, SMALL).orderBy("mmsi", "t").collect():
+        got[r["mmsi"]].append(tuple(r)[1:])
+    assert got.keys() == {m for m, own in tracks.items() if len(own) >= 4} and got
+    for mmsi, found in got.items():
+        t = np.array(sorted(tracks[mmsi]))
+        xy = np.array([np.mean(tracks[mmsi][k], axis=0) for k in sorted(tracks[mmsi])])
+        at = np.arange(0, (end - start) / 1e6 + 300, 600.0)
+        assert np.allclose(np.array(found)[:, 0], at)
+        assert np.allclose(np.array(found)[:, 1:], plain_fit(t, xy, 40.0, at), rtol=1e-6, atol=1e-4)
+    edge = spark.createDataFrame([("2024-01-10 00:00:00",), ("2024-01-13 00:00:00",), ("2024-01-13 00:00:01",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert edge.where(positions.closed("t", *queries.SMOOTHED)).count() == 2
