@@ -134,6 +134,14 @@ def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: floa
     return without_repeats(hits.where(inside), [*keys, "cable_id"])
 
 
+def checked_crossings(hits: DataFrame, keys: list[str], start: float, end: float) -> DataFrame:
+    """hits as they are; one outside start <= t < end, or two of the same keys at one time, are an error when they are read."""
+    twice = F.count("*").over(Window.partitionBy(*keys, "t")) > 1
+    inside = F.coalesce((F.col("t") >= start) & (F.col("t") < end), F.lit(False))
+    wrong = F.when(~inside, F.raise_error(F.lit("a crossing outside the interval")).cast("double")).when(F.col("_twice"), F.raise_error(F.lit("a crossing comes twice")).cast("double"))
+    return hits.withColumn("_twice", twice).withColumn("t", F.coalesce(wrong, F.col("t"))).drop("_twice")
+
+
 def crossing_metrics(hits: DataFrame, start: str, end: str) -> DataFrame:
     """(component, crossings, inside, scenarios, vessels) of hits; inside are those with start <= t < end."""
     a, b = (F.unix_micros(F.lit(d).cast("timestamp")) for d in (start, end))

@@ -43,6 +43,15 @@ def chainage(points: DataFrame, order: list[str]) -> DataFrame:
     return stepped.withColumn("chainage_mm", F.sum("step_mm").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def moving_chainage(points: DataFrame, order: list[str]) -> DataFrame:
+    """``chainage`` of vessels that move at every step; a step of no length (or none known) is an error when it is read."""
+    w = Window.partitionBy("mmsi").orderBy(*order)
+    moved = length(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) > 0
+    still = F.raise_error(F.concat(F.lit("no move of vessel "), F.col("mmsi").cast("string"))).cast("long")
+    checked = chainage(points.withColumn("_moved", F.coalesce(moved, F.row_number().over(w) == 1)), order)
+    return checked.withColumn("step_mm", F.when(F.col("_moved"), F.col("step_mm")).otherwise(still)).drop("_moved")
+
+
 def tow_points(points: DataFrame, offset: float, vx: str = "vx", vy: str = "vy") -> DataFrame:
     """points with tow_x, tow_y: offset aft along the velocity; null where the vessel is stationary."""
     speed = length(F.col(vx), F.col(vy))

@@ -107,6 +107,14 @@ def exactly_one(df: DataFrame, what: str) -> DataFrame:
     return checked.join(two.withColumn("_ok", F.lit(True)), "_ok", "left").select(*df.columns)
 
 
+def at_least(df: DataFrame, n: int, what: str) -> DataFrame:
+    """df, if it has n rows or more; fewer are an error when it is read, even if it is empty."""
+    found = df.limit(n).agg(F.count("*").alias("_n"))
+    enough = F.when(F.col("_n") >= n, F.lit(True)).otherwise(F.raise_error(F.lit(f"fewer than {n} {what}")).cast("boolean"))
+    guard = found.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), enough.alias("_ok")).where("not _ok").drop("_ok")
+    return df.union(guard)
+
+
 def current_run(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     """The one run that the metric table names; another number of runs is an error."""
     return exactly_one(current_runs(runs, metrics.select("run_id")).distinct(), "current run")

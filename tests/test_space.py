@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from seatrace.operators import crossings, gear, paths
+from seatrace.operators import crossings, gear, paths, summaries
 from seatrace.operators.cells import touched_cells
 from seatrace.plans import bridge, queries
 from tests.compare import SMALL
@@ -190,3 +190,21 @@ def test_towed_track_over_a_geographic_raster(spark):
     flat = gear.towed_track(steps, bridge.sea(spark, SMALL), 25.0, bridge.SEA_CORNER, bridge.SEA_PIXEL)
     round_ = gear.towed_track(steps, bridge.sea(spark, SMALL), 25.0, queries.CORNER, queries.PIXEL, queries.CENTRE)
     assert flat.count() == round_.count() and flat.where("depth is null").count() == 0 and round_.where("depth > 100").count() > 100
+
+
+def test_errors_of_paths_and_crossings(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 4.0), (1, 2, 3.0, 5.0)], "mmsi long, us long, x double, y double")
+    assert [r["chainage_mm"] for r in paths.moving_chainage(points, ["us"]).orderBy("us").collect()] == [0, 5000, 6000]
+    for still in ([(1, 3, 3.0, 5.0)], [(1, 3, None, 5.0)]):
+        with pytest.raises(Exception, match="no move of vessel 1"):
+            paths.moving_chainage(points.union(spark.createDataFrame(still, points.schema)), ["us"]).collect()
+    assert summaries.at_least(points, 3, "positions").count() == 3
+    for few in (points.limit(2), points.where("false")):
+        with pytest.raises(Exception, match="fewer than 3 positions"):
+            summaries.at_least(few, 3, "positions").collect()
+    hits = spark.createDataFrame([("G1", "a", 1.0), ("G1", "b", 1.0), ("G1", "a", 2.0)], "scenario_id string, component string, t double")
+    keys = ["scenario_id", "component"]
+    assert crossings.checked_crossings(hits, keys, 1.0, 2.5).count() == 3
+    for bad, message in ((hits.union(hits.limit(1)), "comes twice"), (hits.withColumn("t", F.col("t") + 0.5), "outside"), (hits.withColumn("t", F.lit(None).cast("double")), "outside")):
+        with pytest.raises(Exception, match=message):
+            crossings.checked_crossings(bad, keys, 1.0, 2.5).collect()
