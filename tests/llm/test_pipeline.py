@@ -44,6 +44,11 @@ def test_run_equals_the_stages_columns(spark):
 def test_odd_and_empty_documents_pass_every_stage(spark):
     assert public_tokenizers.path("word_bpe_49k.json")
     for docs in (odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"), empty_docs(spark)):
+        some, kept = docs.count(), []
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            kept.append(docs.select("doc_id").distinct())
             docs = corpus_pipeline.scratch(stage(spark, docs, SF), f"test{k}")
-        assert docs.count() >= 0
+        assert (docs.count() > 0) == (some > 0)
+        assert docs.join(kept[-1], docs["doc_id"].eqNullSafe(kept[-1]["doc_id"]), "left_anti").count() == 0
+        sizes = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
+        assert not sizes.where("n > 2048 or n <> m").count()

@@ -69,17 +69,6 @@ def test_forest_recall_on_the_driver_table(spark):
     assert all(abs(g["score"] - distance(exact[g["query_id"]], exact[g["vec_id"]])) < 1e-12 for g in got)
 
 
-def test_forest_with_many_rows_of_equal_vectors_and_of_one_id(spark):
-    near = [float(x) for x in range(1, 9)]
-    data = [(100, near)] * 12 + [(101, near)] + [(7, near)] * 30 + [(k, [float(k)] * 8) for k in range(1, 5)]
-    df = table(spark, data)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(forest_neighbours(df, F.col("id") % 100 == 0, reach=1.0, trees=4)))
-    assert got == [(100, k + 1, 7, 0.0) for k in range(10)]
-    few = table(spark, [(100, near)] * 12 + [(101, near), (1, [1.0] * 8)])
-    got = rows(forest_neighbours(few, F.col("id") % 100 == 0, reach=1.0, trees=4))
-    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 101), (2, 1)]
-
-
 def test_forest_recall_on_vectors_without_structure(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 64)).astype(np.float32)

@@ -59,8 +59,8 @@ def test_scores_of_odd_rows(spark):
     assert {r["train_tokens"] for r in none} == {0} and len(none) == len(ODD)
 
 
-def test_a_states_probabilities_sum_to_one(spark):
-    """Over all words of a small vocabulary, after any context, so that scores are log-probabilities."""
+def test_scores_have_learnt_what_follows(spark):
+    """A chain of six words, each of which mostly comes again."""
     rng = np.random.default_rng(5)
     vocabulary = [f"t{k}" for k in range(6)]
     texts, word = [], 0
@@ -147,6 +147,17 @@ def test_scores_equal_a_tree_of_dictionaries(spark):
         assert math.isclose(got[k], want, rel_tol=1e-9), (k, got[k], want)
 
 
+def test_probabilities_after_any_context_sum_to_one():
+    """Over all tokens and the share of unknown ones; the scores equal these dictionaries (other tests)."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"v{x}" for x in np.minimum(rng.geometric(0.3, 30), 9)) for _ in range(120)]
+    p, states = brute_tree(texts, 3, 2.0, 0.0, 0.75, 4.0)
+    tokens = [*sorted({w for t in texts for w in words(t)}), " ", "never seen"]
+    assert len(states) > 5
+    for context in [(), *sorted(states), ("v1", "v9", "v2"), ("never seen",), ("v3", "never seen")]:
+        assert math.isclose(sum(p(list(context), t) for t in tokens), 1, rel_tol=1e-9), context
+
+
 def test_rare_contexts_are_states_whatever_the_corpus(spark):
     """Contexts far below a ten-thousandth of the tokens, with all entries held and with all joined."""
     rng = np.random.default_rng(3)

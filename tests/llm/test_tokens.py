@@ -15,9 +15,9 @@ from tests.llm.samples import ODD, SF, documents, empty_docs, odd_docs, rows
 PATHS = {n: public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k")}
 
 
-def library(name):
+def library(name, special=False):
     t = Tokenizer.from_file(PATHS[name])
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return t
 
 
@@ -75,7 +75,7 @@ def test_token_file_round_trip():
 
 
 def check_files(data, got):
-    t = library("byte_bpe_50k")
+    t = library("byte_bpe_50k", special=True)
     want, start = [], 0
     for doc_id, text in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -99,7 +99,7 @@ def test_token_files_of_odd_rows(spark):
 
 
 def check_packing(data, got, capacity=2048):
-    t = library("word_bpe_49k")
+    t = library("word_bpe_49k", special=True)
     want = []
     for doc_id, text in data:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -129,6 +129,12 @@ def test_packing_in_levels(spark):
     assert sequences <= 1.15 * tokens / 2048 + 1
 
 
+def test_a_bounded_carry_makes_no_more_sequences(spark):
+    pieces = packing.token_pieces(documents(spark), PATHS["word_bpe_49k"], 2048)
+    n = [packing.pack(pieces, shard_rows=20, fan_in=2, carry=c).select("sequence_id").distinct().count() for c in (20, 10**9)]
+    assert n[0] == n[1]
+
+
 def test_packing_of_odd_rows(spark):
     check_packing([r[:2] for r in ODD], rows(packing.pack_documents(odd_docs(spark), PATHS["word_bpe_49k"])))
     assert rows(packing.pack_documents(empty_docs(spark), PATHS["word_bpe_49k"])) == []
