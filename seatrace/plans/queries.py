@@ -318,7 +318,40 @@ def result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 CENTRE, CORNER, PIXEL = (9.55, 78.34), (9.5, 78.36), (0.02, 0.001)
 
 
-@query()
+def _direct_sql(source: str) -> str:
+    """CTEs from r0, which is source with lon, lat (radians of the reduced one as u), az and dist, to placed with lon_at and lat_at."""
+    f, e2 = geodesy.FLATTENING, (geodesy.A**2 - geodesy.B**2) / geodesy.B**2
+    ctes = [
+        f"r0 AS ({source})",
+        "r1 AS (SELECT *, cos(u) * sin(az) AS sa, 1 - cos(u) * sin(az) * (cos(u) * sin(az)) AS ca2, atan2(sin(u), cos(u) * cos(az)) AS s1 FROM r0)",
+        f"r2 AS (SELECT *, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS b, dist / ({geodesy.B!r} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))))) AS first "
+        f"FROM (SELECT *, ca2 * {e2!r} AS w FROM r1))",
+        "d0 AS (SELECT *, first AS sigma FROM r2)",
+    ]
+    for n in range(geodesy.VINCENTY_STEPS):
+        ctes.append(
+            f"d{n + 1} AS (SELECT * EXCLUDE (sigma, ss, cs, cm), first + b * ss * (cm + b / 4 * (cs * (-1 + 2 * cm * cm) - b / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm))) AS sigma "
+            f"FROM (SELECT *, sin(sigma) AS ss, cos(sigma) AS cs, cos(2 * s1 + sigma) AS cm FROM d{n}))"
+        )
+    last = f"(SELECT *, sin(sigma) AS ss, cos(sigma) AS cs, cos(2 * s1 + sigma) AS cm, {f / 16!r} * ca2 * (4 + {f!r} * (4 - 3 * ca2)) AS c FROM d{geodesy.VINCENTY_STEPS})"
+    flat = "(sin(u) * ss - cos(u) * cs * cos(az))"
+    lat = f"degrees(atan2(sin(u) * cs + cos(u) * ss * cos(az), (1 - {f!r}) * sqrt(sa * sa + {flat} * {flat})))"
+    gain = f"(1 - c) * {f!r} * sa * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))"
+    lon = f"lon + degrees(atan2(ss * sin(az), cos(u) * cs - sin(u) * ss * cos(az)) - {gain})"
+    return ", ".join(ctes) + f", placed AS (SELECT *, {lon} AS lon_at, {lat} AS lat_at FROM {last})"
+
+
+TOW_DEPTHS_SQL = f"""WITH {TRACK_SQL}, {STEPS_SQL}, {RASTER_SQL},
+aft AS (SELECT mmsi, t0, x0 - vx / v * 25 AS tx, y0 - vy / v * 25 AS ty FROM (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy) >= 0.01 THEN sqrt(vx * vx + vy * vy) END AS v FROM (SELECT *, (x1 - x0) / 10 AS vx, (y1 - y0) / 10 AS vy FROM steps))),
+{_direct_sql(f"SELECT mmsi, t0, {CENTRE[0]} AS lon, atan((1 - {geodesy.FLATTENING!r}) * tan(radians({CENTRE[1]}))) AS u, atan2(tx, ty) AS az, sqrt(tx * tx + ty * ty) AS dist FROM aft")},
+pixels AS (SELECT mmsi, t0, px, py, CAST(floor(px - 0.5) AS INTEGER) AS c, CAST(floor(py - 0.5) AS INTEGER) AS r FROM (SELECT *, (lon_at - {CORNER[0]}) / {PIXEL[0]} AS px, ({CORNER[1]} - lat_at) / {PIXEL[1]} AS py FROM placed)),
+near AS (SELECT p.*, a.elevation AS e0, b.elevation AS e1, d.elevation AS e2, e.elevation AS e3, px - (c + 0.5) AS dx, py - (r + 0.5) AS dy FROM pixels p
+  LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells d ON d.row = r + 1 AND d.col = c LEFT JOIN cells e ON e.row = r + 1 AND e.col = c + 1),
+depths AS (SELECT mmsi, t0, e0 * (1 - dx) * (1 - dy) + e1 * dx * (1 - dy) + e2 * (1 - dx) * dy + e3 * dx * dy AS e FROM near)
+SELECT mmsi, t0, {mm_sql('CASE WHEN e < 0 THEN -e END', 'depth_mm')} FROM depths"""
+
+
+@query(TOW_DEPTHS_SQL)
 def tow_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of the raster under each tow point, 25 m aft of the antenna."""
     steps = _steps(bridge.track(spark, sf_dir)).select("mmsi", "t0", F.col("x0").alias("x"), F.col("y0").alias("y"), ((F.col("x1") - F.col("x0")) / 10).alias("vx"), ((F.col("y1") - F.col("y0")) / 10).alias("vy"))
@@ -608,27 +641,9 @@ def _inverse_sql(columns: str) -> str:
 
 def _ring_sql() -> str:
     """The vertices of the rings of 2 km around the places, by the direct problem."""
-    f, e2 = geodesy.FLATTENING, (geodesy.A**2 - geodesy.B**2) / geodesy.B**2
-    ctes = [
-        f"WITH {PLACES_SQL}, r0 AS (SELECT c_custkey, lon, n, atan((1 - {f!r}) * tan(radians(lat))) AS u, radians(CAST(n * 5 % 360 AS DOUBLE)) AS az "
-        "FROM places, unnest(range(0, 73)) AS t(n))",
-        "r1 AS (SELECT *, cos(u) * sin(az) AS sa, 1 - cos(u) * sin(az) * (cos(u) * sin(az)) AS ca2, atan2(sin(u), cos(u) * cos(az)) AS s1 FROM r0)",
-        f"r2 AS (SELECT *, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS b, 2000 / ({geodesy.B!r} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))))) AS first "
-        f"FROM (SELECT *, ca2 * {e2!r} AS w FROM r1))",
-        "d0 AS (SELECT *, first AS sigma FROM r2)",
-    ]
-    for n in range(geodesy.VINCENTY_STEPS):
-        ctes.append(
-            f"d{n + 1} AS (SELECT * EXCLUDE (sigma, ss, cs, cm), first + b * ss * (cm + b / 4 * (cs * (-1 + 2 * cm * cm) - b / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm))) AS sigma "
-            f"FROM (SELECT *, sin(sigma) AS ss, cos(sigma) AS cs, cos(2 * s1 + sigma) AS cm FROM d{n}))"
-        )
-    last = f"(SELECT *, sin(sigma) AS ss, cos(sigma) AS cs, cos(2 * s1 + sigma) AS cm, {f / 16!r} * ca2 * (4 + {f!r} * (4 - 3 * ca2)) AS c FROM d{geodesy.VINCENTY_STEPS})"
-    flat = "(sin(u) * ss - cos(u) * cs * cos(az))"
-    lat = f"degrees(atan2(sin(u) * cs + cos(u) * ss * cos(az), (1 - {f!r}) * sqrt(sa * sa + {flat} * {flat})))"
-    gain = f"(1 - c) * {f!r} * sa * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))"
-    lon = f"lon + degrees(atan2(ss * sin(az), cos(u) * cs - sin(u) * ss * cos(az)) - {gain})"
-    columns = f"{mm_sql(lon, 'lon_u', 1_000_000)}, {mm_sql(lat, 'lat_u', 1_000_000)}, CAST(200000 AS BIGINT) AS metres_cm"
-    return ", ".join(ctes) + f" SELECT c_custkey, CAST(n * 5 AS INTEGER) AS bearing, {columns} FROM {last}"
+    source = f"SELECT c_custkey, n, lon, atan((1 - {geodesy.FLATTENING!r}) * tan(radians(lat))) AS u, radians(CAST(n * 5 % 360 AS DOUBLE)) AS az, 2000 AS dist FROM places, unnest(range(0, 73)) AS t(n)"
+    columns = f"{mm_sql('lon_at', 'lon_u', 1_000_000)}, {mm_sql('lat_at', 'lat_u', 1_000_000)}, CAST(200000 AS BIGINT) AS metres_cm"
+    return f"WITH {PLACES_SQL}, {_direct_sql(source)} SELECT c_custkey, CAST(n * 5 AS INTEGER) AS bearing, {columns} FROM placed"
 
 
 @query(_inverse_sql(mm_sql('metres', 'metres_cm', 100)))

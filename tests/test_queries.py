@@ -9,4 +9,4 @@ def test_query(spark, name):
 
 
 def test_every_query_without_sql_has_a_test_of_its_own():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"smooth_track", "smooth_window", "mask_components", "stitched_line", "content_hashes", "spatial_validation", "tow_depths"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"smooth_track", "smooth_window", "mask_components", "stitched_line", "content_hashes", "spatial_validation"}
