@@ -29,11 +29,11 @@ def sway(event_id: str = "event_id") -> Column:
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mmsi, ts, us, event_id, x, y, depth): x never falls, y swings; whole hundredths of metres."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("mmsi"), "ts", micros("ts").alias("us"), "value")
+    w = Window.partitionBy("mmsi").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).over(w).cast("double") / 100
     depth = (100 + F.col("event_id") % 40 * 20).cast("double")
-    return events.select(F.col("user_id").alias("mmsi"), "ts", micros("ts").alias("us"), "event_id", x.alias("x"), sway().alias("y"), depth.alias("depth"))
+    return events.select("mmsi", "ts", "us", "event_id", x.alias("x"), sway().alias("y"), depth.alias("depth"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
