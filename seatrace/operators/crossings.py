@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seatrace.operators.cells import touched_cells
+from seatrace.operators.sweep import differs
 
 #: Hits of one track closer than this (microseconds) are one crossing, e.g. at a shared vertex.
 SAME_US = 1.0
@@ -47,17 +47,27 @@ def _meetings(steps: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ex, ey = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
     px, py = F.col("cx0") - F.col("x0"), F.col("cy0") - F.col("y0")
-    solved = near.withColumns({"_den": dx * ey - dy * ex, "_across": px * dy - py * dx, "_squared": dx * dx + dy * dy}).where((F.col("_squared") > 0) & ((ex != 0) | (ey != 0)))
-    parallel = F.abs("_den") <= ROUNDING * (F.abs(dx * ey) + F.abs(dy * ex))
-    along = lambda x, y: ((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy) / F.col("_squared")
-    first, last = along("cx0", "cy0"), along("cx1", "cy1")
+    cross = _computed(near, {"_den": dx * ey - dy * ex, "_across": px * dy - py * dx, "_over": px * ey - py * ex, "_squared": dx * dx + dy * dy, "_terms": F.abs(dx * ey) + F.abs(dy * ex)})
+    cross = cross.where((F.col("_squared") > 0) & ((ex != 0) | (ey != 0)))
+    parallel = F.abs("_den") <= ROUNDING * F.col("_terms")
+    # Most pairs of a cell don't meet, which shows without a division: both parts lie between 0 and den, but for rounding.
+    within = lambda part: (F.col(part) * F.signum("_den") >= 0) & (F.abs(part) <= F.abs("_den") * (1 + ROUNDING))
     on = F.abs("_across") <= TOUCH * F.sqrt("_squared")
-    u = F.when(~parallel, (px * ey - py * ex) / F.col("_den")).when(on, F.greatest(F.least(first, last), F.lit(0.0)))
-    to = F.when(~parallel, (px * ey - py * ex) / F.col("_den")).when(on, F.least(F.greatest(first, last), F.lit(1.0)))
-    v = F.when(~parallel, F.col("_across") / F.col("_den")).otherwise(0.0)
-    met = solved.withColumns({"_u": u, "_to": to, "_v": v}).where("_u between 0 and 1 and _v between 0 and 1 and _u <= _to")
+    cross = cross.where(F.when(parallel, on).otherwise(within("_over") & within("_across")))
+    along = lambda x, y: ((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy) / F.col("_squared")
+    ends = _computed(cross, {"_first": F.when(parallel, along("cx0", "cy0")), "_last": F.when(parallel, along("cx1", "cy1")), "_crossed": F.when(~parallel, F.col("_over") / F.col("_den")), "_v": F.when(~parallel, F.col("_across") / F.col("_den")).otherwise(0.0)})
+    u = F.coalesce("_crossed", F.greatest(F.least("_first", "_last"), F.lit(0.0)))
+    to = F.coalesce("_crossed", F.least(F.greatest("_first", "_last"), F.lit(1.0)))
+    met = _computed(ends, {"_u": u, "_to": to}).where("_u between 0 and 1 and _v between 0 and 1 and _u <= _to")
     place = lambda p: F.floor((F.col(f"{p}0") + F.col("_u") * (F.col(f"{p}1") - F.col(f"{p}0"))) / cell).cast("long")
-    return met.where((F.col("_gx") == place("x")) & (F.col("_gy") == place("y"))).drop("_gx", "_gy", "_den", "_across", "_squared", "_v")
+    kept = met.where((F.col("_gx") == place("x")) & (F.col("_gy") == place("y")))
+    return kept.drop("_gx", "_gy", "_den", "_across", "_over", "_squared", "_terms", "_first", "_last", "_crossed", "_v")
+
+
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row: conditions on them aren't rewritten as conditions on what they come from."""
+    made = df.withColumn("_made", F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+    return made.select(*df.columns, *(F.col(f"_made.{name}") for name in columns))
 
 
 def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float, parts: bool = True) -> DataFrame:
@@ -67,22 +77,30 @@ def crossing_hits(steps: DataFrame, segments: DataFrame, cell: float, parts: boo
     meetings with the line are; without, a step that runs along a line anywhere has no hit with it.
     """
     met = _meetings(steps, segments, cell)
-    of = Window.partitionBy(*(c for c in steps.columns), "cable_id")
+    hits = _visible(met, Window.partitionBy(*steps.columns, "cable_id"), parts)
+    return _placed(hits).drop("_u", "_to")
+
+
+def _visible(met: DataFrame, of: WindowSpec, parts: bool) -> DataFrame:
+    """Meetings that aren't hidden by a stretch of the same step along the same line, which are one partition of ``of``."""
     covers = F.when(F.col("_to") > F.col("_u"), F.col("_to"))
     if parts:
         reach = F.max(covers).over(of.orderBy("_u", F.desc("_to")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         hidden = F.coalesce(reach >= F.col("_u"), F.lit(False))
     else:
         hidden = F.max(covers).over(of).isNotNull()
-    hits = met.withColumn("_hidden", hidden).where("not _hidden")
+    return met.withColumn("_hidden", hidden).where("not _hidden").drop("_hidden")
+
+
+def _placed(met: DataFrame) -> DataFrame:
     along = lambda p: F.col(f"{p}0") + F.col("_u") * (F.col(f"{p}1") - F.col(f"{p}0"))
-    return hits.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y")).drop("_u", "_to", "_hidden")
+    return met.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y"))
 
 
-def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) -> DataFrame:
+def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US, dealt: bool = False) -> DataFrame:
     """Hits that come at least ``same`` after the last one kept of the same track and line.
 
-    Hits are sorted by track in one shuffle and pass by in batches with the time of the last kept one.
+    Hits are sorted by track in one shuffle, unless they are dealt by keys already, and pass by in batches with the time of the last kept one.
     A hit that far from the one before is kept in any case, so only runs of closer ones are walked.
     """
     columns = hits.columns
@@ -98,7 +116,7 @@ def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) ->
             times = batch.column(at).to_numpy(zero_copy_only=False)
             new = np.ones(n, bool)  # starts a track
             if n > 1:
-                new[1:] = np.any([_differs(batch.column(k)) for k in ids], axis=0)
+                new[1:] = np.any([differs(batch.column(k)) for k in ids], axis=0)
             own = tuple(batch.column(k)[0].as_py() for k in ids)
             new[0] = own != key
             free = new | (np.diff(times, prepend=before) >= same)
@@ -112,26 +130,28 @@ def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) ->
             key, before = tuple(batch.column(k)[n - 1].as_py() for k in ids), times[-1]
             yield batch.filter(pa.array(free))
 
-    ordered = hits.repartition(*keys).sortWithinPartitions(*keys, "t", "seg")
+    # Texts of keys often begin alike, so rows are sorted by a hash of all keys first.
+    ordered = (hits if dealt else hits.repartition(*keys)).sortWithinPartitions(F.xxhash64(*keys), *keys, "t", "seg")
     return ordered.mapInArrow(kept, hits.schema)
 
 
-def _differs(column: pa.Array) -> np.ndarray:
-    """Whether each value but the first differs from the one before; nulls are equal."""
-    a, b = column.slice(1), column.slice(0, len(column) - 1)
-    both = pc.and_(pc.is_null(a), pc.is_null(b))
-    return pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False) & ~both.to_numpy(zero_copy_only=False)
+def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: float, start: float | None = None, end: float | None = None, parts: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Crossings with start <= t < end, once each; see ``crossing_hits`` for ``parts``.
 
-
-def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: float, start: float | None = None, end: float | None = None, parts: bool = True) -> DataFrame:
-    """Crossings with start <= t < end, once each; see ``crossing_hits`` for ``parts``."""
-    hits = crossing_hits(clip_steps(steps, start, end), segments, cell, parts)
+    Of the columns of ``crossing_hits``, only ``columns``, if given, and those that order the hits are kept. Meetings go
+    by track and line through one shuffle, with a hash in place of their step.
+    """
+    cut, tracks = clip_steps(steps, start, end), [*keys, "cable_id"]
+    placed = _placed(_meetings(cut, segments, cell))
+    wanted = columns or [c for c in placed.columns if c not in ("_u", "_to")]
+    slim = placed.select(F.xxhash64(*cut.columns).alias("_step"), "_u", "_to", *dict.fromkeys([*wanted, *tracks, "seg", "t"]))
+    hits = _visible(slim.repartition(*tracks), Window.partitionBy("_step", *tracks), parts).drop("_step", "_u", "_to")
     inside = F.lit(True)
     if start is not None:
         inside = inside & (F.col("t") >= start)
     if end is not None:
         inside = inside & (F.col("t") < end)
-    return without_repeats(hits.where(inside), [*keys, "cable_id"])
+    return without_repeats(hits.where(inside), tracks, dealt=True)
 
 
 def checked_crossings(hits: DataFrame, keys: list[str], start: float, end: float) -> DataFrame:

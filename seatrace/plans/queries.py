@@ -297,7 +297,7 @@ def _gear_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def _gear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gear.gear_positions(*_gear_inputs(spark, sf_dir), 500.0, depth_offset=DEPTH_OFFSET)
+    return gear.gear_positions(*_gear_inputs(spark, sf_dir), 500.0, depth_offset=DEPTH_OFFSET, longest=MAX_WARP)
 
 
 @query(f"WITH {TOWED_SQL}, {CHAIN_SQL}, {PATH_SQL}, {GRID_SQL}, {STATUS_SQL}, {GEAR_SQL} SELECT scenario_id, mmsi, event_id, component, {mm_sql('px', 'x_mm')}, {mm_sql('py', 'y_mm')} FROM placed")
@@ -369,7 +369,7 @@ FAILURES_SQL = f"""failures AS (SELECT scenario_id, CASE WHEN ix IS NULL THEN '{
 )
 def gear_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points without gear positions, by scenario and reason."""
-    return gear.gear_failures(*_gear_inputs(spark, sf_dir), 500.0, DEPTH_OFFSET).groupBy("scenario_id", "reason").agg(F.count("*").alias("points"))
+    return gear.gear_failures(*_gear_inputs(spark, sf_dir), 500.0, DEPTH_OFFSET, MAX_WARP).groupBy("scenario_id", "reason").agg(F.count("*").alias("points"))
 
 
 @query(
@@ -384,7 +384,7 @@ def gear_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gear_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many points of a scenario have doors that aren't the spread apart, or that don't close the warp's triangle."""
     tow, path, grid = _gear_inputs(spark, sf_dir)
-    return gear.gear_closure(gear.gear_positions(tow, path, grid, 500.0, depth_offset=DEPTH_OFFSET), tow, grid, DEPTH_OFFSET)
+    return gear.gear_closure(gear.gear_positions(tow, path, grid, 500.0, depth_offset=DEPTH_OFFSET, longest=MAX_WARP), tow, grid, DEPTH_OFFSET)
 
 
 GEAR_HITS_SQL = """gsteps AS (SELECT * FROM (SELECT scenario_id, mmsi, component, us AS t0, px AS x0, py AS y0, lead(us) OVER w AS t1, lead(px) OVER w AS x1, lead(py) OVER w AS y1
@@ -395,7 +395,8 @@ GEAR_HITS_SQL = """gsteps AS (SELECT * FROM (SELECT scenario_id, mmsi, component
 
 def _gear_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = paths.polyline_segments(bridge.cable(spark, sf_dir))
-    return crossings.crossings(gear.component_steps(_gear(spark, sf_dir)), segments, ["scenario_id", "mmsi", "component"], 400.0)
+    steps = gear.gear_steps(*_gear_inputs(spark, sf_dir), 500.0, depth_offset=DEPTH_OFFSET, longest=MAX_WARP)
+    return crossings.crossings(steps, segments, ["scenario_id", "mmsi", "component"], 400.0, columns=["t"])
 
 
 @query(
