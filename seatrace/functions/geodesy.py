@@ -7,6 +7,7 @@ coordinate gives a null; nearly antipodal places have no distance that can be re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -114,20 +115,42 @@ def inverse(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarr
     return np.where(missing, np.nan, metres), np.where(missing, np.nan, bearing)
 
 
+def _by_libm(f: Callable[..., float]) -> Callable[..., np.ndarray]:
+    """f of Python's math for whole arrays: numpy's own functions may differ from the system's library in the last bit."""
+
+    def run(*values: np.ndarray) -> np.ndarray:
+        lists = (np.asarray(v, float).ravel().tolist() for v in values)
+        return np.fromiter(map(f, *lists), float).reshape(np.shape(values[0]))
+
+    return run
+
+
+def _plain(f: Callable[[float], float]) -> Callable[[float], float]:
+    """f, with NaN where math has an error (sines of infinity)."""
+    return lambda x: f(x) if -math.inf < x < math.inf else math.nan
+
+
+SIN, COS, ATAN2 = _by_libm(_plain(math.sin)), _by_libm(_plain(math.cos)), _by_libm(math.atan2)
+
+
 def direct(lon: np.ndarray, lat: np.ndarray, bearing: np.ndarray, metres: np.ndarray, steps: int = VINCENTY_STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Longitude and latitude at a distance along a bearing (degrees east of north)."""
-    u, az = reduced(lat), np.radians(bearing)
-    su, cu, sz, cz = np.sin(u), np.cos(u), np.sin(az), np.cos(az)
-    sa, sigma1 = cu * sz, np.arctan2(su, cu * cz)
+    return _direct(lon, reduced(lat), np.radians(bearing), metres, steps)
+
+
+def _direct(lon: np.ndarray, u: np.ndarray, az: np.ndarray, metres: np.ndarray, steps: int = VINCENTY_STEPS, sin: Callable = np.sin, cos: Callable = np.cos, atan2: Callable = np.arctan2) -> tuple[np.ndarray, np.ndarray]:
+    """``direct`` of a reduced latitude and a bearing in radians."""
+    su, cu, sz, cz = sin(u), cos(u), sin(az), cos(az)
+    sa, sigma1 = cu * sz, atan2(su, cu * cz)
     ca2 = 1 - sa * sa
     big_a, big_b = _series_ab(ca2 * ((A * A - B * B) / (B * B)))
     first = sigma = metres / (B * big_a)
     for _ in range(steps):
-        sigma = first + _delta_sigma(big_b, np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma))
-    ss, cs, cm = np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma)
+        sigma = first + _delta_sigma(big_b, sin(sigma), cos(sigma), cos(2 * sigma1 + sigma))
+    ss, cs, cm = sin(sigma), cos(sigma), cos(2 * sigma1 + sigma)
     flat = su * ss - cu * cs * cz
-    lat2 = np.arctan2(su * cs + cu * ss * cz, (1 - FLATTENING) * np.sqrt(sa * sa + flat * flat))
-    lam = np.arctan2(ss * sz, cu * cs - su * ss * cz)
+    lat2 = atan2(su * cs + cu * ss * cz, (1 - FLATTENING) * np.sqrt(sa * sa + flat * flat))
+    lam = atan2(ss * sz, cu * cs - su * ss * cz)
     return lon + np.degrees(lam - _longitude_gain(sa, ca2, sigma, ss, cs, cm)), np.degrees(lat2)
 
 
@@ -167,7 +190,9 @@ def local_inverse(x: Column, y: Column, lon0: float, lat0: float) -> Column:
     """Struct (lon, lat) of a place of the azimuthal equidistant projection."""
 
     def place(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return direct(np.full_like(x, lon0), np.full_like(y, lat0), np.degrees(np.arctan2(x, y)), np.hypot(x, y))
+        # The bearing stays in radians, and a rounding less here is a whole millimetre of some depth in millions.
+        u = math.atan((1 - FLATTENING) * math.tan(lat0 * (math.pi / 180)))
+        return _direct(np.full_like(x, lon0), np.full_like(y, u), ATAN2(x, y), np.sqrt(x * x + y * y), sin=SIN, cos=COS, atan2=ATAN2)
 
     return _kernel("struct<lon:double,lat:double>", place, x, y)
 
