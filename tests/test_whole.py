@@ -156,6 +156,47 @@ def test_smooth_whole_tracks(spark):
             assert np.abs(np.diff(fine[:, :2], axis=0) / 60 - (fine[1:, 2:] + fine[:-1, 2:]) / 2).max() < 0.2
 
 
+def blended(t, xy, rms, step, core=32, reach=8):
+    """Rows of a track by fits of its windows, one after another."""
+    last = max(len(t) // core, 1) - 1
+    parts = [slice(max(w * core - reach, 0), (w + 1) * core + reach if w < last else len(t)) for w in range(last + 1)]
+    fits = [spline.fit(t[s], xy[s], len(t[s]) * rms**2) for s in parts]
+    out = []
+    for at in np.arange(np.ceil(t[0] / step), np.floor(t[-1] / step) + 1) * step:
+        w = max(k for k, s in enumerate(parts) if t[s][0] <= at)
+        place, speed = (spline.evaluate(*fits[w], np.array([at]), d)[0] for d in (0, 1))
+        if w and at < (b := t[parts[w]][2 * reach - 1]):
+            a = t[parts[w]][0]
+            old, was = (spline.evaluate(*fits[w - 1], np.array([at]), d)[0] for d in (0, 1))
+            share = (at - a) / (b - a)
+            place, speed = old + share * (place - old), was + share * (speed - was) + (place - old) / (b - a)
+        out.append((at, *place, *speed))
+    return np.array(out)
+
+
+def test_smooth_whole_tracks_in_runs(spark):
+    """Runs of windows give the rows of all windows fitted in turn, also where a step falls on a point's time,
+    and the rows are finished where they are made: only points are shuffled."""
+    rng = np.random.default_rng(4)
+    tracks = {}
+    for mmsi, n in ((1, 700), (2, 64), (3, 95), (4, 1100)):
+        t = np.cumsum(rng.uniform(100, 1500, n)) if mmsi < 3 else 600.0 * np.cumsum(rng.integers(1, 3, n))
+        tracks[mmsi] = t, np.column_stack([5 * t + 20 * rng.standard_normal(n), 3000 * np.sin(t / 20_000) + 20 * rng.standard_normal(n)])
+    data = [(m, float(a), float(x), float(y)) for m, (t, xy) in tracks.items() for a, (x, y) in zip(t, xy)]
+    df = spark.createDataFrame(data, "mmsi long, t double, x double, y double")
+    smoothed = spline.smooth_whole_tracks(df, 600.0, 25.0)
+    plan = smoothed._jdf.queryExecution().sparkPlan().toString()
+    assert plan.splitlines()[0].startswith("FlatMapGroupsInPandas"), plan
+    for run in (16, 1, 3):
+        got = defaultdict(list)
+        for r in spline.smooth_whole_tracks(df, 600.0, 25.0, run=run).orderBy("mmsi", "t").collect():
+            got[r["mmsi"]].append((r["t"], r["x"], r["y"], r["vx"], r["vy"]))
+        assert got.keys() == tracks.keys()
+        for m, (t, xy) in tracks.items():
+            found, want = np.array(got[m]), blended(t, xy, 25.0, 600.0)
+            assert found.shape == want.shape and np.allclose(found, want, rtol=1e-9, atol=1e-6), (run, m)
+
+
 def test_smooth_track_reaches_the_ends(spark):
     ends = {r["mmsi"]: (r["a"], r["b"], r["n"]) for r in bridge.track(spark, SMALL).groupBy("mmsi").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count_distinct("us").alias("n")).collect()}
     got = {r["mmsi"]: (r["t"], r["n"]) for r in queries.smooth_track(spark, SMALL).groupBy("mmsi").agg(F.max("t").alias("t"), F.count("*").alias("n")).collect()}
