@@ -18,6 +18,9 @@ entries of the tree, and a filter of BITS bits that spares keys which are in no
 ask for the other entries that they meet, each key once: keys and entries meet in ranges of keys, and
 the answers go back to their block, which then scores its texts. Counts cover all training documents.
 
+What lies on disk at once is kept low: a step's shuffles go before the next one's are written, and beyond PASS_TOKENS
+lookups are done by halves of their keys, and blocks ask and score in PASSES parts, one after another.
+
 Edge cases: a null or empty text is the end alone; without training documents N and V are 0 and every
 token has probability 1; repeated rows are scored alike; an empty table gives no rows. Only doc_id and
 text are read, so other columns cannot clash.
@@ -26,7 +29,8 @@ text are read, so other columns cannot clash.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -45,6 +49,8 @@ TAIL = -1
 BITS = 26
 #: Tokens of a block, whose rows count and ask together; training tokens and entries for each range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS, RANGE_ENTRIES = 1 << 19, 1 << 20, 1 << 18
+#: Parts of the blocks that ask and score one after another, beyond so many training tokens.
+PASSES, PASS_TOKENS = 4, 1 << 22
 #: Sets the key of a state apart from that of a next token with the same words.
 STATE = 0x5851F42D4C957F2D
 
@@ -267,13 +273,38 @@ def count_nexts(encoded: DataFrame, level: int, shared: Broadcast, ranges: int)
 
     training = encoded.where("not held_out").select("block", "ids", "rare")
     asked = training.mapInArrow(counts, "range long, block long, keys binary, times binary")
-    owned = asked.groupBy("range").applyInArrow(again, "block long, keys binary, counts binary")
-    return training.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(written, "gram long, context long, suffix long, last boolean, c long")
+    owned = scratch(asked.groupBy("range").applyInArrow(again, "block long, keys binary, counts binary"), f"owned{level}")
+    free_shuffles(encoded.sparkSession)
+    counted = training.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(written, "gram long, context long, suffix long, last boolean, c long")
+    counted = scratch(counted, f"counted{level}")
+    discard(owned)
+    return counted
+
+
+def parts_of(df: DataFrame, column: str, parts: int) -> list[DataFrame]:
+    """df in so many parts by a hash of the column; all of it in one, if parts is 1."""
+    if parts == 1:
+        return [df]
+    return [df.where(F.pmod(F.hash(column), F.lit(parts)) == k) for k in range(parts)]
+
 
+def looked_up(rows: DataFrame, by: str, table: DataFrame, how: str, name: str, parts: int, made: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """What is made of rows joined with table, as scratch tables: one for each part of the keys, so that only a
+    part of both sides is in a shuffle at once."""
+    out = []
+    for own, known in zip(parts_of(rows, by, parts), parts_of(table, by, parts)):
+        out.append(scratch(made(own.join(known, by, how)), name))
+        free_shuffles(rows.sparkSession)
+    return out
 
-def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale: float, ranges: int, depth: int, least: float, next_share: float, discount: float, strictness: float) -> DataFrame:
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
+def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale: float, ranges: int, depth: int, least: float, next_share: float, discount: float, strictness: float, parts: int = 1) -> DataFrame:
     """(gram, value, c) of all entries: the mass that a state leaves to its suffix, under gram ^ STATE, and
-    the share of a state's next token over the root's. scale is N + V + 1."""
+    the share of a state's next token over the root's. scale is N + V + 1; joins are done in so many parts."""
     words = counts.select("gram", "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"))
     # What the states up to this level give a token after a run's other words, and what the root gives it.
     chances = words.select("gram", "p", F.col("p").alias("root"))
@@ -282,36 +313,37 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     entries = []
     for level in range(1, depth + 1):
         shared = encoded.sparkSession.sparkContext.broadcast((hashes, bit_filter(contexts)))
-        counted = scratch(count_nexts(encoded, level, shared, ranges), f"counted{level}")
+        counted = count_nexts(encoded, level, shared, ranges)
         shared.destroy()
-        free_shuffles(encoded.sparkSession)
-        totals = contexts.select(F.col("gram").alias("context"), F.col("c").alias("total"))
         before = chances.select(F.col("gram").alias("suffix"), F.col("p").alias("before"), "root")
-        listed = (F.col("c") >= F.col("total") * next_share).alias("listed")
-        known = scratch(counted.join(totals, "context").join(before, "suffix").select("gram", "context", "last", "c", "total", "before", "root", listed), f"known{level}")
+        placed = looked_up(counted, "suffix", before, "inner", f"placed{level}", parts, lambda x: x.select("gram", "context", "last", "c", "before", "root"))
         discard(counted)
+        known = together(placed)
         c, total, share = F.col("c"), F.col("total"), (F.col("c") - discount) / F.col("total")
-        sums = known.where("listed").groupBy("context", "total").agg(
-            F.count("*").alias("kinds"), F.sum("c").alias("sum"), F.sum("before").alias("mass"), F.sum(c * F.log(c / total / F.col("before"))).alias("gain"), (1 - F.sum(share)).alias("rest")
-        )
-        other = total - F.col("sum")
-        gain = F.col("gain") + F.when(other > 0, other * F.log(other / total / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0)
-        states = sums.where(2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).select("context", "rest", "total")
-        states = scratch(states, f"states{level}")
-        judged = known.join(states.drop("total"), "context", "left")
-        own = F.when(F.col("rest").isNotNull() & F.col("listed"), share)
+        listed = c >= total * next_share
+        totals = contexts.select(F.col("gram").alias("context"), F.col("c").alias("total"))
+
+        def judged(rows: DataFrame) -> DataFrame:
+            sums = rows.where(listed).groupBy("context", "total").agg(
+                F.count("*").alias("kinds"), F.sum("c").alias("sum"), F.sum("before").alias("mass"), F.sum(c * F.log(c / total / F.col("before"))).alias("gain"), (1 - F.sum(share)).alias("rest")
+            )
+            other = total - F.col("sum")
+            gain = F.col("gain") + F.when(other > 0, other * F.log(other / total / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0)
+            return sums.where(2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).select("context", "rest", "total")
+
+        states = looked_up(known, "context", totals, "inner", f"states{level}", parts, judged)
+        discard(*last_level)
+        own = F.when(F.col("rest").isNotNull() & listed, share)
         p = F.coalesce("rest", F.lit(1.0)) * F.col("before") + F.coalesce(own, F.lit(0.0))
-        made = scratch(judged.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")), f"chances{level}")
-        masses = states.select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c"))
-        entries.append(scratch(masses.union(made.where("value is not null").select("gram", "value", "c")), f"tree{level}"))
-        discard(known, states, *last_level)
-        chances, last_level = made, [made]
+        last_level = looked_up(known, "context", together(states), "left", f"chances{level}", parts, lambda x: x.select("gram", "last", "c", p.alias("p"), "root", (own / F.col("root")).alias("value")))
+        discard(*placed)
+        chances = together(last_level)
+        masses = together(states).select(F.col("context").bitwiseXOR(F.lit(STATE)).alias("gram"), F.col("rest").alias("value"), F.col("total").alias("c"))
+        entries.append(scratch(masses.union(chances.where("value is not null").select("gram", "value", "c")), f"tree{level}"))
+        discard(*states)
         contexts = chances.where((F.col("c") >= least) & ~F.col("last")).select("gram", "c")
     discard(*last_level)
-    tree = entries[0]
-    for more in entries[1:]:
-        tree = tree.union(more)
-    return tree
+    return together(entries)
 
 
 def split_tree(tree: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
@@ -446,17 +478,15 @@ def score_texts(
     head = {t.encode(): k for k, t in enumerate(frequent["token"])}
     hashes = np.array([*map(word_hash, head), 0], np.int64)
     root = (singles + 1) / (n + v + 1) if n else np.ones(1)
-    encoded = scratch(encode(texts, head, np.log10(root)).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    tree = learn_tree(encoded, counts, hashes, float(n + v + 1), (n // RANGE_TOKENS).bit_length(), depth, max(2.0, least, context_share * n), next_share, discount, strictness)
+    encoded = scratch(encode(texts, head, np.log10(root)).withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
+    many = n >= PASS_TOKENS
+    tree = learn_tree(encoded, counts, hashes, float(n + v + 1), (n // RANGE_TOKENS).bit_length(), depth, max(2.0, least, context_share * n), next_share, discount, strictness, 2 if many else 1)
     keys, values, others = split_tree(tree, held)
     bits = bit_filter(others)
 
     rest = others.count()
     ranges = max(0, (rest // RANGE_ENTRIES).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast((hashes, keys, values, bits))
-    asked = missing_keys(encoded, depth, shared, ranges)
-    found = scratch(answers(asked, others, ranges), "answers")
-    discard(tree)
 
     def score(rows: pa.Table, answered: pa.Table) -> pa.Table:
         order = np.argsort(answered["range"].to_numpy())
@@ -479,13 +509,19 @@ def score_texts(
         columns = [rows[c] for c in ("doc_id", "held_out", "n_tokens", "head_base")]
         return pa.table([*columns, pa.array(np.concatenate(sums)), pa.array(np.concatenate(known)), rows["row"]], ["doc_id", "held_out", "n_tokens", "head_base", "ratio", "head_known", "row"])
 
-    placed = encoded.select("block", "doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "row")
-    head_part = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long"
-    )
-    head_part = scratch(head_part, "scored")
+    scored = []
+    for part in parts_of(encoded, "block", PASSES if many else 1):
+        found = scratch(answers(missing_keys(part, depth, shared, ranges), others, ranges), "answers")
+        free_shuffles(docs.sparkSession)
+        placed = part.select("block", "doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "row")
+        head_part = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+            score, "doc_id long, held_out boolean, n_tokens long, head_base double, ratio double, head_known long, row long"
+        )
+        scored.append(scratch(head_part, "scored"))
+        discard(found)
+    head_part = together(scored)
     shared.destroy()
-    discard(found)
+    discard(tree)
     tail = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("times"))
     seen = tail.join(counts, "token", "left")
     seen = seen.groupBy("row").agg(

@@ -173,6 +173,31 @@ def test_rare_contexts_are_states_whatever_the_corpus(spark):
             assert math.isclose(got[k], sum(math.log10(p(tokens[:i], t)) for i, t in enumerate(tokens)), rel_tol=1e-9), (held, k)
 
 
+def test_scores_in_parts(spark, monkeypatch):
+    """Parts of keys and of blocks give the scores of the dictionaries; texts are shuffled in no step that shuffles questions too."""
+    steps, write = [], suffix_tree.scratch
+
+    def written(df, name, **options):
+        steps.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(suffix_tree, "scratch", written)
+    monkeypatch.setattr(suffix_tree, "PASS_TOKENS", 1, raising=False)
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 200)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 9, 40)) for _ in range(120)] + ["", "c1 odd c2 odd", "c1 odd c2 odd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in rows(suffix_tree.score_texts(df, F.col("doc_id") % 7 != 2, held=50))}
+    p, states = brute_tree([t for k, t in enumerate(texts) if k % 7 != 2], 3, 2.0, 0.0, 0.75, 4.0)
+    assert got.keys() == set(range(len(texts))) and any(len(s) > 1 for s in states)
+    for k, text in enumerate(texts):
+        tokens = [*words(text), " "]
+        assert math.isclose(got[k], sum(math.log10(p(tokens[:i], t)) for i, t in enumerate(tokens)), rel_tol=1e-9), k
+    names = [name for name, _ in steps]
+    assert all("MapInArrow" not in plan for name, plan in steps if name.startswith(("counted", "scored")))
+    assert names.count("answers") == names.count("scored") == 4 and names.count("chances2") == 2
+
+
 def test_quality_of_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in rows(queries.op9_quality_gam(spark, sf))}
