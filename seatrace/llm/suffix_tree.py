@@ -25,7 +25,7 @@ and entries meet in ranges of keys, and the answers go back to their block. Cont
 their words. Counts cover all training documents.
 
 What lies on disk at once is kept low: a step's shuffles go before the next one's are written, and beyond PASS_TOKENS
-lookups are done by halves of their keys, blocks ask in PASSES parts, and ranges learn in PASSES parts, one after another.
+lookups are done by halves of their keys, blocks ask in PASSES parts, and ranges learn in LEARN_PASSES parts, one after another.
 
 Edge cases: a null or empty text is the end alone; without training documents N and V are 0 and every
 token has probability 1; repeated rows are scored alike; an empty table gives no rows. Only doc_id and
@@ -38,6 +38,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ BLOCK_TOKENS, RANGE_TOKENS, RANGE_ENTRIES = 1 << 19, 1 << 20, 1 << 18
 #: Blocks' tokens that make a context heavy.
 HEAVY = 2
 #: Parts of the blocks that ask, and of the ranges that learn, one after another, beyond so many training tokens.
-PASSES, PASS_TOKENS = 4, 1 << 22
+PASSES, LEARN_PASSES, PASS_TOKENS = 4, 3, 1 << 22
 #: Sets the key of a state apart from that of a next token with the same words.
 STATE = 0x5851F42D4C957F2D
 
@@ -82,7 +83,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 own.update(text.lower().split())
             own[b" "] += batch.num_rows
-            if len(own) > 250_000:
+            if len(own) > 500_000:
                 yield emit()
                 own.clear()
         if own:
@@ -104,22 +105,24 @@ def with_hash(counts: DataFrame) -> DataFrame:
 
 
 def encode(texts: DataFrame, head: dict[bytes, int], logs: np.ndarray) -> DataFrame:
-    """Rows with ids of the frequent words (TAIL for others), the hashes of the others in their order, the sum of root
+    """Rows with packed ids of the frequent words (TAIL for others), the packed hashes of the others in their order, the sum of root
     log-probabilities of the frequent ones, a block of about BLOCK_TOKENS tokens and a number in it."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, block, size, number = head.get(b" ", TAIL), TaskContext.get().partitionId() << 32, 0, 0
+        block, size, number = TaskContext.get().partitionId() << 32, 0, 0
+        hashes: dict[bytes, int] = {}
         for batch in batches:
             ids, rares, bases, n_tokens, blocks, numbers = [], [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = text.lower().split()
-                own = np.fromiter((head.get(w, TAIL) for w in words), np.int32, len(words))
-                own = np.append(own, np.int32(end))
-                others = [words[k] for k in np.flatnonzero(own[:-1] == TAIL).tolist()]
-                if end == TAIL:
-                    others.append(b" ")
-                ids.append(own)
-                rares.append(np.array([*map(word_hash, others)], np.int64))
+                words.append(b" ")
+                own = np.fromiter(map(head.get, words, repeat(TAIL)), np.int32, len(words))
+                others = [words[k] for k in np.flatnonzero(own == TAIL).tolist()]
+                if len(hashes) > 200_000:
+                    hashes.clear()
+                hashes.update((w, word_hash(w)) for w in others if w not in hashes)
+                ids.append(own.tobytes())
+                rares.append(np.array([hashes[w] for w in others], np.int64).tobytes())
                 bases.append(float(logs[own[own >= 0]].sum()))
                 n_tokens.append(len(own))
                 if size and size + len(own) > BLOCK_TOKENS:
@@ -128,22 +131,36 @@ def encode(texts: DataFrame, head: dict[bytes, int], logs: np.ndarray) -> DataFr
                 numbers.append(number)
                 size, number = size + len(own), number + 1
             arrays = [
-                batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.list_(pa.int32())),
-                pa.array(rares, pa.list_(pa.int64())), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.binary()),
+                pa.array(rares, pa.binary()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "block", "number"])
 
-    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids array<int>, rare array<long>, block long, number long"
+    types = "doc_id long, held_out boolean, n_tokens long, head_base double, ids binary, rare binary, block long, number long"
     return texts.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(encoded, types)
 
 
-def _values(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
+def _ends(column: pa.BinaryArray, kind: type) -> np.ndarray:
+    """Where the numbers of each row begin, and where the last row's end, in a column of packed numbers."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _values(column: pa.BinaryArray, kind: type) -> np.ndarray:
+    ends = _ends(column, kind)
+    return np.frombuffer(column.buffers()[2], kind)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, kind)
+
+
+def _split(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Packed numbers of rows with so many of them."""
+    offsets = np.append(0, np.cumsum(sizes) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _slices(batch: pa.RecordBatch, ids: int, tokens: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``tokens`` ids in column ``ids``, so that arrays over ids stay small."""
-    ends = batch.column(ids).offsets.to_numpy().astype(np.int64)
+    ends = _ends(batch.column(ids), np.int32)
     at = 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + tokens, side="right")) - 1)
@@ -159,13 +176,13 @@ def _longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _grams(ids: pa.ListArray, rare: pa.ListArray, hashes: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _grams(ids: pa.BinaryArray, rare: pa.BinaryArray, hashes: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the runs of 1 to ``most`` words that end at each token, each token's place in its
     document, and its document. A run of k words is one only from place k - 1 on."""
-    flat, ends = _values(ids), ids.offsets.to_numpy().astype(np.int64)
+    flat, ends = _values(ids, np.int32), _ends(ids, np.int32)
     sizes = np.diff(ends)
     words = hashes[flat]
-    words[flat == TAIL] = _values(rare)
+    words[flat == TAIL] = _values(rare, np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(flat)) - (ends[:-1] - ends[0])[doc]
     grams = [_longer(np.zeros(len(words), np.int64), words)]
@@ -217,15 +234,14 @@ def count_nexts(encoded: DataFrame, level: int, shared: Broadcast, ranges: int)
     """(gram, context, suffix, last, c): runs of level + 1 words that come twice or more, for contexts that
     pass the filter.
 
-    Most runs come once. So blocks send only their runs' hashes and times, packed, to ranges of hashes; those
-    name a block for each run that came again, and that block alone writes what belongs to it. shared has the
-    hashes of the frequent words and the filter."""
+    Blocks send each run once, packed, to ranges of hashes. shared has the hashes of the frequent words and the filter."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
-            gram, n = np.unique(np.concatenate(own), return_counts=True)
+            columns = [np.concatenate(x) for x in zip(*own)]
+            gram, at, n = np.unique(columns[0], return_index=True, return_counts=True)
             kinds, first = _by_range(gram, ranges)
-            return _packed(["range", "block", "keys", "times"], kinds, [block] * len(kinds), np.split(gram, first), np.split(n.astype(np.int32), first))
+            return _packed(["range", *names], kinds, None, *(np.split(x, first) for x in (gram, *(c[at] for c in columns[1:]), n)))
 
         own, block = [], None
         for at, parts in _runs(batches):
@@ -235,53 +251,26 @@ def count_nexts(encoded: DataFrame, level: int, shared: Broadcast, ranges: int)
             block = at
             hashes, bits = shared.value
             for part in parts:
-                grams, place, _ = _grams(part.column(1), part.column(2), hashes, level + 1)
+                grams, place, doc = _grams(part.column(1), part.column(2), hashes, level + 1)
                 here = np.flatnonzero(place >= level)
-                own.append(grams[level][here[_maybe(grams[level - 1][here - 1], bits)]])
+                here = here[_maybe(grams[level - 1][here - 1], bits)]
+                own.append((grams[level][here], grams[level - 1][here - 1], grams[level - 1][here], np.append(doc[1:] != doc[:-1], True)[here]))
         if own:
             yield emit()
 
     def again(rows: pa.Table) -> pa.Table:
-        keys, times = ([np.frombuffer(x.as_buffer(), k) for x in rows[c]] for c, k in (("keys", np.int64), ("times", np.int32)))
-        blocks = np.repeat(rows["block"].to_numpy(), [*map(len, keys)])
-        keys, times = np.concatenate(keys), np.concatenate(times)
-        order = np.argsort(keys, kind="stable")
-        gram, first = np.unique(keys[order], return_index=True)
-        sums = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        columns = [np.frombuffer(b"".join(rows[c].to_pylist()), bool if c == "last" else np.int64) for c in names]
+        gram, at, own = np.unique(columns[0], return_index=True, return_inverse=True)
+        sums = np.zeros(len(gram), np.int64)
+        np.add.at(sums, own, columns[4])
         kept = np.flatnonzero(sums >= 2)
-        owner = blocks[order[first[kept]]]
-        by = np.argsort(owner, kind="stable")
-        kinds, cut = np.unique(owner[by], return_index=True)
-        parts = (np.split(x[kept][by], cut[1:]) if len(kinds) else [] for x in (gram, sums))
-        return pa.Table.from_batches([_packed(["block", "keys", "counts"], kinds.tolist(), None, *parts)])
-
-    def written(rows: pa.Table, own: pa.Table) -> pa.Table:
-        keys, sums = (np.frombuffer(b"".join(own[c].to_pylist()), np.int64) for c in ("keys", "counts"))
-        order = np.argsort(keys)
-        keys, sums = keys[order], sums[order]
-        found, hashes = [], shared.value[0]
-        for _, parts in _runs(rows.combine_chunks().to_batches()) if len(keys) else ():
-            for part in parts:
-                grams, place, doc = _grams(part.column(1), part.column(2), hashes, level + 1)
-                here = np.flatnonzero(place >= level)
-                at = np.minimum(np.searchsorted(keys, grams[level][here]), len(keys) - 1)
-                hit = keys[at] == grams[level][here]
-                at, first = np.unique(at[hit], return_index=True)
-                here = here[hit][first]
-                found.append((at, grams[level - 1][here - 1], grams[level - 1][here], np.append(doc[1:] != doc[:-1], True)[here]))
-        if not found:
-            found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
-        at, context, suffix, last = (np.concatenate(x) for x in zip(*found))
-        at, first = np.unique(at, return_index=True)
-        return pa.table([pa.array(x) for x in (keys[at], context[first], suffix[first], last[first], sums[at])], ["gram", "context", "suffix", "last", "c"])
+        return pa.table([pa.array(x) for x in (gram[kept], *(c[at[kept]] for c in columns[1:4]), sums[kept])], names)
 
+    names = ["gram", "context", "suffix", "last", "c"]
     training = encoded.where("not held_out").select("block", "ids", "rare")
-    asked = training.mapInArrow(counts, "range long, block long, keys binary, times binary")
-    owned = scratch(asked.groupBy("range").applyInArrow(again, "block long, keys binary, counts binary"), f"owned{level}")
+    asked = training.mapInArrow(counts, "range long, gram binary, context binary, suffix binary, last binary, c binary")
+    counted = scratch(asked.groupBy("range").applyInArrow(again, "gram long, context long, suffix long, last boolean, c long"), f"nexts{level}")
     free_shuffles(encoded.sparkSession)
-    counted = training.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(written, "gram long, context long, suffix long, last boolean, c long")
-    counted = scratch(counted, f"counted{level}")
-    discard(owned)
     return counted
 
 
@@ -319,11 +308,12 @@ def learn_tree(encoded: DataFrame, counts: DataFrame, hashes: np.ndarray, scale:
     for level in range(1, depth + 1):
         heavy.append(contexts.select("gram").toArrow()["gram"].to_numpy())
         shared = encoded.sparkSession.sparkContext.broadcast((hashes, bit_filter(contexts)))
-        counted = count_nexts(encoded, level, shared, ranges)
+        none = contexts.select("gram", *(F.col("gram").alias(x) for x in ("context", "suffix")), F.lit(False).alias("last"), "c").limit(0)
+        counted = count_nexts(encoded, level, shared, ranges) if len(heavy[-1]) else none
         shared.destroy()
         before = chances.select(F.col("gram").alias("suffix"), F.col("p").alias("before"), "root")
         placed = looked_up(counted, "suffix", before, "inner", f"placed{level}", parts, lambda x: x.select("gram", "context", "last", "c", "before", "root"))
-        discard(counted)
+        discard(*([counted] if len(heavy[-1]) else []))
         known = together(placed)
         c, total, share = F.col("c"), F.col("total"), (F.col("c") - discount) / F.col("total")
         listed = c >= total * next_share
@@ -419,11 +409,11 @@ def _tail_keys(rare: np.ndarray) -> np.ndarray:
     return _longer(np.zeros(len(rare), np.int64), rare)
 
 
-def _heavy_slots(ids: pa.ListArray, rare: pa.ListArray, depth: int, hashes: np.ndarray, often: np.ndarray, heavy: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+def _heavy_slots(ids: pa.BinaryArray, rare: pa.BinaryArray, depth: int, hashes: np.ndarray, often: np.ndarray, heavy: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     if not often.any():
         return []
     grams, place, _ = _grams(ids, rare, hashes, depth + 1)
-    flat = _values(ids)
+    flat = _values(ids, np.int32)
     # Heavy contexts are made of frequent words alone, so the counts of others don't matter here.
     _, deep = _reach(flat, place, flat != TAIL, grams, depth, often, heavy)
     return _sought(grams, deep, depth, keys, values, bits)
@@ -446,7 +436,7 @@ def missing_keys(encoded: DataFrame, depth: int, shared: Broadcast, ranges: int)
             block = at
             for part in parts:
                 slots = _heavy_slots(part.column(1), part.column(2), depth, *shared.value)
-                asked = [key[key != 0] for *_, key in slots] + [_tail_keys(_values(part.column(2)))]
+                asked = [key[key != 0] for *_, key in slots] + [_tail_keys(_values(part.column(2), np.int64))]
                 own += [np.unique(key) for key in asked if len(key)]
         if own:
             yield emit()
@@ -532,11 +522,11 @@ def placed_tokens(scored: DataFrame, depth: int, shared: Broadcast, ranges: int,
                 own = []
             block = at
             for x in parts:
-                ids, tail = _values(x.column(1)), _values(x.column(2))
+                ids, tail = _values(x.column(1), np.int32), _values(x.column(2), np.int64)
                 grams, place, doc = _grams(x.column(1), x.column(2), hashes, depth)
                 rare, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
                 is_tail = ids == TAIL
-                rare[is_tail], count[is_tail] = tail, _values(x.column(3))
+                rare[is_tail], count[is_tail] = tail, _values(x.column(3), np.int64)
                 seen = ~is_tail | (count >= 2)
                 length, deep = _reach(ids, place, seen, grams, depth, often, heavy)
                 key = np.zeros(len(ids), np.int64)
@@ -549,7 +539,7 @@ def placed_tokens(scored: DataFrame, depth: int, shared: Broadcast, ranges: int,
                 codes = np.stack([code[here], *(np.where(length[here] >= k, code[here - k], none) for k in range(1, depth + 1))])
                 rares = np.stack([rare[here - k] for k in range(depth + 1)])
                 ratio = np.zeros(len(ids))
-                ratio[deep > 0] = _values(x.column(6))
+                ratio[deep > 0] = _values(x.column(6), np.float64)
                 held = x.column(5).to_numpy(zero_copy_only=False)
                 texts = (x.column(4).to_numpy() * 2 + held)[doc[here]]
                 own.append((key[here], codes, texts, deep[here], rares, count[here], ratio[here]))
@@ -563,7 +553,7 @@ def placed_tokens(scored: DataFrame, depth: int, shared: Broadcast, ranges: int,
 def _judged(words: np.ndarray, none: np.ndarray, train: np.ndarray, deep: np.ndarray, length: np.ndarray, root: np.ndarray, ratio: np.ndarray, least: float, next_share: float, discount: float, strictness: float) -> np.ndarray:
     """The ratios of tokens (words[0]) after the words before them (words[1:], the last one first) by the states below
     their heavy contexts. All places of a context must be among them; train tells the ones that count."""
-    context, alive = np.zeros(words.shape[1], np.int64), np.ones(words.shape[1], bool)
+    context, alive, again = np.zeros(words.shape[1], np.int64), np.ones(words.shape[1], bool), ~none
     for level in range(1, len(words)):
         context = _longer(context, words[level])
         alive &= length >= level
@@ -573,24 +563,26 @@ def _judged(words: np.ndarray, none: np.ndarray, train: np.ndarray, deep: np.nda
         enough = totals[own] >= least
         alive[at[~enough]] = False
         at, own = at[enough], own[enough]
-        if not len(at):
+        # A next token that comes twice after a context came twice after its suffix.
+        near = np.flatnonzero(again[at])
+        if not len(near):
             continue
-        _, entry = np.unique(_longer(context[at], words[0][at]), return_inverse=True)
-        c = np.bincount(entry, train[at])
+        _, entry = np.unique(_longer(context[at[near]], words[0][at[near]]), return_inverse=True)
+        c = np.bincount(entry, train[at[near]])
         some = np.zeros(len(c), np.int64)
-        some[entry] = np.arange(len(at))
+        some[entry] = near
+        again[at[near]] = c[entry] >= 2
         of, total, before = own[some], totals[own[some]], ratio[at[some]] * root[at[some]]
         share = (c - discount) / total
-        listed = (c >= 2) & (c >= total * next_share) & ~none[at[some]]
+        listed = (c >= 2) & (c >= total * next_share)
         sums = lambda x: np.bincount(of[listed], x[listed], len(totals))
         kinds, other = sums(np.ones(len(c))), totals - sums(c)
         left = np.maximum(1 - sums(before), 1e-9)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = sums(np.where(listed, c * np.log(c / total / before), 0)) + np.where(other > 0, other * np.log(other / totals / left), 0)
         state = (kinds > 0) & (2 * gain > kinds + strictness * np.sqrt(2 * kinds))
-        rest = np.where(state, 1 - sums(share), 1)
-        gives = np.where(listed & state[of], share, 0)
-        ratio[at] = ratio[at] * rest[own] + gives[entry] / root[at]
+        ratio[at] *= np.where(state, 1 - sums(share), 1)[own]
+        ratio[at[near]] += np.where(listed & state[of], share, 0)[entry] / root[at[near]]
     return ratio
 
 
@@ -624,7 +616,7 @@ def score_texts(
     root = (singles + 1) / scale if n else np.ones(1)
     encoded = scratch(encode(texts, head, np.log10(root)), "encoded", compression="zstd")
     many = n >= PASS_TOKENS
-    passes, ranges = (PASSES if many else 1), (n // RANGE_TOKENS).bit_length()
+    passes, ranges = (LEARN_PASSES if many else 1), (n // RANGE_TOKENS).bit_length()
     enough = max(2.0, least, context_share * n)
     often = np.append((singles >= max(HEAVY * BLOCK_TOKENS, enough)) & (frequent["token"] != END).to_numpy(bool), False)
     tails = counts.where(~is_frequent).select("gram", F.col("c").cast("double").alias("value"))
@@ -643,18 +635,18 @@ def score_texts(
         mass = np.frombuffer(b"".join(answered["values"].take(pa.array(order)).to_pylist()), np.float64)
         batches = [part for whole in rows.combine_chunks().to_batches() for part in _slices(whole, 5)]
         slots = [_heavy_slots(b.column(5), b.column(6), depth, *shared.value) for b in batches]
-        asked = [key[key != 0] for x in slots for *_, key in x] + [_tail_keys(_values(b.column(6))) for b in batches]
+        asked = [key[key != 0] for x in slots for *_, key in x] + [_tail_keys(_values(b.column(6), np.int64)) for b in batches]
         own = np.unique(np.concatenate(asked or [np.zeros(0, np.int64)]))
         if len(own) != len(mass):
             raise ValueError("a block's answers aren't those to its questions")
         parts: list[list[pa.Array]] = [[] for _ in range(5)]
         for b, found in zip(batches, slots):
-            ids, rare = _values(b.column(5)), _values(b.column(6))
+            ids, rare = _values(b.column(5), np.int32), _values(b.column(6), np.int64)
             is_tail = ids == TAIL
             times = np.zeros(len(rare), np.int64)
             if len(rare):
                 times = np.nan_to_num(mass[np.searchsorted(own, _tail_keys(rare))]).astype(np.int64)
-            sizes = np.diff(b.column(5).offsets.to_numpy().astype(np.int64))
+            sizes = np.diff(_ends(b.column(5), np.int32))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             base = b.column(4).to_numpy() + np.bincount(doc[is_tail], np.log10((times + 1) / scale), len(sizes))
             n_known = np.bincount(doc[~is_tail], minlength=len(sizes)) + np.bincount(doc[is_tail][times > 0], minlength=len(sizes))
@@ -671,19 +663,17 @@ def score_texts(
                 seen[is_tail] = times >= 2
                 length, deep = _reach(ids, place, seen, grams, depth, often, heavy)
                 settled = np.bincount(doc, np.where(length > deep, 0, np.log10(values)), len(sizes))
-            ends = np.append(0, np.cumsum(np.bincount(doc[after], minlength=len(sizes)))).astype(np.int32)
-            tail_ends = np.append(0, np.cumsum(np.bincount(doc[is_tail], minlength=len(sizes)))).astype(np.int32)
-            ratios = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[after]))
-            for column, x in zip(parts, (pa.array(base), pa.array(n_known.astype(np.int64)), pa.array(settled), pa.ListArray.from_arrays(pa.array(tail_ends), pa.array(times)), ratios)):
+            packed = (_split(x, np.bincount(doc[own], minlength=len(sizes))) for x, own in ((times, is_tail), (values[after], after)))
+            for column, x in zip(parts, (pa.array(base), pa.array(n_known.astype(np.int64)), pa.array(settled), *packed)):
                 column.append(x)
-        types = (pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        types = (pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
         names = ["block", "doc_id", "held_out", "n_tokens", "number", "ids", "rare"]
         return pa.table([*(rows[c] for c in names), *(pa.chunked_array(x, t) for x, t in zip(parts, types))], [*names, "base", "known", "settled", "times", "ratio"])
 
     scored = []
     columns = ["block", "doc_id", "held_out", "n_tokens", "head_base", "ids", "rare", "number"]
-    types = "block long, doc_id long, held_out boolean, n_tokens long, number long, ids array<int>, rare array<long>, base double, known long, settled double, times array<long>, ratio array<double>"
-    for part in parts_of(encoded, "block", passes):
+    types = "block long, doc_id long, held_out boolean, n_tokens long, number long, ids binary, rare binary, base double, known long, settled double, times binary, ratio binary"
+    for part in parts_of(encoded, "block", PASSES if many else 1):
         found = scratch(answers(missing_keys(part, depth, shared, key_ranges), known, key_ranges), "answers")
         free_shuffles(spark)
         scored.append(scratch(part.select(*columns).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, types), "scored", compression="zstd"))

@@ -198,6 +198,33 @@ def test_scores_in_parts(spark, monkeypatch):
     assert names.count("answers") == names.count("scored") == 4 and names.count("chances2") == 2
 
 
+def test_only_heavy_contexts_are_joined(spark, monkeypatch):
+    """Without heavy contexts no step joins runs of words; with heavy ones of each length, and words that no task holds, the
+    scores are those of the dictionaries."""
+    steps, write = [], suffix_tree.scratch
+
+    def written(df, name, **options):
+        steps.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, **options)
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"c{x}" for x in np.minimum(rng.geometric(0.5, 40), 5)) for _ in range(120)]
+    texts += [f"c1 odd{k % 9} c1 c1 even{k % 7} odd{k % 9} c2" for k in range(40)] + ["", "c1 never odd1 c1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p, _ = brute_tree([t for k, t in enumerate(texts) if k % 7 != 2], 3, 2.0, 0.0, 0.75, 4.0)
+    monkeypatch.setattr(suffix_tree, "scratch", written)
+    for block, held in ((1 << 19, 100), (100, 100), (100, 5)):
+        steps.clear()
+        monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", block)
+        got = {r["doc_id"]: r["score"] for r in rows(suffix_tree.score_texts(df, F.col("doc_id") % 7 != 2, head_share=3e-3, held=held))}
+        assert got.keys() == set(range(len(texts)))
+        for k, text in enumerate(texts):
+            tokens = [*words(text), " "]
+            assert math.isclose(got[k], sum(math.log10(p(tokens[:i], t)) for i, t in enumerate(tokens)), rel_tol=1e-9), (block, held, k)
+        joined = [name for name, plan in steps if "Join" in plan]
+        assert bool(joined) == (block == 100), joined
+
+
 def test_quality_of_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in rows(queries.op9_quality_gam(spark, sf))}
