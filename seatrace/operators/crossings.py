@@ -97,13 +97,28 @@ def _placed(met: DataFrame) -> DataFrame:
     return met.withColumn("t", along("t")).withColumn("cx", along("x")).withColumn("cy", along("y"))
 
 
-def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US, dealt: bool = False) -> DataFrame:
+def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US) -> DataFrame:
     """Hits that come at least ``same`` after the last one kept of the same track and line.
 
-    Hits are sorted by track in one shuffle, unless they are dealt by keys already, and pass by in batches with the time of the last kept one.
+    Hits are sorted by track in one shuffle and pass by in batches with the time of the last kept one.
     A hit that far from the one before is kept in any case, so only runs of closer ones are walked.
     """
-    columns = hits.columns
+    return _kept(_dealt(hits, keys), keys, same)
+
+
+def _dealt(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hits with _track, a hash of the keys, which deals them to tasks.
+
+    The planner leaves keys that are constant out of what a window asks for, but not out of what rows were dealt by, and then deals
+    them anew by the window's other keys; with the hash in both, it needn't.
+    """
+    return hits.withColumn("_track", F.xxhash64(*keys)).repartition("_track")
+
+
+def _kept(hits: DataFrame, keys: list[str], same: float) -> DataFrame:
+    """``without_repeats`` of hits with _track."""
+    slim = hits.drop("_track")
+    columns = slim.columns
     at = columns.index("t")
     ids = [columns.index(k) for k in keys]
 
@@ -130,9 +145,10 @@ def without_repeats(hits: DataFrame, keys: list[str], same: float = SAME_US, dea
             key, before = tuple(batch.column(k)[n - 1].as_py() for k in ids), times[-1]
             yield batch.filter(pa.array(free))
 
-    # Texts of keys often begin alike, so rows are sorted by a hash of all keys first.
-    ordered = (hits if dealt else hits.repartition(*keys)).sortWithinPartitions(F.xxhash64(*keys), *keys, "t", "seg")
-    return ordered.mapInArrow(kept, hits.schema)
+    # Whatever the steps before made of the rows' places, all of a track are dealt to one task; the planner takes this shuffle away where they are there already.
+    # Texts of keys often begin alike, so rows are sorted by the hash of all keys first.
+    ordered = hits.repartition("_track").sortWithinPartitions("_track", *keys, "t", "seg")
+    return ordered.drop("_track").mapInArrow(kept, slim.schema)
 
 
 def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: float, start: float | None = None, end: float | None = None, parts: bool = True, columns: list[str] | None = None) -> DataFrame:
@@ -145,13 +161,13 @@ def crossings(steps: DataFrame, segments: DataFrame, keys: list[str], cell: floa
     placed = _placed(_meetings(cut, segments, cell))
     wanted = columns or [c for c in placed.columns if c not in ("_u", "_to")]
     slim = placed.select(F.xxhash64(*cut.columns).alias("_step"), "_u", "_to", *dict.fromkeys([*wanted, *tracks, "seg", "t"]))
-    hits = _visible(slim.repartition(*tracks), Window.partitionBy("_step", *tracks), parts).drop("_step", "_u", "_to")
+    hits = _visible(_dealt(slim, tracks), Window.partitionBy("_track", "_step", *tracks), parts).drop("_step", "_u", "_to")
     inside = F.lit(True)
     if start is not None:
         inside = inside & (F.col("t") >= start)
     if end is not None:
         inside = inside & (F.col("t") < end)
-    return without_repeats(hits.where(inside), tracks, dealt=True)
+    return _kept(hits.where(inside), tracks, SAME_US)
 
 
 def checked_crossings(hits: DataFrame, keys: list[str], start: float, end: float) -> DataFrame:

@@ -113,6 +113,24 @@ def test_repeated_hits_are_judged_by_the_last_kept_one(spark):
     assert [r["seg"] for r in crossings.without_repeats(df.where("mmsi = 1"), ["mmsi", "cable_id"]).orderBy("seg").collect()] == list(range(0, 50, 2))
 
 
+def test_steps_that_meet_on_a_line_of_constant_name_cross_it_once(spark):
+    """Two steps of a track end and begin on the line; whatever step a hit is of, its track is in one task."""
+    steps = spark.createDataFrame([(m, k, float(k), float(k + 1), 3.0 * k, 5.0 * k, 3.0 * k + 3, 5.0 * k + 5) for m in range(60) for k in range(4)], "mmsi long, part int, t0 double, t1 double, x0 double, y0 double, x1 double, y1 double")
+    timed = steps.withColumns({t: F.col(t) * 1_000_000 for t in ("t0", "t1")})
+    lines = spark.createDataFrame([(0, 0.0, 10.0, 6.0, 10.0), (1, 6.0, 10.0, 30.0, 10.0)], SEGMENT.removeprefix("cable_id string, ")).withColumn("cable_id", F.lit("a"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for columns in (None, ["t"]):
+            df = crossings.crossings(timed, lines, ["mmsi"], 400.0, columns=columns)
+            got = [(r["mmsi"], r["seg"], r["t"]) for r in df.collect()]
+            assert sorted(got) == [(m, 0, 2_000_000.0) for m in range(60)]
+            plan = df._jdf.queryExecution().executedPlan().initialPlan().toString()
+            assert plan.count("REPARTITION_BY_COL") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 def plain_distance(p, g):
     dx, dy = g[2] - g[0], g[3] - g[1]
     d2 = dx * dx + dy * dy
