@@ -14,7 +14,7 @@ def test_every_query_without_sql_has_a_test_of_its_own():
     assert set(QUERIES) - set(ORACLE_SQL) == {"smooth_track", "smooth_window", "mask_components", "stitched_line", "content_hashes", "spatial_validation"}
 
 
-@pytest.mark.parametrize("name", ["crossing_counts"])
+@pytest.mark.parametrize("name", ["crossing_counts", "crossing_summary", "clipped_crossings"])
 def test_tracks_with_a_report_on_the_cable(spark, tmp_path, name):
     """A report at a vertex of the cable, met by two steps and two segments, is one crossing however many tasks there are."""
     start = datetime(2024, 1, 9, 20)
