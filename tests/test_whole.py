@@ -197,6 +197,21 @@ def test_smooth_whole_tracks_in_runs(spark):
             assert found.shape == want.shape and np.allclose(found, want, rtol=1e-9, atol=1e-6), (run, m)
 
 
+def test_smooth_track_shuffles_its_points_once_by_vessel_and_once_by_run(spark):
+    """Whatever is broadcast, ranks come without a shuffle of their own, from points dealt by vessel once."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    points = spark.createDataFrame([(m, 700.0 * k, 3.0 * k, 1.0 * m) for m in range(3) for k in range(5)] + [(None, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0), (9, 0.0, 1.0, 1.0)], "mmsi long, t double, x double, y double")
+    try:
+        spark.conf.set(limit, "-1")
+        for df in (queries.smooth_track(spark, SMALL), spline.smooth_whole_tracks(points, 600.0, 25.0)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 2 and "Join" not in plan, plan
+        assert {(r["mmsi"], r["count"]) for r in df.groupBy("mmsi").count().collect()} == {(m, 5) for m in range(3)}
+    finally:
+        spark.conf.set(limit, old)
+
+
 def test_smooth_track_reaches_the_ends(spark):
     ends = {r["mmsi"]: (r["a"], r["b"], r["n"]) for r in bridge.track(spark, SMALL).groupBy("mmsi").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count_distinct("us").alias("n")).collect()}
     got = {r["mmsi"]: (r["t"], r["n"]) for r in queries.smooth_track(spark, SMALL).groupBy("mmsi").agg(F.max("t").alias("t"), F.count("*").alias("n")).collect()}
